@@ -3,17 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontaminate, exactdedup, mixing
 from .shared import table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        with b as (select item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as w from benchmark),
+        patterns as (
+            select distinct item_id, len(w) as m, array_to_string(w, ' ') as p from b where len(w) between 1 and 9
+            union
+            select distinct item_id, 10, array_to_string(w[k : k + 9], ' ') from (select item_id, w, unnest(range(1, len(w) - 8)) as k from b where len(w) >= 10)
+        ),
+        d as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as w from documents),
+        lengths as (select distinct m from patterns),
+        windows as (
+            select doc_id, m, k, array_to_string(w[k : k + m - 1], ' ') as p
+            from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as k from d, lengths where len(w) >= m)
+        ),
+        found as (select doc_id, k, m, item_id from windows join patterns using (m, p)),
+        hits as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(k, k + m)) as q from found) group by doc_id),
+        items as (select doc_id, count(*) as n, string_agg(s, ',' order by s) as l from (select distinct doc_id, cast(item_id as varchar) as s from found) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hits.n, 0) as bigint) as n_hit, cast(coalesce(items.n, 0) as bigint) as n_items,
+               sha256(coalesce(items.l, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
+        from d left join hits using (doc_id) left join items using (doc_id)
+    """,
+    "op7_exact_dedup": f"""
+        with t as (select doc_id, {_LOWER} as t from documents)
+        select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+               doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from t
+    """,
+}
