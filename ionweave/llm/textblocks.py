@@ -16,9 +16,10 @@ import pyarrow as pa
 BLOCK_BYTES = 2 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value for each byte; A-Z have the values of a-z.
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]
+#: A random 64-bit value for each byte; folded, A-Z have the values of a-z.
+CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FOLDED = CASED.copy()
+FOLDED[65:91] = FOLDED[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -79,6 +80,16 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         start = end
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = FOLDED) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of data."""
+    n = len(data)
+    power, inverse = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * power[:n], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """The words of a block: where each starts and ends, its text and its hash."""
 
@@ -100,15 +111,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         if hashed:
-            self.hashes = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        n = len(self.data)
-        power, inverse = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[self.data] * power[:n], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            self.hashes = span_hashes(data, self.starts, self.ends)
 
     def of_text(self) -> np.ndarray:
         """The text's index for each word."""
