@@ -8,6 +8,7 @@ range of documents.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,12 +19,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .textblocks import CASED, blocks, buffers, span_hashes, strings
+from .textblocks import blocks, buffers, span_hashes, strings
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces that a worker remembers; beyond it the memory starts anew.
-KEPT_PIECES = 1 << 19
+KEPT_PIECES = 1 << 20
+_PLACE_BITS = 22
+_SEPARATOR = "\ue000"
+#: Letters for which a class of characters can be named: Latin, Cyrillic, kana, CJK, Hangul.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u0400-\u0481\u048a-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_PLAIN = re.compile(f"[ \n]?[!-~{_LETTERS}]+")
+_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9\0]+|\n")
 WRITE_OPTIONS = {
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
@@ -55,23 +62,27 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     characters that aren't white space.
     """
     n = len(data)
-    cut = np.zeros(n + 1, bool)
-    if n > 2:
-        near = _WHITE[data]
-        unsure = near.copy()
-        # after a character that may be white space beyond ASCII, and before one
-        lead = _LEAD[data]
-        after = near[:-2].copy()
-        after[1:] |= lead[:-3]
-        after[2:] |= lead[:-4]
-        before = unsure[2:] | lead[2:]
-        cut[1 : n - 1] = _SPACE[data[1:-1]] & ~after & ~before
-    cut[offsets] = True
-    return np.flatnonzero(cut[:n])
+    at = np.flatnonzero(_SPACE[data])
+    at = at[(at > 0) & (at < n - 1)]
+    # white space beyond ASCII has two or three bytes, with one of few lead bytes
+    sure = ~(_WHITE[data[at - 1]] | _WHITE[data[at + 1]] | _LEAD[data[at + 1]])
+    sure &= ~(_LEAD[data[np.maximum(at - 2, 0)]] | _LEAD[data[np.maximum(at - 3, 0)]])
+    return np.union1d(at[sure], offsets[:-1][np.diff(offsets) > 0])
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE has for each byte, as a table for str.translate of latin-1 text."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 class _Encoder:
-    """Encodes blocks of texts; remembers the ids of pieces by their hash."""
+    """Encodes blocks of texts; remembers the ids of pieces by their hash.
+
+    Pieces are found in a table with two places for each; the few that find
+    both taken are kept in a dictionary.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,43 +93,79 @@ class _Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys = np.zeros(1 << _PLACE_BITS, np.uint64)
+        self.at = np.zeros(1 << _PLACE_BITS, np.int32)
+        self.rest: dict[int, int] = {}
         self.flat = np.zeros(1 << 20, np.int32)
-        self.ends = [0]
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.index[h] = len(self.index)
-            ids = e.ids
-            a, b = self.ends[-1], self.ends[-1] + len(ids)
-            while b > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[a:b] = ids
-            self.ends.append(b)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.n = 0
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Encodes new pieces and gives them the next indexes."""
+        ids, counts = self._pieces(pieces)
+        n, k = self.n, len(pieces)
+        while n + k >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ends[n + 1 : n + k + 1] = self.ends[n] + np.cumsum(counts)
+        while self.ends[n + k] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.ends[n] : self.ends[n + k]] = ids
+        index = np.arange(n, n + k, dtype=np.int32)
+        for k in (0, 1):
+            place = _places(hashes)[k]
+            free = np.flatnonzero(self.keys[place] == 0)
+            _, one = np.unique(place[free], return_index=True)
+            free = free[one]
+            self.keys[place[free]], self.at[place[free]] = hashes[free], index[free]
+            left = np.ones(len(hashes), bool)
+            left[free] = False
+            hashes, index = hashes[left], index[left]
+        self.rest.update(zip(hashes.tolist(), index.tolist(), strict=True))
+        self.n += len(pieces)
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return np.array([i for e in found for i in e.ids], np.int32), np.array([len(e) for e in found], np.int64)
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each piece, -1 where it is in neither place."""
+        first, second = _places(hashes)
+        found = np.where(self.keys[first] == hashes, self.at[first], -1)
+        lost = np.flatnonzero(found < 0)
+        again = second[lost]
+        found[lost] = np.where(self.keys[again] == hashes[lost], self.at[again], -1)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the number of each text's."""
         data, offsets = buffers(texts)
         starts = piece_starts(data, offsets)
-        raw = data.tobytes()
         stops = np.append(starts[1:], len(data)) if len(starts) else starts
-        distinct, first, inverse = np.unique(span_hashes(data, starts, stops, CASED), return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        new = [k for k, h in enumerate(listed) if h not in self.index]
-        if len(self.index) + len(new) > KEPT_PIECES:
-            self.clear()
-            new = list(range(len(listed)))
-        a, b = starts[first].tolist(), stops[first].tolist()
-        self._learn([listed[k] for k in new], [raw[a[k] : b[k]].decode() for k in new])
-        at = np.array([self.index[h] for h in listed], np.int64)[inverse]
-        ends = np.array(self.ends, np.int64)
-        low, n_each = ends[at], ends[at + 1] - ends[at]
-        out = self.flat[np.repeat(low - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())]
-        of_text = np.searchsorted(offsets, starts, "right") - 1
-        counts = np.bincount(of_text, n_each, len(texts)).astype(np.int64) if len(at) else np.zeros(len(texts), np.int64)
-        if self.special and self.special.search(raw):
-            return self._whole(texts, out, counts)
-        return out, counts
+        hashes = span_hashes(data, starts, stops)
+        hashes[hashes == 0] = 1
+        at = self._known(hashes)
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            distinct, first, inverse = np.unique(hashes[lost], return_index=True, return_inverse=True)
+            if self.n + len(distinct) > KEPT_PIECES and self.n:
+                self.clear()
+                return self.encode(texts)
+            index = np.array([self.rest.get(h, -1) for h in distinct.tolist()], np.int64)
+            new = np.flatnonzero(index < 0)
+            if len(new):
+                raw, where = data.tobytes(), lost[first[new]]
+                index[new] = np.arange(self.n, self.n + len(new))
+                self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
+            at[lost] = index[inverse]
+        low = self.ends[at]
+        n_each = self.ends[at + 1] - low
+        total = np.cumsum(n_each)
+        out = self.flat[np.repeat(low - (total - n_each), n_each) + np.arange(total[-1] if len(total) else 0)]
+        ends = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
+        if self.special and self.special.search(data.tobytes()):
+            return self._whole(texts, out, np.diff(ends))
+        return out, np.diff(ends)
 
     def _whole(self, texts: pa.Array, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As encode, where texts with a special token's string are encoded in one piece."""
@@ -129,6 +176,68 @@ class _Encoder:
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
+class _ByteLevelEncoder(_Encoder):
+    """For byte-level BPE: many plain pieces go through the tokenizer in one call.
+
+    Plain pieces (ASCII and common letters, at most one space or line feed, in
+    front) are split here as the tokenizer's pattern does, with the letters of
+    their bytes put in and a separator between them.  As each id stands for a
+    known number of bytes, the sums of those tell where a piece's ids end.
+    Other pieces take the tokenizer's own way.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tokenizer.to_str())
+        spec |= {"added_tokens": [], "pre_tokenizer": {"type": "Split", "pattern": {"String": _SEPARATOR}, "behavior": "Removed", "invert": False}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        self.letters = _byte_letters() | {0: _SEPARATOR}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode() for p in pieces]
+        plain = np.array([_PLAIN.fullmatch(t) is not None for t in texts])
+        counts = np.zeros(len(pieces), np.int64)
+        if plain.any():
+            own = [t for t, x in zip(texts, plain.tolist(), strict=True) if x]
+            parts = ["\0".join(_SPLIT.findall("\0".join(own[k : k + 500]))) for k in range(0, len(own), 500)]
+            found = self.plain.encode_batch_fast([p.encode().decode("latin-1").translate(self.letters) for p in parts], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+            upto = np.cumsum(self.n_bytes[ids])
+            lengths = np.array([len(p) for p in pieces], np.int64)[plain]
+            counts[plain] = np.diff(np.searchsorted(upto, np.cumsum(lengths)) + 1, prepend=0)
+            if plain.all():
+                return ids, counts
+        other, other_counts = super()._pieces([p for p, x in zip(pieces, plain.tolist(), strict=True) if not x])
+        counts[~plain] = other_counts
+        out = np.zeros(counts.sum(), np.int32)
+        of_plain = np.repeat(plain, counts)
+        if plain.any():
+            out[of_plain] = ids
+        out[~of_plain] = other
+        return out, counts
+
+
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (hashes >> np.uint64(64 - _PLACE_BITS)).astype(np.int64), (hashes & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _encoders:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec.get("pre_tokenizer") or {}
+        plain = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and steps.get("type") == "ByteLevel" and steps.get("use_regex") and not steps.get("add_prefix_space")
+        if not plain:
+            raise ValueError(f"{path} is no byte-level BPE without normalizer or prefix space, whose texts can be cut into pieces")
+        _encoders[path] = _ByteLevelEncoder(path)
+    return _encoders[path]
+
+
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -147,9 +256,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = _Encoder(path)
-        encoder = _encoders[path]
+        encoder = _encoder(path)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for block in blocks(batch) if batch.num_rows else ():
