@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, mixing, tokenfiles
+from . import decontaminate, exactdedup, lm, mixing, tokenfiles
 from .shared import table
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(lm.is_training(F.col("doc_id"))))
+    held_out = (~lm.is_training(F.col("doc_id"))).alias("held_out")
+    return lm.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -28,6 +35,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,

@@ -53,7 +53,7 @@ def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
 
 
 def map_array(folder: str, name: str, dtype) -> np.ndarray:
-    """The saved array, memory-mapped.
+    """The saved array, memory-mapped; empty where none was saved.
 
     From a store that is not mounted, the file is copied to a temporary file
     that is unlinked once mapped, so nothing stays behind.
@@ -64,7 +64,7 @@ def map_array(folder: str, name: str, dtype) -> np.ndarray:
             _mapped.clear()
         fs, path = _filesystem(where)
         size = fs.get_file_info(path).size
-        if not size:
+        if not size:  # None, if there is no such file
             x = np.zeros(0, dtype)
         elif isinstance(fs, pafs.LocalFileSystem):
             x = np.memmap(path, dtype, "r")
