@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, lm, mixing, tokenfiles
+from . import decontaminate, exactdedup, lm, mixing, personal, tokenfiles
 from .shared import table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal.find(docs, personal.learn(docs))
+    order = F.array(*map(F.lit, personal.KINDS))
+
+    def joined(spans):
+        keyed = F.transform(spans, lambda s: F.struct(s["start"], F.array_position(order, s["kind"]), s["end"], F.concat_ws(":", s["kind"], s["start"], s["end"]).alias("text")))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["text"]), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.train(docs.where(lm.is_training(F.col("doc_id"))))
@@ -35,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_decontamination": op4_decontamination,
     "op6_token_files": op6_token_files,
