@@ -83,3 +83,51 @@ def map_array(folder: str, name: str, dtype) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class SortedStore:
+    """A table keyed by a long, as sorted arrays that tasks map into memory, in shards by some of its bits."""
+
+    def __init__(self, folder: str, name: str, bits: int):
+        self.folder, self.name, self.bits = folder, name, bits
+
+    @classmethod
+    def saved(cls, df: DataFrame, key: str, folder: str, name: str, rows: int, value: str | None = None) -> SortedStore:
+        """Saves df's key (and value), both long; about a million of the given number of rows go in a shard."""
+        import pyarrow as pa
+        from pyspark.sql import functions as F
+
+        store = cls(folder, name, max(5, (rows >> 20).bit_length()))
+        shard = F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 32)).bitwiseXOR(F.shiftrightunsigned("key", 16)).bitwiseAND(F.lit((1 << store.bits) - 1))
+
+        def save(table: pa.Table) -> pa.Table:
+            s = table.column("shard")[0].as_py()
+            keys = table.column("key").to_numpy()
+            order = np.argsort(keys, kind="stable")
+            save_arrays(folder, f"{name}{s}", key=keys[order], **({"value": table.column("value").to_numpy()[order]} if value else {}))
+            return pa.table({"n": pa.array([len(keys)], pa.int64())})
+
+        columns = [F.col(key).cast("long").alias("key"), *([F.col(value).cast("long").alias("value")] if value else [])]
+        written(df.select(*columns).withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(save, "n long"), f"{folder}/{name}")
+        return store
+
+    def shards(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.view(np.uint64)
+        return ((x ^ (x >> np.uint64(32)) ^ (x >> np.uint64(16))) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key (int64) is there, and its value (0 if not, or if there are none)."""
+        shards = self.shards(keys)
+        found, values = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        order = np.argsort(shards, kind="stable")
+        bounds = np.searchsorted(shards[order], np.arange((1 << self.bits) + 1))
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
+            own = order[bounds[s] : bounds[s + 1]]
+            known = map_array(self.folder, f"{self.name}{s}.key", np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+                found[own] = same = known[at] == keys[own]
+                stored = map_array(self.folder, f"{self.name}{s}.value", np.int64)
+                if len(stored):
+                    values[own] = np.where(same, stored[at], 0)
+        return found, values

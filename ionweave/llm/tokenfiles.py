@@ -287,11 +287,11 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     columns, one sum for each part.
     """
     files = spark.read.parquet(folder)
-    # one row for each part that was written, so its order fits one task
+    # one row for each written part, so no more than shuffle partitions: fit for one task, and to broadcast
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    return files.join(starts, "part").select("doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(starts), "part").select("doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
