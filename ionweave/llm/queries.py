@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, lm, mixing, ngramjoin, personal, quality, tokenfiles
+from . import decontaminate, exactdedup, linededup, lm, mixing, ngramjoin, personal, quality, tokenfiles, urlfilter
 from .shared import table
 
 
@@ -22,6 +22,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.train(docs.where(lm.is_training(F.col("doc_id"))))
@@ -35,6 +40,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.tokenized(table(spark, sf_dir, "documents"))
 
@@ -57,8 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
+    "op2_line_dedup": op2_line_dedup,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
