@@ -119,3 +119,13 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
     extra = F.coalesce(~F.col("taken") & (F.struct("turn", "doc_id") == F.struct("extra.turn", "extra.doc_id")), F.lit(False))
     copies = F.least(F.col("whole") + (F.col("taken") | extra).cast("long"), F.lit(max_epochs).cast("long"))
     return _with(rows, closer, "left").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it.
+
+    Rows with a null id aren't taken; rows that repeat an id are taken equally often.
+    """
+    copies = mix(docs, max_epochs, weights, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.join(copies, F.col("doc_id") == F.col("_id"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

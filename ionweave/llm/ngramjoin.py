@@ -389,3 +389,24 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     out = rows.join(reps, F.col("rep") == F.col("doc"), "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, whole and with all columns, but for those whose component has a smaller id.
+
+    Near copies by distinct k-word shingles, linked at this similarity in
+    percent; which ids go is mapped into memory by the tasks, so texts aren't
+    shuffled.  Rows with a null id, and texts without words, stay.
+    """
+    found = linked(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    folder = shared_dir(docs.sparkSession, "near")
+    found = written(found, f"{folder}/ids")
+    gone = SortedStore.saved(found, "doc_id", folder, "gone", found.count())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            drop = gone.find(ids.fill_null(0).to_numpy())[0] & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~drop))
+
+    return docs.mapInArrow(keep, docs.schema)
