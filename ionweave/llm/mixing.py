@@ -88,8 +88,8 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
     The rest comes from its documents in the order of a seeded hash, whole, as
     long as they fit; then in the same way from those that still fit the gap;
     then from the one document left whose size closes the gap best, if that
-    helps.  So a source misses its target by less than its smallest documents,
-    as a rule, and reruns agree.  Null text counts 0 words; null sources are
+    helps.  Texts are never cut, so a source misses its target by half of its largest
+    document at most, as a rule by a few words, and reruns agree.  Null text counts 0 words; null sources are
     one source; rows that repeat an id and a size are taken or left together;
     an empty table gives an empty result; further columns are not read.
     """

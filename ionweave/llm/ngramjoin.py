@@ -380,13 +380,13 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     A document's set: its distinct k-word shingles, A-Z folded; with fewer
     words, all of them as one; with none (null or empty text) empty and linked
     with nothing.  Two link when 100 * intersection >= percent * union.  Rows
-    with a null id belong to no component; of rows that repeat an id with
+    with a null id have no set and no component; of rows that repeat an id with
     different texts one stands for the others.  Other columns are not read.
     """
     rows, sizes, labels = _Join(docs, k, percent).run()
     sizes = sizes.groupBy("doc").agg(F.max("n").alias("n"))
     reps = sizes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc").alias("component"))
-    out = rows.join(reps, F.col("rep") == F.col("doc"), "left")
+    out = rows.join(reps, (F.col("rep") == F.col("doc")) & F.col("doc_id").isNotNull(), "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
