@@ -24,7 +24,7 @@ from .textblocks import Words, blocks, mix, strings
 
 SHARD_BYTES = 16 << 20
 #: Counts that a task holds before it emits them.
-HELD = 3_000_000
+HELD = 1_500_000
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0x9FB21C651E98DF25)
 _WORD = (("hash", np.uint64), ("count", np.int64), ("cont", np.int64), ("total", np.int64), ("n1", np.int64), ("n2", np.int64), ("n3", np.int64))

@@ -156,7 +156,7 @@ class _Join:
             for _, sets in self.sets(batches):
                 x = np.concatenate(sets)
                 held.append(np.unique(x[x < COUNTED], return_counts=True))
-                if sum(len(h) for h, _ in held) > 2_000_000:
+                if sum(len(h) for h, _ in held) > 1_000_000:
                     yield emit()
             if held:
                 yield emit()

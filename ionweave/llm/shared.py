@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 _mapped: dict[str, np.ndarray] = {}
 
+#: Rows that a task hands to Python at once: texts can be long, and tasks share an executor's memory.
+BATCH_ROWS = 500
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir.
 
     Where that setting is absent and the session runs in one local process (as
     in tests), a temporary folder is made and set; on a cluster it must be set.
+    Every operator starts here, so Arrow batches are bounded here, too.
     """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master

@@ -24,8 +24,8 @@ from .textblocks import blocks, buffers, span_hashes, strings
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces that a worker remembers; beyond it the memory starts anew.
-KEPT_PIECES = 1 << 20
-_PLACE_BITS = 22
+KEPT_PIECES = 3 << 18
+_PLACE_BITS = 21
 _SEPARATOR = "\ue000"
 #: Letters for which a class of characters can be named: Latin, Cyrillic, kana, CJK, Hangul.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u0400-\u0481\u048a-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
