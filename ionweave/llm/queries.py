@@ -101,6 +101,20 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(items.l, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
         from d left join hits using (doc_id) left join items using (doc_id)
     """,
+    "op8_ngram_join": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        shingles as (
+            select distinct doc_id, array_to_string(w[k : k + 3], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 2)) as k from d where len(w) >= 4)
+            union all
+            select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 3
+        ),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b using (s) where a.doc_id <> b.doc_id group by all),
+        links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        reached as (select a, b from links union select reached.a, links.b from reached join links on reached.b = links.a)
+        select doc_id, coalesce(any_value(n), 0) as n_shingles, least(doc_id, coalesce(min(b), doc_id)) as component_id
+        from d left join sizes using (doc_id) left join reached on a = doc_id group by doc_id
+    """,
     "op7_exact_dedup": f"""
         with t as (select doc_id, {_LOWER} as t from documents)
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
