@@ -18,7 +18,10 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         keyed = F.transform(spans, lambda s: F.struct(s["start"], F.array_position(order, s["kind"]), s["end"], F.concat_ws(":", s["kind"], s["start"], s["end"]).alias("text")))
         return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["text"]), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in personal.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
