@@ -22,7 +22,8 @@ MIN_LENGTH = 24
 
 def normalised(line: Column) -> Column:
     """Lower case, without spaces around it and with single spaces inside."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s]+", " "))
+    # a single space is left alone, so that few places are replaced
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\S ]\s*| \s+", " "))
 
 
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -33,23 +34,20 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return F.lit(1) + F.lit(i) * base + extra, base + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Hashes of a line's segments, with their place and the line's length."""
-    k = threshold + 1
-    parts = [_segment(length, i, k) for i in range(k)]
-    return F.array(*[F.xxhash64(F.lit(i), length, F.substring(line, start, size)) for i, (start, size) in enumerate(parts)])
-
-
 def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Hashes of the substrings that can equal a segment of a line as long or up to ``threshold`` shorter."""
-    k, keys = threshold + 1, []
+    """Hashes of the substrings that can equal a segment of a line as long or up to ``threshold`` shorter.
+
+    A hash covers the segment's number and the length of its line.  The first
+    threshold + 1 keys are those of the line's own segments, its index keys.
+    """
+    k, own, keys = threshold + 1, [], []
     for shorter in range(threshold + 1):
         other = length - shorter
         for i in range(k):
             start, size = _segment(other, i, k)
             for off in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                keys.append(F.xxhash64(F.lit(i), other, F.substring(line, start + off, size)))
-    return F.array_distinct(F.array(*keys))
+                (keys if shorter or off else own).append(F.xxhash64(F.lit(i), other, F.substring(line, start + off, size)))
+    return F.array(*own, *keys)
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -63,11 +61,6 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     k, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
 
-    def at(x: Column, i: Column) -> Column:
-        return F.get(x, i)
-
-    x, y = F.split(a, ""), F.split(b, "")
-
     def shift(state: Column, n: int) -> Column:
         return (F.shiftleft(state, n) if n > 0 else F.shiftrightunsigned(state, -n)).bitwiseAND(F.lit(full))
 
@@ -78,8 +71,13 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             out.append(s.bitwiseOR(shift(out[-1], 1)))
         return out
 
-    def step(s: Column, i: Column) -> Column:
-        bits = [F.when(at(y, i + F.lit(t - k)) == at(x, i), F.lit(1 << t)).otherwise(F.lit(0)) for t in range(width)]
+    # each character of a beside those of b within the band, as arrays that a step needn't look up
+    x, y = F.split(a, ""), F.split(b, "")
+    beside = [F.concat(F.array_repeat(F.lit(None).cast("string"), k - t), y) if t < k else F.slice(y, t - k + 1, F.length(b) + 1) for t in range(width)]
+    zipped = F.slice(F.arrays_zip(x.alias("x"), *[c.alias(f"y{t}") for t, c in enumerate(beside)]), F.lit(1), F.length(a))
+
+    def step(s: Column, c: Column) -> Column:
+        bits = [F.when(c[f"y{t}"] == c["x"], F.lit(1 << t)).otherwise(F.lit(0)) for t in range(width)]
         same = bits[0]
         for bit in bits[1:]:
             same = same.bitwiseOR(bit)
@@ -94,24 +92,39 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
     start = closed([F.lit(1 << k) if d == 0 else F.lit(0) for d in range(k + 1)])
     zero = F.struct(*[c.alias(f"s{d}") for d, c in enumerate(start)])
-    end = F.aggregate(F.sequence(F.lit(0), F.length(a) - 1), zero, step)
+    end = F.aggregate(zipped, zero, step)
     # b's end lies on this diagonal
     last = F.length(b) - F.length(a) + F.lit(k)
     reached = F.call_function("shiftright", end[f"s{k}"], F.greatest(last, F.lit(0))).bitwiseAND(F.lit(1)) == 1
     return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(False)).otherwise(reached)
 
 
+def candidates(keyed: DataFrame, threshold: int, path: str) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of keyed (id, keys) of which one probes a segment of the other."""
+    left = keyed.select(F.col("id").alias("a"), F.explode(F.slice("keys", 1, threshold + 1)).alias("key"))
+    right = keyed.select(F.col("id").alias("b"), F.explode(F.array_distinct("keys")).alias("key"))
+    pairs = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(pairs.distinct(), path)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int, path: str) -> DataFrame:
+    """The pairs (a, b) whose texts (id, line) are within the edit threshold."""
+    first = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    both = pairs.join(first, "a").join(first.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    return written(both.where(within(F.col("x"), F.col("y"), threshold)).select("a", "b"), path)
+
+
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of ids of lines (id, line, length) within the edit threshold, each once."""
     base = shared_dir(lines.sparkSession, "edits")
-    length = F.col("length")
-    left = lines.select(F.col("id").alias("a"), F.col("length").alias("la"), F.explode(index_keys(F.col("line"), length, threshold)).alias("key"))
-    right = lines.select(F.col("id").alias("b"), F.col("length").alias("lb"), F.explode(probe_keys(F.col("line"), length, threshold)).alias("key"))
-    pairs = left.join(right, "key").where("lb between la and la + %d and (la < lb or a < b)" % threshold).select("a", "b").distinct()
-    pairs = written(pairs, f"{base}/pairs")
-    texts = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    pairs = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    return written(pairs.where(within(F.col("x"), F.col("y"), threshold)).select("a", "b"), f"{base}/links")
+    keyed = lines.select("id", probe_keys(F.col("line"), F.col("length"), threshold).alias("keys"))
+    return verified(candidates(keyed, threshold, f"{base}/pairs"), lines, threshold, f"{base}/links")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, number, line and id of each line: its first occurrence names a line, with 24 bits for its number."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line")).withColumn("line", normalised(F.col("line")))
+    return rows.withColumn("id", F.shiftleft(F.col("doc_id").cast("long"), 24).bitwiseOR(F.col("number").cast("long")))
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -125,18 +138,20 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_length: int
     repeat an id count as one document; a null id keeps its lines.
     """
     base = shared_dir(docs.sparkSession, "lines")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line")).withColumn("line", normalised(F.col("line")))
-    rows = rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(17), "line", F.lit(29)))
-    # the first occurrence names the line: 24 bits for its number
-    rows = rows.withColumn("id", F.shiftleft(F.col("doc_id").cast("long"), 24).bitwiseOR(F.col("number").cast("long")))
+    rows = _numbered(docs).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(17), "line", F.lit(29)))
     places = written(rows.where("line <> '' and id is not null").select("doc_id", "number", "h", "g", "id"), f"{base}/places")
-    named = places.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    named = written(named, f"{base}/named")
-    # the text of each distinct line is shuffled once
-    texts = rows.where(F.length("line") >= min_length).select("h", "g", "id", "line")
-    texts = texts.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("line").alias("line"))
-    texts = written(texts.select("id", "line", F.length("line").alias("length")), f"{base}/texts")
-    labels = written(components(edit_links(texts, threshold)), f"{base}/labels")
+    # a distinct line is known by its keys; texts are read again only for the lines of candidate pairs
+    length = F.length("line")
+    keys = F.when(length >= min_length, probe_keys(F.col("line"), length, threshold))
+    named = rows.where("line <> '' and id is not null").select("h", "g", "id", keys.alias("keys"))
+    named = written(named.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), f"{base}/named")
+    pairs = candidates(named.where("keys is not null").select(F.col("first").alias("id"), "keys"), threshold, f"{base}/pairs")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{base}/ends")
+    owners = written(ends.select(F.shiftright("id", 24).alias("doc_id")).distinct(), f"{base}/owners")
+    texts = _numbered(docs.join(owners, "doc_id", "left_semi")).select("id", "line").join(ends, "id", "left_semi")
+    # rows that repeat an id have one line for each place
+    texts = written(texts.groupBy("id").agg(F.min("line").alias("line")), f"{base}/texts")
+    labels = written(components(verified(pairs, texts, threshold, f"{base}/links")), f"{base}/labels")
     keep = named.join(labels, F.col("first") == F.col("node"), "left").where("n > 1 or label is not null")
     keep = keep.select("h", "g", "first", F.coalesce("label", "first").alias("kept"))
     gone = places.join(keep, ["h", "g"]).where("id <> kept").select("doc_id", "number", (F.col("id") != F.col("first")).alias("exact"))
