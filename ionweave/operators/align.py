@@ -33,7 +33,7 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
     so grows; ions left over start groups.  Several ions of a scan in one group
     become one: mean m/z and summed intensity (collapse), or the last (last).
     """
-    scans = {s: g.sort_values("mz") for s, g in pdf.groupby("scan", sort=True)}
+    scans = {s: g.sort_values(["mz", "intensity"]) for s, g in pdf.groupby("scan", sort=True)}
     order = sorted(scans)
     apex = max(order, key=lambda s: (scans[s]["eic"].iloc[0], -order.index(s)))
     place = {s: k for k, s in enumerate(order)}
@@ -42,7 +42,8 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
     for s in order:
         mz, intensity = scans[s]["mz"].to_numpy(), scans[s]["intensity"].to_numpy()
         left = np.ones(len(mz), bool)
-        for g in range(len(low)):
+        near = (mz[:, None] >= low - _tol(low, ppm, min_error)) & (mz[:, None] <= high + _tol(high, ppm, min_error))
+        for g in np.flatnonzero(near.any(0)):
             hit = left & (mz >= low[g] - _tol(low[g], ppm, min_error)) & (mz <= high[g] + _tol(high[g], ppm, min_error))
             if hit.any():
                 left &= ~hit
@@ -87,6 +88,19 @@ def spectrum_of(pt: pd.DataFrame, correl: float | None, height: float | None, fr
     return out.assign(numscans=len(eic))
 
 
+def _grid_counts(pt: pd.DataFrame, grids: list[list[float | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ion number of spectrum_of at each (correl, height, freq) of the grids, and the scan number at each height."""
+    eic = pt.drop_duplicates("scan").set_index("scan")["eic"]
+    r = pt.groupby("ion_group")[["eic", "intensity"]].apply(lambda g: g["eic"].corr(g["intensity"]) if len(g) > 1 else np.nan)
+    strong = np.array([np.ones(len(r), bool) if c is None else r.to_numpy() >= c for c in grids[0]])
+    high = np.array([np.ones(len(eic), bool) if h is None else (eic >= h / 100 * (eic.max() - eic.min()) + eic.min()).to_numpy() for h in grids[1]])
+    present = np.zeros((len(eic), len(r)), int)
+    present[eic.index.get_indexer(pt["scan"]), r.index.get_indexer(pt["ion_group"])] = 1
+    seen, scans = high.astype(int) @ present, high.sum(1)
+    often = np.array([seen >= (1 if f is None else np.maximum(f / 100 * scans, 1)[:, None]) for f in grids[2]])
+    return np.einsum("cg,fhg->chf", strong.astype(int), often.astype(int)), scans
+
+
 def best_parameters(pt: pd.DataFrame, top: tuple[float, float, float] = (0.75, 10.0, 10.0), bins: tuple[float, float, float] = (0.05, 1.0, 1.0), min_scans: int = 3) -> tuple:
     """(correl, height, freq, n, score): the strictest parameters that leave an ion and enough scans.
 
@@ -94,16 +108,15 @@ def best_parameters(pt: pd.DataFrame, top: tuple[float, float, float] = (0.75, 1
     with the largest sum of shares of the largest parameters and ion number; of
     equals the first, correlation fastest.
     """
-    n = len(spectrum_of(pt, *top))
-    scans = spectrum_of(pt, *top)["numscans"].max() if n else 0
-    if n and scans >= min_scans:
-        return (*top, n, 4.0)
+    counts, scans = _grid_counts(pt, [[t] for t in top])
+    if counts[0, 0, 0] and scans[0] >= min_scans:
+        return (*top, int(counts[0, 0, 0]), 4.0)
     grids = [[None, *np.round(np.arange(0, t + b / 2, b), 6)] for t, b in zip(top, bins, strict=True)]
+    counts, scans = _grid_counts(pt, grids)
     found = []
-    for freq, height, correl in itertools.product(*grids[::-1]):
-        ums = spectrum_of(pt, correl, height, freq)
-        if len(ums) and ums["numscans"].iloc[0] >= min_scans:
-            found.append((correl, height, freq, len(ums)))
+    for (f, freq), (h, height), (c, correl) in itertools.product(*map(list, map(enumerate, grids[::-1]))):
+        if counts[c, h, f] and scans[h] >= min_scans:
+            found.append((correl, height, freq, int(counts[c, h, f])))
     if not found:
         return (None, None, None, 0, 0.0)
     most = max(f[3] for f in found)
@@ -127,25 +140,26 @@ def pooled(spectra: DataFrame, key: list[str], order: str, ppm: float = PPM, min
     names = ["mz", "mz_u", "int", "int_u"]
     schema = T.StructType([*_key_type(spectra, key), *(T.StructField(c, T.DoubleType()) for c in names), T.StructField("n", T.LongType())])
 
-    def spread(sd: pd.Series, n: pd.Series) -> float:
-        free = (n - 1).sum()
-        return float(np.sqrt(((n - 1) * sd.fillna(0) ** 2).sum() / free)) if free else np.nan
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for _, s in pdf.sort_values([order, "mz"]).groupby(order, sort=True):
-            frozen = [(min(r.mz for r in g), max(r.mz for r in g)) for g in groups]
-            for r in s.itertuples():
-                hit = next((g for g, (a, b) in zip(groups, frozen, strict=False) if a - _tol(a, ppm, min_error) <= r.mz <= b + _tol(b, ppm, min_error)), None)
-                if hit is None:
-                    groups.append([r])
-                else:
-                    hit.append(r)
-        rows = []
-        for g in groups:
-            f = pd.DataFrame(g)
-            rows.append((*(pdf[c].iloc[0] for c in key), f["mz"].mean(), spread(f["mz_u"], f["n"]), f["int"].mean(), spread(f["int_u"], f["n"]), int(f["n"].sum())))
-        return pd.DataFrame(rows, columns=schema.names)
+        pdf = pdf.dropna(subset=[order]).sort_values([order, "mz"])
+        mz, scans = pdf["mz"].to_numpy(), pdf[order].to_numpy()
+        low, high, group = np.zeros(0), np.zeros(0), np.zeros(len(mz), int)
+        bounds = np.flatnonzero(np.concatenate([[True], scans[1:] != scans[:-1], [True]])) if len(mz) else []
+        for start, end in itertools.pairwise(bounds):
+            x = mz[start:end]
+            met = (x[:, None] >= low - _tol(low, ppm, min_error)) & (x[:, None] <= high + _tol(high, ppm, min_error))
+            old = met.any(1)
+            group[start:end][old] = met[old].argmax(1) if old.any() else 0
+            group[start:end][~old] = len(low) + np.arange((~old).sum())
+            np.minimum.at(low, group[start:end][old], x[old])
+            np.maximum.at(high, group[start:end][old], x[old])
+            low, high = np.append(low, x[~old]), np.append(high, x[~old])
+        free = pdf["n"] - 1
+        f = pdf.assign(free=free, mz_u=free * pdf["mz_u"].fillna(0) ** 2, int_u=free * pdf["int_u"].fillna(0) ** 2).groupby(group)
+        out, total = f[["mz", "int"]].mean(), f[["n", "free", "mz_u", "int_u"]].sum()
+        for c in ("mz_u", "int_u"):
+            out[c] = np.sqrt(total[c] / total["free"].where(total["free"] != 0))
+        return out.assign(n=total["n"], **{c: pdf[c].iloc[0] for c in key})[schema.names]
 
     return spectra.groupBy(*key).applyInPandas(one, schema)
 
