@@ -215,10 +215,20 @@ def _dotprod(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def _compare_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores_with_first(spark, sf_dir, "peak <= 5000")
+
+
+@query("compare_ms_all")
+def _compare_ms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with the whole library; compare_ms has those that its SQL lists."""
+    return _scores_with_first(spark, sf_dir, "true")
+
+
+def _scores_with_first(spark: SparkSession, sf_dir: str, wanted: str) -> DataFrame:
     mz = F.lit(100.0) + F.col("l_suppkey") % 40 + F.col("l_discount") / 100
     ions = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("peak"), mz.alias("mz"), "l_quantity").groupBy("peak", "mz").agg(F.sum("l_quantity").alias("intensity"))
     q = ions.where("peak = 1").select(F.lit(1).alias("query"), "mz", "intensity")
-    library = ions.where("peak <= 5000")
+    library = ions.where(wanted)
     pairs = library.select(F.lit(1).alias("query"), "peak").distinct()
     out = scoring.compare(q, library, ["query"], ["peak"], pairs)
     return out.select("peak", F.round("dp", 8).alias("dp"), F.round("rdp", 8).alias("rdp"))
@@ -329,8 +339,18 @@ def _check_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def _search_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found_fragments(spark, sf_dir, "l_orderkey <= 2000")
+
+
+@query("search_fragments_all")
+def _search_fragments_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of all ions; search_fragments has those that its SQL lists."""
+    return _found_fragments(spark, sf_dir, "true")
+
+
+def _found_fragments(spark: SparkSession, sf_dir: str, wanted: str) -> DataFrame:
     l, p = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part")
-    ions = l.where("l_orderkey <= 2000").select(_mz().alias("mz")).distinct()
+    ions = l.where(wanted).select(_mz().alias("mz")).distinct()
     f = p.select(F.col("p_partkey").alias("fragment_id"), F.col("p_retailprice").alias("fixedmass"), F.col("p_type").alias("formula"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("smiles"))
     links = l.select(F.col("l_partkey").alias("fragment_id"), F.col("l_orderkey").alias("peak_id"), F.col("l_suppkey").alias("compound_id"))
     out = search.search_fragments(ions, f, links)

@@ -103,3 +103,36 @@ def test_best_parameters_equals_one_spectrum_for_each_point():
         for top in ((0.75, 10.0, 10.0), (0.99, 60.0, 90.0)):
             bins = tuple(t / 3 for t in top)
             assert align.best_parameters(pt, top, bins) == pytest.approx(slow_best(pt, top, bins))
+
+
+def test_compare_ms_all_scores_the_whole_library(spark, ion_dir):
+    folder, pdf = ion_dir
+    ions = pd.DataFrame({"peak": pdf.l_orderkey, "mz": 100.0 + pdf.l_suppkey % 40 + pdf.l_discount / 100, "i": pdf.l_quantity}).groupby(["peak", "mz"], as_index=False).sum()
+    spectra = {p: [(m, i / g["i"].sum()) for m, i in zip(g["mz"], g["i"], strict=True)] for p, g in ions.groupby("peak")}
+
+    def half(left, right):
+        tol = max(max(m for m, _ in right) * 5e-6, 0.002)
+        rows = []
+        for m, i in left:
+            near = [(x, j) for x, j in right if abs(m - x) <= max(m * 5e-6, 0.002) + tol]
+            rows.append((m * i**0.5, np.mean([x for x, _ in near]) * sum(j for _, j in near) ** 0.5 if near else 0.0))
+        below = sum(a * a for a, _ in rows) * sum(b * b for _, b in rows)
+        return sum(a * b for a, b in rows) ** 2 / below if below else None
+
+    got = {r.peak: (r.dp, r.rdp) for r in catalogue.QUERIES["compare_ms_all"](spark, folder).collect()}
+    assert set(got) == set(spectra) and max(got) == 140_001
+    for p, s in spectra.items():
+        assert got[p] == pytest.approx((half(spectra[1], s), half(s, spectra[1])), abs=2e-8)
+
+
+def test_search_fragments_all_searches_all_ions(spark, tmp_path):
+    lines = [(o, o % 3 + 1, o % 2, 1.0, price) for o, price in ((1, 900.0), (1999, 901.003), (2001, 902.0), (90_000, 900.001), (140_000, 903.5))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(1, 900.0, "A", 30, "x"), (2, 902.004, "B", 1, "y"), (3, 903.501, None, 1, "z")]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_type string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for mz in {np.floor(price * 1e4) / 1e4 for *_, price in lines}:
+        for k, mass, *_ in parts:
+            if abs(mz - mass) <= max(mz * 5e-6, 0.002):
+                want.add((mz, k, len({s for _, q, s, _, _ in lines if q == k}), len({o for o, q, *_ in lines if q == k})))
+    assert {(r.mz, r.fragment_id, r.n_compounds, r.n_peaks) for r in catalogue.QUERIES["search_fragments_all"](spark, str(tmp_path)).collect()} == want and len(want) == 4
