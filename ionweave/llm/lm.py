@@ -1,12 +1,15 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and mapped into memory by its scorers.
+"""Interpolated modified Kneser-Ney n-gram model of any order, counted in Spark and mapped into memory by its scorers.
 
-Tasks count the words and bigrams of their texts with numpy and emit the counts
+Tasks count the words and n-grams of their texts with numpy and emit the counts
 as arrays, one for each shard; a shard is a range of the words' hashes, and
 their number follows the size of the input, so a shard's task has a bounded
-amount.  Bigrams belong to the shard of their first word, those of very frequent
-first words to that of the second, so no word's bigrams meet in one task.  The
-model is a set of sorted hash arrays with counts in the shared folder.  A
-bigram model, as the trigrams of a corpus would take several times its bytes.
+amount.  An n-gram belongs to the shard of its last word but one, those with a
+very frequent word there to that of the last, so no word's n-grams meet in one
+task.  All n-grams that end in the same two words thus meet, and a shard derives
+the continuation counts of every lower order by itself: only n-grams of the
+highest order are shuffled, and the shorter ones at the begin of a text, which
+keep their plain counts as nothing precedes them.  The model is a set of sorted
+hash arrays with counts in the shared folder.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ SHARD_BYTES = 16 << 20
 HELD = 1_500_000
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0x9FB21C651E98DF25)
+_CONTEXT = ("total", "n1", "n2", "n3")
 _WORD = (("hash", np.uint64), ("count", np.int64), ("cont", np.int64), ("total", np.int64), ("n1", np.int64), ("n2", np.int64), ("n3", np.int64))
 
 
@@ -43,6 +47,52 @@ def bigram_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * _K + w)
 
 
+def _history(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
+    """The token order - 1, ..., 1 places before each token; 0 where its text hasn't so many, the begin included."""
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    out = [_before(tokens, ends)]
+    for _ in range(order - 2):
+        further = np.zeros_like(tokens)
+        further[1:] = out[-1][:-1]
+        further[starts] = 0
+        out.append(further)
+    return out[::-1]
+
+
+def _contexts(history: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of all tokens from each one of a history; 0 where it is absent."""
+    out = []
+    for k, first in enumerate(history):
+        h = first
+        for t in history[k + 1 :]:
+            h = bigram_hash(h, t)
+        out.append(np.where(first != 0, h, np.uint64(0)))
+    return out
+
+
+def _save_counts(folder: str, name: str, **counts: np.ndarray) -> None:
+    """Counts as bytes; those above 254 as 255, with their places and values besides."""
+    for key, x in counts.items():
+        large = np.flatnonzero(x > 254)
+        save_arrays(folder, name, **{key: np.minimum(x, 255).astype(np.uint8), f"{key}.at": large, f"{key}.large": x[large].astype(np.int64)})
+
+
+def _counts_at(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    out = map_array(folder, name, np.uint8)[at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = map_array(folder, f"{name}.large", np.int64)[np.searchsorted(map_array(folder, f"{name}.at", np.int64), at[large])]
+    return out
+
+
+def _longest(contexts: list[np.ndarray]) -> np.ndarray:
+    """The first context of each row that isn't 0."""
+    found = contexts[-1]
+    for c in contexts[-2::-1]:
+        found = np.where(c != 0, c, found)
+    return found
+
+
 def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with the end of each text, and the index after each text's end."""
     ends = words.first[1:]
@@ -68,6 +118,10 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
+def _place_type(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _array(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -91,7 +145,8 @@ class Model:
     train_tokens: int
     types: int
     bigram_types: int
-    discounts: tuple[tuple[float, float, float], tuple[float, float, float]]
+    #: Those of each order from 1.
+    discounts: tuple[tuple[float, float, float], ...]
     #: The mass that the discounts of the words' continuation counts leave for all words alike.
     left_over: float
 
@@ -112,17 +167,30 @@ class Model:
                 out[name][part] = np.where(same, map_array(self.folder, f"w{s}.{name}", np.int64)[at] if len(known) else 0, 0)
         return out
 
-    def bigrams(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts of distinct bigrams."""
-        h, shard = bigram_hash(v, w), self.bigram_shard(v, w)
+    def grams(self, k: int, h: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of distinct k-grams by their hashes and last two words."""
+        return self._found(f"g{k}_", ("count",), h, self.bigram_shard(v, w))[0]
+
+    def contexts(self, k: int, h: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """total, n1, n2 and n3 of distinct contexts of k-grams, k above 2, by their hashes and last word."""
+        hot = np.isin(v, self.hot_words())
+        out = [np.zeros(len(h), np.int64) for _ in _CONTEXT]
+        for name, own in ((f"h{k}_", hot), (f"c{k}_", ~hot)):
+            for x, y in zip(out, self._found(name, _CONTEXT, h[own], _shard(h[own] if name[0] == "h" else v[own], self.bits)), strict=True):
+                x[own] = y
+        return out
+
+    def _found(self, name: str, values: tuple[str, ...], h: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((h, shard))
-        out = np.zeros(len(h), np.int64)
+        out = [np.zeros(len(h), np.int64) for _ in values]
         for s, part in _sliced(shard[order], 1 << self.bits):
-            known = map_array(self.folder, f"b{s}.hash", np.uint64)
+            known = map_array(self.folder, f"{name}{s}.hash", np.uint64)
             if len(known):
                 mine = order[part]
                 at = np.minimum(np.searchsorted(known, h[mine]), len(known) - 1)
-                out[mine] = np.where(known[at] == h[mine], map_array(self.folder, f"b{s}.count", np.uint32)[at], 0)
+                same = known[at] == h[mine]
+                for x, value in zip(out, values, strict=True):
+                    x[mine] = np.where(same, _counts_at(self.folder, f"{name}{s}.{value}", at), 0)
         return out
 
 
@@ -146,8 +214,10 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [*np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist(), int((c > 2).sum())]
 
 
-def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
-    """Counts the words and bigrams of all given documents (null text: empty) into a new model."""
+def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
+    """Counts the words and n-grams up to the order, 2 at least, of all given documents (null text: empty) into a new model."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     folder = shared_dir(spark, "lm")
     texts = docs.select("text")
@@ -198,59 +268,107 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     hot = words.select(F.inline("often")).where(F.col("n") > max(tokens / (4 * n_shards), 1000)).select("hash").unionByName(begins)
     written(hot.coalesce(1).mapInArrow(save_hot, "n long"), f"{folder}/hot")
 
-    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words = map_array(folder, "hot.hash", np.uint64)
         held: list[tuple[np.ndarray, ...]] = []
 
         def emit() -> pa.RecordBatch:
-            v, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            *grams, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            h = bigram_hash(v, w)
-            order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            c = np.add.reduceat(c[order], first).astype(np.uint32)
-            v, w = v[order[first]], w[order[first]]
-            shard = _bigram_shard(v, w, bits, hot_words)
-            order = np.lexsort((v, shard))
-            v, w, c = v[order], w[order], c[order]
-            rows = [(s, _array(v[p]), _array(w[p]), _array(c[p])) for s, p in _sliced(shard[order], n_shards)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["shard", "v", "w", "count"])
+            h = bigram_hash(_longest(_contexts(grams[:-1])), grams[-1])
+            rank = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], h[rank][1:] != h[rank][:-1]]))
+            c = np.add.reduceat(c[rank], first).astype(np.uint32)
+            grams = [x[rank[first]] for x in grams]
+            shard = _bigram_shard(grams[-2], grams[-1], bits, hot_words)
+            rank = np.lexsort((*grams[:-2], grams[-1], grams[-2], shard))
+            grams, c = [x[rank] for x in grams], c[rank]
+            rows = []
+            for s, p in _sliced(shard[rank], n_shards):
+                # a shard's words once, n-grams as places in them
+                known, places = np.unique(np.concatenate([x[p] for x in grams]), return_inverse=True)
+                rows.append((s, _array(known), _array(places.astype(_place_type(len(known)))), _array(c[p])))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["shard", "words", "grams", "count"])
 
         for words in words_of(batches):
-            w, ends = _tokens(words)
-            v = _before(w, ends)
-            _, first, n = np.unique(bigram_hash(v, w), return_index=True, return_counts=True)
-            held.append((v[first], w[first], n))
+            tokens, ends = _tokens(words)
+            grams = [*_history(tokens, ends, order), tokens]
+            _, first, n = np.unique(bigram_hash(_longest(_contexts(grams[:-1])), tokens), return_index=True, return_counts=True)
+            held.append((*(x[first] for x in grams), n))
             if sum(len(x[0]) for x in held) > HELD:
                 yield emit()
         if held:
             yield emit()
 
-    def sum_bigrams(table: pa.Table) -> pa.Table:
+    def sum_grams(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        v, w, c = _joined(table, "v", np.uint64), _joined(table, "w", np.uint64), _joined(table, "count", np.uint32)
-        h = bigram_hash(v, w)
-        order = np.argsort(h)
-        h = h[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        c = np.add.reduceat(c[order].astype(np.int64), first)
-        save_arrays(folder, f"b{s}", hash=h[first], count=c.astype(np.uint32))
-        v, w = v[order[first]], w[order[first]]
-        context = _summed(v, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-        follows = _summed(w, np.ones(len(w), np.int64))
-        rows: dict[int, list[bytes]] = {}
-        for k, arrays in ((0, context), (5, follows)):
+        hot_words = map_array(folder, "hot.hash", np.uint64)
+        parts = []
+        for known, places in zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True):
+            known = np.frombuffer(known, np.uint64)
+            parts.append(known[np.frombuffer(places, _place_type(len(known))).reshape(order, -1)])
+        *history, last = np.concatenate(parts, axis=1)
+        grams = [*_contexts(history), last]
+        del parts, history
+        count = _joined(table, "count", np.uint32).astype(np.int64)
+        whole = grams[0] != 0
+        begun = [*(x[~whole] for x in grams), count[~whole]]
+        grams, count = [x[whole] for x in grams], count[whole]
+        rows: dict[tuple[int, int], list[bytes]] = {}
+        of_counts = []
+
+        def hand_on(k: int, column: int, arrays: tuple[np.ndarray, ...]) -> None:
             for t, p in _sliced(_shard(arrays[0], bits), n_shards):
-                row = rows.setdefault(t, [b""] * 7)
-                row[k : k + len(arrays)] = [_array(x[p]) if not j else _array(x[p].astype(np.uint32)) for j, x in enumerate(arrays)]
-        out = [(t, *row, _of_counts(c) if k == 0 else None) for k, (t, row) in enumerate(rows.items())]
+                row = rows.setdefault((t, k), [b""] * 7)
+                row[column : column + len(arrays)] = [_array(x[p]) if not j else _array(x[p].astype(np.uint32)) for j, x in enumerate(arrays)]
+
+        for k in range(order, 1, -1):
+            if k < order:
+                # the n-grams one longer are distinct: each is one word before its last k; those that begin a text keep their counts
+                own = begun[0] != 0
+                grams = [np.concatenate([x, y[own]]) for x, y in zip(grams[1:], begun[:-1], strict=True)]
+                count = np.concatenate([np.ones(len(count), np.int64), begun[-1][own]])
+                begun = [x[~own] for x in begun]
+            h = bigram_hash(grams[0], grams[-1])
+            rank = np.argsort(h)
+            h = h[rank]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+            count = np.add.reduceat(count[rank], first) if len(h) else count
+            grams = [x[rank[first]] for x in grams]
+            save_arrays(folder, f"g{k}_{s}", hash=h[first])
+            _save_counts(folder, f"g{k}_{s}", count=count)
+            of_counts += _of_counts(count)[:4]
+            begun = begun[1:]
+            tally = (count, *((count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)))
+            if k == 2:
+                hand_on(2, 0, _summed(grams[0], *tally))
+                hand_on(2, 5, _summed(grams[-1], np.ones(len(count), np.int64)))
+            else:
+                # a context that ends in a very frequent word has parts in other shards as well
+                hot = np.isin(grams[-2], hot_words)
+                own = _summed(grams[0][~hot], *(x[~hot] for x in tally))
+                save_arrays(folder, f"c{k}_{s}", hash=own[0])
+                _save_counts(folder, f"c{k}_{s}", **dict(zip(_CONTEXT, own[1:], strict=True)))
+                hand_on(k, 0, _summed(grams[0][hot], *(x[hot] for x in tally)))
+        out = [(t, k, *row, None) for (t, k), row in rows.items()] + [(-1, 0, *[b""] * 7, of_counts)]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _partial, strict=True)], _partial)
 
-    _partial = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("v", "total", "n1", "n2", "n3", "w", "cont")), ("of_counts", pa.list_(pa.int64()))])
-    spark_partial = "shard int, v binary, total binary, n1 binary, n2 binary, n3 binary, w binary, cont binary, of_counts array<long>"
-    bigrams = texts.mapInArrow(count_bigrams, "shard int, v binary, w binary, count binary")
-    partial = written(bigrams.groupBy("shard").applyInArrow(sum_bigrams, spark_partial), f"{folder}/bigrams")
-    of_bigrams = partial.select(*[F.sum(F.col("of_counts")[k]) for k in range(4)]).first()
+    _partial = pa.schema([("shard", pa.int32()), ("k", pa.int32()), *((n, pa.binary()) for n in ("v", "total", "n1", "n2", "n3", "w", "cont")), ("of_counts", pa.list_(pa.int64()))])
+    spark_partial = "shard int, k int, v binary, total binary, n1 binary, n2 binary, n3 binary, w binary, cont binary, of_counts array<long>"
+    counted = texts.mapInArrow(count_grams, "shard int, words binary, grams binary, count binary")
+    partial = written(counted.groupBy("shard").applyInArrow(sum_grams, spark_partial), f"{folder}/grams")
+    of_grams = partial.select(*[F.sum(F.col("of_counts")[k]) for k in range(4 * (order - 1))]).first()
+
+    def sum_longer_contexts(table: pa.Table) -> pa.Table:
+        s, k = table.column("shard")[0].as_py(), table.column("k")[0].as_py()
+        h, *sums = _summed(_joined(table, "v", np.uint64), *(_joined(table, x, np.uint32).astype(np.int64) for x in _CONTEXT))
+        save_arrays(folder, f"h{k}_{s}", hash=h)
+        _save_counts(folder, f"h{k}_{s}", **dict(zip(_CONTEXT, sums, strict=True)))
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    if order > 2:
+        longer = partial.where("k > 2").select("shard", "k", "v", *_CONTEXT)
+        written(longer.groupBy("shard", "k").applyInArrow(sum_longer_contexts, "n long"), f"{folder}/longer")
 
     def sum_contexts(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
@@ -266,12 +384,12 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         save_arrays(folder, f"w{s}", hash=h, **out)
         return pa.table({"cont": pa.array([int(cont.sum())], pa.int64()), "of_counts": pa.array([_of_counts(cont)], pa.list_(pa.int64()))})
 
-    contexts = written(partial.drop("of_counts").groupBy("shard").applyInArrow(sum_contexts, "cont long, of_counts array<long>"), f"{folder}/contexts")
+    contexts = written(partial.where("k = 2").drop("k", "of_counts").groupBy("shard").applyInArrow(sum_contexts, "cont long, of_counts array<long>"), f"{folder}/contexts")
     of_words = contexts.select(F.sum("cont"), *[F.sum(F.col("of_counts")[k]) for k in range(5)]).first()
     bigram_types, *n = (x or 0 for x in of_words)
     d = _discounts(n[:4])
     left_over = (d[0] * n[0] + d[1] * n[1] + d[2] * n[4]) / max(bigram_types, 1)
-    return Model(folder, bits, tokens, types, bigram_types, (d, _discounts([x or 0 for x in of_bigrams])), left_over)
+    return Model(folder, bits, tokens, types, bigram_types, (d, *(_discounts([x or 0 for x in of_grams[4 * k : 4 * k + 4]]) for k in range(order - 2, -1, -1))), left_over)
 
 
 def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -289,30 +407,37 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in blocks(batch) if batch.num_rows else ():
                 tokens, ends = _tokens(Words(strings(part.column("text"))))
-                before = _before(tokens, ends)
                 h, word = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-                w, v = word[:-1], np.where(before == BEGIN, word[-1], 0)
-                v[1:] = np.where(before[1:] == BEGIN, word[-1], w[:-1])
+                w = word[:-1]
                 known = model.words(h)
-                pair = v * len(h) + w
-                distinct, back = np.unique(pair, return_inverse=True)
-                dv, dw = distinct // len(h), distinct % len(h)
-                # words by their continuations, bigrams by their counts
-                types, (d1, d2) = model.bigram_types, model.discounts
+                # words by their continuations, the longest n-grams by their counts
+                types, (d1, *longer) = model.bigram_types, model.discounts
                 of_one = max(model.types + 1, 1)
-                cont = known["cont"].astype(float)
                 if types:
-                    p1 = np.maximum(cont - _discount(known["cont"], d1), 0) / types + model.left_over / of_one
+                    p1 = np.maximum(known["cont"].astype(float) - _discount(known["cont"], d1), 0) / types + model.left_over / of_one
                 else:
                     p1 = np.full(len(h), 1 / of_one)
-                c, total = model.bigrams(h[dv], h[dw]), known["total"][dv]
-                some = np.maximum(total, 1)
-                gamma = (d2[0] * known["n1"][dv] + d2[1] * known["n2"][dv] + d2[2] * known["n3"][dv]) / some
-                p2 = np.where(total > 0, np.maximum(c - _discount(c, d2), 0) / some + gamma * p1[dw], p1[dw])
+                p = p1[w]
+                contexts = _contexts(_history(tokens, ends, len(model.discounts)))[::-1]
+                v = contexts[0]
+                for k, (context, d) in enumerate(zip(contexts, longer, strict=True), 2):
+                    at = np.flatnonzero(context)
+                    _, one, back = np.unique(context[at], return_index=True, return_inverse=True)
+                    if k == 2:
+                        place = np.searchsorted(h, context[at[one]])
+                        tally = [known[x][place] for x in _CONTEXT]
+                    else:
+                        tally = model.contexts(k, context[at[one]], v[at[one]])
+                    total, n1, n2, n3 = (x[back] for x in tally)
+                    g, one, back = np.unique(bigram_hash(context[at], tokens[at]), return_index=True, return_inverse=True)
+                    c = model.grams(k, g, v[at[one]], tokens[at[one]])[back]
+                    some = np.maximum(total, 1)
+                    gamma = (d[0] * n1 + d[1] * n2 + d[2] * n3) / some
+                    p[at] = np.where(total > 0, np.maximum(c - _discount(c, d), 0) / some + gamma * p[at], p[at])
                 base = np.log10((known["count"] + 0.1) / (model.train_tokens + 0.1 * (model.types + 1)))[w]
                 starts = np.append(0, ends[:-1])
                 n = np.diff(np.append(starts, len(tokens)))
-                s = np.add.reduceat(np.log10(p2)[back], starts)
+                s = np.add.reduceat(np.log10(p), starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),

@@ -32,7 +32,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lm.train(docs.where(lm.is_training(F.col("doc_id"))))
+    model = lm.train(docs.where(lm.is_training(F.col("doc_id"))), order=3)
     held_out = (~lm.is_training(F.col("doc_id"))).alias("held_out")
     return lm.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 

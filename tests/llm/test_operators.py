@@ -277,6 +277,56 @@ def test_kneser_ney(docs, empty):
     assert nothing.train_tokens == 0 and lm.score(docs, nothing).count() == docs.count() and lm.score(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_of_any_order(docs, order):
+    # a word so frequent that its n-grams are spread over the shards, and counts above a byte's
+    often = [(10_001, " ".join(f"w{i * i % 97} the" for i in range(3000))), (10_002, "the the " * 700), (10_003, "w1 the w4 never the"), (10_012, "the w9 the w16")]
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(often, "doc_id long, text string"))
+    tokens = {i: [*re.findall(SPACE, lower(t)), "</s>"] for i, t in rows_of(docs).items()}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    counts = {order: collections.Counter()}
+    begun = collections.Counter()
+    for i in train:
+        padded = ["<s>", *tokens[i]]
+        for end in range(2, len(padded) + 1):
+            gram = tuple(padded[max(0, end - order) : end])
+            (counts[order] if len(gram) == order else begun)[gram] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1]) + collections.Counter({g: c for g, c in begun.items() if len(g) == k})
+    v = len({w for i in train for w in tokens[i]})
+    discounts, context = {}, collections.defaultdict(lambda: [0, 0, 0, 0])
+    for k, c in counts.items():
+        of = collections.Counter(c.values())
+        discounts[k] = [0.0, *lm._discounts([of[1], of[2], of[3], of[4]])]
+        for g, n in c.items():
+            context[g[:-1]][0] += n
+            context[g[:-1]][min(n, 3)] += 1
+
+    def p(g):
+        lower_order = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        x, c, d = context.get(g[:-1]), counts[len(g)][g], discounts[len(g)]
+        return lower_order if x is None else max(c - d[min(c, 3)], 0) / x[0] + sum(d[k] * x[k] for k in (1, 2, 3)) / x[0] * lower_order
+
+    model = lm.train(docs.where(lm.is_training(F.col("doc_id"))), shard_bytes=2000, order=order)
+    for r in lm.score(docs, model).collect():
+        padded = ["<s>", *tokens[r.doc_id]]
+        want = sum(math.log10(p(tuple(padded[max(0, end - order) : end]))) for end in range(2, len(padded) + 1))
+        assert math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-9)
+    words = {w for i in train for w in tokens[i]}
+    for g in [("<s>",), *list(counts[order])[:3]]:
+        c = g[-(order - 1) :]
+        assert math.isclose(sum(p((*c, w)) for w in words) + p((*c, "never seen")), 1.0)
+
+
+def test_kneser_ney_query_is_a_trigram_model(spark, docs, tmp_path):
+    from ionweave.llm import queries
+
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    model = lm.train(docs.where(lm.is_training(F.col("doc_id"))), order=3)
+    want = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    assert {r.doc_id: r.score for r in queries.op3_kneser_ney(spark, str(tmp_path)).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
