@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from ionweave import catalogue
+from ionweave.functions import chem
 from ionweave.operators import align
 
 
@@ -136,3 +137,21 @@ def test_search_fragments_all_searches_all_ions(spark, tmp_path):
             if abs(mz - mass) <= max(mz * 5e-6, 0.002):
                 want.add((mz, k, len({s for _, q, s, _, _ in lines if q == k}), len({o for o, q, *_ in lines if q == k})))
     assert {(r.mz, r.fragment_id, r.n_compounds, r.n_peaks) for r in catalogue.QUERIES["search_fragments_all"](spark, str(tmp_path)).collect()} == want and len(want) == 4
+
+
+def test_dotprod_all_takes_every_hundredth_vector_as_query(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=6).tolist() for i in (0, 1, 4, 7, 100, 250, 300)}
+    spark.createDataFrame([(i, 0, v) for i, v in vectors.items()], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    weights = {i: np.arange(1, 7) * np.sqrt(np.abs(v) / np.abs(v).sum()) for i, v in vectors.items()}
+    want = {(i, q): (w @ weights[q]) ** 2 / ((w @ w) * (weights[q] @ weights[q])) for i, w in weights.items() for q in (0, 100, 300)}
+    got = {(r.vec_id, r.query): r.dp for r in catalogue.QUERIES["dotprod_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+
+
+def test_isotope_patterns_takes_all_parts(spark, tmp_path):
+    rows = [(k, k % 50 + 1, 900.0) for k in (1, 200, 201, 5000, 19_999)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    want = {(k, *x) for k, f in catalogue._formulas(spark, str(tmp_path)).select("p_partkey", "formula").collect() for x in chem.isotope_pattern(f)}
+    got = {(r.p_partkey, r.mz, r.intensity) for r in catalogue.QUERIES["isotope_patterns"](spark, str(tmp_path)).collect()}
+    assert got == want and {k for k, *_ in got} == {k for k, *_ in rows}
