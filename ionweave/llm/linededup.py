@@ -1,59 +1,149 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
-Distinct lines of some length are cut into threshold + 1 segments, at least one
-of which survives in any line within the edit threshold.  Segments are indexed
-with their length and place; a line probes the index of each allowed shorter
-length with the few substrings that can match there (the multi-match-aware
-selection), and candidates are verified by a banded bit-parallel edit distance.
+Distinct lines are cut into threshold + 1 segments, at least one of which
+survives in any line within the edit threshold.  Segments are indexed with their
+length and place; a line probes the index of each allowed shorter length with the
+few substrings that can match there (the multi-match-aware selection).
+Candidates pass a parity sketch of their characters, and are then verified by a
+banded bit-parallel edit distance.
+
+A segment that many distinct lines share (a log prefix, a template) is never
+paired out: what is left of its lines without the segment is still within the
+threshold, so it is cut into segments in turn, and so on, until few lines share
+all segments on the way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import shared_dir, written
 
-THRESHOLD = 2
-#: Normalised lines shorter than this are deduplicated exactly only.
-MIN_LENGTH = 24
+#: (least length, edits): pairs whose shorter normalised line has this length, or more, may differ by so many edits.
+#: Shorter lines than the least are told apart exactly, as one edit is an eighth of them or more.
+EDITS = ((24, 2), (8, 1))
+#: Distinct lines with one segment, beyond which the rest of them is cut in turn.
+HOT = 100
+
+Edits = tuple[tuple[int, int], ...]
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, without spaces around it and with single spaces inside."""
+def normalised(text: Column) -> Column:
+    """Lower case, and single spaces inside the lines; spaces around a line are left for trim."""
     # a single space is left alone, so that few places are replaced
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\S ]\s*| \s+", " "))
+    return F.regexp_replace(F.lower(text), r"[^\S \n][^\S\n]*| [^\S\n]+", " ")
+
+
+def _edits(length: Column, edits: Edits) -> Column:
+    """Edits allowed for a pair whose shorter line has this length."""
+    out = F.lit(0)
+    for least, k in sorted(edits):
+        out = F.when(length >= least, F.lit(k)).otherwise(out)
+    return out
+
+
+class _Slots:
+    """The ways in which a line probes the index, numbered over all thresholds.
+
+    A way: the threshold, with the lengths of the lines that it indexes; how much
+    shorter the indexed line is; the number of its segment; and how far the
+    substring lies off the segment's place.  With neither it is an index key.
+    """
+
+    def __init__(self, edits: Edits):
+        self.ways: list[tuple[int, int, int, int, int, int]] = []
+        longest = 1 << 30
+        for least, k in sorted(edits, reverse=True):
+            for shorter in range(k + 1):
+                for i in range(k + 1):
+                    for off in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
+                        self.ways.append((least, longest, k, shorter, i, off))
+            longest = least - 1
+
+    def _of(self, place: int, slot: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(w[place]) for w in self.ways]), slot + 1)
+
+    def edits(self, slot: Column) -> Column:
+        return self._of(2, slot)
+
+    def shorter(self, slot: Column) -> Column:
+        return self._of(3, slot)
+
+    @property
+    def index(self) -> list[int]:
+        return [s for s, (*_, shorter, _, off) in enumerate(self.ways) if not shorter and not off]
+
+    def is_index(self, slot: Column) -> Column:
+        return slot.isin(self.index)
+
+    def keys(self, line: Column, length: Column) -> list[Column]:
+        """The key of each way for a whole line; null where the way is not for its length."""
+        out = []
+        for least, longest, k, shorter, i, off in self.ways:
+            other = length - shorter
+            start, size = _segment(other, F.lit(i), k + 1)
+            out.append(F.when(other.between(least, longest), F.xxhash64(F.lit(8 * k + i), other, F.substr(line, start + off, size))))
+        return out
+
+    def inner_keys(self, rest: Column, slot: Column, key: Column) -> list[Column]:
+        """The key of each way for the rest of a line that came by ``slot`` and ``key``: with the same edits and the same difference in length."""
+        out = []
+        for _, _, k, shorter, i, off in self.ways:
+            other = F.length(rest) - shorter
+            start, size = _segment(other, F.lit(i), k + 1)
+            same = (self.edits(slot) == k) & (self.shorter(slot) == shorter)
+            out.append(F.when(same, F.xxhash64(key, F.lit(8 * k + i), other, F.substr(rest, start + off, size))))
+        return out
+
+    def without(self, line: Column, slot: Column) -> Column:
+        """A line without the substring that the way takes."""
+        k, i = self.edits(slot), self._of(4, slot)
+        start, size = _segment(F.length(line) - self.shorter(slot), i, k + 1)
+        start = start + self._of(5, slot)
+        return F.concat(F.substr(line, F.lit(1), start - 1), F.substr(line, start + size))
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, k: Column | int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of k (from 0) of a line; later segments are the longer ones."""
     base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
     # segments before i that are one longer
-    extra = F.greatest(longer - (k - i), F.lit(0))
-    return F.lit(1) + F.lit(i) * base + extra, base + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
+    extra = F.greatest(longer - (F.lit(k) - i), F.lit(0))
+    return (F.lit(1) + i * base + extra).cast("int"), base + F.when(i >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Hashes of the substrings that can equal a segment of a line as long or up to ``threshold`` shorter.
+def parities(line: Column) -> Column:
+    """Parity of the number of characters in each of 64 classes: an edit changes two of them at most."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63))))))
 
-    A hash covers the segment's number and the length of its line.  The first
-    threshold + 1 keys are those of the line's own segments, its index keys.
-    """
-    k, own, keys = threshold + 1, [], []
-    for shorter in range(threshold + 1):
-        other = length - shorter
-        for i in range(k):
-            start, size = _segment(other, i, k)
-            for off in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                (keys if shorter or off else own).append(F.xxhash64(F.lit(i), other, F.substring(line, start + off, size)))
-    return F.array(*own, *keys)
+
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """Length of the longest common prefix of two lines, ``most`` at most: its binary digits, the largest first."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int")), lambda j: F.call_function("shiftleft", F.lit(1), j))
+
+    def step(p: Column, n: Column) -> Column:
+        return F.when((p + n <= most) & (F.substr(a, p + 1, n) == F.substr(b, p + 1, n)), p + n).otherwise(p)
+
+    return F.aggregate(F.reverse(steps), F.lit(0), step)
+
+
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """Pairs with lines x and y, without what they begin and then end with alike, which leaves their edit distance as it is."""
+    x, y = F.col("x"), F.col("y")
+    head = _common(x, y, F.least(F.length(x), F.length(y)))
+    pairs = pairs.withColumn("_n", head).withColumns({"x": F.substr(x, F.col("_n") + 1), "y": F.substr(y, F.col("_n") + 1)})
+    tail = _common(F.reverse(x), F.reverse(y), F.least(F.length(x), F.length(y)))
+    pairs = pairs.withColumn("_n", tail)
+    return pairs.withColumns({"x": F.substr(x, F.lit(1), F.length(x) - F.col("_n")), "y": F.substr(y, F.lit(1), F.length(y) - F.col("_n"))}).drop("_n")
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether two lines' edit distance is at most the threshold, by banded bit-parallel edit distance.
 
-    State d (edits so far) is a word of 2 * threshold + 1 bits, one for each
+    State d (edits so far, at most) is a word of 2 * threshold + 1 bits, one for each
     diagonal of the band, that is set where a prefix of b on this diagonal can
     be reached with d edits.  Each character of a shifts all diagonals at once;
     bit t of ``same`` says whether it equals b's character on diagonal t.
@@ -65,10 +155,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return (F.shiftleft(state, n) if n > 0 else F.shiftrightunsigned(state, -n)).bitwiseAND(F.lit(full))
 
     def closed(states: list[Column]) -> list[Column]:
-        """With what insertions (the next diagonal, one edit more) reach."""
+        """With what fewer edits and insertions (the next diagonal, one edit more) reach."""
         out = [states[0]]
         for s in states[1:]:
-            out.append(s.bitwiseOR(shift(out[-1], 1)))
+            out.append(s.bitwiseOR(out[-1]).bitwiseOR(shift(out[-1], 1)))
         return out
 
     # each character of a beside those of b within the band, as arrays that a step needn't look up
@@ -99,73 +189,124 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(False)).otherwise(reached)
 
 
-def candidates(keyed: DataFrame, threshold: int, path: str) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of keyed (id, keys) of which one probes a segment of the other."""
-    left = keyed.select(F.col("id").alias("a"), F.explode(F.slice("keys", 1, threshold + 1)).alias("key"))
-    right = keyed.select(F.col("id").alias("b"), F.explode(F.array_distinct("keys")).alias("key"))
-    pairs = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return written(pairs.distinct(), path)
+def _met(own: DataFrame, posts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of indexed lines (key, id) and those (key, id) that probe for them."""
+    both = own.select("key", F.col("id").alias("a")).join(posts.select("key", F.col("id").alias("b")), "key").where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int, path: str) -> DataFrame:
-    """The pairs (a, b) whose texts (id, line) are within the edit threshold."""
-    first = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    both = pairs.join(first, "a").join(first.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    return written(both.where(within(F.col("x"), F.col("y"), threshold)).select("a", "b"), path)
+def candidates(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edits: Edits, folder: str, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b), a < b, among which are all pairs of named (id, key0, key1, ...) within the edit threshold.
 
-
-def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids of lines (id, line, length) within the edit threshold, each once."""
-    base = shared_dir(lines.sparkSession, "edits")
-    keyed = lines.select("id", probe_keys(F.col("line"), F.col("length"), threshold).alias("keys"))
-    return verified(candidates(keyed, threshold, f"{base}/pairs"), lines, threshold, f"{base}/links")
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, number, line and id of each line: its first occurrence names a line, with 24 bits for its number."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line")).withColumn("line", normalised(F.col("line")))
-    return rows.withColumn("id", F.shiftleft(F.col("doc_id").cast("long"), 24).bitwiseOR(F.col("number").cast("long")))
-
-
-def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
+    ``text_of(ids)`` gives (id, line) of a frame of ids; it is asked for the
+    lines of segments that more than ``hot`` distinct lines share.
+    """
+    slots = _Slots(edits)
+    keys = [f"key{s}" for s in range(len(slots.ways))]
+    posts = named.select("id", F.posexplode(F.array(*keys)).alias("slot", "key")).where("key is not null").withColumn("own", slots.is_index(F.col("slot")))
+    own = named.select("id", F.explode(F.array(*[keys[s] for s in slots.index])).alias("key")).where("key is not null")
+    found, level = [], 0
+    while True:
+        many = written(own.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{folder}/hot{level}")
+        if many.isEmpty():
+            found.append(_met(own, posts))
+            break
+        found.append(_met(own.join(many, "key", "left_anti"), posts))
+        members = posts.join(many, "key")
+        if not level:
+            members = written(members.select("id", "key", "slot", "own"), f"{folder}/members")
+            members = members.join(text_of(members.select("id").distinct()).withColumnRenamed("line", "rest"), "id")
+        members = written(members.select("id", "key", "slot", "own", slots.without(F.col("rest"), F.col("slot")).alias("rest")), f"{folder}/rest{level}", compression="zstd")
+        short = F.length("rest") - slots.shorter(F.col("slot")) <= slots.edits(F.col("slot"))
+        # no more is left of these lines than the edits: those with the same cuts are linked, so the first stands for all
+        last = members.where(short)
+        first = last.where("own").groupBy("key").agg(F.min("id").alias("a"))
+        found.append(last.where("own").join(first, "key").where("a <> id").select("a", F.col("id").alias("b")))
+        found.append(_met(last.where("own"), last.where("not own")))
+        inner = F.posexplode(F.array(*slots.inner_keys(F.col("rest"), F.col("slot"), F.col("key")))).alias("way", "inner")
+        posts = members.where(~short).select("id", "rest", "own", inner).where("inner is not null")
+        posts = posts.select("id", F.col("inner").alias("key"), F.col("way").alias("slot"), (F.col("own") & slots.is_index(F.col("way"))).alias("own"), "rest")
+        own, level = posts.where("own"), level + 1
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return written(pairs.distinct(), f"{folder}/pairs")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, edits: Edits, folder: str) -> DataFrame:
+    """The pairs (a, b) whose texts (id, line, parities) are within the edit threshold."""
+    first = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("parities").alias("p"))
+    both = pairs.join(first, "a").join(first.select(F.col("a").alias("b"), F.col("x").alias("y"), F.col("p").alias("q")), "b")
+    both = both.withColumn("k", _edits(F.least(F.length("x"), F.length("y")), edits))
+    near = both.where("abs(length(x) - length(y)) <= k and bit_count(p ^ q) <= 2 * k").select("a", "b", "x", "y", "k")
+    # few pairs are left, in few of the tasks: dealt out anew
+    near = trimmed(near.repartition(F.xxhash64("a", "b")))
+    fits = F.lit(False)
+    for k in sorted({k for _, k in edits}):
+        fits = F.when(F.col("k") == k, within(F.col("x"), F.col("y"), k)).otherwise(fits)
+    return written(near.where(fits).select("a", "b"), f"{folder}/links")
+
+
+def _links(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edits: Edits, folder: str, hot: int) -> DataFrame:
+    pairs = candidates(named, text_of, edits, folder, hot)
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{folder}/ends")
+    texts = written(text_of(ends).withColumn("parities", parities(F.col("line"))), f"{folder}/texts", compression="zstd")
+    return verified(pairs, texts, edits, folder)
+
+
+def edit_links(lines: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of distinct lines (id, line), id a long, within the edit threshold, each once."""
+    folder = shared_dir(lines.sparkSession, "edits")
+    keys = _Slots(edits).keys(F.col("line"), F.length("line"))
+    named = lines.select("id", *[c.alias(f"key{s}") for s, c in enumerate(keys)])
+    return _links(named, lambda ids: lines.join(ids, "id", "left_semi").select("id", "line"), edits, folder, hot)
+
+
+def duplicate_lines(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and dropped (numbers of the lines that go, from 0) of each document.
 
     Lines are told apart by two 64-bit hashes of their normal form; an empty one
     always stays.  Equal lines, and lines linked by the edit threshold (also
     through others), are one class, of which the occurrence with the smallest
-    doc_id and number stays; n_exact counts dropped ones equal to a line that
-    occurred before, n_near the others.  Null text has no lines; rows that
-    repeat an id count as one document; a null id keeps its lines.
+    doc_id (of any type) and number stays; n_exact counts dropped ones equal to a
+    line that occurred before, n_near the others.  Null text has no lines; rows
+    that repeat an id count as one document; a null id keeps its lines; an empty
+    table gives an empty result; other columns, whatever their names, are not
+    read.  A line may be of any length: memory follows the longest one.
     """
     base = shared_dir(docs.sparkSession, "lines")
-    rows = _numbered(docs).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(17), "line", F.lit(29)))
-    places = written(rows.where("line <> '' and id is not null").select("doc_id", "number", "h", "g", "id"), f"{base}/places")
-    # a distinct line is known by its keys; texts are read again only for the lines of candidate pairs
-    length = F.length("line")
-    keys = F.when(length >= min_length, probe_keys(F.col("line"), length, threshold))
-    named = rows.where("line <> '' and id is not null").select("h", "g", "id", keys.alias("keys"))
-    named = written(named.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), f"{base}/named")
-    pairs = candidates(named.where("keys is not null").select(F.col("first").alias("id"), "keys"), threshold, f"{base}/pairs")
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{base}/ends")
-    owners = written(ends.select(F.shiftright("id", 24).alias("doc_id")).distinct(), f"{base}/owners")
-    texts = _numbered(docs.join(owners, "doc_id", "left_semi")).select("id", "line").join(ends, "id", "left_semi")
-    # rows that repeat an id have one line for each place
-    texts = written(texts.groupBy("id").agg(F.min("line").alias("line")), f"{base}/texts")
-    labels = written(components(verified(pairs, texts, threshold, f"{base}/links")), f"{base}/labels")
-    keep = named.join(labels, F.col("first") == F.col("node"), "left").where("n > 1 or label is not null")
-    keep = keep.select("h", "g", "first", F.coalesce("label", "first").alias("kept"))
-    gone = places.join(keep, ["h", "g"]).where("id <> kept").select("doc_id", "number", (F.col("id") != F.col("first")).alias("exact"))
+    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("number", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    rows = written(rows.select("doc_id", "number", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(17), "line", F.lit(29)).alias("g"), "line"), f"{base}/rows", compression="zstd")
+    # a distinct line is known by its keys, which are all long, so they are aggregated by hashing
+    keys = _Slots(edits).keys(F.col("line"), F.length("line"))
+    named = rows.select("h", "g", *[c.alias(f"key{s}") for s, c in enumerate(keys)])
+    named = named.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.first(f"key{s}").alias(f"key{s}") for s in range(len(keys))])
+    named = written(named.withColumn("id", F.monotonically_increasing_id()), f"{base}/named")
+
+    def text_of(ids: DataFrame) -> DataFrame:
+        asked = named.select("id", "h", "g").join(ids, "id", "left_semi")
+        return rows.select("h", "g", "line").join(asked, ["h", "g"]).groupBy("id").agg(F.first("line").alias("line"))
+
+    labels = written(components(_links(named, text_of, edits, base, hot)), f"{base}/labels")
+    keep = named.select("h", "g", "n", "id").join(labels, F.col("id") == F.col("node"), "left").where("n > 1 or label is not null")
+    keep = keep.select("h", "g", F.coalesce("label", "id").alias("class"))
+    place = F.struct("doc_id", "number")
+    held = written(rows.select("doc_id", "number", "h", "g").join(keep, ["h", "g"]), f"{base}/held")
+    first = written(held.groupBy("class", "h", "g").agg(F.min(place).alias("first")), f"{base}/first")
+    kept = first.groupBy("class").agg(F.min("first").alias("kept"))
+    gone = held.drop("class").join(first.join(kept, "class"), ["h", "g"]).where(place != F.col("kept")).select("doc_id", "number", (place != F.col("first")).alias("exact"))
     gone = gone.groupBy("doc_id").agg(
         F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_set("number")).alias("dropped")
     )
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    lines = docs.select("doc_id", n_lines.alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
     out = lines.join(gone, "doc_id", "left")
     return out.select("doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near")], F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def without_duplicates(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
+def without_duplicates(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> DataFrame:
     """The documents with all their columns and the text without the lines that go."""
-    gone = duplicate_lines(docs, threshold, min_length).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")).where("size(_dropped) > 0")
+    gone = duplicate_lines(docs, edits, hot).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")).where("size(_dropped) > 0")
     rows = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
     return rows.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

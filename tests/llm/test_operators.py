@@ -413,10 +413,24 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_edit_links(spark, k):
+def connected(pairs, n):
+    """The smallest number that each of n is linked with."""
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+@pytest.mark.parametrize(("edits", "hot"), [(((1, 1),), 100), (((1, 2),), 100), (((1, 2),), 2), (((9, 2), (4, 1)), 1), (((9, 2), (4, 1)), 100)])
+def test_edit_links(spark, edits, hot):
+    """Also where any segment that two or three lines share counts as hot, so that what is left is cut again and again."""
     rng = random.Random(9)
-    lines = {"".join(rng.choice("abé ") for _ in range(rng.randint(6, 12))) for _ in range(20)}
+    lines = {"".join(rng.choice("abé ") for _ in range(rng.randint(4, 12))) for _ in range(20)}
     for b in list(lines):
         for _ in range(5):
             s = list(b)
@@ -424,10 +438,83 @@ def test_edit_links(spark, k):
                 i = rng.randrange(len(s))
                 s[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
             lines.add("".join(s))
-    lines = sorted(x for x in lines if len(x) > 3)
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("length", F.length("line"))
-    got = {tuple(sorted((r.a, r.b))) for r in linededup.edit_links(df, k).collect()}
-    assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= k}
+    lines = sorted(x for x in lines if len(x) > 2)
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {tuple(sorted((r.a, r.b))) for r in linededup.edit_links(df, edits, hot).collect()}
+    allowed = lambda a, b: max([k for least, k in edits if min(len(a), len(b)) >= least], default=-1)
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= allowed(lines[i], lines[j])}
+    if hot > 50:
+        assert got == want
+    assert got <= want and connected(got, len(lines)) == connected(want, len(lines))
+
+
+def test_a_shared_segment_emits_no_pairs(spark):
+    """Log lines with one prefix: candidates stay near their number, and none of the planted edits is lost."""
+    rng = random.Random(11)
+    tails = ["".join(rng.choice(string.ascii_lowercase) for _ in range(20)) for _ in range(5000)]
+    lines = [f"2024-02-29 12:00:00 server request from {t}" for t in tails]
+    planted = {(k, 5000 + k) for k in range(200)}
+    lines += [lines[k][:-3] + "#" + lines[k][-2:] for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    named = df.select("id", *[c.alias(f"key{s}") for s, c in enumerate(linededup._Slots(linededup.EDITS).keys(F.col("line"), F.length("line")))])
+    folder = linededup.shared_dir(spark, "test")
+    pairs = linededup.candidates(named, lambda ids: df.join(ids, "id", "left_semi"), linededup.EDITS, folder)
+    assert pairs.count() < 40 * len(lines)
+    assert planted <= {(r.a, r.b) for r in linededup.edit_links(df).collect()}
+
+
+def line_classes(rows, edits):
+    """dropped line numbers by document, by comparing all distinct lines."""
+    places = collections.defaultdict(list)
+    for i, text in rows:
+        for number, line in enumerate(text.split("\n") if text is not None and i is not None else ()):
+            line = re.sub(r"[^\S ]\s*| \s+", " ", line.lower()).strip(" ")
+            if line:
+                places[line].append((i, number))
+    lines = sorted(places)
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(lines):
+        for b in range(a):
+            y = lines[b]
+            k = max([k for least, k in edits if min(len(x), len(y)) >= least], default=0)
+            if k and abs(len(x) - len(y)) <= k and distance(x, y) <= k:
+                root[find(a)] = find(b)
+    kept, dropped = {}, collections.defaultdict(set)
+    for a, x in enumerate(lines):
+        kept[find(a)] = min(kept.get(find(a), min(places[x])), *places[x], min(places[x]))
+    for a, x in enumerate(lines):
+        for i, number in places[x]:
+            if (i, number) != kept[find(a)]:
+                dropped[i].add(number)
+    return {i: sorted(dropped[i]) for i, _ in rows}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_duplicate_lines_by_brute_force(spark, kind):
+    """Ids far above 2^40 or texts, with repeated, edited, short, blank and template lines."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(30)]
+    pool = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 9))) for _ in range(60)] + [f"row {k:04d} of the same old template" for k in range(0, 400, 37)]
+    rows = []
+    for i in range(40):
+        own = []
+        for _ in range(rng.randint(0, 8)):
+            line = list(rng.choice(pool))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice("abcde ")
+            own.append("".join(line).upper() if rng.random() < 0.2 else "".join(line))
+        rows.append((5 + i * (1 << 41), "\n".join(own) + rng.choice(["", "\n", "\n\t \n"])))
+    rows = [(i if kind == "long" else f"d{i:020d}", t) for i, t in rows]
+    want = line_classes(rows, linededup.EDITS)
+    for hot in (100, 3):
+        got = {r.doc_id: r.dropped for r in linededup.duplicate_lines(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3), hot=hot).collect()}
+        assert got == want
 
 
 def test_duplicate_lines(spark):
