@@ -239,8 +239,9 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: Edits, folder: str) -> D
     both = pairs.join(first, "a").join(first.select(F.col("a").alias("b"), F.col("x").alias("y"), F.col("p").alias("q")), "b")
     both = both.withColumn("k", _edits(F.least(F.length("x"), F.length("y")), edits))
     near = both.where("abs(length(x) - length(y)) <= k and bit_count(p ^ q) <= 2 * k").select("a", "b", "x", "y", "k")
-    # few pairs are left, in few of the tasks: dealt out anew
-    near = trimmed(near.repartition(F.xxhash64("a", "b")))
+    # each step is written, or its expressions would be evaluated for all pairs, and over and over within the next step's
+    near = written(near, f"{folder}/near", compression="zstd")
+    near = written(trimmed(near.repartition(F.xxhash64("a", "b"))), f"{folder}/trimmed", compression="zstd")
     fits = F.lit(False)
     for k in sorted({k for _, k in edits}):
         fits = F.when(F.col("k") == k, within(F.col("x"), F.col("y"), k)).otherwise(fits)
