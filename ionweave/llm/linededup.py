@@ -8,9 +8,9 @@ Candidates pass a parity sketch of their characters, and are then verified by a
 banded bit-parallel edit distance.
 
 A segment that many distinct lines share (a log prefix, a template) is never
-paired out: what is left of its lines without the segment is still within the
-threshold, so it is cut into segments in turn, and so on, until few lines share
-all segments on the way.
+paired out: the edits are dealt to the pieces before and after it, a piece
+without any must be equal, and the longer piece is cut into segments in turn,
+until few lines share all that was found equal on the way.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .shared import shared_dir, written
 #: (least length, edits): pairs whose shorter normalised line has this length, or more, may differ by so many edits.
 #: Shorter lines than the least are told apart exactly, as one edit is an eighth of them or more.
 EDITS = ((24, 2), (8, 1))
-#: Distinct lines with one segment, beyond which the rest of them is cut in turn.
-HOT = 100
+#: Distinct lines with one segment, beyond which their pieces are cut in turn.
+HOT = 16
 
 Edits = tuple[tuple[int, int], ...]
 
@@ -46,65 +46,71 @@ def _edits(length: Column, edits: Edits) -> Column:
     return out
 
 
-class _Slots:
-    """The ways in which a line probes the index, numbered over all thresholds.
+def _ways(b: int, d: int) -> list[tuple[int, int, int, int]]:
+    """(b, d, j, off): the ways in which a text probes for one that is d shorter and b edits away at most.
 
-    A way: the threshold, with the lengths of the lines that it indexes; how much
-    shorter the indexed line is; the number of its segment; and how far the
-    substring lies off the segment's place.  With neither it is an index key.
+    The indexed text is cut into b + 1 segments.  For one of them, j, the parts
+    before hold j edits at most and the parts after b - j; so it lies off its
+    place by no more than either allows.
     """
+    return [(b, d, j, off) for j in range(b + 1) for off in range(max(-j, d - (b - j)), min(j, d + (b - j)) + 1)]
 
-    def __init__(self, edits: Edits):
-        self.ways: list[tuple[int, int, int, int, int, int]] = []
-        longest = 1 << 30
-        for least, k in sorted(edits, reverse=True):
-            for shorter in range(k + 1):
-                for i in range(k + 1):
-                    for off in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
-                        self.ways.append((least, longest, k, shorter, i, off))
-            longest = least - 1
-
-    def _of(self, place: int, slot: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(w[place]) for w in self.ways]), slot + 1)
-
-    def edits(self, slot: Column) -> Column:
-        return self._of(2, slot)
-
-    def shorter(self, slot: Column) -> Column:
-        return self._of(3, slot)
-
-    @property
-    def index(self) -> list[int]:
-        return [s for s, (*_, shorter, _, off) in enumerate(self.ways) if not shorter and not off]
-
-    def is_index(self, slot: Column) -> Column:
-        return slot.isin(self.index)
-
-    def keys(self, line: Column, length: Column) -> list[Column]:
-        """The key of each way for a whole line; null where the way is not for its length."""
-        out = []
-        for least, longest, k, shorter, i, off in self.ways:
-            other = length - shorter
-            start, size = _segment(other, F.lit(i), k + 1)
-            out.append(F.when(other.between(least, longest), F.xxhash64(F.lit(8 * k + i), other, F.substr(line, start + off, size))))
-        return out
 
-    def inner_keys(self, rest: Column, slot: Column, key: Column) -> list[Column]:
-        """The key of each way for the rest of a line that came by ``slot`` and ``key``: with the same edits and the same difference in length."""
-        out = []
-        for _, _, k, shorter, i, off in self.ways:
-            other = F.length(rest) - shorter
-            start, size = _segment(other, F.lit(i), k + 1)
-            same = (self.edits(slot) == k) & (self.shorter(slot) == shorter)
-            out.append(F.when(same, F.xxhash64(key, F.lit(8 * k + i), other, F.substr(rest, start + off, size))))
-        return out
+def _of(ways: list[tuple[int, int, int, int]], place: int, way: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w[place]) for w in ways]), way + 1)
+
+
+def _is_index(ways: list[tuple[int, int, int, int]], way: Column) -> Column:
+    return way.isin([k for k, (_, d, _, off) in enumerate(ways) if not d and not off])
+
+
+def _key(text: Column, b: int, d: int, j: int, off: int, *parts: Column) -> Column:
+    other = F.length(text) - d
+    start, size = _segment(other, F.lit(j), b + 1)
+    return F.xxhash64(*parts, F.lit(4 * b + j), other, F.substr(text, start + off, size))
+
+
+def line_ways(edits: Edits) -> list[tuple[int, int, int, int]]:
+    """The ways of whole lines, in the order of line_keys: a line probes for lines up to its edits shorter."""
+    if any(not 1 <= k <= 2 for _, k in edits):
+        raise ValueError("one or two edits are allowed for")
+    return [w for _, k in sorted(edits, reverse=True) for d in range(k + 1) for w in _ways(k, d)]
+
 
-    def without(self, line: Column, slot: Column) -> Column:
-        """A line without the substring that the way takes."""
-        k, i = self.edits(slot), self._of(4, slot)
-        start, size = _segment(F.length(line) - self.shorter(slot), i, k + 1)
-        start = start + self._of(5, slot)
-        return F.concat(F.substr(line, F.lit(1), start - 1), F.substr(line, start + size))
+def line_keys(line: Column, edits: Edits) -> list[Column]:
+    """A line's key for each way; null where the line that it probes for has other edits by its length."""
+    out, longest = [], 1 << 30
+    for least, k in sorted(edits, reverse=True):
+        for d in range(k + 1):
+            out += [F.when((F.length(line) - d).between(least, longest), _key(line, *w)) for w in _ways(k, d)]
+        longest = least - 1
+    return out
+
+
+#: The ways of the pieces of a line.
+PIECE_WAYS = [w for b in (1, 2) for d in range(-b, b + 1) for w in _ways(b, d)]
+
+
+def _cut(rows: DataFrame, ways: list[tuple[int, int, int, int]]) -> DataFrame:
+    """rows (id, parities, key, own, way, p, q and qb, qd) with p cut as the way says, as (id, parities, key, own, p, pb, pd, q, qb, qd).
+
+    The parts before and after the segment are pieces with edits of their own;
+    one that has none left must be equal, so it becomes part of the key.  p is
+    the piece that is cut next, the longer one.
+    """
+    way = F.col("way")
+    b, d, j, off = (_of(ways, k, way) for k in range(4))
+    start, size = _segment(F.length("p") - d, j, b + 1)
+    start = start + off
+    rows = rows.withColumns({"_l": F.substr(F.col("p"), F.lit(1), start - 1), "_r": F.substr(F.col("p"), start + size), "_lb": j, "_rb": b - j, "_ld": off, "_rd": d - off})
+    key = F.xxhash64("key", F.when(F.col("_lb") == 0, F.col("_l")), F.when(F.col("_rb") == 0, F.col("_r")))
+    piece = lambda side: F.struct(F.col(f"_{side}").alias("t"), F.col(f"_{side}b").alias("b"), F.col(f"_{side}d").alias("d"))
+    old = F.when(F.col("q").isNotNull(), F.struct(F.col("q").alias("t"), F.col("qb").alias("b"), F.col("qd").alias("d")))
+    both = (F.col("_lb") > 0) & (F.col("_rb") > 0)
+    rows = rows.select("id", "parities", key.alias("key"), "own", F.when(F.col("_lb") > 0, piece("l")).otherwise(piece("r")).alias("x"), F.when(both, piece("r")).otherwise(old).alias("y"))
+    longer = F.col("y").isNotNull() & (F.length("y.t") - F.col("y.d") > F.length("x.t") - F.col("x.d"))
+    rows = rows.select("id", "parities", "key", "own", F.when(longer, F.col("y")).otherwise(F.col("x")).alias("p"), F.when(longer, F.col("x")).otherwise(F.col("y")).alias("q"))
+    return rows.select("id", "parities", "key", "own", F.col("p.t").alias("p"), F.col("p.b").alias("pb"), F.col("p.d").alias("pd"), F.col("q.t").alias("q"), F.col("q.b").alias("qb"), F.col("q.d").alias("qd"))
 
 
 def _segment(length: Column, i: Column, k: Column | int) -> tuple[Column, Column]:
@@ -189,44 +195,51 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(False)).otherwise(reached)
 
 
-def _met(own: DataFrame, posts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of indexed lines (key, id) and those (key, id) that probe for them."""
-    both = own.select("key", F.col("id").alias("a")).join(posts.select("key", F.col("id").alias("b")), "key").where("a <> b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _met(posts: DataFrame, edits: Edits, sketched: bool = True) -> DataFrame:
+    """Pairs (a, b), a < b, of an indexed line of posts (key, id, own, parities) and one that probes for it."""
+    posts = posts if sketched else posts.withColumn("parities", F.lit(0).cast("long"))
+    left = posts.where("own").select("key", F.col("id").alias("a"), F.col("parities").alias("s"))
+    right = posts.select("key", F.col("id").alias("b"), F.col("own").alias("both"), F.col("parities").alias("t"))
+    met = left.join(right, "key").where(f"(a < b or (a > b and not both)) and bit_count(s ^ t) <= {2 * max(k for _, k in edits)}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def candidates(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edits: Edits, folder: str, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b), a < b, among which are all pairs of named (id, key0, key1, ...) within the edit threshold.
+    """Pairs (a, b), a < b, that join all lines of named (id, key0, key1, ...) within the edit threshold as all such pairs would.
 
     ``text_of(ids)`` gives (id, line) of a frame of ids; it is asked for the
     lines of segments that more than ``hot`` distinct lines share.
     """
-    slots = _Slots(edits)
-    keys = [f"key{s}" for s in range(len(slots.ways))]
-    posts = named.select("id", F.posexplode(F.array(*keys)).alias("slot", "key")).where("key is not null").withColumn("own", slots.is_index(F.col("slot")))
-    own = named.select("id", F.explode(F.array(*[keys[s] for s in slots.index])).alias("key")).where("key is not null")
-    found, level = [], 0
+    ways = line_ways(edits)
+    keys = [f"key{s}" for s in range(len(ways))]
+    posts = named.select("id", F.posexplode(F.array(*keys)).alias("way", "key")).where("key is not null").withColumn("own", _is_index(ways, F.col("way")))
+    own = named.select("id", F.explode(F.array(*[k for k, (_, d, _, off) in zip(keys, ways, strict=True) if not d and not off])).alias("key")).where("key is not null")
+    many = written(own.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{folder}/hot")
+    if many.isEmpty():
+        return written(_met(posts, edits, False).distinct(), f"{folder}/pairs")
+    found = [_met(posts.join(many, "key", "left_anti"), edits, False)]
+    members = written(posts.join(many, "key").select("id", "key", "way", "own"), f"{folder}/members")
+    texts = text_of(members.select("id").distinct()).select("id", F.col("line").alias("p"), parities(F.col("line")).alias("parities"))
+    members = members.join(written(texts, f"{folder}/hot-texts", compression="zstd"), "id")
+    members = members.withColumns({"q": F.lit(None).cast("string"), "qb": F.lit(None).cast("int"), "qd": F.lit(None).cast("int")})
+    members, level = written(_cut(members, ways), f"{folder}/cut0", compression="zstd"), 0
     while True:
-        many = written(own.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{folder}/hot{level}")
+        many = written(members.where("own").groupBy("key").count().where(F.col("count") > hot).select("key"), f"{folder}/hot{level}")
+        found.append(_met(members.join(many, "key", "left_anti"), edits))
         if many.isEmpty():
-            found.append(_met(own, posts))
             break
-        found.append(_met(own.join(many, "key", "left_anti"), posts))
-        members = posts.join(many, "key")
-        if not level:
-            members = written(members.select("id", "key", "slot", "own"), f"{folder}/members")
-            members = members.join(text_of(members.select("id").distinct()).withColumnRenamed("line", "rest"), "id")
-        members = written(members.select("id", "key", "slot", "own", slots.without(F.col("rest"), F.col("slot")).alias("rest")), f"{folder}/rest{level}", compression="zstd")
-        short = F.length("rest") - slots.shorter(F.col("slot")) <= slots.edits(F.col("slot"))
+        members = members.join(many, "key")
         # no more is left of these lines than the edits: those with the same cuts are linked, so the first stands for all
+        short = F.length("p") - F.col("pd") <= F.col("pb")
         last = members.where(short)
         first = last.where("own").groupBy("key").agg(F.min("id").alias("a"))
         found.append(last.where("own").join(first, "key").where("a <> id").select("a", F.col("id").alias("b")))
-        found.append(_met(last.where("own"), last.where("not own")))
-        inner = F.posexplode(F.array(*slots.inner_keys(F.col("rest"), F.col("slot"), F.col("key")))).alias("way", "inner")
-        posts = members.where(~short).select("id", "rest", "own", inner).where("inner is not null")
-        posts = posts.select("id", F.col("inner").alias("key"), F.col("way").alias("slot"), (F.col("own") & slots.is_index(F.col("way"))).alias("own"), "rest")
-        own, level = posts.where("own"), level + 1
+        odd = last.where("own").select("key", F.col("id").alias("a")).join(last.where("not own").select("key", F.col("id").alias("b")), "key").where("a <> b")
+        found.append(odd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        inner = [F.when((F.col("pb") == w[0]) & (F.col("pd") == w[1]), _key(F.col("p"), *w, F.col("key"))) for w in PIECE_WAYS]
+        inner = members.where(~short).select("id", "parities", "own", "p", "q", "qb", "qd", F.posexplode(F.array(*inner)).alias("way", "key")).where("key is not null")
+        level += 1
+        members = written(_cut(inner.withColumn("own", F.col("own") & _is_index(PIECE_WAYS, F.col("way"))), PIECE_WAYS), f"{folder}/cut{level}", compression="zstd")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -258,7 +271,7 @@ def _links(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edits: E
 def edit_links(lines: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> DataFrame:
     """Pairs (a, b), a < b, of ids of distinct lines (id, line), id a long, within the edit threshold, each once."""
     folder = shared_dir(lines.sparkSession, "edits")
-    keys = _Slots(edits).keys(F.col("line"), F.length("line"))
+    keys = line_keys(F.col("line"), edits)
     named = lines.select("id", *[c.alias(f"key{s}") for s, c in enumerate(keys)])
     return _links(named, lambda ids: lines.join(ids, "id", "left_semi").select("id", "line"), edits, folder, hot)
 
@@ -279,7 +292,7 @@ def duplicate_lines(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> Da
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("number", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     rows = written(rows.select("doc_id", "number", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(17), "line", F.lit(29)).alias("g"), "line"), f"{base}/rows", compression="zstd")
     # a distinct line is known by its keys, which are all long, so they are aggregated by hashing
-    keys = _Slots(edits).keys(F.col("line"), F.length("line"))
+    keys = line_keys(F.col("line"), edits)
     named = rows.select("h", "g", *[c.alias(f"key{s}") for s, c in enumerate(keys)])
     named = named.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.first(f"key{s}").alias(f"key{s}") for s in range(len(keys))])
     named = written(named.withColumn("id", F.monotonically_increasing_id()), f"{base}/named")
