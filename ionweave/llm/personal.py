@@ -1,19 +1,23 @@
-"""Personal data: base patterns, and a skip-chain conditional random field that carries their labels on.
-
-The base patterns find email addresses, IP addresses, card and phone numbers.
-The field's nodes are the candidate words of a text (those with a digit or an
-@, and all that a base span touches).  Its potentials: features of a word's
-shape, learned; a chain between neighbouring candidates, learned; and skip edges
-between a word and the earlier ones of the same or similar form (the same
-letters and digits, or the same last digits), however distant.  Loopy message
-passing then makes labels agree across the text.  Base spans are observed and
-stay; a word that a skip edge ties to an observed one, and that the field gives a
-label with enough certainty, adds a span.
+"""Personal data: base patterns, and a skip-chain conditional random field that decides on what they leave.
+
+The base patterns find email addresses, IP addresses, card and phone numbers;
+their spans are observed and stay.  The field's nodes are the candidate words of
+a text (those with a digit or an @, and the base spans).  Its potentials: buckets
+of a word's shape; a chain between neighbouring candidates; and skip edges
+between words of the same or similar form (the same letters and digits, the same
+last digits, the same name before an @), however distant: each word meets the
+first and the last one before it of each of its forms.  All three are learned by
+maximum pseudo-likelihood over the words of all documents.  Loopy message passing
+makes labels agree across the text, and goes on along chains of skip edges.  A
+word that has no base span, and that the field gives a label with enough
+certainty, adds a span; one of its labels, secret (keys and tokens), has added
+spans only.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,23 +29,24 @@ from pyspark.sql import functions as F
 from .textblocks import blocks, buffers, strings
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
-#: About so many documents, chosen by a hash of their id, teach the field its weights: a bounded sample.
-SAMPLE = 20_000
-#: At most so many candidate words of one of these, and characters of a word.
-SAMPLE_WORDS, SAMPLE_LETTERS = 200, 200
+#: What added spans can be.
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("other", *ALL_KINDS)
 #: Certainty from which a label adds a span.
 CERTAIN = 0.9
-SKIP_WEIGHT = 10.0
-ROUNDS = 6
+#: Rounds of message passing end when no message changes by more than this, or at the latest after so many.
+SETTLED, ROUNDS = 1e-3, 100
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\s]*[0-9@][^\s]*")
-_EDGE = "\"'()[]{}<>,;:!?"
+_WORD = re.compile(r"\S+")
+_ASKED = re.compile("[0-9@]")
+_EDGE = "\"'()[]{}<>,;:!?#$%&*|"
+#: Words from which the label secret is learned: long, of letters and digits, behind an = or a colon.
+_KEYLIKE = re.compile(r"[A-Za-z0-9_+/-]{24,}={0,2}")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -86,6 +91,8 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple
     j = 0
     for m in _WORD.finditer(text):
         a, b = m.span()
+        if not _ASKED.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE + ".":
@@ -98,114 +105,184 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple
     return [(a, b) for a, b, _ in nodes], [k for *_, k in nodes]
 
 
-def features(word: str) -> list[float]:
-    """What a word's shape says, without asking whether a base pattern matches it."""
-    n = max(len(word), 1)
-    digits = sum("0" <= c <= "9" for c in word)
-    letters = sum(c.isalpha() for c in word)
-    return [1.0, float("@" in word), min(digits, 20) / 10, digits / n, letters / n, min(word.count("."), 4) / 2, float(word.startswith("+")), float("(" in word or ")" in word), float("-" in word), float(12 <= digits <= 19), float(9 <= digits <= 11), float(word.count(".") == 3), float("=" in word), min(n, 40) / 20]
+def _assigned(text: str, start: int) -> bool:
+    """Whether an = or a colon stands before, but for spaces and quotes."""
+    before = text[max(0, start - 4) : start].rstrip(" \"'`")
+    return before.endswith(("=", ":"))
+
+
+#: Number of buckets of each feature.
+BUCKETS = (2, 8, 5, 4, 2, 2, 3, 2, 6, 2, 2)
+
+
+def features(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Buckets of what a word's shape and the sign before it say, without asking whether a base pattern matches it."""
+    word = text[start:end]
+    n = len(word)
+    digits = sum(map(word.count, "0123456789"))
+    letters = sum(map(str.isalpha, word))
+    plain = sum(c.isascii() and c.isalnum() for c in word)
+    return (
+        int("@" in word),
+        sum(digits >= x for x in (1, 2, 4, 7, 9, 12, 20)),
+        sum(letters * 10 >= n * x for x in (1, 3, 6, 9)),
+        min(word.count("."), 3),
+        int(word.startswith("+")),
+        int("(" in word or ")" in word),
+        min(word.count("-"), 2),
+        int("/" in word or "=" in word or "_" in word),
+        sum(n >= x for x in (4, 8, 12, 20, 32)),
+        int(plain == n),
+        int(_assigned(text, start)),
+    )
+
+
+def _taught(text: str, start: int, end: int, observed: int) -> int:
+    """The label that a word teaches: that of its base span, or secret for key-like words, or other."""
+    if observed:
+        return observed
+    word = text[start:end]
+    mixed = len(word) <= 512 and _KEYLIKE.fullmatch(word) and sum(map(word.count, "0123456789")) >= 4 and sum(map(str.isalpha, word)) >= 4
+    return LABELS.index("secret") if mixed and _assigned(text, start) else 0
 
 
 def forms(word: str) -> list[str]:
-    """Keys under which similar words meet: letters and digits alone, and the last ten digits of a long number."""
+    """Keys under which similar words meet: letters and digits alone, the last ten digits of a long number, the name before an @."""
     plain = re.sub(r"[\W_]", "", word).lower()
     digits = re.sub(r"[^0-9]", "", word)
     out = [plain] if len(plain) >= 7 else []
-    if len(digits) >= 9 and not any(c.isalpha() for c in word):
+    if len(digits) >= 9 and not any(map(str.isalpha, word)):
         out.append("#" + digits[-10:])
+    name = re.sub(r"[\W_]", "", word.partition("@")[0]).lower()
+    if "@" in word and len(name) >= 4:
+        out.append("@" + name)
     return out
 
 
+def skip_edges(words: list[str]) -> list[tuple[int, int]]:
+    """Each word with the first and the last one before it of each of its forms, so edges are as many as words."""
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    ends = {}
+    for i, w in enumerate(words):
+        for form in forms(w):
+            if form in first:
+                ends[first[form], i] = ends[last[form], i] = None
+            else:
+                first[form] = i
+            last[form] = i
+    return [(a, b) for a, b in ends if a != b]
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _one_hot(rows: np.ndarray) -> np.ndarray:
+    """One column for each bucket of each feature, and a constant."""
+    offsets = np.cumsum([0, *BUCKETS[:-1]])
+    out = np.zeros((len(rows), sum(BUCKETS) + 1))
+    out[:, -1] = 1
+    np.put_along_axis(out, rows.astype(np.int64) + offsets, 1, axis=1)
+    return out
+
+
 class Field:
-    """Weights: (features, labels) of the words, (labels, labels) of neighbours, and one of skip edges."""
+    """Weights: (feature buckets, labels) of the words, (labels, labels) of neighbours, and one of skip edges."""
 
-    def __init__(self, shape: np.ndarray, chain: np.ndarray, skip: float = SKIP_WEIGHT):
+    def __init__(self, shape: np.ndarray, chain: np.ndarray, skip: float):
         self.shape, self.chain, self.skip = shape, chain, skip
 
     @classmethod
-    def learned(cls, words: list[list[str]], labels: list[list[int]], steps: int = 300) -> Field:
-        """Weights by maximum pseudo-likelihood of the observed labels: logistic for shapes, smoothed counts for neighbours."""
+    def learned(cls, rows: np.ndarray, counts: np.ndarray, steps: int = 600) -> Field:
+        """Weights by maximum pseudo-likelihood: each word's label given its features and its neighbours' labels.
+
+        rows: features, label, label before, label after (-1: none), and how
+        many skip neighbours have each label; counts: how often each row occurs.
+        """
+        k, n = len(LABELS), len(BUCKETS)
+        shape, chain, skip = np.zeros((sum(BUCKETS) + 1, k)), np.zeros((k, k)), 0.0
+        if len(rows):
+            x, y, before, after, met = _one_hot(rows[:, :n]), np.eye(k)[rows[:, n]], rows[:, n + 1], rows[:, n + 2], rows[:, n + 3 :]
+            share = counts / counts.sum()
+            sizes = [shape.size, chain.size, 1]
+            w, mean, square = np.zeros(sum(sizes)), np.zeros(sum(sizes)), np.zeros(sum(sizes))
+            for step in range(1, steps + 1):
+                shape, chain, skip = w[: sizes[0]].reshape(shape.shape), w[sizes[0] : -1].reshape(chain.shape), float(w[-1])
+                z = x @ shape + np.where(before[:, None] < 0, 0, chain[before]) + np.where(after[:, None] < 0, 0, chain.T[after]) + skip * met
+                off = (y - np.exp(z - _log_sum(z, 1)[:, None])) * share[:, None]
+                grad = np.zeros_like(chain)
+                np.add.at(grad, before[before >= 0], off[before >= 0])
+                np.add.at(grad.T, after[after >= 0], off[after >= 0])
+                # steps of a like size for rare and frequent buckets (Adam); the pull to 0 bounds weights that nothing contradicts
+                g = np.concatenate([(x.T @ off).ravel(), grad.ravel(), [float((off * met).sum())]]) - 1e-5 * w
+                mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+                w = w + 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+            shape, chain, skip = w[: sizes[0]].reshape(shape.shape), w[sizes[0] : -1].reshape(chain.shape), max(float(w[-1]), 0.0)
+        return cls(shape, chain, skip)
+
+    def beliefs(self, rows: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Marginals of the words' labels by loopy sum-product; observed labels are certain.
+
+        rows: features; chain and skip: edges (n, 2).  Words of several texts
+        can be given at once, as no edge joins them.
+        """
         k = len(LABELS)
-        x = np.array([features(w) for ws in words for w in ws]).reshape(-1, len(features("")))
-        y = np.eye(k)[[v for vs in labels for v in vs]].reshape(-1, k)
-        shape = np.zeros((x.shape[1], k))
-        if len(x):
-            velocity = np.zeros_like(shape)
-            for _ in range(steps):
-                z = x @ shape
-                p = np.exp(z - _log_sum(z, 1)[:, None])
-                velocity = 0.9 * velocity + x.T @ (y - p) / len(x) - 1e-4 * shape
-                shape += 0.5 * velocity
-        pairs = np.ones((k, k))
-        for vs in labels:
-            np.add.at(pairs, (vs[:-1], vs[1:]), 1)
-        joint = pairs / pairs.sum()
-        return cls(shape, np.log(joint / np.outer(joint.sum(1), joint.sum(0))))
-
-    def beliefs(self, words: list[str], observed: list[int], rounds: int = ROUNDS) -> np.ndarray:
-        """Marginals of each word's labels after loopy sum-product; observed labels are certain."""
-        n, k = len(words), len(LABELS)
-        unary = np.array([features(w) for w in words]) @ self.shape
-        for i, label in enumerate(observed):
-            if label:
-                unary[i] = -50.0
-                unary[i, label] = 0.0
-        same = self.skip * np.eye(k)
-        ends = [(i, i + 1) for i in range(n - 1)]
-        kinds = [0] * len(ends)
-        # a word meets the last one of each of its forms, so edges are as many as words
-        last: dict[str, int] = {}
-        for i, w in enumerate(words):
-            for form in forms(w):
-                if form in last and last[form] != i:
-                    ends.append((last[form], i))
-                    kinds.append(1)
-                last[form] = i
-        if not ends:
-            return np.exp(unary - _log_sum(unary, 1)[:, None])
-        a, b = np.array(ends).T
-        pots = np.stack([self.chain, same])[kinds]
+        unary = _one_hot(rows) @ self.shape
+        seen = observed > 0
+        unary[seen] = -50.0
+        unary[seen, observed[seen]] = 0.0
+        a, b = np.concatenate([chain, skip]).T
+        pots = np.concatenate([np.broadcast_to(self.chain, (len(chain), k, k)), np.broadcast_to(self.skip * np.eye(k), (len(skip), k, k))])
         forth, back = np.zeros((len(a), k)), np.zeros((len(a), k))
-        longest = min(rounds if n < 3 else max(rounds, min(n, 4 * rounds)), 24)
-        for _ in range(longest):
+        for _ in range(ROUNDS if len(a) else 0):
             total = unary.copy()
             np.add.at(total, b, forth)
             np.add.at(total, a, back)
             new_forth = _log_sum((total[a] - back)[:, :, None] + pots, 1)
             new_back = _log_sum((total[b] - forth)[:, None, :] + pots, 2)
-            forth = new_forth - _log_sum(new_forth, 1)[:, None]
-            back = new_back - _log_sum(new_back, 1)[:, None]
-        np.add.at(total := unary.copy(), b, forth)
+            new_forth -= _log_sum(new_forth, 1)[:, None]
+            new_back -= _log_sum(new_back, 1)[:, None]
+            change = max(np.abs(new_forth - forth).max(), np.abs(new_back - back).max())
+            forth, back = new_forth, new_back
+            if change < SETTLED:
+                break
+        total = unary.copy()
+        np.add.at(total, b, forth)
         np.add.at(total, a, back)
         return np.exp(total - _log_sum(total, 1)[:, None])
 
-    def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """(base spans, added spans) of a text, each as (start, kind's index, end)."""
-        base = base_spans(text)
-        nodes, observed = candidates(text, base)
-        if not any(observed) or all(observed):
-            # without an observed label to carry on, or a word to label, nothing is added
-            return base, []
-        words = [text[a:b] for a, b in nodes]
-        # only words that a skip edge ties to an observed one can change, so the others needn't be asked
-        seen = {form for w, o in zip(words, observed, strict=True) if o for form in forms(w)}
-        tied = [not o and any(form in seen for form in forms(w)) for w, o in zip(words, observed, strict=True)]
-        if not any(tied):
-            return base, []
-        p = self.beliefs(words, observed)
-        best, most = p.argmax(axis=1).tolist(), p.max(axis=1).tolist()
-        return base, [(a, k - 1, b) for (a, b), k, q, t in zip(nodes, best, most, tied, strict=True) if t and k and q >= CERTAIN]
+    def spans(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+        """(base spans, added spans) of each text, each span as (start, kind's index, end)."""
+        out, nodes, rows, observed, owner = [], [], [], [], []
+        chain, skip = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        for t, text in enumerate(texts):
+            base = base_spans(text)
+            own, labels = candidates(text, base)
+            out.append((base, []))
+            if all(labels):
+                # no word is left to decide on
+                continue
+            at = len(nodes)
+            chain.append(np.stack([np.arange(len(own) - 1), np.arange(1, len(own))], axis=1) + at)
+            skip.append(np.array(skip_edges([text[a:b] for a, b in own]), np.int64).reshape(-1, 2) + at)
+            nodes += own
+            rows += [features(text, a, b) for a, b in own]
+            observed += labels
+            owner += [t] * len(own)
+        if nodes:
+            p = self.beliefs(np.array(rows), np.array(observed), np.concatenate(chain), np.concatenate(skip))
+            best, most = p.argmax(axis=1), p.max(axis=1)
+            for i in np.flatnonzero((np.array(observed) == 0) & (best > 0) & (most >= CERTAIN)).tolist():
+                out[owner[i]][1].append((nodes[i][0], int(best[i]) - 1, nodes[i][1]))
+        return out
 
 
 @lru_cache(4)
-def _field(shape: bytes, chain: bytes) -> Field:
+def _field(shape: bytes, chain: bytes, skip: float) -> Field:
     k = len(LABELS)
-    return Field(np.frombuffer(shape).reshape(-1, k), np.frombuffer(chain).reshape(k, k))
+    return Field(np.frombuffer(shape).reshape(-1, k), np.frombuffer(chain).reshape(k, k), skip)
 
 
 def _may_match(part: pa.RecordBatch) -> np.ndarray:
@@ -215,44 +292,65 @@ def _may_match(part: pa.RecordBatch) -> np.ndarray:
     return upto[offsets[1:]] > upto[offsets[:-1]]
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field learned from the base labels of about ``sample`` documents (all, if there are no more)."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").where(F.col("text").rlike("[0-9@]"))
+def _lessons(text: str) -> list[tuple[int, ...]]:
+    """A row of Field.learned for each candidate word of a text; three or more skip neighbours with a label count as three.
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A word without a label that a skip edge ties to one with a label teaches
+    nothing: it is for the field to decide.
+    """
+    nodes, observed = candidates(text, base_spans(text))
+    labels = [_taught(text, a, b, o) for (a, b), o in zip(nodes, observed, strict=True)]
+    met = np.zeros((len(nodes), len(LABELS)), np.int64)
+    for a, b in skip_edges([text[a:b] for a, b in nodes]):
+        met[a, labels[b]] += 1
+        met[b, labels[a]] += 1
+    padded = [-1, *labels, -1]
+    return [(*features(text, *nodes[i]), labels[i], padded[i], padded[i + 2], *np.minimum(met[i], 3).tolist()) for i in range(len(nodes)) if labels[i] or not met[i, 1:].any()]
+
+
+def learn(docs: DataFrame) -> Field:
+    """The field learned from the words of all whole texts.
+
+    Tasks count equal rows of buckets and labels, so what reaches the driver is
+    bounded by the number of their combinations, at any size of the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for batch in batches:
-            words, labels = [], []
-            for text in batch.column("text").to_pylist():
-                nodes, observed = candidates(text, base_spans(text))
-                words.append([text[a:b][:SAMPLE_LETTERS] for a, b in nodes][:SAMPLE_WORDS])
-                labels.append(observed[:SAMPLE_WORDS])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))], names=["words", "labels"])
+            for part in blocks(batch) if batch.num_rows else ():
+                texts = part.column("text")
+                for i in np.flatnonzero(_may_match(part)).tolist():
+                    found.update(_lessons(texts[i].as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(x + 1 for x in row) for row in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["row", "n"])
 
-    found = chosen.mapInArrow(words_of, "words array<string>, labels array<int>").collect()
-    return Field.learned([r.words for r in found], [r.labels for r in found])
+    rows = docs.select("text").mapInArrow(count, "row binary, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()
+    width = len(BUCKETS) + 3 + len(LABELS)
+    return Field.learned(np.array([list(r.row) for r in rows], np.int64).reshape(-1, width) - 1, np.array([r.n for r in rows], float))
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end) in code points, end exclusive, by start and kind.
 
-    Null text counts as empty and has no spans; other columns are not read.
+    Null text counts as empty and has no spans; rows that repeat an id each have
+    their own; an empty table gives an empty result; a text may be of any
+    length; other columns, whatever their names, are not read.
     """
-    shape, chain = field.shape.tobytes(), field.chain.tobytes()
+    shape, chain, skip = field.shape.tobytes(), field.chain.tobytes(), float(field.skip)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def listed(spans: list[tuple[int, int, int]]) -> list[dict]:
-        return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
+        return [{"kind": ALL_KINDS[k], "start": a, "end": b} for a, k, b in spans]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _field(shape, chain)
+        own = _field(shape, chain, skip)
         for batch in batches:
             for part in blocks(batch) if batch.num_rows else ():
                 base: list[list] = [[]] * part.num_rows
                 added: list[list] = [[]] * part.num_rows
                 texts = part.column("text")
-                for i in np.flatnonzero(_may_match(part)).tolist():
-                    x, y = own.spans(texts[i].as_py())
+                asked = np.flatnonzero(_may_match(part)).tolist()
+                for i, (x, y) in zip(asked, own.spans([texts[i].as_py() for i in asked]), strict=True):
                     base[i], added[i] = listed(x), listed(y)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, span), pa.array(added, span)], names=["doc_id", "base", "added"])
 

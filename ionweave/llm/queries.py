@@ -12,7 +12,7 @@ from .shared import table
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal.find(docs, personal.learn(docs))
-    order = F.array(*map(F.lit, personal.KINDS))
+    order = F.array(*map(F.lit, personal.ALL_KINDS))
 
     def joined(spans):
         keyed = F.transform(spans, lambda s: F.struct(s["start"], F.array_position(order, s["kind"]), s["end"], F.concat_ws(":", s["kind"], s["start"], s["end"]).alias("text")))
@@ -22,7 +22,8 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(kind) for kind in personal.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    more = [F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), *more)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
