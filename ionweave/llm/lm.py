@@ -126,6 +126,20 @@ def _array(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes, 1, 2, 4 or 8, that hold the largest of them, and that number."""
+    size = next(b for b in (1, 2, 4, 8) if b == 8 or not len(counts) or int(counts.max()) < 1 << 8 * b)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64) if data else np.zeros(0, np.int64)
+
+
+def _counts_of(table: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(_unpacked(x) for x in table.column(column).to_pylist())])
+
+
 def _joined(table: pa.Table, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
 
@@ -278,7 +292,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             h = bigram_hash(_longest(_contexts(grams[:-1])), grams[-1])
             rank = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[rank][1:] != h[rank][:-1]]))
-            c = np.add.reduceat(c[rank], first).astype(np.uint32)
+            c = np.add.reduceat(c[rank], first)
             grams = [x[rank[first]] for x in grams]
             shard = _bigram_shard(grams[-2], grams[-1], bits, hot_words)
             rank = np.lexsort((*grams[:-2], grams[-1], grams[-2], shard))
@@ -287,7 +301,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             for s, p in _sliced(shard[rank], n_shards):
                 # a shard's words once, n-grams as places in them
                 known, places = np.unique(np.concatenate([x[p] for x in grams]), return_inverse=True)
-                rows.append((s, _array(known), _array(places.astype(_place_type(len(known)))), _array(c[p])))
+                rows.append((s, _array(known), _array(places.astype(_place_type(len(known)))), _packed(c[p])))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["shard", "words", "grams", "count"])
 
         for words in words_of(batches):
@@ -310,7 +324,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         *history, last = np.concatenate(parts, axis=1)
         grams = [*_contexts(history), last]
         del parts, history
-        count = _joined(table, "count", np.uint32).astype(np.int64)
+        count = np.concatenate([_unpacked(x) for x in table.column("count").to_pylist()])
         whole = grams[0] != 0
         begun = [*(x[~whole] for x in grams), count[~whole]]
         grams, count = [x[whole] for x in grams], count[whole]
@@ -320,7 +334,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         def hand_on(k: int, column: int, arrays: tuple[np.ndarray, ...]) -> None:
             for t, p in _sliced(_shard(arrays[0], bits), n_shards):
                 row = rows.setdefault((t, k), [b""] * 7)
-                row[column : column + len(arrays)] = [_array(x[p]) if not j else _array(x[p].astype(np.uint32)) for j, x in enumerate(arrays)]
+                row[column : column + len(arrays)] = [_array(x[p]) if not j else _packed(x[p]) for j, x in enumerate(arrays)]
 
         for k in range(order, 1, -1):
             if k < order:
@@ -361,7 +375,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
 
     def sum_longer_contexts(table: pa.Table) -> pa.Table:
         s, k = table.column("shard")[0].as_py(), table.column("k")[0].as_py()
-        h, *sums = _summed(_joined(table, "v", np.uint64), *(_joined(table, x, np.uint32).astype(np.int64) for x in _CONTEXT))
+        h, *sums = _summed(_joined(table, "v", np.uint64), *(_counts_of(table, x) for x in _CONTEXT))
         save_arrays(folder, f"h{k}_{s}", hash=h)
         _save_counts(folder, f"h{k}_{s}", **dict(zip(_CONTEXT, sums, strict=True)))
         return pa.table({"n": pa.array([len(h)], pa.int64())})
@@ -373,8 +387,8 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     def sum_contexts(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
         known, count = map_array(folder, f"u{s}.hash", np.uint64), map_array(folder, f"u{s}.count", np.int64)
-        v, *context = _summed(_joined(table, "v", np.uint64), *(_joined(table, x, np.uint32).astype(np.int64) for x in ("total", "n1", "n2", "n3")))
-        w, cont = _summed(_joined(table, "w", np.uint64), _joined(table, "cont", np.uint32).astype(np.int64))
+        v, *context = _summed(_joined(table, "v", np.uint64), *(_counts_of(table, x) for x in ("total", "n1", "n2", "n3")))
+        w, cont = _summed(_joined(table, "w", np.uint64), _counts_of(table, "cont"))
         h = np.union1d(np.union1d(known, v), w)
         out = {name: np.zeros(len(h), np.int64) for name, _ in _WORD[1:]}
         out["count"][np.searchsorted(h, known)] = count

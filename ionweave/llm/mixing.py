@@ -60,11 +60,36 @@ def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
+def _repeats(rows: DataFrame) -> bool:
+    """Whether an id, or the null id, has several rows."""
+    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _numbered(rows: DataFrame, path: str) -> DataFrame:
+    """rows with copy: 0, 1, ... for rows that repeat doc_id, source and size, in any order, as they are alike here.
+
+    Each input partition numbers its own, from the number of those in the
+    partitions before, so that one id's rows don't meet in a task.
+    """
+    key = ["doc_id", "source", "size"]
+    rows = rows.withColumn("_part", F.spark_partition_id())
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_part")).cast("long") - 1)
+    # which rows a partition has must not change between the two uses
+    rows = written(rows, f"{path}-parts")
+    counts = rows.groupBy(*key, "_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("_before", before).where("_before is not null").select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_part").alias("_of"), "_before")
+    same = F.col("_part") == F.col("_of")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(offsets, same, "left").withColumn("copy", F.col("copy") + F.coalesce("_before", F.lit(0))).drop("_part", "_of", "_before", *[f"_{c}" for c in key])
+
+
 def _fill(rows: DataFrame, open_: DataFrame, slices: int, path: str) -> DataFrame:
     """Takes documents of ``rows`` in seeded order while they fit ``open_`` (source, gap).
 
     Returns (source, cut, last, gap): slices before the cut are taken whole, the
-    cut up to the (turn, doc_id) last, which leaves the gap.
+    cut up to the (turn, doc_id, copy) last, which leaves the gap.
     """
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,10 +98,10 @@ def _fill(rows: DataFrame, open_: DataFrame, slices: int, path: str) -> DataFram
     cut = cut.groupBy("source").agg(F.first("gap").alias("gap"), F.min(F.when(here, F.struct("slice", "before"))).alias("at"), F.sum("in_slice").alias("held"))
     cut = cut.select("source", "gap", "held", F.coalesce("at.slice", F.lit(slices)).alias("cut"), F.col("at.before").alias("before"))
     cut = written(cut, f"{path}-cut")
-    inside = Window.partitionBy("source").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = _with(rows.select("source", "slice", "turn", "doc_id", "size"), cut).where("slice = cut")
+    inside = Window.partitionBy("source").orderBy("turn", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = _with(rows.select("source", "slice", "turn", "doc_id", "copy", "size"), cut).where("slice = cut")
     edge = edge.withColumn("up_to", F.col("before") + F.sum("size").over(inside)).where("up_to <= gap")
-    last = edge.groupBy("source").agg(F.max(F.struct("turn", "doc_id")).alias("last"), F.max("up_to").alias("reached"))
+    last = edge.groupBy("source").agg(F.max(F.struct("turn", "doc_id", "copy")).alias("last"), F.max("up_to").alias("reached"))
     reached = F.coalesce("reached", "before", F.least("held", "gap"))
     return written(_with(cut, last, "left").select("source", "cut", "last", (F.col("gap") - reached).alias("gap")), f"{path}-ends")
 
@@ -90,13 +115,20 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
     then from the one document left whose size closes the gap best, if that
     helps.  Texts are never cut, so a source misses its target by half of its largest
     document at most, as a rule by a few words, and reruns agree.  Null text counts 0 words; null sources are
-    one source; rows that repeat an id and a size are taken or left together;
-    an empty table gives an empty result; further columns are not read.
+    one source; rows that repeat an id, a null one too, are taken or left one by
+    one; an empty table gives an empty result; further columns are not read.
     """
+    out, _ = _mix(docs, max_epochs, weights, seed, slices)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _mix(docs: DataFrame, max_epochs: int, weights: tuple[int, ...], seed: int, slices: int) -> tuple[DataFrame, bool]:
+    """doc_id, source, size, copy, source_size, target and copies (how often a row is taken); and whether ids repeat."""
     base = shared_dir(docs.sparkSession, "mix")
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    sized = sized.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("slice", F.pmod("turn", F.lit(slices)).cast("int"))
-    sized = written(sized, f"{base}/sizes")
+    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), f"{base}/sizes")
+    repeats = _repeats(sized)
+    sized = _numbered(sized, f"{base}/numbered") if repeats else sized.withColumn("copy", F.lit(0).cast("long"))
+    sized = sized.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "size", "copy")).withColumn("slice", F.pmod("turn", F.lit(slices)).cast("int"))
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(totals, max_epochs, weights)
@@ -110,22 +142,33 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
         candidate = ~F.col("taken") & (F.lit(True) if not k else F.col("size") <= F.col("gap"))
         ends = _fill(rows.where(candidate), open_, slices, f"{base}/fill{k}")
         rows = _with(rows, ends.withColumnRenamed("gap", "left_open"), "left")
-        upto = (F.col("slice") < F.col("cut")) | ((F.col("slice") == F.col("cut")) & (F.struct("turn", "doc_id") <= F.col("last")))
+        upto = (F.col("slice") < F.col("cut")) | ((F.col("slice") == F.col("cut")) & (F.struct("turn", "doc_id", "copy") <= F.col("last")))
         rows = rows.withColumn("taken", F.col("taken") | (candidate & F.coalesce(upto, F.lit(False))))
         rows = rows.withColumn("gap", F.coalesce("left_open", F.lit(0))).drop("cut", "last", "left_open")
     off = F.abs(F.col("size") - F.col("gap"))
     closer = rows.where(~F.col("taken") & (off < F.col("gap")))
-    closer = closer.groupBy("source").agg(F.min(F.struct(off.alias("miss"), "turn", "doc_id")).alias("extra"))
-    extra = F.coalesce(~F.col("taken") & (F.struct("turn", "doc_id") == F.struct("extra.turn", "extra.doc_id")), F.lit(False))
+    closer = closer.groupBy("source").agg(F.min(F.struct(off.alias("miss"), "turn", "doc_id", "copy")).alias("extra"))
+    extra = F.coalesce(~F.col("taken") & (F.struct("turn", "doc_id", "copy") == F.struct("extra.turn", "extra.doc_id", "extra.copy")), F.lit(False))
     copies = F.least(F.col("whole") + (F.col("taken") | extra).cast("long"), F.lit(max_epochs).cast("long"))
-    return _with(rows, closer, "left").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return _with(rows, closer, "left").select("doc_id", "source", "size", "copy", "source_size", "target", copies.alias("copies")), repeats
 
 
 def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The documents with all their columns, each as often as the mix takes it.
 
-    Rows with a null id aren't taken; rows that repeat an id are taken equally often.
+    Rows that repeat an id, a null one too, are taken one by one; which of those
+    with equal sizes is taken is open.
     """
-    copies = mix(docs, max_epochs, weights, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken, repeats = _mix(docs, max_epochs, weights, seed, SLICES)
+    key = ["doc_id", "source", "size", "copy"] if repeats else ["doc_id"]
+    taken = taken.where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in key], F.col("copies").alias("_copies"))
+    # the documents' own columns under other names, as they may be called like those of the mix
+    names = [f"_doc{k}" for k in range(len(docs.columns))]
+    rows = docs.select("doc_id", "source", *([words(F.col("text")).alias("size")] if repeats else []), *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    if repeats:
+        rows = _numbered(rows, f"{shared_dir(docs.sparkSession, 'mixed')}/numbered")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

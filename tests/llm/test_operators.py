@@ -226,6 +226,19 @@ def test_mix(docs, empty, spark):
     assert {(r.doc_id, r.size, r.taken) for r in mixing.mix(blank).collect()} == {(1, 0, 0), (2, 0, 0)}
 
 
+def test_mix_takes_repeated_rows_one_by_one(spark):
+    """A hundred rows of one id, and of a null id, come near their targets as single documents would."""
+    for i in (5, None):
+        rows = [(i, "a b c d e f g h i j", "x")] * 100 + [(100 + k, "a b c d e", "y") for k in range(200)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        found = mixing.mix(docs).collect()
+        taken = sum(r.taken for r in found if r.doc_id == i)
+        assert len(found) == 300 and abs(taken - 2000 / 3) <= 10 and all(r.taken <= 3 * r.size for r in found)
+        assert sorted(r.taken for r in found) == sorted(r.taken for r in mixing.mix(docs.repartition(7)).collect())
+        kept = mixing.mixed(docs)
+        assert kept.columns == docs.columns and kept.where("source = 'x'").count() * 10 == taken
+
+
 def test_water_filling_clamps(spark):
     sizes = [("a", 1000), ("b", 1), ("c", 10), (None, 5)]
     got = {r.source: r.target for r in mixing.water_fill(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
