@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import map_array, save_arrays, shared_dir, written
 from .textblocks import NOT_ALNUM, Words, blocks, mix, strings
@@ -72,7 +73,7 @@ def _compile(words: Words, item_ids: list, window: int) -> dict[str, np.ndarray]
 
 def compile_tables(benchmark: DataFrame, folder: str, window: int = WINDOW) -> list[str]:
     """Compiles (item_id, text) into table files in folder; returns their names."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (TABLE_BYTES // 2)))
 
@@ -164,11 +165,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     Words are runs of letters, digits and all non-ASCII characters, A-Z folded.
     Null or empty text has no words and hits nothing; an item without words or
-    with a null id is no pattern; repeated items count once; an empty benchmark
+    with a null id is no pattern; item ids keep their type; repeated items count once; an empty benchmark
     hits nothing; other columns, whatever their names, are not read.
     """
     folder = shared_dir(docs.sparkSession, "benchmark")
     names = compile_tables(benchmark, folder, window)
+    item = benchmark.schema["item_id"].dataType
+    item_type = to_arrow_type(item)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(folder, names)
@@ -190,14 +193,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                         part.column("doc_id"),
                         pa.array(words.counts, pa.int64()),
                         pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                        pa.array([sorted(x) for x in items], pa.list_(item_type)),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     ],
                     names=["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>")
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, items array<{item.simpleString()}>, spans array<struct<start:long,end:long>>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -126,6 +126,15 @@ def _array(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Compressed for the shuffle, with the length in front."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counts in the fewest bytes, 1, 2, 4 or 8, that hold the largest of them, and that number."""
     size = next(b for b in (1, 2, 4, 8) if b == 8 or not len(counts) or int(counts.max()) < 1 << 8 * b)
@@ -301,7 +310,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             for s, p in _sliced(shard[rank], n_shards):
                 # a shard's words once, n-grams as places in them
                 known, places = np.unique(np.concatenate([x[p] for x in grams]), return_inverse=True)
-                rows.append((s, _array(known), _array(places.astype(_place_type(len(known)))), _packed(c[p])))
+                rows.append((s, _squeezed(_array(known)), _squeezed(_array(places.astype(_place_type(len(known))))), _squeezed(_packed(c[p]))))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["shard", "words", "grams", "count"])
 
         for words in words_of(batches):
@@ -319,12 +328,12 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         hot_words = map_array(folder, "hot.hash", np.uint64)
         parts = []
         for known, places in zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True):
-            known = np.frombuffer(known, np.uint64)
-            parts.append(known[np.frombuffer(places, _place_type(len(known))).reshape(order, -1)])
+            known = np.frombuffer(_restored(known), np.uint64)
+            parts.append(known[np.frombuffer(_restored(places), _place_type(len(known))).reshape(order, -1)])
         *history, last = np.concatenate(parts, axis=1)
         grams = [*_contexts(history), last]
         del parts, history
-        count = np.concatenate([_unpacked(x) for x in table.column("count").to_pylist()])
+        count = np.concatenate([_unpacked(_restored(x)) for x in table.column("count").to_pylist()])
         whole = grams[0] != 0
         begun = [*(x[~whole] for x in grams), count[~whole]]
         grams, count = [x[whole] for x in grams], count[whole]

@@ -103,6 +103,9 @@ def test_contamination(spark, docs, empty):
         assert {k for s in r.spans for k in range(s.start, s.end)} == hit
     clean = {r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()}
     assert clean == {r.doc_id for r in decontaminate.contamination(docs, benchmark).where("n_hit = 0").collect()}
+    named = decontaminate.contamination(docs, benchmark.withColumn("item_id", F.concat(F.lit("gsm-"), "item_id")))
+    plain = {r.doc_id: sorted(f"gsm-{i}" for i in r["items"]) for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert {r.doc_id: r["items"] for r in named.collect()} == plain
     assert decontaminate.contamination(docs, benchmark.where("false")).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.contamination(empty, benchmark).count() == 0
 
