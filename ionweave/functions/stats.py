@@ -53,9 +53,9 @@ def _quantiles(p: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def same_mean(x1: Column, x2: Column, s1: Column, s2: Column, n1: Column, n2: Column, level: float = 0.95) -> Column:
-    """Whether two means agree within the two-sided t interval of min(n1, n2) degrees of freedom."""
+    """Whether t lies between the quantiles 1 - level and level of Student's distribution with min(n1, n2) degrees of freedom."""
     t = F.abs(x1 - x2) / F.sqrt(F.nullif(s1 * s1 / n1 + s2 * s2 / n2, F.lit(0.0)))
-    return t <= _quantiles(F.lit((1 + level) / 2), F.least(n1, n2).cast("double"))
+    return t <= _quantiles(F.lit(float(level)), F.least(n1, n2).cast("double"))
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -88,10 +88,48 @@ def slopes(df: DataFrame, group: list[str], order: str, x: str, y: str, reach: i
     return df.withColumn("slope", F.regr_slope(F.col(y), F.col(x)).over(w))
 
 
-def without_lockmass(scans: DataFrame, mass: float, ppm: float = 20.0) -> DataFrame:
-    """Scans whose base ion isn't the lock mass, with the ppm error of the nearest scan before that was one."""
-    off = 1e6 * (F.col("base_ion") - mass) / mass
-    lock = F.abs(off) <= ppm
-    w = Window.partitionBy("file").orderBy("scantime").rowsBetween(Window.unboundedPreceding, 0)
-    rows = scans.withColumn("lockmass_error", F.last(F.when(lock, off), ignorenulls=True).over(w))
-    return rows.where(~F.coalesce(lock, F.lit(False)))
+def without_lockmass(scans: DataFrame, mass: float, width: float, approach: str = "baseion") -> DataFrame:
+    """Scans (file, scan, ms_n, function, base_ion, ions) that aren't of the lock mass, with the mean ppm error of those that are.
+
+    A scan is one of the lock mass if its base ion lies within ``width`` Da:
+    the reported one (baseion), or the strongest of its ions, for MS1 scans
+    (empbaseion).  ms1freq takes all scans of the rarer of the two functions
+    that MS1 scans have, hybrid those of the function that most lock scans by
+    empbaseion have.  A file without lock scans keeps all, with a null error;
+    ms1freq measures none, and files with other than two MS1 functions keep all.
+    """
+    strongest = F.expr("element_at(array_sort(ions, (a, b) -> case when a.intensity > b.intensity then -1 when a.intensity < b.intensity then 1 else 0 end), 1).mz")
+    base = F.col("base_ion") if approach == "baseion" else F.when((F.col("ms_n") == 1) & (F.size("ions") > 0), strongest)
+    rows = scans.withColumn("_base", base).withColumn("_near", F.coalesce(F.abs(F.col("_base") - mass) <= width, F.lit(False)))
+    if approach in ("ms1freq", "hybrid"):
+        ms1 = rows.where("ms_n = 1")
+        two = ms1.groupBy("file").agg(F.countDistinct("function").alias("n")).where("n = 2").select("file")
+        counts = (ms1 if approach == "ms1freq" else ms1.where("_near")).groupBy("file", "function").agg(F.count("*").alias("n"), F.min("scan").alias("first"))
+        order = F.struct("n" if approach == "ms1freq" else -F.col("n"), "first", "function")
+        chosen = counts.join(two, "file", "left_semi").groupBy("file").agg(F.min(order)["function"].alias("_lock"))
+        rows = rows.join(chosen, "file", "left").withColumn("_gone", F.coalesce(F.col("function") == F.col("_lock"), F.lit(False))).drop("_lock")
+    else:
+        rows = rows.withColumn("_gone", F.col("_near"))
+    measured = F.lit(None).cast("double") if approach == "ms1freq" else F.lit(1e6) * (F.avg(F.when(F.col("_gone"), F.col("_base"))).over(Window.partitionBy("file")) - mass) / mass
+    return rows.withColumn("lockmass_error", measured).where("not _gone").drop("_base", "_near", "_gone")
+
+
+def peak_bounds(trace: DataFrame, key: list[str], order: str, value: str, slope: float, reach: int = 1) -> DataFrame:
+    """(key, left, right): how far the trace falls on both sides of its apex.
+
+    From the apex outwards, the side ends at the first place from which the
+    least-squares slope over ``reach`` further points no longer falls by
+    ``slope`` a point; the apex is the first of equal maxima.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    every = Window.partitionBy(*key)
+    rows = trace.withColumn("_k", F.row_number().over(w))
+    apex = F.min(F.when(F.col(value) == F.col("_top"), F.col("_k"))).over(every)
+    rows = rows.withColumn("_top", F.max(value).over(every)).withColumn("_apex", apex)
+    rows = rows.withColumn("_last", F.max("_k").over(every))
+    after = F.regr_slope(F.col(value), F.col("_k").cast("double")).over(w.rowsBetween(0, reach))
+    before = F.regr_slope(F.col(value), -F.col("_k").cast("double")).over(w.rowsBetween(-reach, 0))
+    rows = rows.withColumn("_flat_right", F.coalesce(after > -slope, F.lit(True))).withColumn("_flat_left", F.coalesce(before > -slope, F.lit(True)))
+    right = F.min(F.when((F.col("_k") >= F.col("_apex")) & F.col("_flat_right"), F.col("_k")))
+    left = F.max(F.when((F.col("_k") <= F.col("_apex")) & F.col("_flat_left"), F.col("_k")))
+    return rows.groupBy(*key).agg(F.coalesce(left, F.lit(1)).alias("left"), F.coalesce(right, F.max("_last")).alias("right"))

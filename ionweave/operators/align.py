@@ -57,12 +57,13 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
 
 
 def aligned(ions: DataFrame, key: list[str], ppm: float = PPM, min_error: float = MIN_ERROR, mode: str = "collapse") -> DataFrame:
-    """key, scan, ion_group, mz, intensity, eic from ions (key, scan, mz, intensity, eic)."""
+    """key, scan, ion_group, mz, intensity, eic from ions (key, scan, mz, intensity, eic); columns ppm and min_error, if there, give a key's own tolerance."""
     fields = [("scan", T.LongType()), ("ion_group", T.LongType()), ("mz", T.DoubleType()), ("intensity", T.DoubleType()), ("eic", T.DoubleType())]
     schema = T.StructType([*_key_type(ions, key), *(T.StructField(n, t) for n, t in fields)])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = align_ions(pdf, ppm, min_error, mode)
+        own = [x if c not in pdf or pd.isna(pdf[c].iloc[0]) else float(pdf[c].iloc[0]) for c, x in (("ppm", ppm), ("min_error", min_error))]
+        out = align_ions(pdf, *own, mode)
         for k, c in enumerate(key):
             out.insert(k, c, pdf[c].iloc[0])
         return out
@@ -102,27 +103,28 @@ def _grid_counts(pt: pd.DataFrame, grids: list[list[float | None]]) -> tuple[np.
 
 
 def best_parameters(pt: pd.DataFrame, top: tuple[float, float, float] = (0.75, 10.0, 10.0), bins: tuple[float, float, float] = (0.05, 1.0, 1.0), min_scans: int = 3) -> tuple:
-    """(correl, height, freq, n, score): the strictest parameters that leave an ion and enough scans.
+    """(correl, height, freq, n, score): the strictest parameters that leave an ion and enough scans, n of them.
 
     The largest ones, if they do; else the grid point (none is allowed for each)
-    with the largest sum of shares of the largest parameters and ion number; of
-    equals the first, correlation fastest.
+    with the largest sum of shares of the largest parameters and of all scans; of
+    equals the strictest, correlation changing fastest and none coming last.  A
+    peak with fewer scans than ``min_scans`` needs one.
     """
+    every = pt["scan"].nunique()
+    enough = min_scans if every >= min_scans else 1
     counts, scans = _grid_counts(pt, [[t] for t in top])
-    if counts[0, 0, 0] and scans[0] >= min_scans:
-        return (*top, int(counts[0, 0, 0]), 4.0)
-    grids = [[None, *np.round(np.arange(0, t + b / 2, b), 6)] for t, b in zip(top, bins, strict=True)]
+    if counts[0, 0, 0] and scans[0] >= enough:
+        return (*top, int(scans[0]), 3.0 + scans[0] / every)
+    grids = [[*np.round(np.arange(t, -b / 2, -b), 6), None] for t, b in zip(top, bins, strict=True)]
     counts, scans = _grid_counts(pt, grids)
-    found = []
-    for (f, freq), (h, height), (c, correl) in itertools.product(*map(list, map(enumerate, grids[::-1]))):
-        if counts[c, h, f] and scans[h] >= min_scans:
-            found.append((correl, height, freq, int(counts[c, h, f])))
-    if not found:
+    shares = [np.array([(v or 0) / t for v in g]) for g, t in zip(grids, top, strict=True)]
+    score = shares[0][:, None, None] + (shares[1] + scans / max(every, 1))[None, :, None] + shares[2][None, None, :]
+    score = np.where((counts > 0) & (scans >= enough)[None, :, None], np.round(score, 9), -1)
+    # frequency is the slowest to change
+    f, h, c = np.unravel_index(int(score.transpose(2, 1, 0).argmax()), score.transpose(2, 1, 0).shape)
+    if score[c, h, f] < 0:
         return (None, None, None, 0, 0.0)
-    most = max(f[3] for f in found)
-    score = [sum((v or 0) / t for v, t in zip(f[:3], top, strict=True)) + f[3] / most for f in found]
-    k = int(np.argmax(score))
-    return (*found[k], score[k])
+    return (*(None if g[k] is None else float(g[k]) for g, k in zip(grids, (c, h, f), strict=True)), int(scans[h]), float(score[c, h, f]))
 
 
 def optimal_parameters(peaks: DataFrame, key: list[str], **settings) -> DataFrame:
@@ -174,3 +176,16 @@ def paired(left: pd.DataFrame, right: pd.DataFrame, ppm: float = PPM, min_error:
         rows.append((a.mz, a.int, b.mz if b else np.nan, b.int if b else np.nan))
     rows += [(np.nan, np.nan, b.mz, b.int) for b in free]
     return pd.DataFrame(rows, columns=["mz1", "int1", "mz2", "int2"])
+
+
+def pair_spectra(left: DataFrame, right: DataFrame, key: list[str], ppm: float = PPM, min_error: float = MIN_ERROR) -> DataFrame:
+    """(key, mz1, int1, mz2, int2): ions of two spectra (key, mz, int) of each key paired one to one, unpaired ones with nulls."""
+    schema = T.StructType([*_key_type(left, key), *(T.StructField(c, T.DoubleType()) for c in ("mz1", "int1", "mz2", "int2"))])
+
+    def one(key_values: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = paired(a[["mz", "int"]], b[["mz", "int"]], ppm, min_error)
+        for k, c in enumerate(key):
+            out.insert(k, c, key_values[k])
+        return out
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(one, schema)

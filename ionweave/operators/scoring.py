@@ -20,19 +20,15 @@ def squared_cosine(w1: Column, w2: Column) -> Column:
 def _half(left: DataFrame, right: DataFrame, lkey: list[str], rkey: list[str], pairs: DataFrame, ppm: tuple[float, float], min_error: float, m: float, n: float, name: str) -> DataFrame:
     """Score of each pair over the ions of the left side: (lkey, rkey, name)."""
     x = left.select(*lkey, F.col("mz").alias("x_mz"), F.col("intensity").alias("x_int"))
-    top = F.max("mz").over(Window.partitionBy(*rkey))
-    y = right.select(*rkey, F.col("mz").alias("y_mz"), F.col("intensity").alias("y_int"), tolerance(top, ppm[1], min_error).alias("y_tol"))
-    ions = pairs.join(x, lkey)
+    y = right.select(*rkey, F.col("mz").alias("y_mz"), F.col("intensity").alias("y_int"))
     # both windows: the left ion's own, and one for the whole right spectrum
-    reach = tolerance(F.col("x_mz"), ppm[0], min_error)
-    widest = y.agg(F.max("y_tol")).first()[0] or min_error
-    near = interval_join(ions, y.withColumnsRenamed({c: f"_right_{c}" for c in rkey}), F.col("x_mz") - reach - widest, F.col("x_mz") + reach + widest, F.col("y_mz"), max(0.05, 4 * widest))
-    near = near.where(F.abs(F.col("x_mz") - F.col("y_mz")) <= reach + F.col("y_tol"))
-    for c in rkey:
-        near = near.where(F.col(c) == F.col(f"_right_{c}"))
+    widths = right.groupBy(*rkey).agg(tolerance(F.max("mz"), ppm[1], min_error).alias("y_tol"))
+    ions = pairs.join(x, lkey).join(widths, rkey, "left")
+    reach = tolerance(F.col("x_mz"), ppm[0], min_error) + F.col("y_tol")
+    near = interval_join(ions, y.withColumnsRenamed({c: f"_right_{c}" for c in rkey}), F.col("x_mz") - reach, F.col("x_mz") + reach, F.col("y_mz"), 0.05, keys=[(c, f"_right_{c}") for c in rkey])
     ion = [*lkey, *rkey, "x_mz", "x_int"]
     met = near.groupBy(*ion).agg(F.avg("y_mz").alias("y_mz"), F.sum("y_int").alias("y_int"))
-    rows = ions.join(met, ion, "left").fillna(0.0, ["y_mz", "y_int"])
+    rows = ions.drop("y_tol").join(met, ion, "left").fillna(0.0, ["y_mz", "y_int"])
     return rows.groupBy(*lkey, *rkey).agg(squared_cosine(weight(F.col("x_mz"), F.col("x_int"), m, n), weight(F.col("y_mz"), F.col("y_int"), m, n)).alias(name))
 
 
@@ -68,8 +64,9 @@ def check_fragments(fragments: DataFrame, ions: DataFrame, key: str, mass: str =
     x = F.col(mass)
     probe = fragments.select(F.col(key).alias("_key"), x.alias("_mass")).distinct()
     tol = tolerance(F.col("_mass"), ppm, min_error)
-    met = interval_join(probe, ions.select(F.col(key).alias("_ion_key"), F.col(mz).alias("_mz")), F.col("_mass") - tol, F.col("_mass") + tol, F.col("_mz"), 0.05)
-    met = met.where(F.col("_key") == F.col("_ion_key")).select("_key", "_mass").distinct().withColumn("_met", F.lit(True))
+    # the key is equal, so the range is only asked of the ions of one peak
+    near = (F.col("_key") == F.col("_ion_key")) & F.col("_mz").between(F.col("_mass") - tol, F.col("_mass") + tol)
+    met = probe.join(ions.select(F.col(key).alias("_ion_key"), F.col(mz).alias("_mz")), near, "left_semi").withColumn("_met", F.lit(True))
     out = fragments.join(met, (F.col(key) == F.col("_key")) & (x == F.col("_mass")), "left")
     return out.withColumn("matched", F.coalesce("_met", F.lit(False))).drop("_key", "_mass", "_met")
 

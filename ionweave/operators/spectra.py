@@ -65,7 +65,7 @@ def zoomed(ions: Column, mass: Column, below: float, above: float, ppm: float =
 
 
 def uncertainty_spectrum(
-    ions: DataFrame, eic: DataFrame, key: list[str], correl: float | None = None, height: float | None = None, freq: float | None = None, norm: str = "sum",
+    ions: DataFrame, eic: DataFrame, key: list[str], correl: float | None = None, height: float | None = None, freq: float | None = None, norm: str = "sum", limits: DataFrame | None = None,
 ) -> DataFrame:
     """Mean and spread of aligned ions over the scans of a peak.
 
@@ -73,10 +73,12 @@ def uncertainty_spectrum(
     ions must correlate with the chromatogram, scans reach ``height`` percent of
     its range, ions occur in ``freq`` percent of the scans left, and each scan is
     divided by the sum or mean of what is left in it.  A null parameter skips
-    its step.  Returns key, ion_group, mz, mz_u, int, int_u, n, numscans.
+    its step; ``limits`` (key, correl, height, freq) has each key's own.  Returns key, ion_group, mz, mz_u, int, int_u, n, numscans.
     """
     rows = ions.join(eic, [*key, "scan"])
     group = [*key, "ion_group"]
+    if limits is not None:
+        return _limited_spectrum(rows, eic, key, norm, limits)
     if correl is not None:
         fits = rows.groupBy(*group).agg(F.corr("eic", "intensity").alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r") & (F.col("r") >= correl))
         rows = rows.join(fits.select(*group), group, "left_semi")
@@ -91,6 +93,26 @@ def uncertainty_spectrum(
     if freq is not None:
         often = rows.groupBy(*group, "numscans").agg(F.countDistinct("scan").alias("_seen")).where(F.col("_seen") >= F.lit(freq / 100) * F.col("numscans"))
         rows = rows.join(often.select(*group), group, "left_semi")
+    return _averaged(rows, key, norm)
+
+
+def _limited_spectrum(rows: DataFrame, eic: DataFrame, key: list[str], norm: str, limits: DataFrame) -> DataFrame:
+    """As uncertainty_spectrum, with thresholds from limits; a key that it lacks has none."""
+    group = [*key, "ion_group"]
+    limits = limits.select(*key, F.col("correl").alias("_c"), F.col("height").alias("_h"), F.col("freq").alias("_f"))
+    fits = rows.groupBy(*group).agg(F.corr("eic", "intensity").alias("r")).join(limits, key, "left")
+    fits = fits.where("_c is null or (r is not null and not isnan(r) and r >= _c)")
+    rows = rows.join(fits.select(*group), group, "left_semi")
+    w = Window.partitionBy(*key)
+    kept = eic.withColumns({"_low": F.min("eic").over(w), "_high": F.max("eic").over(w)}).join(limits, key, "left").where("_h is null or eic >= _h / 100 * (_high - _low) + _low")
+    rows = rows.join(kept.select(*key, "scan"), [*key, "scan"], "left_semi")
+    rows = rows.join(kept.groupBy(*key).agg(F.countDistinct("scan").alias("numscans")), key)
+    often = rows.groupBy(*group, "numscans").agg(F.countDistinct("scan").alias("_seen")).join(limits, key, "left").where("_f is null or _seen >= _f / 100 * numscans")
+    return _averaged(rows.join(often.select(*group), group, "left_semi"), key, norm)
+
+
+def _averaged(rows: DataFrame, key: list[str], norm: str) -> DataFrame:
+    group = [*key, "ion_group"]
     whole = F.sum("intensity") if norm == "sum" else F.avg("intensity")
     rows = rows.withColumn("_share", F.try_divide(F.col("intensity"), whole.over(Window.partitionBy(*key, "scan"))))
     return rows.groupBy(*group, "numscans").agg(

@@ -15,21 +15,25 @@ PPM = 5.0
 MIN_ERROR = 0.002
 
 
-def tolerance(mz: Column, ppm: float = PPM, min_error: float = MIN_ERROR) -> Column:
+def tolerance(mz: Column, ppm: float | Column = PPM, min_error: float | Column = MIN_ERROR) -> Column:
     """max(mz * ppm * 1e-6, min_error)."""
-    return F.greatest(mz * F.lit(ppm * 1e-6), F.lit(min_error))
+    share = ppm * F.lit(1e-6) if isinstance(ppm, Column) else F.lit(ppm * 1e-6)
+    return F.greatest(mz * share, min_error if isinstance(min_error, Column) else F.lit(min_error))
 
 
-def interval_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, width: float, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, width: float, how: str = "inner", keys: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows of left with the rows of right whose value lies in [low, high], ends included.
 
     ``width`` is the bin width; at least the usual window length keeps the
     number of bins a left row touches at two.  Null bounds or values match nothing.
+    keys: pairs of columns, one of each side, that must be equal besides.
     """
     bins = F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
     probes = left.where(low <= high).withColumn("_low", low).withColumn("_high", high).select("*", bins.alias("_bin"))
     keyed = right.withColumn("_value", value).where(F.col("_value").isNotNull()).withColumn("_right_bin", F.floor(F.col("_value") / width))
     on = (F.col("_bin") == F.col("_right_bin")) & F.col("_value").between(F.col("_low"), F.col("_high"))
+    for a, b in keys or ():
+        on = on & (F.col(a) == F.col(b))
     return probes.join(keyed, on, how).drop("_bin", "_right_bin", "_low", "_high", "_value")
 
 

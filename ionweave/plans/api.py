@@ -50,7 +50,8 @@ class Library:
         return search.search_fragments(ions, f, self.frames["compound_fragments"].withColumnRenamed("annotated_fragment_id", "fragment_id"), ppm, min_error)
 
     def search_compound(self, ms1: DataFrame, ms2: DataFrame, precursor: float | None = None, **settings) -> DataFrame:
-        """Ranked matches of a query's spectra (mz, int); with a precursor, only among peaks near it."""
+        """Ranked matches of a query's spectra (mz, int); with a precursor, only among peaks near it.  Each peak's own parameters are used where the library has them."""
+        settings.setdefault("parameters", self.frames.get("opt_ums_params"))
         scans = views.peak_data(self.frames).select("peak_id", "ms_n", "scantime", "ions")
         peaks = self.frames["peaks"].select(F.col("id").alias("peak_id"), "precursor_mz")
         return search.search_compound(ms1, ms2, peaks, scans, precursor=precursor, **settings)

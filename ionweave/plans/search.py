@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.operators.align import aligned
+from ionweave.operators.align import aligned, optimal_parameters
 from ionweave.operators.scoring import check_fragments, compare
 from ionweave.operators.spectra import extracted, uncertainty_spectrum
 from ionweave.operators.tolerance import interval_join, tolerance, tolerance_join
@@ -17,26 +17,55 @@ def candidates(peaks: DataFrame, precursor: float, ppm: float = 5.0, min_error:
     return peaks.where(F.col("precursor_mz").between(precursor - tol, precursor + tol))
 
 
-def library_spectra(scans: DataFrame, peaks: DataFrame, level: int, parameters: DataFrame | None = None, ppm: float = 5.0, min_error: float = 0.002) -> DataFrame:
+def peak_parameters(parameters: DataFrame) -> DataFrame:
+    """opt_ums_params rows with nulls in place of -1, which stands for an unset value."""
+    return parameters.select(*[F.when(F.col(c) != -1, F.col(c)).alias(c) if c not in ("peak_id", "mslevel") else F.col(c) for c in parameters.columns])
+
+
+def library_spectra(scans: DataFrame, peaks: DataFrame, level: int, parameters: DataFrame | None = None, ppm: float = 5.0, min_error: float = 0.002, optimized: bool = True) -> DataFrame:
     """Uncertainty spectra (peak_id, mz, mz_u, int, int_u, n, numscans) of the peaks' scans (peak_id, ms_n, scantime, ions) at a level.
 
     The chromatogram is that of the precursor in MS1 scans; an MS2 scan takes
-    the value of the nearest MS1 scan.  parameters: one row of correl, height
-    and freq, where -1 skips a step.
+    the value of the nearest MS1 scan.  parameters: opt_ums_params, by peak and
+    level; a peak's tolerances are those of its MS2 row, at both levels; where
+    -1 or no row is given, a step is skipped and ppm and min_error hold.
     """
     from ionweave.operators.tolerance import nearest_scan
 
     rows = scans.join(peaks.select("peak_id", "precursor_mz"), "peak_id")
+    own = {"ppm": F.lit(ppm), "min_error": F.lit(min_error)}
+    if parameters is not None:
+        p = peak_parameters(parameters)
+        errors = p.where("mslevel = 2").groupBy("peak_id").agg(F.min("masserror").alias("_ppm"), F.min("minerror").alias("_min"))
+        rows = rows.join(errors, "peak_id", "left")
+        own = {"ppm": F.coalesce("_ppm", F.lit(ppm)), "min_error": F.coalesce("_min", F.lit(min_error))}
+    rows = rows.withColumns(own)
     rows = nearest_scan(rows, ["peak_id"], "scantime", F.col("ms_n") == 1)
-    ms1 = rows.where("ms_n = 1").select("peak_id", F.col("scantime").alias("nearest"), extracted(F.col("ions"), F.col("precursor_mz"), ppm, min_error).alias("eic"))
+    trace = extracted(F.col("ions"), F.col("precursor_mz"), F.col("ppm"), F.col("min_error"))
+    ms1 = rows.where("ms_n = 1").select("peak_id", F.col("scantime").alias("nearest"), trace.alias("eic"))
     ions = rows.where(F.col("ms_n") == level).join(ms1, ["peak_id", "nearest"])
     place = F.row_number().over(Window.partitionBy("peak_id").orderBy("scantime")).cast("long")
-    ions = ions.withColumn("scan", place).select("peak_id", "scan", "eic", F.inline("ions"))
+    ions = ions.withColumn("scan", place).select("peak_id", "scan", "eic", "ppm", "min_error", F.inline("ions"))
     groups = aligned(ions, ["peak_id"], ppm, min_error)
     eic = groups.select("peak_id", "scan", "eic").distinct()
-    p = parameters.first().asDict() if parameters is not None else {}
-    kept = {k: None if p.get(k) in (None, -1) else float(p[k]) for k in ("correl", "height", "freq")}
-    return uncertainty_spectrum(groups.drop("eic"), eic, ["peak_id"], **kept)
+    limits = None
+    if parameters is not None and optimized:
+        limits = p.where(F.col("mslevel") == level).groupBy("peak_id").agg(F.min("correl").alias("correl"), F.min("ph").alias("height"), F.min("freq").alias("freq"))
+    return uncertainty_spectrum(groups.drop("eic"), eic, ["peak_id"], limits=limits)
+
+
+def query_spectrum(table: DataFrame, key: list[str], correl: float | None = 0.75, height: float | None = 10.0, freq: float | None = 10.0) -> DataFrame:
+    """Uncertainty spectra of aligned peak tables (key, scan, ion_group, mz, intensity, eic) by these parameters.
+
+    A key that they leave without ions takes its optimal parameters instead.
+    """
+    eic = table.select(*key, "scan", "eic").distinct()
+    first = uncertainty_spectrum(table.drop("eic"), eic, key, correl, height, freq)
+    lost = table.select(*key).distinct().join(first.select(*key).distinct(), key, "left_anti")
+    others = table.join(lost, key, "left_semi")
+    limits = optimal_parameters(others, key).select(*key, "correl", "height", "freq")
+    again = uncertainty_spectrum(others.drop("eic"), others.select(*key, "scan", "eic").distinct(), key, limits=limits)
+    return first.unionByName(again)
 
 
 def search_spectra(query: DataFrame, library: DataFrame, peaks: DataFrame, **settings) -> DataFrame:
@@ -49,24 +78,42 @@ def search_spectra(query: DataFrame, library: DataFrame, peaks: DataFrame, **set
 
 def search_compound(
     query1: DataFrame, query2: DataFrame, peaks: DataFrame, scans: DataFrame, fragments: DataFrame | None = None, precursor: float | None = None,
-    ppm: float = 5.0, min_error: float = 0.002, parameters: DataFrame | None = None,
+    ppm: float = 5.0, min_error: float = 0.002, parameters: DataFrame | None = None, optimized: bool = True,
 ) -> DataFrame:
-    """Scores of a query's MS1 and MS2 spectra with all peaks (or those near a precursor), with checked fragments, best first."""
+    """Scores of a query's MS1 and MS2 spectra with all peaks (or those near a precursor), with checked fragments, best first.
+
+    ppm and min_error choose the peaks and check fragments, which are those
+    (peak_id, fixedmass) among the query's MS2 ions; scores use 5 ppm and 0.002.
+    parameters: opt_ums_params of the library, of which the thresholds are used
+    if ``optimized``.
+    """
     near = peaks if precursor is None else candidates(peaks, precursor, ppm, min_error)
     scans = scans.join(near.select("peak_id"), "peak_id", "left_semi")
     out = near.select("peak_id")
     for level, query in ((1, query1), (2, query2)):
-        spectra = library_spectra(scans, near, level, parameters, ppm, min_error)
+        spectra = library_spectra(scans, near, level, parameters, optimized=optimized)
         found = search_spectra(query, spectra, near).withColumnsRenamed({"dp": f"ms{level}_dp", "rdp": f"ms{level}_rdp"})
         out = out.join(found, "peak_id", "left")
         if level == 2 and fragments is not None:
-            checked = check_fragments(fragments, spectra, "peak_id", ppm=ppm)
+            asked = near.select("peak_id").join(F.broadcast(query2.select("mz")))
+            checked = check_fragments(fragments.join(near.select("peak_id"), "peak_id", "left_semi"), asked, "peak_id", ppm=ppm, min_error=min_error)
             out = out.join(checked.groupBy("peak_id").agg(F.count_if("matched").alias("fragments_matched"), F.count("*").alias("fragments")), "peak_id", "left")
     scores = ["ms1_dp", "ms1_rdp", "ms2_dp", "ms2_rdp"]
     total = sum((F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(0.0)) for c in scores), F.lit(0.0))
     return out.withColumn("sum_match", total).orderBy(F.col("sum_match").desc(), "peak_id")
 
 
+def peak_context(near: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+    """peak_id with its sample class, compound (the one with the smallest id) and reported accuracy, for peaks (peak_id)."""
+    peaks = frames["peaks"].select(F.col("id").alias("peak_id"), "sample_id").join(near.select("peak_id"), "peak_id", "left_semi")
+    classes = frames["samples"].select(F.col("id").alias("sample_id"), "sample_class_id").join(frames["norm_sample_classes"].select(F.col("id").alias("sample_class_id"), F.col("name").alias("sample_class")), "sample_class_id", "left")
+    links = frames["compound_fragments"].join(frames["compounds"].select(F.col("id").alias("compound_id"), F.col("name").alias("compound")), "compound_id")
+    compounds = links.groupBy("peak_id").agg(F.min(F.struct("compound_id", "compound")).alias("x")).select("peak_id", "x.compound_id", "x.compound")
+    errors = frames["qc_data"].where("name = 'msaccuracy'").groupBy("peak_id").agg(F.min(F.col("value").try_cast("double")).alias("msaccuracy"))
+    out = peaks.join(classes.select("sample_id", "sample_class"), "sample_id", "left").join(compounds, "peak_id", "left").join(errors, "peak_id", "left")
+    return out.select("peak_id", "sample_class", "compound_id", "compound", "msaccuracy")
+
+
 def search_fragments(ions: DataFrame, fragments: DataFrame, links: DataFrame, ppm: float = 5.0, min_error: float = 0.002) -> DataFrame:
     """For each ion (mz), the annotated fragments within tolerance, their compounds and peaks, and whether structures are known.
 

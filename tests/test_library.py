@@ -131,7 +131,9 @@ def test_alignment():
 
 def test_best_parameters():
     pt = pd.DataFrame([(s, g, 100.0 + g, float(s * (g + 1)), float(s)) for s in range(1, 6) for g in range(3)], columns=["scan", "ion_group", "mz", "intensity", "eic"])
-    assert align.best_parameters(pt)[:4] == (0.75, 10.0, 10.0, 3)
+    assert align.best_parameters(pt)[:4] == (0.75, 10.0, 10.0, 4)
+    # two scans: one is enough; scans, not ions, are counted
+    assert align.best_parameters(pt[pt["scan"] < 3])[3] == 1
 
 
 def test_mzml_and_method_files(spark, tmp_path):

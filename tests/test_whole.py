@@ -43,19 +43,20 @@ def slow_align(pdf):
 
 
 def slow_best(pt, top=(0.75, 10.0, 10.0), bins=(0.05, 1.0, 1.0), min_scans=3):
-    """One spectrum for each grid point."""
+    """One spectrum for each grid point, from the largest parameters down, none last."""
+    every = pt["scan"].nunique()
+    enough = min_scans if every >= min_scans else 1
     first = align.spectrum_of(pt, *top)
-    if len(first) and first["numscans"].iloc[0] >= min_scans:
-        return (*top, len(first), 4.0)
+    if len(first) and first["numscans"].iloc[0] >= enough:
+        return (*top, first["numscans"].iloc[0], 3.0 + first["numscans"].iloc[0] / every)
     found = []
-    for freq, height, correl in itertools.product(*[[None, *np.round(np.arange(0, t + b / 2, b), 6)] for t, b in zip(top[::-1], bins[::-1], strict=True)]):
+    for freq, height, correl in itertools.product(*[[*np.round(np.arange(t, -b / 2, -b), 6), None] for t, b in zip(top[::-1], bins[::-1], strict=True)]):
         ums = align.spectrum_of(pt, correl, height, freq)
-        if len(ums) and ums["numscans"].iloc[0] >= min_scans:
-            found.append((correl, height, freq, len(ums)))
+        if len(ums) and ums["numscans"].iloc[0] >= enough:
+            found.append((correl, height, freq, ums["numscans"].iloc[0]))
     if not found:
         return (None, None, None, 0, 0.0)
-    most = max(f[3] for f in found)
-    score = [sum((v or 0) / t for v, t in zip(f[:3], top, strict=True)) + f[3] / most for f in found]
+    score = [round(sum((v or 0) / t for v, t in zip(f[:3], top, strict=True)) + f[3] / every, 9) for f in found]
     return (*found[int(np.argmax(score))], max(score))
 
 
