@@ -106,6 +106,13 @@ def casrn(text: Column) -> Column:
     return F.when(plain & fits, F.concat_ws("-", F.regexp_replace(F.get(parts, 0), "^0+(?=.)", ""), F.get(parts, 1), F.get(parts, 2)))
 
 
+def casrn_from_date(text: Column, origin: str = "1899-12-30") -> Column:
+    """A registry number that a spreadsheet took for a date and kept as its number of days; other texts stay, NA is null."""
+    days = text.try_cast("int")
+    date = F.date_format(F.date_add(F.lit(origin).cast("date"), days), "yyyy-MM-dd")
+    return F.when(text == "NA", None).when(days.cast("string") == text, F.regexp_replace(date, "-0([0-9])$", "-$1")).otherwise(text)
+
+
 def isotope_pattern(formula: str, max_shift: float = 3.0, min_intensity: float = 0.001, charge: int = 0, isotopes: dict[str, list[tuple[float, float]]] = ISOTOPES) -> list[tuple[float, float]]:
     """(mass, intensity) of a formula's isotopologues up to a shift, largest intensity 1, small ones left out."""
     patterns = []

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionweave.operators.scoring import compare
+from ionweave.operators.tolerance import tolerance
+
 from . import chem
 
 
@@ -14,7 +17,7 @@ def mass_error(df: DataFrame, measured: str, calculated: str, limit: Column) ->
     return df.withColumn("measurederror", error).withColumn("mass_ok", F.abs("measurederror") <= limit)
 
 
-def fragment_accuracy(df: DataFrame, measured: str, calculated: str, ppm: float, min_error: float) -> DataFrame:
+def fragment_accuracy(df: DataFrame, measured: str, calculated: str, ppm: float | Column, min_error: float) -> DataFrame:
     """fragment_error in ppm of the measured mass; passes within ppm, or within min_error Da."""
     error = 1e6 * (F.col(measured) - F.col(calculated)) / F.col(measured)
     close = F.abs(F.col(measured) - F.col(calculated)) <= min_error
@@ -41,3 +44,46 @@ def _all(checks: list[str]) -> Column:
     for c in checks:
         out = out & F.coalesce(F.col(c), F.lit(False))
     return out
+
+
+def gathered(peaks: DataFrame, fragments: DataFrame, ms1: DataFrame, ms2: DataFrame, min_error: float = 0.002) -> DataFrame:
+    """peak_id, parameter, value and result of the checks of peaks and of their annotated fragments, one row each.
+
+    peaks: peak_id, mz, calculated, formula, msaccuracy; fragments: peak_id,
+    fragment_mz, fragment_calculated, fragment_formula; ms1, ms2: (peak_id, mz)
+    of the mean spectra.  Checks: the mass error, whether the precursor is among
+    the MS1 ions, whether each fragment is among the MS2 ions, its accuracy, and
+    whether its formula is part of the peak's.
+    """
+    limits = peaks.select("peak_id", "msaccuracy", "formula")
+    own = fragments.join(limits, "peak_id")
+    error = mass_error(peaks, "mz", "calculated", F.col("msaccuracy"))
+    accuracy = fragment_accuracy(own, "fragment_mz", "fragment_calculated", F.col("msaccuracy"), min_error)
+    part = fragment_is_part(own, "fragment_formula", "formula")
+
+    def detected(rows: DataFrame, mass: str, ions: DataFrame) -> DataFrame:
+        reach = tolerance(F.col(mass), F.col("msaccuracy"), min_error)
+        near = (F.col("peak_id") == F.col("_peak")) & (F.abs(F.col("_mz") - F.col(mass)) <= reach)
+        met = rows.select("peak_id", mass, "msaccuracy").distinct().join(ions.select(F.col("peak_id").alias("_peak"), F.col("mz").alias("_mz")), near, "left_semi")
+        return rows.join(met.select("peak_id", mass, F.lit(True).alias("_met")), ["peak_id", mass], "left").withColumn("_met", F.coalesce("_met", F.lit(False)))
+
+    none = F.lit(None).cast("double")
+    rows = [
+        ("measurederror", error, F.col("measurederror"), F.col("mass_ok")),
+        ("ms1precursor_detected", detected(peaks, "mz", ms1), none, F.col("_met")),
+        ("annfragments_detected", detected(own, "fragment_mz", ms2), F.col("fragment_mz"), F.col("_met")),
+        ("annfragments_accuracy", accuracy, F.col("fragment_error"), F.col("fragment_ok")),
+        ("annfragments_subset", part, none, F.col("part_ok")),
+    ]
+    found = [df.select("peak_id", F.lit(name).alias("parameter"), value.alias("value"), result.alias("result")) for name, df, value, result in rows]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def isotope_match(peaks: DataFrame, ms1: DataFrame, limit: float = 0.5, **settings) -> DataFrame:
+    """peak_id, rdp and pattern_ok: mean MS1 ions (peak_id, mz, intensity) against the simulated pattern of each peak's formula (peak_id, formula)."""
+    simulated = chem.isotope_patterns(peaks.select(F.col("peak_id").alias("_peak"), "formula"), "formula", **settings).select("_peak", "mz", "intensity")
+    pairs = peaks.select("peak_id", F.col("peak_id").alias("_peak"))
+    return pattern_match(compare(ms1, simulated, ["peak_id"], ["_peak"], pairs), "rdp", limit).select("peak_id", "rdp", "pattern_ok")

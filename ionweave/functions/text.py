@@ -30,3 +30,8 @@ def join_names(names: list[str], last: str = "and") -> str:
     if len(names) < 3:
         return f" {last} ".join(names)
     return f"{', '.join(names[:-1])}, {last} {names[-1]}"
+
+
+def padded_id(number: Column, prefix: str, width: int = 6) -> Column:
+    """The prefix and the number with leading zeros."""
+    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))

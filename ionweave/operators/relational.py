@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import predicates
+
 
 def decode(df: DataFrame, keys: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """Replaces each key column by the name that its dimension (frame, id column, name column) has for it.
@@ -38,6 +41,67 @@ def fill_down(df: DataFrame, group: list[str], order: list[str], columns: list[s
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def fill_up(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
+
+
+def update(df: DataFrame, values: dict[str, Any], criteria: dict[str, Any], extra: Column | None = None) -> DataFrame:
+    """df with the columns set to values in the rows that meet all criteria (and extra); words for null set null.
+
+    Criteria are as in predicates.where; one that is None asks for nothing.
+    """
+    wanted = [predicates.criterion(F.col(c), spec) for c, spec in criteria.items() if spec is not None]
+    wanted += [] if extra is None else [extra]
+    if not wanted:
+        raise ValueError("an update needs criteria")
+    hit = F.coalesce(reduce(Column.__and__, wanted), F.lit(False))
+    new = {c: F.lit(None if v in predicates.NULL_WORDS else v).cast(df.schema[c].dataType) for c, v in values.items()}
+    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def hierarchy(df: DataFrame, key: str, parent: str, name: str, most: int = 50) -> DataFrame:
+    """key with depth, root and path (names from the root down, with " / " between), by joining level after level.
+
+    Rows without a parent are roots; rows that no root reaches are left out, and
+    more than ``most`` levels raise.
+    """
+    rows = df.select(F.col(key), F.col(parent).alias("_up"), F.col(name).alias("_name"))
+    level = rows.where("_up is null").select(key, F.lit(0).cast("long").alias("depth"), F.col(key).alias("root"), F.col("_name").alias("path"))
+    out = level
+    for _ in range(most):
+        above = level.select(F.col(key).alias("_up"), "depth", "root", "path")
+        level = rows.join(above, "_up").select(key, (F.col("depth") + 1).alias("depth"), "root", F.concat_ws(" / ", "path", "_name").alias("path"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"more than {most} levels, or a circle")
+
+
+def nearest_first(df: DataFrame, column: str, value: float, ties: list[str], n: int) -> DataFrame:
+    """The n rows nearest to a value, nearest first, with their distance."""
+    return df.withColumn("distance", F.abs(F.col(column) - value)).where("distance is not null").orderBy("distance", *ties).limit(n)
+
+
+def counted(df: DataFrame, group: list[str], name: str = "n") -> DataFrame:
+    return df.withColumn(name, F.count("*").over(Window.partitionBy(*group)))
+
+
+def nested(df: DataFrame, group: list[str], column: str, name: str) -> DataFrame:
+    """The distinct values of each group as a sorted array."""
+    return df.groupBy(*group).agg(F.array_sort(F.collect_set(column)).alias(name))
+
+
+def concatenated(df: DataFrame, group: list[str], column: str, separator: str, distinct: bool = False, name: str = "text") -> DataFrame:
+    """The texts of each group in their order, with a separator between."""
+    return df.groupBy(*group).agg(F.array_join(F.array_sort((F.collect_set if distinct else F.collect_list)(column)), separator).alias(name))
+
+
+def summarised(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Number, mean and sample spread of each group's values; a single one has no spread."""
+    return df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
 def append_new(target: DataFrame, rows: DataFrame, unique: list[str]) -> DataFrame:
     """target with those rows whose unique columns it lacks; nulls compare as equal, repeats are added once."""
     fresh = rows.dropDuplicates(unique)

@@ -12,17 +12,21 @@ from ionweave.operators.relational import normalize_key
 def load_with_keys(rows: DataFrame, column: str, dimension: str, target: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream's rows to the table target, with the column's texts replaced by keys of the dimension table, which grows.
 
-    Each batch writes a new version of the dimension before the rows; a batch
-    that is run again finds its texts there and gets the same keys.
+    Each batch adds its texts to the dimension before the rows; one that is run
+    again finds them there, and its rows, if they were written, are not again.
     """
 
-    def load(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        _, grown = normalize_key(batch, column, spark.table(dimension))
-        grown.join(spark.table(dimension).select("id"), "id", "left_anti").write.mode("append").saveAsTable(dimension)
-        normalize_key(batch, column, spark.table(dimension))[0].withColumn("batch", F.lit(number)).write.mode("append").saveAsTable(target)
+    return rows.writeStream.foreachBatch(lambda batch, number: load_batch(batch, number, column, dimension, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def load_batch(batch: DataFrame, number: int, column: str, dimension: str, target: str) -> None:
+    """One batch of load_with_keys; running it again changes nothing."""
+    spark = batch.sparkSession
+    if spark.catalog.tableExists(target) and not spark.table(target).where(F.col("batch") == number).isEmpty():
+        return
+    _, grown = normalize_key(batch, column, spark.table(dimension))
+    grown.join(spark.table(dimension).select("id"), "id", "left_anti").write.mode("append").saveAsTable(dimension)
+    normalize_key(batch, column, spark.table(dimension))[0].withColumn("batch", F.lit(number)).write.mode("append").saveAsTable(target)
 
 
 def scan_rates(scans: DataFrame, time: str, level: str, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
