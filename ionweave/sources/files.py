@@ -145,7 +145,7 @@ def msp(spectra: DataFrame, key: str, name: str, precursor: str, headers: list[s
     """(key, text): MSP entries from rows (key, name, precursor, headers, mz, intensity), ions by m/z."""
     headers = headers or []
     ion = F.concat_ws(" ", F.col("mz").cast("string"), F.col("intensity").cast("string"))
-    rows = spectra.groupBy(key, name, precursor, *headers).agg(F.array_sort(F.collect_list(F.struct("mz", ion.alias("line")))).alias("ions"))
+    rows = spectra.groupBy(key, name, precursor, *headers).agg(F.array_sort(F.collect_list(F.struct("mz", "intensity", ion.alias("line")))).alias("ions"))
     head = [F.concat(F.lit("Name:  "), F.col(name)), F.concat(F.lit("PrecursorMZ:  "), F.col(precursor).cast("string"))]
     head += [F.concat(F.lit(f"{h}:  "), F.col(h).cast("string")) for h in headers]
     body = [F.concat(F.lit("Num Peaks:  "), F.size("ions").cast("string")), F.array_join(F.col("ions.line"), "\n")]
