@@ -27,7 +27,9 @@ from .shared import shared_dir, written
 #: Shorter lines than the least are told apart exactly, as one edit is an eighth of them or more.
 EDITS = ((24, 2), (8, 1))
 #: Distinct lines with one segment, beyond which their pieces are cut in turn.
-HOT = 16
+HOT = 64
+#: As many, beyond which pairs are joined with their sketches at hand, which takes the lines' texts.
+WARM = 16
 
 Edits = tuple[tuple[int, int], ...]
 
@@ -214,18 +216,21 @@ def candidates(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edit
     keys = [f"key{s}" for s in range(len(ways))]
     posts = named.select("id", F.posexplode(F.array(*keys)).alias("way", "key")).where("key is not null").withColumn("own", _is_index(ways, F.col("way")))
     own = named.select("id", F.explode(F.array(*[k for k, (_, d, _, off) in zip(keys, ways, strict=True) if not d and not off])).alias("key")).where("key is not null")
-    many = written(own.groupBy("key").count().where(F.col("count") > hot).select("key"), f"{folder}/hot")
+    warm = min(WARM, hot)
+    many = written(own.groupBy("key").count().where(F.col("count") > warm), f"{folder}/hot")
     if many.isEmpty():
         return written(_met(posts, edits, False).distinct(), f"{folder}/pairs")
-    found = [_met(posts.join(many, "key", "left_anti"), edits, False)]
-    members = written(posts.join(many, "key").select("id", "key", "way", "own"), f"{folder}/members")
+    found = [written(_met(posts.join(many, "key", "left_anti"), edits, False).distinct(), f"{folder}/met")]
+    members = written(posts.join(many, "key").select("id", "key", "way", "own", (F.col("count") > hot).alias("cut")), f"{folder}/members")
     texts = text_of(members.select("id").distinct()).select("id", F.col("line").alias("p"), parities(F.col("line")).alias("parities"))
-    members = members.join(written(texts, f"{folder}/hot-texts", compression="zstd"), "id")
+    texts = written(texts, f"{folder}/hot-texts", compression="zstd")
+    found.append(written(_met(members.where("not cut").join(texts.drop("p"), "id"), edits).distinct(), f"{folder}/warm"))
+    members = members.where("cut").join(texts, "id")
     members = members.withColumns({"q": F.lit(None).cast("string"), "qb": F.lit(None).cast("int"), "qd": F.lit(None).cast("int")})
     members, level = written(_cut(members, ways), f"{folder}/cut0", compression="zstd"), 0
     while True:
         many = written(members.where("own").groupBy("key").count().where(F.col("count") > hot).select("key"), f"{folder}/hot{level}")
-        found.append(_met(members.join(many, "key", "left_anti"), edits))
+        found.append(written(_met(members.join(many, "key", "left_anti"), edits).distinct(), f"{folder}/met{level}"))
         if many.isEmpty():
             break
         members = members.join(many, "key")
@@ -233,11 +238,12 @@ def candidates(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edit
         short = F.length("p") - F.col("pd") <= F.col("pb")
         last = members.where(short)
         first = last.where("own").groupBy("key").agg(F.min("id").alias("a"))
-        found.append(last.where("own").join(first, "key").where("a <> id").select("a", F.col("id").alias("b")))
+        star = last.where("own").join(first, "key").where("a <> id").select("a", F.col("id").alias("b"))
         odd = last.where("own").select("key", F.col("id").alias("a")).join(last.where("not own").select("key", F.col("id").alias("b")), "key").where("a <> b")
-        found.append(odd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        inner = [F.when((F.col("pb") == w[0]) & (F.col("pd") == w[1]), _key(F.col("p"), *w, F.col("key"))) for w in PIECE_WAYS]
-        inner = members.where(~short).select("id", "parities", "own", "p", "q", "qb", "qd", F.posexplode(F.array(*inner)).alias("way", "key")).where("key is not null")
+        found.append(written(star.unionByName(odd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), f"{folder}/short{level}"))
+        inner = [F.struct(F.lit(n).alias("way"), F.when((F.col("pb") == w[0]) & (F.col("pd") == w[1]), _key(F.col("p"), *w, F.col("key"))).alias("key")) for n, w in enumerate(PIECE_WAYS)]
+        own_ways = F.explode(F.filter(F.array(*inner), lambda x: x["key"].isNotNull())).alias("x")
+        inner = members.where(~short).select("id", "parities", "own", "p", "q", "qb", "qd", own_ways).select("id", "parities", "own", "p", "q", "qb", "qd", "x.way", "x.key")
         level += 1
         members = written(_cut(inner.withColumn("own", F.col("own") & _is_index(PIECE_WAYS, F.col("way"))), PIECE_WAYS), f"{folder}/cut{level}", compression="zstd")
     pairs = found[0]
