@@ -223,7 +223,36 @@ def test_stream_loads_keys(spark, tmp_path):
     rows = spark.readStream.schema("n long, kind string").json(str(tmp_path / "in"))
     try:
         ingest.load_with_keys(rows, "kind", "kinds", "loaded", str(tmp_path / "ck")).awaitTermination()
-        assert {(r.n, r.kind) for r in spark.table("loaded").collect()} == {(0, 2), (1, 1), (2, None)}
+        want = [(0, 2), (1, 1), (2, None)]
+        assert sorted((r.n, r.kind) for r in spark.table("loaded").collect()) == want
+        # the same batch once more
+        number = spark.table("loaded").first().batch
+        ingest.load_batch(spark.createDataFrame([(0, "soil")], "n long, kind string"), number, "kind", "kinds", "loaded")
+        assert sorted((r.n, r.kind) for r in spark.table("loaded").collect()) == want and spark.table("kinds").count() == 2
     finally:
         spark.sql("drop table if exists loaded")
         spark.sql("drop table if exists kinds")
+
+
+def test_paired_spectra(spark):
+    a = spark.createDataFrame([(1, 100.0, 1.0), (1, 200.0, 2.0), (2, 50.0, 1.0)], "k long, mz double, int double")
+    b = spark.createDataFrame([(1, 100.001, 3.0), (1, 300.0, 4.0), (3, 70.0, 5.0)], "k long, mz double, int double")
+    got = {(r.k, r.mz1, r.mz2) for r in align.pair_spectra(a, b, ["k"]).fillna(0.0).collect()}
+    assert got == {(1, 100.0, 100.001), (1, 200.0, 0.0), (1, 0.0, 300.0), (2, 50.0, 0.0), (3, 0.0, 70.0)}
+
+
+def test_isotope_match(spark):
+    peaks = spark.createDataFrame([(1, "C10H8Cl2"), (2, "C6H6")], "peak_id long, formula string")
+    ions = [(1, m, p) for m, p in chem.isotope_pattern("C10H8Cl2")] + [(2, 500.0, 1.0)]
+    got = {r.peak_id: r.pattern_ok for r in qc.isotope_match(peaks, spark.createDataFrame(ions, "peak_id long, mz double, intensity double")).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_query_spectrum_falls_back(spark):
+    """A peak that the given parameters leave empty takes its optimal ones."""
+    from ionweave.plans import search
+
+    rows = [(1, s, 0, 100.0, float(s), float(s)) for s in range(1, 6)] + [(2, s, 0, 100.0, float(6 - s), float(s)) for s in range(1, 6)]
+    table = spark.createDataFrame(rows, "k long, scan long, ion_group long, mz double, intensity double, eic double")
+    got = {r.k: r.n for r in search.query_spectrum(table, ["k"]).collect()}
+    assert got[1] == 4 and got[2] >= 1
