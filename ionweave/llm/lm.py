@@ -9,7 +9,10 @@ task.  All n-grams that end in the same two words thus meet, and a shard derives
 the continuation counts of every lower order by itself: only n-grams of the
 highest order are shuffled, and the shorter ones at the begin of a text, which
 keep their plain counts as nothing precedes them.  The model is a set of sorted
-hash arrays with counts in the shared folder.
+hash arrays with counts in the shared folder.  To spare disk, n-grams are
+shuffled as places in a table of the commonest words, and a shard of the model
+keeps 32 bits of a hash besides those that its place says, and two bits of most
+counts.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from .textblocks import Words, blocks, mix, strings
 SHARD_BYTES = 16 << 20
 #: Counts that a task holds before it emits them.
 HELD = 1_500_000
+#: Words, the commonest, that n-grams name by their places in the shuffle; others go with their hashes.
+COMMON = 1 << 22
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0x9FB21C651E98DF25)
+_POWERS = 1 << np.arange(63, dtype=np.int64)
 _CONTEXT = ("total", "n1", "n2", "n3")
 _WORD = (("hash", np.uint64), ("count", np.int64), ("cont", np.int64), ("total", np.int64), ("n1", np.int64), ("n2", np.int64), ("n3", np.int64))
 
@@ -71,20 +77,53 @@ def _contexts(history: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _save_counts(folder: str, name: str, **counts: np.ndarray) -> None:
-    """Counts as bytes; those above 254 as 255, with their places and values besides."""
+    """Counts in two bits each; those above 2 as 3, with their places and values besides."""
     for key, x in counts.items():
-        large = np.flatnonzero(x > 254)
-        save_arrays(folder, name, **{key: np.minimum(x, 255).astype(np.uint8), f"{key}.at": large, f"{key}.large": x[large].astype(np.int64)})
+        large = np.flatnonzero(x > 2)
+        small = np.zeros(-(-len(x) // 4) * 4, np.uint8)
+        small[: len(x)] = np.minimum(x, 3)
+        bits = np.bitwise_or.reduce(small.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1, dtype=np.uint8)
+        save_arrays(folder, name, **{key: bits, f"{key}.at": large.astype(np.uint32), f"{key}.large": np.frombuffer(_packed(x[large]), np.uint8)})
 
 
 def _counts_at(folder: str, name: str, at: np.ndarray) -> np.ndarray:
-    out = map_array(folder, name, np.uint8)[at].astype(np.int64)
-    large = np.flatnonzero(out == 255)
+    out = (map_array(folder, name, np.uint8)[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3).astype(np.int64)
+    large = np.flatnonzero(out == 3)
     if len(large):
-        out[large] = map_array(folder, f"{name}.large", np.int64)[np.searchsorted(map_array(folder, f"{name}.at", np.int64), at[large])]
+        values = map_array(folder, f"{name}.large", np.uint8)
+        out[large] = values[1:].view(f"<u{values[0]}")[np.searchsorted(map_array(folder, f"{name}.at", np.uint32), at[large].astype(np.uint32))]
     return out
 
 
+def _save_hashes(folder: str, name: str, h: np.ndarray) -> None:
+    """Sorted distinct hashes, as the begin of each bucket by their first bits and the 32 bits that follow.
+
+    A bucket has 16 of n hashes at most on average, so hashes are told apart by
+    32 + log2(n) - 4 bits or more: one of n in a shard is taken for another with
+    a chance of 2^-28 or less.
+    """
+    bits = max(len(h).bit_length() - 4, 1)
+    begins = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    save_arrays(folder, name, hash=(h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), begin=begins.astype(np.uint32))
+
+
+def _hashes_at(folder: str, name: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among the saved ones, and whether they are there."""
+    known, begins = map_array(folder, f"{name}.hash", np.uint32), map_array(folder, f"{name}.begin", np.uint32)
+    if not len(known):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    bits = (len(begins) - 1).bit_length() - 1
+    bucket, rest = (h >> np.uint64(64 - bits)).astype(np.int64), (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+    low, end = begins[bucket].astype(np.int64), begins[bucket + 1].astype(np.int64)
+    high = end
+    while (low < high).any():
+        middle = (low + high) // 2
+        less = (low < high) & (known[np.minimum(middle, len(known) - 1)] < rest)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+    at = np.minimum(low, len(known) - 1)
+    return at, (low < end) & (known[at] == rest)
+
+
 def _longest(contexts: list[np.ndarray]) -> np.ndarray:
     """The first context of each row that isn't 0."""
     found = contexts[-1]
@@ -135,6 +174,44 @@ def _restored(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
+def _named(known: np.ndarray, common: np.ndarray) -> bytes:
+    """Sorted distinct words: the steps between the places of common ones, byte by byte, and the hashes of the others."""
+    at = np.minimum(np.searchsorted(common, known), max(len(common) - 1, 0))
+    hit = common[at] == known if len(common) else np.zeros(len(known), bool)
+    steps = np.diff(at[hit], prepend=0).astype(np.uint32)
+    return _squeezed(len(steps).to_bytes(8, "little") + _bytewise(steps) + _array(known[~hit]))
+
+
+def _words_named(data: bytes, common: np.ndarray) -> np.ndarray:
+    data = _restored(data)
+    n = int.from_bytes(data[:8], "little")
+    steps = _from_bytes(data[8 : 8 + 4 * n], np.uint32)
+    return np.sort(np.concatenate([common[np.cumsum(steps, dtype=np.int64)], np.frombuffer(data, np.uint64, offset=8 + 4 * n)]))
+
+
+def _bytewise(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on, which compresses better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _from_bytes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def _places(x: np.ndarray) -> bytes:
+    """n-grams (one row for each of their words) sorted by their last two words: of these, the steps."""
+    x = x.copy()
+    x[-2:, 1:] -= x[-2:, :-1].copy()
+    return _squeezed(_bytewise(x.ravel()))
+
+
+def _placed(data: bytes, order: int, dtype) -> np.ndarray:
+    x = _from_bytes(_restored(data), dtype).reshape(order, -1)
+    x[-2:] = np.cumsum(x[-2:], axis=1, dtype=dtype)
+    return x
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counts in the fewest bytes, 1, 2, 4 or 8, that hold the largest of them, and that number."""
     size = next(b for b in (1, 2, 4, 8) if b == 8 or not len(counts) or int(counts.max()) < 1 << 8 * b)
@@ -199,7 +276,10 @@ class Model:
         hot = np.isin(v, self.hot_words())
         out = [np.zeros(len(h), np.int64) for _ in _CONTEXT]
         for name, own in ((f"h{k}_", hot), (f"c{k}_", ~hot)):
-            for x, y in zip(out, self._found(name, _CONTEXT, h[own], _shard(h[own] if name[0] == "h" else v[own], self.bits)), strict=True):
+            shard = _shard(h[own] if name[0] == "h" else v[own], self.bits)
+            # the first bits of a very frequent context's hash are its shard's
+            kept = h[own] << np.uint64(self.bits) if name[0] == "h" else h[own]
+            for x, y in zip(out, self._found(name, _CONTEXT, kept, shard), strict=True):
                 x[own] = y
         return out
 
@@ -207,13 +287,12 @@ class Model:
         order = np.lexsort((h, shard))
         out = [np.zeros(len(h), np.int64) for _ in values]
         for s, part in _sliced(shard[order], 1 << self.bits):
-            known = map_array(self.folder, f"{name}{s}.hash", np.uint64)
-            if len(known):
-                mine = order[part]
-                at = np.minimum(np.searchsorted(known, h[mine]), len(known) - 1)
-                same = known[at] == h[mine]
+            mine = order[part]
+            at, same = _hashes_at(self.folder, f"{name}{s}", h[mine])
+            mine, at = mine[same], at[same]
+            if len(mine):
                 for x, value in zip(out, values, strict=True):
-                    x[mine] = np.where(same, _counts_at(self.folder, f"{name}{s}.{value}", at), 0)
+                    x[mine] = _counts_at(self.folder, f"{name}{s}.{value}", at)
         return out
 
 
@@ -259,7 +338,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         def emit() -> pa.RecordBatch:
             h, c = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            rows = [(s, _array(h[p]), _array(c[p])) for s, p in _sliced(_shard(h, bits), n_shards)]
+            rows = [(s, _array(h[p]), _packed(c[p])) for s, p in _sliced(_shard(h, bits), n_shards)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "hash", "count"])
 
         for words in words_of(batches):
@@ -271,15 +350,34 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
 
     def sum_words(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        h, c = _summed(_joined(table, "hash", np.uint64), _joined(table, "count", np.int64))
+        h, c = _summed(_joined(table, "hash", np.uint64), _counts_of(table, "count"))
         save_arrays(folder, f"u{s}", hash=h, count=c)
         often = np.flatnonzero(c > c.sum() / 1000)
-        return pa.table({"types": [len(h)], "tokens": [int(c.sum())], "often": [[{"hash": int(a), "n": int(b)} for a, b in zip(h[often].view(np.int64), c[often], strict=True)]]}, pa.schema([("types", pa.int64()), ("tokens", pa.int64()), ("often", pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())])))]))
+        sizes = np.bincount(np.searchsorted(_POWERS, c, "right") - 1, minlength=len(_POWERS))
+        row = {"shard": s, "types": len(h), "tokens": int(c.sum()), "sizes": sizes.tolist(), "often": [{"hash": int(a), "n": int(b)} for a, b in zip(h[often].view(np.int64), c[often], strict=True)]}
+        return pa.Table.from_pylist([row], _totals)
 
+    _totals = pa.schema([("shard", pa.int32()), *((n, pa.int64()) for n in ("types", "tokens")), ("sizes", pa.list_(pa.int64())), ("often", pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())])))])
     words = texts.mapInArrow(count_words, "shard int, hash binary, count binary")
-    words = written(words.groupBy("shard").applyInArrow(sum_words, "types long, tokens long, often array<struct<hash:long,n:long>>"), f"{folder}/words")
-    totals = words.agg(F.sum("types"), F.sum("tokens")).first()
+    words = written(words.groupBy("shard").applyInArrow(sum_words, "shard int, types long, tokens long, sizes array<long>, often array<struct<hash:long,n:long>>"), f"{folder}/words")
+    totals = words.agg(F.sum("types"), F.sum("tokens"), *[F.sum(F.col("sizes")[k]) for k in range(len(_POWERS))]).first()
     types, tokens = totals[0] or 0, totals[1] or 0
+    # words of how large a count are so few that all have a place in the table
+    sizes = np.cumsum([n or 0 for n in totals[:1:-1]])[::-1]
+    least = int(_POWERS[np.argmax(sizes <= COMMON)])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column("shard").to_pylist():
+                h, c = map_array(folder, f"u{s}.hash", np.uint64), map_array(folder, f"u{s}.count", np.int64)
+                yield pa.RecordBatch.from_pydict({"hash": pa.array([_array(h[c >= least])], pa.binary())})
+
+    def save_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for b in batches for x in b.column("hash").to_pylist())])
+        save_arrays(folder, "common", hash=np.sort(found))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(found)], pa.int64())})
+
+    written(words.select("shard").mapInArrow(choose, "hash binary").repartition(1).mapInArrow(save_common, "n long"), f"{folder}/common-saved")
 
     def save_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.concatenate([np.zeros(0, np.int64), *(b.column("hash").to_numpy() for b in batches)]).view(np.uint64)
@@ -292,7 +390,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     written(hot.coalesce(1).mapInArrow(save_hot, "n long"), f"{folder}/hot")
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words = map_array(folder, "hot.hash", np.uint64)
+        hot_words, common = map_array(folder, "hot.hash", np.uint64), map_array(folder, "common.hash", np.uint64)
         held: list[tuple[np.ndarray, ...]] = []
 
         def emit() -> pa.RecordBatch:
@@ -310,7 +408,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             for s, p in _sliced(shard[rank], n_shards):
                 # a shard's words once, n-grams as places in them
                 known, places = np.unique(np.concatenate([x[p] for x in grams]), return_inverse=True)
-                rows.append((s, _squeezed(_array(known)), _squeezed(_array(places.astype(_place_type(len(known))))), _squeezed(_packed(c[p]))))
+                rows.append((s, _named(known, common), _places(places.astype(_place_type(len(known))).reshape(order, -1)), _squeezed(_packed(c[p]))))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["shard", "words", "grams", "count"])
 
         for words in words_of(batches):
@@ -325,11 +423,11 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
 
     def sum_grams(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        hot_words = map_array(folder, "hot.hash", np.uint64)
+        hot_words, common = map_array(folder, "hot.hash", np.uint64), map_array(folder, "common.hash", np.uint64)
         parts = []
         for known, places in zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True):
-            known = np.frombuffer(_restored(known), np.uint64)
-            parts.append(known[np.frombuffer(_restored(places), _place_type(len(known))).reshape(order, -1)])
+            known = _words_named(known, common)
+            parts.append(known[_placed(places, order, _place_type(len(known)))])
         *history, last = np.concatenate(parts, axis=1)
         grams = [*_contexts(history), last]
         del parts, history
@@ -358,7 +456,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             count = np.add.reduceat(count[rank], first) if len(h) else count
             grams = [x[rank[first]] for x in grams]
-            save_arrays(folder, f"g{k}_{s}", hash=h[first])
+            _save_hashes(folder, f"g{k}_{s}", h[first])
             _save_counts(folder, f"g{k}_{s}", count=count)
             of_counts += _of_counts(count)[:4]
             begun = begun[1:]
@@ -370,7 +468,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
                 # a context that ends in a very frequent word has parts in other shards as well
                 hot = np.isin(grams[-2], hot_words)
                 own = _summed(grams[0][~hot], *(x[~hot] for x in tally))
-                save_arrays(folder, f"c{k}_{s}", hash=own[0])
+                _save_hashes(folder, f"c{k}_{s}", own[0])
                 _save_counts(folder, f"c{k}_{s}", **dict(zip(_CONTEXT, own[1:], strict=True)))
                 hand_on(k, 0, _summed(grams[0][hot], *(x[hot] for x in tally)))
         out = [(t, k, *row, None) for (t, k), row in rows.items()] + [(-1, 0, *[b""] * 7, of_counts)]
@@ -385,7 +483,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     def sum_longer_contexts(table: pa.Table) -> pa.Table:
         s, k = table.column("shard")[0].as_py(), table.column("k")[0].as_py()
         h, *sums = _summed(_joined(table, "v", np.uint64), *(_counts_of(table, x) for x in _CONTEXT))
-        save_arrays(folder, f"h{k}_{s}", hash=h)
+        _save_hashes(folder, f"h{k}_{s}", h << np.uint64(bits))
         _save_counts(folder, f"h{k}_{s}", **dict(zip(_CONTEXT, sums, strict=True)))
         return pa.table({"n": pa.array([len(h)], pa.int64())})
 
