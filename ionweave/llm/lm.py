@@ -37,7 +37,7 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0x9FB21C651E98DF25)
 _POWERS = 1 << np.arange(63, dtype=np.int64)
 _CONTEXT = ("total", "n1", "n2", "n3")
-_WORD = (("hash", np.uint64), ("count", np.int64), ("cont", np.int64), ("total", np.int64), ("n1", np.int64), ("n2", np.int64), ("n3", np.int64))
+_WORD = ("count", "cont", *_CONTEXT)
 
 
 def is_training(doc_id: Column) -> Column:
@@ -258,13 +258,14 @@ class Model:
 
     def words(self, h: np.ndarray) -> dict[str, np.ndarray]:
         """The counts of words by their sorted distinct hashes; 0 where the word is unknown."""
-        out = {name: np.zeros(len(h), np.int64) for name, _ in _WORD[1:]}
+        out = {name: np.zeros(len(h), np.int64) for name in _WORD}
         for s, part in _sliced(_shard(h, self.bits), 1 << self.bits):
             known = map_array(self.folder, f"w{s}.hash", np.uint64)
-            at = np.minimum(np.searchsorted(known, h[part]), max(len(known) - 1, 0))
-            same = known[at] == h[part] if len(known) else np.zeros(len(at), bool)
-            for name in out:
-                out[name][part] = np.where(same, map_array(self.folder, f"w{s}.{name}", np.int64)[at] if len(known) else 0, 0)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h[part]), len(known) - 1)
+                same = known[at] == h[part]
+                for name in out:
+                    out[name][part] = np.where(same, _counts_at(self.folder, f"w{s}.{name}", at), 0)
         return out
 
     def grams(self, k: int, h: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -351,7 +352,8 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     def sum_words(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
         h, c = _summed(_joined(table, "hash", np.uint64), _counts_of(table, "count"))
-        save_arrays(folder, f"u{s}", hash=h, count=c)
+        save_arrays(folder, f"u{s}", hash=h)
+        _save_counts(folder, f"u{s}", count=c)
         often = np.flatnonzero(c > c.sum() / 1000)
         sizes = np.bincount(np.searchsorted(_POWERS, c, "right") - 1, minlength=len(_POWERS))
         row = {"shard": s, "types": len(h), "tokens": int(c.sum()), "sizes": sizes.tolist(), "often": [{"hash": int(a), "n": int(b)} for a, b in zip(h[often].view(np.int64), c[often], strict=True)]}
@@ -369,7 +371,8 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column("shard").to_pylist():
-                h, c = map_array(folder, f"u{s}.hash", np.uint64), map_array(folder, f"u{s}.count", np.int64)
+                h = map_array(folder, f"u{s}.hash", np.uint64)
+                c = _counts_at(folder, f"u{s}.count", np.arange(len(h)))
                 yield pa.RecordBatch.from_pydict({"hash": pa.array([_array(h[c >= least])], pa.binary())})
 
     def save_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +444,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         def hand_on(k: int, column: int, arrays: tuple[np.ndarray, ...]) -> None:
             for t, p in _sliced(_shard(arrays[0], bits), n_shards):
                 row = rows.setdefault((t, k), [b""] * 7)
-                row[column : column + len(arrays)] = [_array(x[p]) if not j else _packed(x[p]) for j, x in enumerate(arrays)]
+                row[column : column + len(arrays)] = [(_named(x[p], common) if k == 2 else _array(x[p])) if not j else _packed(x[p]) for j, x in enumerate(arrays)]
 
         for k in range(order, 1, -1):
             if k < order:
@@ -493,16 +496,19 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
 
     def sum_contexts(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        known, count = map_array(folder, f"u{s}.hash", np.uint64), map_array(folder, f"u{s}.count", np.int64)
-        v, *context = _summed(_joined(table, "v", np.uint64), *(_counts_of(table, x) for x in ("total", "n1", "n2", "n3")))
-        w, cont = _summed(_joined(table, "w", np.uint64), _counts_of(table, "cont"))
+        known, common = map_array(folder, f"u{s}.hash", np.uint64), map_array(folder, "common.hash", np.uint64)
+        count = _counts_at(folder, f"u{s}.count", np.arange(len(known)))
+        v, w = (np.concatenate([np.zeros(0, np.uint64), *(_words_named(x, common) for x in table.column(side).to_pylist() if x)]) for side in "vw")
+        v, *context = _summed(v, *(_counts_of(table, x) for x in ("total", "n1", "n2", "n3")))
+        w, cont = _summed(w, _counts_of(table, "cont"))
         h = np.union1d(np.union1d(known, v), w)
-        out = {name: np.zeros(len(h), np.int64) for name, _ in _WORD[1:]}
+        out = {name: np.zeros(len(h), np.int64) for name in _WORD}
         out["count"][np.searchsorted(h, known)] = count
         out["cont"][np.searchsorted(h, w)] = cont
         for name, x in zip(("total", "n1", "n2", "n3"), context, strict=True):
             out[name][np.searchsorted(h, v)] = x
-        save_arrays(folder, f"w{s}", hash=h, **out)
+        save_arrays(folder, f"w{s}", hash=h)
+        _save_counts(folder, f"w{s}", **out)
         return pa.table({"cont": pa.array([int(cont.sum())], pa.int64()), "of_counts": pa.array([_of_counts(cont)], pa.list_(pa.int64()))})
 
     contexts = written(partial.where("k = 2").drop("k", "of_counts").groupBy("shard").applyInArrow(sum_contexts, "cont long, of_counts array<long>"), f"{folder}/contexts")
