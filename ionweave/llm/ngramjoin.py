@@ -44,6 +44,8 @@ COUNTED = np.uint64(1 << 62)
 LEADERS = 2
 #: Members of a signature that one side of a comparison holds.
 CHUNK = 1000
+#: Bytes of token sets in one saved shard.
+SHARD_BYTES = 32 << 20
 _K, _K2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -198,13 +200,15 @@ class _Join:
         return rows.where("sig is not null"), rows.where("sig is null").select("doc", "n")
 
     def save_sets(self, wanted: DataFrame, name: str) -> None:
-        """Saves the token sets of the wanted documents (doc), in shards by id."""
-        own = SortedStore.saved(wanted, "doc", self.folder, f"{name}-ids", wanted.count())
-        bits = own.bits
+        """Saves the token sets of the wanted documents (doc, n), in shards by id that have about SHARD_BYTES each."""
+        wanted = written(wanted, f"{self.folder}/{name}-wanted")
+        rows, tokens = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        own = SortedStore.saved(wanted, "doc", self.folder, f"{name}-ids", rows)
+        shards = SortedStore(self.folder, name, max(own.bits, (8 * tokens // SHARD_BYTES).bit_length()))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, sets in self.sets(batches, own):
-                yield pa.RecordBatch.from_arrays([pa.array(own.shards(ids).astype(np.int32)), pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["shard", "doc", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards.shards(ids).astype(np.int32)), pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["shard", "doc", "tokens"])
 
         def save(table: pa.Table) -> pa.Table:
             s = table.column("shard")[0].as_py()
@@ -217,7 +221,7 @@ class _Join:
 
         rows = self.docs.mapInArrow(emit, "shard int, doc long, tokens binary")
         written(rows.groupBy("shard").applyInArrow(save, "n long"), f"{self.folder}/{name}-saved")
-        self.stored = (name, own)
+        self.stored = (name, shards)
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
@@ -364,7 +368,7 @@ class _Join:
                 pairs = written(pairs, f"{self.folder}/pairs{k}")
                 tested = pairs if not k else tested.unionByName(pairs)
                 if not k:
-                    self.save_sets(postings.select("doc").distinct(), "sets")
+                    self.save_sets(postings.groupBy("doc").agg(F.max("n").alias("n")), "sets")
                 found = self.verified(pairs, f"links{k}")
             else:
                 found = self.within_signatures(postings)
