@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .shared import shared_dir, written
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS = 0.85, 10
+DAMPING = 0.85
+#: Rank that a round may still move, and rounds by which any walk has come below it (0.85 ^ 57 is less than 0.0001).
+TOLERANCE, ROUNDS = 2e-4, 60
 #: A host without a rule is blocked if distrust has more than this share of its trust and distrust.
 DISTRUST = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,11 +67,13 @@ def host_edges(pages: DataFrame, hierarchy: bool = True) -> DataFrame:
     return edges
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust): ranks of two personalised walks after ``rounds`` rounds.
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust): ranks of two personalised walks, once a round changes neither by more than the tolerance.
 
     seeds: (host, trust, distrust), both sums scaled to 1; trust follows edges,
     distrust goes against them.  Rank that reaches a host without edges is lost.
+    The change of a walk is summed over its hosts, and shrinks by the damping
+    or more in each round; walks that ``rounds`` rounds don't settle raise.
     """
     base = shared_dir(edges.sparkSession, "links")
     trust = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
@@ -79,11 +83,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     both = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all")).alias("share")), f"{base}/shares")
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).where("seed > 0")
     start = written(start, f"{base}/seeds")
+    nothing = F.lit(0.0).alias("before")
     ranks = start.select("kind", "host", F.col("seed").alias("rank"))
     for k in range(rounds):
-        moved = both.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("rank")).alias("rank"))
-        ranks = moved.unionByName(start.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("rank")))
-        ranks = written(ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), f"{base}/ranks{k}")
+        moved = both.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("rank")).alias("rank"), nothing)
+        new = moved.unionByName(start.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("rank"), nothing))
+        new = new.unionByName(ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        new = written(new.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), f"{base}/ranks{k}")
+        change = new.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("x")).agg(F.max("x")).first()[0] or 0.0
+        ranks = new.where("rank > 0").select("kind", "host", "rank")
+        if change <= tolerance:
+            break
+    else:
+        raise ValueError(f"the walks still change by {change} after {rounds} rounds")
     return ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 

@@ -334,6 +334,34 @@ def test_kneser_ney_of_any_order(docs, order):
         assert math.isclose(sum(p((*c, w)) for w in words) + p((*c, "never seen")), 1.0)
 
 
+def test_arrays_of_the_model_return_what_was_saved(tmp_path):
+    """Hashes in buckets, counts in two bits, and n-grams as places in a table of common words that lacks some of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 15, 5000):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        c = np.where(rng.random(len(h)) < 0.9, rng.integers(0, 4, len(h)), rng.integers(0, 2**40, len(h)))
+        lm._save_hashes(str(tmp_path), f"x{n}", h)
+        lm._save_counts(str(tmp_path), f"x{n}", count=c)
+        at, there = lm._hashes_at(str(tmp_path), f"x{n}", h)
+        assert there.all() and (at == np.arange(len(h))).all()
+        assert (lm._counts_at(str(tmp_path), f"x{n}.count", at) == c).all()
+        assert not lm._hashes_at(str(tmp_path), f"x{n}", h ^ np.uint64(1 << 40))[1].any()
+        words = np.unique(np.append(h, np.array([0, lm.BEGIN], np.uint64)))
+        for common in (h[::3], h[:0], h):
+            assert (lm._words_named(lm._named(words, common), common) == words).all()
+    for size, dtype in ((1 << 16, np.uint16), (1 << 20, np.uint32)):
+        grams = rng.integers(0, size, (3, 1000)).astype(dtype)
+        assert (lm._placed(lm._places(grams), 3, dtype) == grams).all()
+
+
+def test_kneser_ney_with_words_outside_the_table(docs, monkeypatch):
+    want = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, order=3)).collect()}
+    monkeypatch.setattr(lm, "COMMON", 20)
+    assert {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, order=3)).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_kneser_ney_query_is_a_trigram_model(spark, docs, tmp_path):
     from ionweave.llm import queries
 
@@ -583,6 +611,37 @@ def test_duplicate_lines(spark):
     assert linededup.duplicate_lines(docs.where("false")).count() == 0
 
 
+def test_walks_equal_power_iteration(spark):
+    """Trust along the edges and distrust against them, with circles, a chain far longer than ten links, and hosts without edges."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 60
+    weights = np.zeros((n, n))
+    for a, b in rng.integers(0, 40, (90, 2)):
+        if a != b:
+            weights[a, b] += rng.integers(1, 5)
+    for k in range(40, 58):
+        weights[k, k + 1] = 1
+    weights[39, 40] = 1
+    seeds = np.zeros((n, 2))
+    seeds[[1, 39, 59], 0], seeds[[2, 58], 1] = [0.5, 0.25, 0.25], 0.5
+    want = []
+    for kind, w in enumerate((weights, weights.T)):
+        sums = w.sum(1, keepdims=True)
+        shares = np.divide(w, sums, out=np.zeros_like(w), where=sums > 0)
+        want.append(np.linalg.solve(np.eye(n) - 0.85 * shares.T, 0.15 * seeds[:, kind]))
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", float(weights[a, b])) for a, b in zip(*np.nonzero(weights), strict=True)], "src string, dst string, weight double")
+    given = spark.createDataFrame([(f"h{k}", float(t), float(d)) for k, (t, d) in enumerate(seeds) if t or d], "host string, trust double, distrust double")
+    found = {r.host: (r.trust, r.distrust) for r in urlfilter.propagate(edges, given).collect()}
+    for k in range(n):
+        assert np.allclose(found.get(f"h{k}", (0, 0)), [want[0][k], want[1][k]], atol=2e-3)
+    # the chain's far end is reached
+    assert found["h57"][0] > 0 and found["h41"][1] > 0
+    with pytest.raises(ValueError, match="still change"):
+        urlfilter.propagate(edges, given, rounds=3)
+
+
 def test_urls(spark):
     pages = [
         (1, "http://A.net/x?q", "<a href='http://spam.com/'>"), (2, "https://example.net/en/1", '<a href="//good.com/a">'), (3, "https://m.example.net/en/1#t", None),
