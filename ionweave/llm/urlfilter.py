@@ -15,8 +15,8 @@ from .shared import shared_dir, written
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-#: Rank that a round may still move, and rounds by which any walk has come below it (0.85 ^ 57 is less than 0.0001).
-TOLERANCE, ROUNDS = 2e-4, 60
+#: Rank that a round may still move, and rounds by which any walk has come below it (2 * 0.85 ^ 33 is less than 0.01).
+TOLERANCE, ROUNDS = 1e-2, 40
 #: A host without a rule is blocked if distrust has more than this share of its trust and distrust.
 DISTRUST = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
