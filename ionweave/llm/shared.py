@@ -16,6 +16,12 @@ _mapped: dict[str, np.ndarray] = {}
 BATCH_ROWS = 500
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of rows a batch where it is above BATCH_ROWS."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir.
 
@@ -23,8 +29,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     in tests), a temporary folder is made and set; on a cluster it must be set.
     Every operator starts here, so Arrow batches are bounded here, too.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
