@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import predicates
+from . import keys, predicates
 
 
 def decode(df: DataFrame, keys: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -113,17 +113,9 @@ def append_new(target: DataFrame, rows: DataFrame, unique: list[str]) -> DataFra
 def add_or_get(target: DataFrame, values: DataFrame, on: list[str], key: str = "id") -> DataFrame:
     """values with their key in target: the largest of several matches, else a new one after the largest.
 
-    New keys follow the order of the distinct values, which are ranked in one
-    task: they are the few that a dimension lacks.
+    New keys follow the order of the distinct values, nulls first.
     """
-    own = target.groupBy(*on).agg(F.max(key).alias(key))
-    known = own.select(*[F.col(c).alias(f"_{c}") for c in on], key)
-    found = values.join(known, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]), "left").drop(*[f"_{c}" for c in on])
-    top = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    fresh = found.where(F.col(key).isNull()).select(*on).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(*on)))
-    fresh = fresh.join(F.broadcast(top)).select(*[F.col(c).alias(f"_{c}") for c in on], (F.col("_top") + F.col("_rank")).alias("_new"))
-    out = found.join(fresh, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]), "left")
-    return out.withColumn(key, F.coalesce(key, "_new")).drop("_new", *[f"_{c}" for c in on])
+    return keys.keyed(target, values, on, key)[0]
 
 
 def normalize_key(df: DataFrame, column: str, dim: DataFrame, key: str = "id", name: str = "name") -> tuple[DataFrame, DataFrame]:

@@ -226,9 +226,13 @@ def test_stream_loads_keys(spark, tmp_path):
         want = [(0, 2), (1, 1), (2, None)]
         assert sorted((r.n, r.kind) for r in spark.table("loaded").collect()) == want
         # the same batch once more
-        number = spark.table("loaded").first().batch
-        ingest.load_batch(spark.createDataFrame([(0, "soil")], "n long, kind string"), number, "kind", "kinds", "loaded")
+        first = spark.table("loaded").where("n = 0").first()
+        ingest.load_batch(spark.createDataFrame([(0, "soil"), (1, "water"), (2, "")], "n long, kind string"), first.batch, "kind", "kinds", "loaded", first.stream)
         assert sorted((r.n, r.kind) for r in spark.table("loaded").collect()) == want and spark.table("kinds").count() == 2
+        # other streams number their batches from 0, too
+        ingest.load_batch(spark.createDataFrame([(7, "air")], "n long, kind string"), first.batch, "kind", "kinds", "loaded", "other")
+        ingest.load_with_keys(rows, "kind", "kinds", "loaded", str(tmp_path / "ck2")).awaitTermination()
+        assert sorted(map(str, [*want, *want, (7, 3)])) == sorted(str((r.n, r.kind)) for r in spark.table("loaded").collect())
     finally:
         spark.sql("drop table if exists loaded")
         spark.sql("drop table if exists kinds")
