@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ionweave.library_queries import TABLES, Frames, query
 from ionweave.operators.keys import staged
-from ionweave.plans import fragments, mobile_phases
+from ionweave.plans import fragments, full_import, mobile_phases
 
 TABLES |= {
     "import_fragments": """select l_orderkey as object, l_linenumber as number, l_extendedprice / l_quantity as mz, 'C' || cast(l_partkey % 30 + 1 as varchar(9)) || 'H' || cast(l_suppkey % 7 + 1 as varchar(9)) as formula,
@@ -24,6 +24,10 @@ TABLES |= {
         case o_custkey % 4 when 0 then '50' when 1 then '0.25' when 2 then '1' end as f1, case when o_custkey % 3 = 0 then 'ether' end as s12, case when o_custkey % 2 = 0 then '75' end as f12,
         case o_custkey % 5 when 0 then 'nation_7' when 1 then 'none' when 2 then 'salt' end as a1, case when o_custkey % 2 = 0 then '10' else '2.5' end as am1, case o_custkey % 4 when 0 then 'ASIA' when 1 then 'stone' end as u1,
         case when o_custkey % 7 > 3 then 'Brine' end as s2, case when o_custkey % 5 > 1 then '0.4' end as flow, case when o_custkey % 3 > 0 then 'europe' end as flowunits, case when o_custkey % 2 > 0 then 'Africa' else 'eon' end as durationunits from orders""",
+    "import_objects": """select o_orderkey as object, 'run ' || cast(o_custkey as varchar(9)) as name, case when o_custkey % 10 > 0 then 'USER ' || cast(o_custkey as varchar(9)) else 'nobody' end as data_generator,
+        case o_custkey % 7 when 0 then 'asia' when 1 then 'europe' when 2 then 'ether' end as ionization, cast(o_custkey % 3 * 1000 as varchar(9)) as voltage, o_totalprice / 100 as mz, cast(o_orderkey % 90 as varchar(9)) || '.5' as scantime,
+        'acid ' || cast(o_orderkey % 40 as varchar(9)) as compound, 'C' || cast(o_orderkey % 20 + 1 as varchar(9)) as formula, o_orderkey % 20 + 1 as n_c, o_orderkey % 50 as kind, o_custkey as customer from orders""",
+    "import_contributors": "select c_custkey as id, 'user ' || cast(c_custkey as varchar(9)) as username, c_name as contact, c_mktsegment as first_name, cast(null as varchar(9)) as last_name from customer",
 }
 
 
@@ -139,3 +143,62 @@ def _import_mixes(t: Frames) -> DataFrame:
     tables = _phases(t)
     carriers = tables["carrier_mixes"].select("mix_id", F.lit("carrier").alias("kind"), "component", F.col("fraction").alias("amount"), F.lit(None).cast("long").alias("units"))
     return carriers.unionByName(tables["carrier_additives"].select("mix_id", F.lit("additive").alias("kind"), "component", "amount", "units"))
+
+
+# --- whole imports -----------------------------------------------------------------------------------------------------
+
+
+def _objects(rows: DataFrame) -> DataFrame:
+    """Import objects of the rows of import_objects."""
+    text = lambda c: F.col(c).cast("string")
+    made = lambda **entries: F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+    spectrum = lambda n: made(ms_n=F.lit(n), scantime=F.col("scantime"), base_int=F.lit("1"), measured_mz=text("mz"), measured_intensity=F.lit("1"))
+    mp = {"mp1solvent": F.concat(F.lit("solvent "), (F.col("customer") % 4).cast("string")), "mp1fraction": F.lit("80"), "mp12solvent": F.lit("water")}
+    return rows.select(
+        text("object").alias("object"),
+        made(name=F.col("name"), description=F.lit("d"), sample_class=F.lit("Asia"), data_generator=F.col("data_generator")).alias("sample"),
+        made(ctype=F.lit("africa"), colchemistry=F.lit("none"), gcolchemistry=F.lit("NONE"), **mp).alias("chromatography"),
+        made(ionization=F.col("ionization"), voltage=F.col("voltage"), massanalyzer1=F.lit("asia"), massanalyzer2=F.lit("Europe"), isowidth=F.lit("0.7")).alias("massspectrometry"),
+        made(mz=text("mz"), ionstate=F.lit("asia"), rt=F.lit("1"), peak_starttime=F.lit("0"), peak_endtime=F.lit("2")).alias("peak"),
+        made(NAME=F.col("compound"), FORMULA=F.col("formula")).alias("compounddata"),
+        F.array(spectrum("1"), spectrum("2")).alias("msdata"),
+        F.array(made(fragment_mz=text("kind"), fragment_formula=F.col("formula")), made(fragment_mz=text("mz"), fragment_formula=F.lit("C2"), fragment_citation=F.lit("x"))).alias("annotation"),
+        F.array(F.lit("converted")).alias("msconvertsettings"),
+        *[F.lit(None).cast("array<map<string,string>>").alias(c) for c in ("qcmethod", "qc", "opt_ums_params", "inspections", "fragment_aliases")],
+        F.lit(None).cast("map<string,string>").alias("sample_aliases"),
+    )
+
+
+def _imported(t: Frames) -> full_import.Imported:
+    rows = t["import_objects"]
+    tables = full_import.empty(rows.sparkSession)
+    dimension = t["norm_ion_states"].select("id", "name")
+    tables |= dict.fromkeys(("norm_sample_classes", "norm_ionization", "norm_ms_types", "norm_ion_states", "norm_chromatography_types", "norm_generation_type"), dimension)
+    tables["contributors"] = t["import_contributors"]
+    first = full_import.full_import(_objects(rows.where("object % 2 = 0")), tables, "Europe")
+    return full_import.full_import(_objects(rows), {name: staged(df) for name, df in first.tables.items()}, "Europe")
+
+
+_IMPORTED = """
+    o as (select *, object % 2 as run, (select id from norm_ion_states where lower(name) = ionization) as ion, cast(voltage as double) as volts from import_objects where data_generator <> 'nobody'),
+    m0 as (select *, object % 2 as run, (select id from norm_ion_states where lower(name) = ionization) as ion, cast(voltage as double) as volts from import_objects),
+    m as (select row_number() over (order by min(run), ion nulls first, volts) as ms_methods_id, ion, volts from m0 group by ion, volts),
+    s as (select row_number() over (order by min(run), name) as sample_id, name from o group by name),
+    x as (select o.*, ms_methods_id, sample_id from o join m on m.ion is not distinct from o.ion and m.volts = o.volts join s using (name)),
+    p as (select row_number() over (order by min(run), sample_id, mz) as peak_id, sample_id, mz from x group by sample_id, mz),
+    c as (select row_number() over (order by min(run), compound, formula) as compound_id, compound, formula from x group by compound, formula),
+    y as (select x.*, peak_id, compound_id from x join p using (sample_id, mz) join c using (compound, formula)),
+    n as (select row_number() over (order by min(run), mass, f) as fragment_id, f from (select run, formula as f, n_c * 12 as mass from y union all select run, 'C2', 24 from y) group by f, mass),
+    g0 as (select object, run, peak_id, compound_id, fragment_id, cast(kind as double) as mz from y join n on n.f = y.formula union all select object, run, peak_id, compound_id, fragment_id, mz from y join n on n.f = 'C2'),
+    a as (select row_number() over (order by min(run), fragment_id, mz) as annotated_fragment_id, fragment_id, mz from g0 group by fragment_id, mz),
+    g as (select g0.*, annotated_fragment_id from g0 join a using (fragment_id, mz))"""
+
+
+@query("full_import", f"with {_IMPORTED} select cast(object as varchar) as object, sample_id, ms_methods_id, peak_id, compound_id from y")
+def _full_import(t: Frames) -> DataFrame:
+    return _imported(t).objects
+
+
+@query("full_import_links", f"with {_IMPORTED} select distinct peak_id, compound_id, annotated_fragment_id from g")
+def _full_import_links(t: Frames) -> DataFrame:
+    return _imported(t).tables["compound_fragments"]

@@ -82,6 +82,10 @@ def _problems(section: Column, path: Column, needed: list[str], numbers: list[st
     return F.array(*found)
 
 
+def _each(name: str, needed: list[str], numbers: list[str]):
+    return lambda x, k: _problems(x, F.concat(F.lit(f"{name}["), k.cast("string"), F.lit("]")), needed, numbers)
+
+
 def rejects(objects: DataFrame, required: dict[str, list[str]] | None = None, listed: dict[str, tuple[list[str], bool]] | None = None, numbers: dict[str, list[str]] | None = None) -> DataFrame:
     """(object, path, problem) of what objects lack or hold in a wrong form, such as ("a", "msdata[2].ms_n", "not a number")."""
     required, listed, numbers = required or REQUIRED, listed or LISTED, numbers or NUMBERS
@@ -90,7 +94,7 @@ def rejects(objects: DataFrame, required: dict[str, list[str]] | None = None, li
         inside = _problems(F.col(name), F.lit(name), needed, numbers.get(name, []))
         parts.append(F.when(F.col(name).isNull(), F.array(F.struct(F.lit(name).alias("path"), F.lit("missing").alias("problem")))).otherwise(inside))
     for name, (needed, must) in listed.items():
-        each = F.flatten(F.transform(name, lambda x, k, name=name, needed=needed: _problems(x, F.concat(F.lit(f"{name}["), k.cast("string"), F.lit("]")), needed, numbers.get(name, []))))
+        each = F.flatten(F.transform(name, _each(name, needed, numbers.get(name, []))))
         empty = F.array(F.struct(F.lit(name).alias("path"), F.lit("missing").alias("problem"))) if must else F.array().cast("array<struct<path:string,problem:string>>")
         parts.append(F.when(F.coalesce(F.size(name), F.lit(0)) <= 0, empty).otherwise(each))
     rows = objects.select("object", F.explode(F.concat(*parts)).alias("p")).where("p is not null")
