@@ -169,14 +169,16 @@ def _objects(rows: DataFrame) -> DataFrame:
     )
 
 
-def _imported(t: Frames) -> full_import.Imported:
+def _imported(t: Frames, runs: int = 2) -> full_import.Imported:
     rows = t["import_objects"]
     tables = full_import.empty(rows.sparkSession)
     dimension = t["norm_ion_states"].select("id", "name")
     tables |= dict.fromkeys(("norm_sample_classes", "norm_ionization", "norm_ms_types", "norm_ion_states", "norm_chromatography_types", "norm_generation_type"), dimension)
     tables["contributors"] = t["import_contributors"]
+    if runs == 1:
+        return full_import.full_import(_objects(rows), tables, "Europe")
     first = full_import.full_import(_objects(rows.where("object % 2 = 0")), tables, "Europe")
-    return full_import.full_import(_objects(rows), {name: staged(df) for name, df in first.tables.items()}, "Europe")
+    return full_import.full_import(_objects(rows), {name: df if df is tables.get(name) else staged(df) for name, df in first.tables.items()}, "Europe")
 
 
 _IMPORTED = """
@@ -199,6 +201,6 @@ def _full_import(t: Frames) -> DataFrame:
     return _imported(t).objects
 
 
-@query("full_import_links", f"with {_IMPORTED} select distinct peak_id, compound_id, annotated_fragment_id from g")
+@query("full_import_links", f"with {_IMPORTED.replace('object % 2 as run', '0 as run')} select distinct peak_id, compound_id, annotated_fragment_id from g")
 def _full_import_links(t: Frames) -> DataFrame:
-    return _imported(t).tables["compound_fragments"]
+    return _imported(t, runs=1).tables["compound_fragments"]

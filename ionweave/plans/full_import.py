@@ -85,7 +85,7 @@ class _Run:
         self.tables, self.rejects = dict(tables), []
 
     def looked_up(self, rows: DataFrame, column: str, name: str, table: str, step: str) -> DataFrame:
-        """rows with ``name``: the key of a column's text in a lookup table; texts without one key are rejected for each object."""
+        """rows with ``name``: the key of a column's text in a lookup table; rows whose text has no key of its own are listed by their object."""
         out, _ = imports.resolve(rows, column, self.tables[table])
         out = out.withColumnRenamed(f"{column}_id", "_id")
         lost = out.where(F.col("_id").isNull() & F.col(column).isNotNull())
@@ -113,17 +113,24 @@ class _Run:
 
 
 def _methods(run: _Run, rows: DataFrame) -> DataFrame:
-    """rows with ms_methods_id, and the methods' descriptions: one for each mass analyzer, one for each column that isn't "none"."""
+    """rows with ms_methods_id, and the methods' descriptions: one for each mass analyzer, one for each column that isn't "none".
+
+    Settings are looked up once for all objects that share them; what is rejected is listed for the first of these.
+    """
     used = F.filter("qcmethod", lambda q: q["name"].contains("QC Method Used"))
     flag = F.lower(F.try_element_at(F.get(used, 0), F.lit("value")))
     spec = {"ionization": "ionization", "voltage_units": "vunits", "polarity": "polarity", "ce_desc": "ce_desc", "ce_units": "ce_units", "fragmentation": "fragmode", "ms2_type": "ms2exp"}
     lookups = {"ionization": "norm_ionization", "voltage_units": "norm_voltage_units", "polarity": "norm_polarity_types", "ce_desc": "norm_ce_desc", "ce_units": "norm_ce_units", "fragmentation": "norm_fragmentation_types", "ms2_type": "norm_ms_n_types"}
-    own = rows.where("massspectrometry is not null").select("object", "massspectrometry", "chromatography", *[_of("massspectrometry", v).alias(f"_{k}") for k, v in spec.items()], _number("massspectrometry", "voltage").alias("voltage"), _of("massspectrometry", "ce_value").alias("ce_value"), F.when(flag.isin("true", "1"), 1).when(flag.isin("false", "0"), 0).alias("has_qc_method"))
-    own = staged(run.named(own, {k: (f"_{k}", lookups[k]) for k in spec}, "method"))
-    own = run.add_keyed("ms_methods", own, "ms_methods_id")
-    for section, described in (("massspectrometry", _analyzers), ("chromatography", _columns)):
-        each = own.where(F.col(section).isNotNull()).groupBy("ms_methods_id", objects.canonical(F.col(section)).alias("_key")).agg(F.min("object").alias("object"), F.first(section).alias("s"))
-        described(run, staged(each))
+    own = rows.where("massspectrometry is not null").select("object", "massspectrometry", "chromatography", objects.canonical(F.col("massspectrometry")).alias("_key"), F.when(flag.isin("true", "1"), 1).when(flag.isin("false", "0"), 0).alias("has_qc_method"))
+    each = own.groupBy("_key", "has_qc_method").agg(F.min("object").alias("object"), F.first("massspectrometry").alias("s"))
+    each = each.select("*", *[_of("s", v).alias(f"_{k}") for k, v in spec.items()], _number("s", "voltage").alias("voltage"), _of("s", "ce_value").alias("ce_value"))
+    each = staged(run.named(staged(each), {k: (f"_{k}", lookups[k]) for k in spec}, "method"))
+    each = run.add_keyed("ms_methods", each, "ms_methods_id")
+    _analyzers(run, each.select("object", "ms_methods_id", "s"))
+    ids = each.select("_key", F.col("has_qc_method").alias("_qc"), "ms_methods_id")
+    own = own.join(ids, own["_key"].eqNullSafe(ids["_key"]) & own["has_qc_method"].eqNullSafe(ids["_qc"])).select("object", "ms_methods_id", "chromatography")
+    columns = own.where("chromatography is not null").groupBy("ms_methods_id", objects.canonical(F.col("chromatography")).alias("_key")).agg(F.min("object").alias("object"), F.first("chromatography").alias("s"))
+    _columns(run, staged(columns))
     return rows.join(own.select("object", "ms_methods_id"), "object", "left")
 
 
