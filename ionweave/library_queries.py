@@ -47,6 +47,7 @@ TABLES: dict[str, str] = {
     "carrier_mixes": "select l_partkey as mix_id, l_suppkey % 30 as component, case when l_linenumber < 6 then l_quantity / 64 end as fraction from lineitem where l_suppkey % 4 = 0",
     "carrier_additives": "select l_partkey as mix_id, l_suppkey % 27 as component, case when l_linenumber < 5 then l_quantity end as amount, l_suppkey % 7 as units from lineitem where l_suppkey % 5 = 0",
     "mobile_phases": "select o_custkey % 300 as ms_methods_id, o_orderkey as sample_id, o_orderkey as peak_id, o_orderkey % 600 as carrier_mix_collection_id, case when o_orderkey % 3 > 0 then cast(o_custkey as double) / 4 end as flow, o_orderkey % 6 as flow_units, case when o_orderkey % 4 > 0 then cast(o_custkey as double) / 2 end as duration, o_orderkey % 7 as duration_units from orders",
+    "lines": "select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as l_linenumber, l_suppkey, l_partkey, l_quantity from lineitem",
     "categories": "select cast(n_nationkey as bigint) as id, n_name as name, case when n_nationkey > 0 then cast((n_nationkey - 1) // 3 as bigint) end as subclass_of from nation",
 }
 _DRIVER = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
@@ -337,6 +338,46 @@ def _context(t: Frames) -> DataFrame:
     return search.peak_context(t["peaks"].select(F.col("id").alias("peak_id")), t).fillna(-1, ["compound_id"])
 
 
+_SEARCHED = """with i as (
+        select l_orderkey as peak_id, l_linenumber % 2 as odd, l_linenumber as scan, unnest([100.0e0 + l_suppkey % 20, 200.0e0 + l_partkey % 10, 300.0e0 + l_orderkey % 5]) as mz, unnest([l_quantity, 10.0e0 * l_linenumber, l_quantity + 3]) as v from lines
+    ),
+    shares as (select peak_id, odd, scan, mz, v / sum(v) over (partition by peak_id, odd, scan) as share from i),
+    u as (select peak_id, odd, mz, avg(share) as i from shares group by peak_id, odd, mz),
+    s as (select peak_id, odd, mz, i / sum(i) over (partition by peak_id, odd) as i from u),
+    near as (select distinct l_orderkey as peak_id from lines where l_orderkey % 5 = 2),
+    q as (select odd, mz, i from s where peak_id = 2),
+    a as (
+        select n.peak_id, q.odd, pow(sum(q.mz * sqrt(q.i) * coalesce(s.mz, 0) * sqrt(coalesce(s.i, 0))), 2) / nullif(sum(q.mz * q.mz * q.i) * sum(coalesce(s.mz * s.mz * s.i, 0)), 0) as dp
+        from near n cross join q left join s on s.peak_id = n.peak_id and s.odd = q.odd and s.mz = q.mz group by all),
+    b as (
+        select s.peak_id, s.odd, pow(sum(s.mz * sqrt(s.i) * coalesce(q.mz, 0) * sqrt(coalesce(q.i, 0))), 2) / nullif(sum(s.mz * s.mz * s.i) * sum(coalesce(q.mz * q.mz * q.i, 0)), 0) as rdp
+        from near join s using (peak_id) left join q on s.odd = q.odd and s.mz = q.mz group by all),
+    f as (
+        select peak_id, count(*) filter (where mass in (select mz from q where odd = 0)) as fragments_matched, count(*) as fragments
+        from near join (select l_orderkey as peak_id, 100.0e0 + l_suppkey % 20 + case when l_partkey % 3 = 0 then 0.5e0 else 0 end as mass from lines) using (peak_id) group by peak_id),
+    r as (
+        select n.peak_id, a1.dp as ms1_dp, b1.rdp as ms1_rdp, a2.dp as ms2_dp, b2.rdp as ms2_rdp, fragments_matched, fragments from near n left join a a1 on a1.peak_id = n.peak_id and a1.odd = 1 left join a a2 on a2.peak_id = n.peak_id and a2.odd = 0
+        left join b b1 on b1.peak_id = n.peak_id and b1.odd = 1 left join b b2 on b2.peak_id = n.peak_id and b2.odd = 0 left join f on f.peak_id = n.peak_id)
+    select peak_id, round(ms1_dp, 8) as ms1_dp, round(ms1_rdp, 8) as ms1_rdp, round(ms2_dp, 8) as ms2_dp, round(ms2_rdp, 8) as ms2_rdp, fragments_matched, fragments,
+           round(coalesce(ms1_dp, 0) + coalesce(ms1_rdp, 0) + coalesce(ms2_dp, 0) + coalesce(ms2_rdp, 0), 7) as sum_match from r"""
+
+
+@query("search_compound", _SEARCHED)
+def _search_compound(t: Frames) -> DataFrame:
+    """Peak 2's MS1 and MS2 spectra, searched among the peaks with its precursor: scans, alignment, spectra, scores, fragments."""
+    lines = t["lines"]
+    ion = lambda mz, v: F.struct(mz.cast("double").alias("mz"), v.cast("double").alias("intensity"))
+    ions = F.array(ion(F.lit(100) + F.col("l_suppkey") % 20, F.col("l_quantity")), ion(F.lit(200) + F.col("l_partkey") % 10, F.lit(10.0) * F.col("l_linenumber")), ion(F.lit(300) + F.col("l_orderkey") % 5, F.col("l_quantity") + 3))
+    scans = lines.select(F.col("l_orderkey").alias("peak_id"), F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(2).alias("ms_n"), F.col("l_linenumber").cast("double").alias("scantime"), ions.alias("ions"))
+    peaks = lines.select(F.col("l_orderkey").alias("peak_id"), (F.lit(300.0) + F.col("l_orderkey") % 5).alias("precursor_mz")).distinct()
+    mass = F.lit(100.0) + F.col("l_suppkey") % 20 + F.when(F.col("l_partkey") % 3 == 0, 0.5).otherwise(0.0)
+    fragments = lines.select(F.col("l_orderkey").alias("peak_id"), mass.alias("fixedmass"))
+    own = peaks.where("peak_id = 2")
+    query1, query2 = (search.library_spectra(scans.where("peak_id = 2"), own, level).select("mz", "int") for level in (1, 2))
+    out = search.search_compound(query1, query2, peaks, scans, fragments, precursor=302.0)
+    return out.select("peak_id", *[F.round(c, 8).alias(c) for c in ("ms1_dp", "ms1_rdp", "ms2_dp", "ms2_rdp")], "fragments_matched", "fragments", F.round("sum_match", 7).alias("sum_match"))
+
+
 @query(
     "scans_of_peaks",
     """with p as (select id, fixedmass as wanted, radical * 50 + id % 50 as a from norm_fragments), s as (select id, mz, fragment_id, mz / 50 as t, id % 10 as n, fragment_id + 880.0 as pre from annotated_fragments)

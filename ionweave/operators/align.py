@@ -33,14 +33,19 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
     so grows; ions left over start groups.  Several ions of a scan in one group
     become one: mean m/z and summed intensity (collapse), or the last (last).
     """
-    scans = {s: g.sort_values(["mz", "intensity"]) for s, g in pdf.groupby("scan", sort=True)}
-    order = sorted(scans)
-    apex = max(order, key=lambda s: (scans[s]["eic"].iloc[0], -order.index(s)))
+    scan, all_mz, all_int = pdf["scan"].to_numpy(), pdf["mz"].to_numpy(), pdf["intensity"].to_numpy()
+    by = np.lexsort((all_int, all_mz, scan))
+    starts = np.flatnonzero(np.concatenate([[True], scan[by][1:] != scan[by][:-1]])) if len(by) else np.zeros(0, int)
+    parts = np.split(by, starts[1:])
+    order = [scan[x[0]] for x in parts] if len(by) else []
+    scans = dict(zip(order, parts, strict=False))
+    trace = {s: pdf["eic"].to_numpy()[x[0]] for s, x in scans.items()}
     place = {s: k for k, s in enumerate(order)}
+    apex = max(order, key=lambda s: (trace[s], -place[s]))
     order.sort(key=lambda s: (abs(place[s] - place[apex]), place[s]))
     low, high, rows = np.zeros(0), np.zeros(0), []
     for s in order:
-        mz, intensity = scans[s]["mz"].to_numpy(), scans[s]["intensity"].to_numpy()
+        mz, intensity = all_mz[scans[s]], all_int[scans[s]]
         left = np.ones(len(mz), bool)
         near = (mz[:, None] >= low - _tol(low, ppm, min_error)) & (mz[:, None] <= high + _tol(high, ppm, min_error))
         for g in np.flatnonzero(near.any(0)):
@@ -49,9 +54,9 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
                 left &= ~hit
                 low[g], high[g] = min(low[g], mz[hit].min()), max(high[g], mz[hit].max())
                 one = (mz[hit].mean(), intensity[hit].sum()) if mode == "collapse" else (mz[hit][-1], intensity[hit][-1])
-                rows.append((s, g, *one, scans[s]["eic"].iloc[0]))
+                rows.append((s, g, *one, trace[s]))
         new = np.flatnonzero(left)
-        rows += [(s, len(low) + k, mz[i], intensity[i], scans[s]["eic"].iloc[0]) for k, i in enumerate(new)]
+        rows += [(s, len(low) + k, mz[i], intensity[i], trace[s]) for k, i in enumerate(new)]
         low, high = np.append(low, mz[new]), np.append(high, mz[new])
     return pd.DataFrame(rows, columns=["scan", "ion_group", "mz", "intensity", "eic"])
 

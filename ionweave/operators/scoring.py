@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tolerance import interval_join, tolerance
+from .tolerance import interval_join, tolerance, tolerance_join
 
 
 def weight(mz: Column, intensity: Column, m: float = 1.0, n: float = 0.5) -> Column:
@@ -59,16 +59,26 @@ def pooled_sd(sd: Column, n: Column) -> Column:
     return F.sqrt(F.try_divide(F.sum((n - 1) * sd * sd), F.sum(n - 1)))
 
 
-def check_fragments(fragments: DataFrame, ions: DataFrame, key: str, mass: str = "fixedmass", mz: str = "mz", ppm: float = 5.0, min_error: float = 0.001) -> DataFrame:
-    """fragments with ``matched``: whether an ion of the same key lies within tolerance of the mass."""
+def check_fragments(fragments: DataFrame, ions: DataFrame, key: str | None, mass: str = "fixedmass", mz: str = "mz", ppm: float = 5.0, min_error: float = 0.001) -> DataFrame:
+    """fragments with ``matched``: whether an ion of the same key (of all ions, without one) lies within tolerance of the mass.
+
+    Each mass is looked up once, in bins of m/z, whichever fragments share it.
+    """
     x = F.col(mass)
-    probe = fragments.select(F.col(key).alias("_key"), x.alias("_mass")).distinct()
-    tol = tolerance(F.col("_mass"), ppm, min_error)
-    # the key is equal, so the range is only asked of the ions of one peak
-    near = (F.col("_key") == F.col("_ion_key")) & F.col("_mz").between(F.col("_mass") - tol, F.col("_mass") + tol)
-    met = probe.join(ions.select(F.col(key).alias("_ion_key"), F.col(mz).alias("_mz")), near, "left_semi").withColumn("_met", F.lit(True))
-    out = fragments.join(met, (F.col(key) == F.col("_key")) & (x == F.col("_mass")), "left")
-    return out.withColumn("matched", F.coalesce("_met", F.lit(False))).drop("_key", "_mass", "_met")
+    keys = [(key, "_key")] if key else []
+    probe = fragments.select(*[F.col(k).alias(n) for k, n in keys], x.alias("_mass")).distinct()
+    if key:
+        tol = tolerance(F.col("_mass"), ppm, min_error)
+        # the key is equal, so the range is only asked of the ions of one peak
+        near = (F.col("_key") == F.col("_ion_key")) & F.col("_mz").between(F.col("_mass") - tol, F.col("_mass") + tol)
+        met = probe.join(ions.select(F.col(key).alias("_ion_key"), F.col(mz).alias("_mz")), near, "left_semi")
+    else:
+        met = tolerance_join(probe, ions.select(F.col(mz).alias("_mz")), "_mass", "_mz", ppm, min_error).select("_mass").distinct()
+    same = x == F.col("_mass")
+    for k, n in keys:
+        same = same & (F.col(k) == F.col(n))
+    out = fragments.join(met.withColumn("_met", F.lit(True)), same, "left")
+    return out.withColumn("matched", F.coalesce("_met", F.lit(False))).drop("_mass", "_met", *[n for _, n in keys])
 
 
 def bootstrap(query: DataFrame, library: DataFrame, runs: int, seed: int = 1, **settings) -> DataFrame:

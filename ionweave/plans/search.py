@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.operators.align import aligned, optimal_parameters
+from ionweave.operators.keys import staged
 from ionweave.operators.scoring import check_fragments, compare
 from ionweave.operators.spectra import extracted, uncertainty_spectrum
 from ionweave.operators.tolerance import interval_join, tolerance, tolerance_join
@@ -46,7 +47,7 @@ def library_spectra(scans: DataFrame, peaks: DataFrame, level: int, parameters:
     ions = rows.where(F.col("ms_n") == level).join(ms1, ["peak_id", "nearest"])
     place = F.row_number().over(Window.partitionBy("peak_id").orderBy("scantime")).cast("long")
     ions = ions.withColumn("scan", place).select("peak_id", "scan", "eic", "ppm", "min_error", F.inline("ions"))
-    groups = aligned(ions, ["peak_id"], ppm, min_error)
+    groups = staged(aligned(ions, ["peak_id"], ppm, min_error), "aligned")  # alignment is the costly step, and is read several times
     eic = groups.select("peak_id", "scan", "eic").distinct()
     limits = None
     if parameters is not None and optimized:
@@ -91,12 +92,11 @@ def search_compound(
     scans = scans.join(near.select("peak_id"), "peak_id", "left_semi")
     out = near.select("peak_id")
     for level, query in ((1, query1), (2, query2)):
-        spectra = library_spectra(scans, near, level, parameters, optimized=optimized)
+        spectra = staged(library_spectra(scans, near, level, parameters, optimized=optimized), "spectra")  # the scores read it from both sides
         found = search_spectra(query, spectra, near).withColumnsRenamed({"dp": f"ms{level}_dp", "rdp": f"ms{level}_rdp"})
         out = out.join(found, "peak_id", "left")
         if level == 2 and fragments is not None:
-            asked = near.select("peak_id").join(F.broadcast(query2.select("mz")))
-            checked = check_fragments(fragments.join(near.select("peak_id"), "peak_id", "left_semi"), asked, "peak_id", ppm=ppm, min_error=min_error)
+            checked = check_fragments(fragments.join(near.select("peak_id"), "peak_id", "left_semi"), query2, None, ppm=ppm, min_error=min_error)
             out = out.join(checked.groupBy("peak_id").agg(F.count_if("matched").alias("fragments_matched"), F.count("*").alias("fragments")), "peak_id", "left")
     scores = ["ms1_dp", "ms1_rdp", "ms2_dp", "ms2_rdp"]
     total = sum((F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(0.0)) for c in scores), F.lit(0.0))
