@@ -294,6 +294,18 @@ def duplicate_lines(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> Da
     table gives an empty result; other columns, whatever their names, are not
     read.  A line may be of any length: memory follows the longest one.
     """
+    gone = _gone(docs, edits, hot)
+    gone = gone.groupBy("doc_id").agg(
+        F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_set("number")).alias("dropped")
+    )
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    lines = docs.select("doc_id", n_lines.alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
+    out = lines.join(gone, "doc_id", "left")
+    return out.select("doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near")], F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+
+
+def _gone(docs: DataFrame, edits: Edits, hot: int) -> DataFrame:
+    """(doc_id, number, h, exact) of the lines that go; h is a hash of the line."""
     base = shared_dir(docs.sparkSession, "lines")
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("number", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     rows = written(rows.select("doc_id", "number", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(17), "line", F.lit(29)).alias("g"), "line"), f"{base}/rows", compression="zstd")
@@ -314,19 +326,18 @@ def duplicate_lines(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> Da
     held = written(rows.select("doc_id", "number", "h", "g").join(keep, ["h", "g"]), f"{base}/held")
     first = written(held.groupBy("class", "h", "g").agg(F.min(place).alias("first")), f"{base}/first")
     kept = first.groupBy("class").agg(F.min("first").alias("kept"))
-    gone = held.drop("class").join(first.join(kept, "class"), ["h", "g"]).where(place != F.col("kept")).select("doc_id", "number", (place != F.col("first")).alias("exact"))
-    gone = gone.groupBy("doc_id").agg(
-        F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_set("number")).alias("dropped")
-    )
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    lines = docs.select("doc_id", n_lines.alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
-    out = lines.join(gone, "doc_id", "left")
-    return out.select("doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near")], F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    gone = held.drop("class").join(first.join(kept, "class"), ["h", "g"]).where(place != F.col("kept"))
+    return gone.select("doc_id", "number", "h", (place != F.col("first")).alias("exact"))
 
 
 def without_duplicates(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> DataFrame:
-    """The documents with all their columns and the text without the lines that go."""
-    gone = duplicate_lines(docs, edits, hot).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")).where("size(_dropped) > 0")
+    """The documents with all their columns and the text without the lines that go.
+
+    A line goes where its number and its own text are listed, so rows that share
+    an id keep lines that only another of them repeats.
+    """
+    gone = _gone(docs, edits, hot).select(F.col("doc_id").alias("_id"), F.struct("number", "h").alias("_line")).groupBy("_id").agg(F.collect_set("_line").alias("_dropped"))
     rows = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
+    listed = lambda x, i: F.array_contains("_dropped", F.struct(i.cast("int").alias("number"), F.xxhash64(F.trim(normalised(x))).alias("h")))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~listed(x, i)), "\n")
     return rows.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -31,6 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ionweave.operators.keys import numbered
 
 from .components import components
 from .shared import SortedStore, map_array, save_arrays, shared_dir, written
@@ -385,8 +388,15 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     words, all of them as one; with none (null or empty text) empty and linked
     with nothing.  Two link when 100 * intersection >= percent * union.  Rows
     with a null id have no set and no component; of rows that repeat an id with
-    different texts one stands for the others.  Other columns are not read.
+    different texts one stands for the others.  Ids that are no whole numbers are
+    numbered in their order first.  Other columns are not read.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        ids = numbered(docs.select("doc_id").where("doc_id is not null").distinct(), ["doc_id"], key="_n")
+        known = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.col("_n").alias("doc_id"), "text")
+        found = linked(known, k, percent).withColumnRenamed("doc_id", "_n")
+        found = found.join(ids, "_n", "left").join(ids.select(F.col("_n").alias("component_id"), F.col("doc_id").alias("_c")), "component_id", "left")
+        return found.select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
     rows, sizes, labels = _Join(docs, k, percent).run()
     sizes = sizes.groupBy("doc").agg(F.max("n").alias("n"))
     reps = sizes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc").alias("component"))
@@ -403,6 +413,8 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shuffled.  Rows with a null id, and texts without words, stay.
     """
     found = linked(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti")
     folder = shared_dir(docs.sparkSession, "near")
     found = written(found, f"{folder}/ids")
     gone = SortedStore.saved(found, "doc_id", folder, "gone", found.count())

@@ -88,15 +88,23 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return {name: out[name] for name in STATS}
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """The rows with a column for each statistic (named apart from any column of the rows); null text counts as empty."""
-    kinds = T.StructType([*docs.schema.fields, *(T.StructField(_PREFIX + s, T.DoubleType()) for s in STATS)])
+def free_prefix(columns: list[str]) -> str:
+    """A prefix for the statistics' names that no column has, in any case of letters."""
+    prefix = _PREFIX
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def with_statistics(docs: DataFrame, prefix: str = _PREFIX) -> DataFrame:
+    """The rows with a column for each statistic, its name after the prefix; null text counts as empty."""
+    kinds = T.StructType([*docs.schema.fields, *(T.StructField(prefix + s, T.DoubleType()) for s in STATS)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch) if batch.num_rows else ():
                 stats = statistics(strings(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, stats.values())], names=[*part.schema.names, *(_PREFIX + s for s in stats)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, stats.values())], names=[*part.schema.names, *(prefix + s for s in stats)])
 
     return docs.mapInArrow(add, kinds)
 
@@ -111,18 +119,18 @@ class Ensemble:
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
+    def score(self, prefix: str = _PREFIX) -> Column:
         """The probability of label 1, over the columns of with_statistics."""
         z = F.lit(self.intercept)
         for rule, weight in self.rules:
-            z = z + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
+            z = z + F.when(holds(rule, prefix), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def holds(rule: Rule) -> Column:
+def holds(rule: Rule, prefix: str = _PREFIX) -> Column:
     out = F.lit(True)
     for k, above, bound in rule:
-        stat = F.col(_PREFIX + STATS[k])
+        stat = F.col(prefix + STATS[k])
         out = out & (stat > bound if above else stat <= bound)
     return out
 
@@ -189,7 +197,12 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents whose score reaches the threshold, whole and with all their columns."""
+    """The documents whose score reaches the threshold, whole and with all their columns, whatever their names.
+
+    Null texts count as empty; rows that repeat an id are scored one by one, and
+    rows without one are scored, but not learned from.
+    """
+    prefix = free_prefix(docs.columns)
     stats = written(with_statistics(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())).drop("text"), f"{shared_dir(docs.sparkSession, 'stats')}/rows")
     model = fit(labelled_rows(stats, labels, ~is_held_out(F.col("doc_id"))), rows)
-    return with_statistics(docs).where(model.score() >= threshold).select(*docs.columns)
+    return with_statistics(docs, prefix).where(model.score(prefix) >= threshold).select(*docs.columns)

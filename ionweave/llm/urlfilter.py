@@ -17,8 +17,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DAMPING = 0.85
 #: Rounds that are one job, and whose ranks are written.
 BLOCK = 4
-#: Distance from the settled ranks at which walks end, and rounds by which any walk is nearer (28 at this damping).
-TOLERANCE, ROUNDS = 5e-2, 40
+#: Share of its own rank by which a host may still be off when walks end, and the most rounds.
+TOLERANCE, ROUNDS = 1e-2, 400
 #: A host without a rule is blocked if distrust has more than this share of its trust and distrust.
 DISTRUST = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,13 +70,16 @@ def host_edges(pages: DataFrame, hierarchy: bool = True) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust): ranks of two personalised walks, once neither is farther than the tolerance from where it settles.
+    """(host, trust, distrust): ranks of two personalised walks, settled at each host that they reach.
 
     seeds: (host, trust, distrust), both sums scaled to 1; trust follows edges,
     distrust goes against them.  Rank that reaches a host without edges is lost.
-    Distances are summed over hosts, and shrink by the damping or more in each
-    round, so the change of the last BLOCK rounds bounds what is left; walks that
-    ``rounds`` rounds (in whole blocks) don't settle raise.
+    Ranks start from what the seeds give in one round and only grow, so a host
+    that a walk has just reached has the rank that the shortest ways give it.
+    Walks end when the last BLOCK rounds have reached no new host, and have
+    changed no host's rank by more than a share of it: what is left shrinks by
+    the damping in each round, and is estimated at ``tolerance`` of each rank at
+    most.  Walks that ``rounds`` rounds (in whole blocks) don't settle raise.
     """
     base = shared_dir(edges.sparkSession, "links")
     trust = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
@@ -89,7 +92,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     nothing = F.lit(0.0).alias("before")
     teleport = start.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("rank"), nothing)
     left = damping**BLOCK / (1 - damping**BLOCK)
-    ranks = start.select("kind", "host", F.col("seed").alias("rank"))
+    ranks = teleport.select("kind", "host", "rank")
     for k in range(0, rounds, BLOCK):
         new = ranks
         for step in range(BLOCK):
@@ -99,12 +102,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
                 rows = rows.unionByName(ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
             new = rows.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
         new = written(new, f"{base}/ranks{k}")
-        change = new.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("x")).agg(F.max("x")).first()[0] or 0.0
+        change = new.where("rank > 0").agg(F.max((F.col("rank") - F.col("before")) / F.col("rank"))).first()[0] or 0.0
         ranks = new.where("rank > 0").select("kind", "host", "rank")
         if left * change <= tolerance:
             break
     else:
-        raise ValueError(f"the walks still change by {change} after {rounds} rounds")
+        raise ValueError(f"ranks still change by up to {change:.3g} of their size after {rounds} rounds")
     return ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 

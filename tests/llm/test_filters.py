@@ -197,3 +197,48 @@ def test_screening_is_exact_where_float32_is_not():
         index, distance = vectorcodes.nearest(x, entries)
         exact = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
         assert np.array_equal(index, exact.argmin(axis=1)) and np.array_equal(distance, exact.min(axis=1))
+
+
+def test_a_chain_of_hosts_is_judged_to_its_end(spark):
+    """46 hosts in a chain to a blocked one: distrust reaches all, none has trust."""
+    from ionweave.llm import urlfilter
+
+    n = 46
+    pages = [(k, f"http://h{k}.com/", f'<a href="http://h{k + 1}.com/">') for k in range(n)] + [(n, f"http://h{n}.com/", '<a href="http://bad.net/">'), (n + 1, "http://bad.net/", ""), (n + 2, "http://alone.com/", "")]
+    out = {r.page_id: r for r in urlfilter.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [out[k].verdict for k in range(n + 3)] == ["block"] * (n + 2) + ["allow"]
+    # against edges of one link each: every step keeps the damping's share
+    for k in range(n + 1):
+        assert out[k].distrust == pytest.approx(0.15 * 0.85 ** (n + 1 - k), rel=0.02)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    from ionweave.llm import linededup
+
+    rows = [(0, "a line that is there already, once", "x"), (1, "first of row a\na line that is there already, once", "a"), (1, "first of row b\nUNIQUE text nowhere else at all 123", "b")]
+    out = linededup.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string, tag string"))
+    assert {r.tag: r.text for r in out.collect()} == {"x": rows[0][1], "a": "first of row a", "b": rows[2][1]}
+
+
+def test_join_of_ids_that_are_texts(spark):
+    from ionweave.llm import ngramjoin
+
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [("b", text), ("a", text + " more"), ("c", "other words of its own kind"), (None, text), ("d", None), ("é", text)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.linked(docs).collect()}
+    assert got == {"a": (38, "a"), "b": (37, "a"), "é": (37, "a"), "c": (3, "c"), "d": (0, "d"), None: (0, None)}
+    kept = sorted((r.doc_id or "", r.text or "") for r in ngramjoin.deduplicated(docs).collect())
+    assert kept == sorted([("a", text + " more"), ("c", "other words of its own kind"), ("", text), ("d", "")])
+
+
+def test_accepted_keeps_columns_named_like_statistics(spark):
+    from ionweave.llm import quality
+
+    rows = [(k, ("plain words of a sentence with more in it. " if k % 2 else "## | $$ ## | $$ ") * (k % 5 + 5), k) for k in range(60)] + [(None, "words here", 1), (3, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _STAT_words long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    out = quality.accepted(docs, labels)
+    assert out.columns == docs.columns
+    kept = [r.doc_id for r in out.where("doc_id is not null and text is not null").collect()]
+    assert sorted(kept) == [k for k in range(60) if k % 2]
