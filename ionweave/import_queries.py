@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ionweave.library_queries import TABLES, Frames, query
 from ionweave.operators.keys import staged
-from ionweave.plans import fragments, full_import, mobile_phases
+from ionweave.plans import fragments, full_import, mobile_phases, suspects
 
 TABLES |= {
     "import_fragments": """select l_orderkey as object, l_linenumber as number, l_extendedprice / l_quantity as mz, 'C' || cast(l_partkey % 30 + 1 as varchar(9)) || 'H' || cast(l_suppkey % 7 + 1 as varchar(9)) as formula,
@@ -204,3 +204,40 @@ def _full_import(t: Frames) -> DataFrame:
 @query("full_import_links", f"with {_IMPORTED.replace('object % 2 as run', '0 as run')} select distinct peak_id, compound_id, annotated_fragment_id from g")
 def _full_import_links(t: Frames) -> DataFrame:
     return _imported(t, runs=1).tables["compound_fragments"]
+
+
+# --- suspect lists -----------------------------------------------------------------------------------------------------
+
+#: Two rows in a row share a key of kind DTXSID, every third pair shares another with the pair before; some keys are those of suppliers.
+TABLES["suspects"] = """select p_partkey as number, 'suspect ' || cast(p_partkey as varchar(9)) as name, case when p_partkey % 90 = 7 then 'C9' else 'C' || cast(p_partkey // 6 % 8 + 1 as varchar(9)) end as formula,
+    'dtxsid: D' || cast(p_partkey // 2 as varchar(9)) || '; INCHI:;note:x' || case when p_partkey // 2 % 3 < 2 then ';InchiKey:K' || cast(p_partkey // 6 as varchar(9)) else '' end || case when p_partkey % 50 = 3 then ';smiles:S' || cast(p_partkey // 50 as varchar(9)) else '' end as additional from part"""
+TABLES["suspect_aliases"] = "select s_suppkey as compound_id, 3 as alias_type, 'S' || cast(s_suppkey * 2 as varchar(9)) as alias from supplier"
+
+_SUSPECTS = """
+    r as (select *, number // 6 as six, number // 2 as two, case when number // 2 % 3 < 2 then 0 else 1 end as lone from suspects),
+    g0 as (select *, min(number) over (partition by six, case when lone = 0 then -1 else two end) as grp from r),
+    k as (select g0.*, compound_id from g0 left join suspect_aliases a on number % 50 = 3 and a.alias = 'S' || cast(number // 50 as varchar)),
+    s as (select grp, count(distinct compound_id) as n_known, min(compound_id) as known_id, count(distinct formula) as n_formulas, min(number) as first from k group by grp),
+    i as (select *, case when n_known > 1 or n_formulas > 1 then null when known_id is not null then known_id else (select max(s_suppkey) from supplier) + sum(case when n_known <= 1 and n_formulas = 1 and known_id is null then 1 else 0 end) over (order by grp) end as id from s)"""
+
+
+def _suspects(t: Frames) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = t["suspects"].withColumnsRenamed({"name": "NAME", "formula": "FORMULA", "additional": "ADDITIONAL"})
+    references = rows.sparkSession.createDataFrame([(1, "DTXSID"), (2, "INCHIKEY"), (3, "SMILES")], "id long, name string")
+    return suspects.extend(rows, t["compounds"].drop("category"), t["suspect_aliases"], references)
+
+
+@query("suspect_list", f"with {_SUSPECTS} select number, cast(id as bigint) as compound_id, case when n_known > 1 then 'several known compounds' when n_formulas > 1 then 'several formulas' end as problem from k join i using (grp)")
+def _suspect_list(t: Frames) -> DataFrame:
+    found, _, _, conflicts = _suspects(t)
+    return found.select("number", "compound_id", F.lit(None).cast("string").alias("problem")).unionByName(conflicts.select("number", F.lit(None).cast("long").alias("compound_id"), "problem"))
+
+
+@query(
+    "suspect_aliases",
+    f"""with {_SUSPECTS}, w as (select number, cast(id as bigint) as compound_id, two, six, lone from k join i using (grp) where id is not null)
+    select compound_id, cast(1 as bigint) as alias_type, 'D' || cast(two as varchar) as alias from w union select compound_id, 2, 'K' || cast(six as varchar) from w where lone = 0
+    union select compound_id, 3, 'S' || cast(number // 50 as varchar) from w where number % 50 = 3 union select cast(compound_id as bigint), 3, alias from suspect_aliases""",
+)
+def _suspect_aliases(t: Frames) -> DataFrame:
+    return _suspects(t)[2].select("compound_id", F.col("alias_type").cast("long").alias("alias_type"), "alias")

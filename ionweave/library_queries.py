@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.functions import chem, qc, stats, text
-from ionweave.operators import predicates, relational, scoring, spectra
+from ionweave.operators import keys, predicates, relational, scoring, spectra
 from ionweave.plans import imports, methods, schema, search, views
 from ionweave.sources import files
 
@@ -47,6 +47,7 @@ TABLES: dict[str, str] = {
     "carrier_mixes": "select l_partkey as mix_id, l_suppkey % 30 as component, case when l_linenumber < 6 then l_quantity / 64 end as fraction from lineitem where l_suppkey % 4 = 0",
     "carrier_additives": "select l_partkey as mix_id, l_suppkey % 27 as component, case when l_linenumber < 5 then l_quantity end as amount, l_suppkey % 7 as units from lineitem where l_suppkey % 5 = 0",
     "mobile_phases": "select o_custkey % 300 as ms_methods_id, o_orderkey as sample_id, o_orderkey as peak_id, o_orderkey % 600 as carrier_mix_collection_id, case when o_orderkey % 3 > 0 then cast(o_custkey as double) / 4 end as flow, o_orderkey % 6 as flow_units, case when o_orderkey % 4 > 0 then cast(o_custkey as double) / 2 end as duration, o_orderkey % 7 as duration_units from orders",
+    "lines_all": "select l_orderkey, l_linenumber, l_extendedprice, l_quantity from lineitem",
     "lines": "select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as l_linenumber, l_suppkey, l_partkey, l_quantity from lineitem",
     "categories": "select cast(n_nationkey as bigint) as id, n_name as name, case when n_nationkey > 0 then cast((n_nationkey - 1) // 3 as bigint) end as subclass_of from nation",
 }
@@ -524,3 +525,54 @@ def _formula_match(t: Frames) -> DataFrame:
 @query("score_summary", "select round(min(fixedmass), 6) as min, round(quantile_cont(fixedmass, 0.5), 6) as median, round(max(fixedmass), 6) as max, round(quantile_cont(fixedmass, 0.75) - quantile_cont(fixedmass, 0.25), 6) as iqr from compounds")
 def _summary(t: Frames) -> DataFrame:
     return scoring.summary(t["compounds"], "fixedmass").select(*[F.round(c, 6).alias(c) for c in ("min", "median", "max", "iqr")])
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+#: Scans as mzML text: each event is a spectrum of its user's file.
+TABLES["runs"] = """select event_id as id, user_id % 20 as run, row_number() over (partition by user_id % 20 order by event_id) as scan, event_type as kind, value as intensity, event_id % 3 as lack from events"""
+
+
+def _mzml_text(t: Frames) -> DataFrame:
+    """(run, scan, text) of spectra; the level is a number, times are in minutes or seconds, and some lack a base peak."""
+    cv = lambda accession, name, value, unit="": F.concat(F.lit(f'<cvParam cvRef="MS" accession="{accession}" name="{name}" value="'), value, F.lit(f'"{unit}/>'))
+    parts = [
+        F.concat(F.lit('<spectrum index="'), (F.col("scan") - 1).cast("string"), F.lit('" id="scan='), F.col("scan").cast("string"), F.lit('">')),
+        cv("MS:1000511", "ms level", F.when(F.col("kind") == "view", "1").otherwise("2")),
+        F.when(F.col("lack") > 0, cv("MS:1000505", "base peak intensity", F.col("id").cast("string"))).otherwise(F.lit("")),
+        F.lit('<scanList count="1"><scan>'), cv("MS:1000016", "scan start time", (F.col("scan") * 60).cast("string"), ' unitName="second"'), cv("MS:1000512", "filter string", F.concat(F.lit("FTMS &lt;"), F.col("kind"), F.lit("&gt;"))), F.lit("</scan></scanList></spectrum>"),
+    ]
+    return t["runs"].select("run", "scan", F.concat(*parts).alias("text"))
+
+
+@query("mzml_scans", "select run, cast(scan as integer) as scan, case when kind = 'view' then 1 else 2 end as ms_n, cast(scan as double) as scantime, case when lack > 0 then cast(id as double) end as base_int from runs")
+def _mzml_scans(t: Frames) -> DataFrame:
+    """Spectra written as one mzML document a run, and read back by ranges of bytes."""
+    rows = _mzml_text(t)
+    folder = keys.shared_folder(rows.sparkSession, "mzml")
+    rows.repartition("run").sortWithinPartitions("run", "scan").select("run", "text").write.partitionBy("run").text(folder)
+    found = files.read_mzml(rows.sparkSession, folder)
+    return found.select(F.regexp_extract("file", "run=([0-9]+)", 1).cast("long").alias("run"), "scan", "ms_n", "scantime", "base_int")
+
+
+@query(
+    "cv_parameters",
+    """select run, scan, 'spectrum' as element, case when kind = 'view' then 1e0 else 2e0 end as level, case when lack > 0 then cast(id as double) end as base_intensity, cast(null as double) as start_time, cast(null as varchar) as filter from runs
+    union all select run, scan, 'scan', null, null, scan * 60e0, 'FTMS <' || kind || '>' from runs""",
+)
+def _cv_parameters(t: Frames) -> DataFrame:
+    wide = files.parameter_table(files.cv_parameters(_mzml_text(t), "run", "scan", "text"))
+    names = {"ms level": "level", "base peak intensity": "base_intensity", "scan start time": "start_time", "filter string": "filter"}
+    return wide.select(F.col("file").alias("run"), F.col("scan").cast("long").alias("scan"), "element", *[F.col(f"`{n}`").alias(a) for n, a in names.items()])
+
+
+@query("msp_files", "select peak_id as name, row_number() over (order by peak_id) as place, count(*) as n_peaks, min(mz) as least, cast(sum(scan) as bigint) as intensity from (select l_orderkey as peak_id, l_extendedprice / l_quantity as mz, l_linenumber as scan from lines_all) group by peak_id")
+def _msp_files(t: Frames) -> DataFrame:
+    """All peaks' ions as MSP files, read back: the place of an entry over all files is that of its key."""
+    ions = t["lines_all"].select(F.col("l_orderkey").alias("peak_id"), F.col("l_orderkey").cast("string").alias("name"), F.lit(100.5).alias("precursor"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("mz"), F.col("l_linenumber").alias("intensity"))
+    folder = keys.shared_folder(ions.sparkSession, "msp")
+    files.write_msp(ions, folder, "peak_id", "name", "precursor")
+    found = files.read_msp(ions.sparkSession, folder)
+    ordered = keys.numbered(found.withColumn("size", F.size("ions")), ["file", "place"], key="rank")
+    total = F.aggregate("ions", F.lit(0.0), lambda a, x: a + x["intensity"]).cast("long")
+    return ordered.select(F.col("name").cast("long").alias("name"), F.col("rank").alias("place"), F.col("n_peaks").cast("long").alias("n_peaks"), F.array_min(F.col("ions.mz")).alias("least"), total.alias("intensity"))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +47,8 @@ def _value(element: str, accession: str) -> float | None:
         return None
 
 
-def parse_mzml(file: str, content: str) -> Iterator[dict]:
-    """A row for each spectrum of an mzML document."""
+def parse_mzml(file: str, content: str, before: int = 0) -> Iterator[dict]:
+    """A row for each spectrum of an mzML document, numbered by its index, else by its place after ``before`` others."""
     for k, m in enumerate(re.finditer(r"<spectrum\b.*?</spectrum>", content, re.S)):
         x = m[0]
         arrays = {"mz": np.zeros(0), "intensity": np.zeros(0)}
@@ -57,9 +57,10 @@ def parse_mzml(file: str, content: str) -> Iterator[dict]:
                 arrays["mz" if "MS:1000514" in a else "intensity"] = _numbers(a)
         time = _value(x, "MS:1000016")
         minutes = re.search(r'accession="MS:1000016"[^>]*unitName="second"', x) is None
+        index = re.match(r'<spectrum\b[^>]*?\bindex="(\d+)"', x)
         yield {
             "file": file,
-            "scan": k + 1,
+            "scan": int(index[1]) + 1 if index else before + k + 1,
             "ms_n": int(_value(x, "MS:1000511") or 1),
             "scantime": time if time is None or minutes else time / 60,
             "polarity": 1 if "MS:1000130" in x else -1 if "MS:1000129" in x else 0,
@@ -70,17 +71,75 @@ def parse_mzml(file: str, content: str) -> Iterator[dict]:
         }
 
 
+_SPECTRUM_END = "</spectrum>"
+
+
+def _mzml_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, part): the text up to each spectrum's end.  Tasks read ranges of bytes, so one file is as many tasks as it is long."""
+    rows = spark.read.option("lineSep", _SPECTRUM_END).option("recursiveFileLookup", True).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("part"))
+
+
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each scan of the mzML files below path; a file is parsed by one task."""
+    """A row for each scan of the mzML files below path, numbered by its index; a task holds one spectrum's text at a time.
+
+    Where some spectrum has no index, which takes a look at all of them, those of
+    each file are numbered by their place.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(parse_mzml(file, bytes(content).decode("utf-8", "replace")))
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(parse, SCAN)
+            rows = [r for file, before, part in zip(pdf["path"], pdf["before"], pdf["part"], strict=True) for r in parse_mzml(file, part + _SPECTRUM_END, int(before))]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    parts = _mzml_parts(spark, path).where(F.col("part").rlike(r"<spectrum\b"))
+    if parts.where(~F.col("part").rlike(r'<spectrum\b[^>]*?\bindex="\d+"')).isEmpty():
+        parts = parts.withColumn("before", F.lit(0))
+    else:
+        parts = parts.withColumn("before", F.row_number().over(Window.partitionBy("path").orderBy("block", "place")) - 1)
+    return parts.select("path", "before", "part").mapInPandas(parse, SCAN)
+
+
+#: Parameters whose values are numbers or words; those of other names are numbers where all their values are.
+NUMERIC_NAMES, TEXT_NAMES = ("m/z", "intensity", "time", "energy", "current", "level", "mobility"), ("filter string", "spectrum title", "preset scan configuration")
+
+
+def cv_parameters(texts: DataFrame, file: str, scan: str, text: str) -> DataFrame:
+    """(file, scan, place, element, name, value, unit): the cvParam entries of a column of XML texts, as often as they occur, in order."""
+    tag = r"<(?:[A-Za-z]+:)?cvParam\b[^>]*>|<[A-Za-z]+\b[^>]*>"
+    rows = texts.select(F.col(file).alias("file"), F.col(scan).alias("scan"), F.posexplode(F.regexp_extract_all(text, F.lit(tag), 0)).alias("place", "tag"))
+
+    def attribute(name: str) -> Column:
+        raw = F.regexp_extract("tag", rf'\s{name}="([^"]*)"', 1)
+        for escaped, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            raw = F.replace(raw, F.lit(escaped), F.lit(plain))
+        return F.nullif(raw, F.lit(""))
+
+    is_parameter = F.col("tag").rlike(r"^<(?:[A-Za-z]+:)?cvParam\b")
+    within = Window.partitionBy("file", "scan").orderBy("place")
+    element = F.last(F.when(~is_parameter, F.regexp_extract("tag", r"^<([A-Za-z]+)", 1)), ignorenulls=True).over(within)
+    rows = rows.withColumn("element", element).where(is_parameter)
+    return rows.select("file", "scan", "place", "element", attribute("name").alias("name"), attribute("value").alias("value"), attribute("unitName").alias("unit")).where("name is not null")
+
+
+def parameter_table(parameters: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A row for each scan and entry of cv_parameters' elements (file, scan, element, number), a column for each parameter name.
+
+    An element that occurs again in a scan, known by a name that it already has,
+    is another entry; a value that an entry lacks is that of the entry before in
+    its scan.  Columns of numeric names are doubles; a parameter without a value
+    is "true".  Names are the vocabulary of the parameters, in their order.
+    """
+    if names is None:
+        names = [r.name for r in parameters.select("name").distinct().orderBy("name").collect()]  # the vocabulary, not the data
+    numbered = parameters.withColumn("number", F.row_number().over(Window.partitionBy("file", "scan", "element", "name").orderBy("place")))
+    value = F.coalesce("value", F.lit("true"))
+    wide = numbered.groupBy("file", "scan", "element", "number").agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in names])
+    before = Window.partitionBy("file", "scan", "element").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = wide.select("file", "scan", "element", "number", *[F.last(F.col(f"`{n}`"), ignorenulls=True).over(before).alias(n) for n in names])
+    numeric = [n for n in names if n.lower() not in TEXT_NAMES and any(word in n.lower() for word in NUMERIC_NAMES)]
+    return filled.withColumns({n: F.col(f"`{n}`").try_cast("double") for n in numeric})
 
 
 def is_usable_conversion(text: Column) -> Column:
@@ -152,8 +211,20 @@ def msp(spectra: DataFrame, key: str, name: str, precursor: str, headers: list[s
     return rows.select(key, F.concat_ws("\n", *head, *body, F.lit("")).alias("text"))
 
 
-def write_msp(spectra: DataFrame, path: str, key: str, name: str, precursor: str, headers: list[str] | None = None) -> None:
-    msp(spectra, key, name, precursor, headers).select("text").write.text(path)
+def write_msp(spectra: DataFrame, path: str, key: str, name: str, precursor: str, headers: list[str] | None = None, files: int | None = None) -> None:
+    """MSP files of whole entries in the order of the key: within a file, and from file to file by their names."""
+    entries = msp(spectra, key, name, precursor, headers)
+    ranged = entries.repartitionByRange(files, key) if files else entries.repartitionByRange(key)
+    ranged.sortWithinPartitions(key).select("text").write.text(path)
+
+
+def read_msp(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, name, precursor, n_peaks, ions) of the entries of MSP files, which tasks read from blank line to blank line."""
+    rows = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("place"))
+    field = lambda n: F.nullif(F.regexp_extract("text", rf"(?m)^{n}:\s*(.*)$", 1), F.lit(""))
+    pairs = F.regexp_extract_all("text", F.lit(r"(?m)^([0-9.eE+-]+)\s+[0-9.eE+-]+"), 1), F.regexp_extract_all("text", F.lit(r"(?m)^[0-9.eE+-]+\s+([0-9.eE+-]+)"), 1)
+    ions = F.zip_with(*pairs, lambda a, b: F.struct(a.cast("double").alias("mz"), b.cast("double").alias("intensity")))
+    return rows.where(field("Name").isNotNull()).select("file", "place", field("Name").alias("name"), field("PrecursorMZ").cast("double").alias("precursor"), field("Num Peaks").cast("int").alias("n_peaks"), ions.alias("ions"))
 
 
 def zip_numbers(values: list[float]) -> str:
