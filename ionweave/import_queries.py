@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ionweave.library_queries import TABLES, Frames, query
 from ionweave.operators.keys import staged
-from ionweave.plans import fragments, full_import, mobile_phases, suspects
+from ionweave.plans import fragments, full_import, gather, mobile_phases, objects, suspects
 
 TABLES |= {
     "import_fragments": """select l_orderkey as object, l_linenumber as number, l_extendedprice / l_quantity as mz, 'C' || cast(l_partkey % 30 + 1 as varchar(9)) || 'H' || cast(l_suppkey % 7 + 1 as varchar(9)) as formula,
@@ -241,3 +241,40 @@ def _suspect_list(t: Frames) -> DataFrame:
 )
 def _suspect_aliases(t: Frames) -> DataFrame:
     return _suspects(t)[2].select("compound_id", F.col("alias_type").cast("long").alias("alias_type"), "alias")
+
+
+# --- objects of peaks ----------------------------------------------------------------------------------------------------
+
+TABLES["method_peaks"] = """select o_custkey % 40 as file, o_orderkey as peak, 100.0 + o_orderkey % 90 as mz, cast(o_orderkey % 60 as double) as a, cast(o_orderkey % 60 as double) + 1.5 as b,
+    case o_custkey % 3 when 0 then 'Positive' else 'negative' end as polarity, case o_orderkey % 4 when 0 then 'DDA' when 1 then 'DIA' when 2 then 'SWATH' else 'other' end as ms2exp from orders"""
+TABLES["scans_of_files"] = """select event_id as scan, event_id % 40 as file, cast(event_id // 40 % 62 as double) as scantime, case when user_id % 4 = 0 then 1 else 2 end as ms_n, case when user_id % 3 > 0 then -1 else 1 end as polarity,
+    100.0 + user_id % 90 as precursor_mz, user_id as user from events"""
+
+_GATHERED = """
+    with m as (
+        select p.file, p.peak, p.mz, s.scan, s.scantime, s.ms_n, s.user from method_peaks p join scans_of_files s on s.file = p.file and s.polarity = case when p.polarity = 'Positive' then 1 else -1 end and s.scantime between p.a and p.b
+        where ms_n = 1 or ms2exp = 'DIA' or (ms2exp = 'DDA' and abs(precursor_mz - mz) <= 9) or (ms2exp = 'SWATH' and abs(precursor_mz - mz) <= 4.5)),
+    i as (select m.*, k, 100e0 + (user + k * 7) % 90 as ion, 1e0 + (user + k) % 11 as v from m, (select unnest(range(12)) as k)),
+    r as (
+        select file, peak, ms_n, scan, sum(case when ms_n = 2 or (ion >= mz - 1 and ion <= mz + 5) then 1 else 0 end) as n, sum(case when ms_n = 1 and abs(ion - mz) <= 0.01 then v else 0 end) as near, max(v) as top from i group by all),
+    g as (select file, peak, count(*) filter (where ms_n = 1) as n1, count(*) filter (where ms_n = 2) as n2, sum(n) as ions, sum(case when ms_n = 1 then near else top end) as base from r where n > 0 group by file, peak)
+    select p.peak, coalesce(n1, 0) as n1, coalesce(n2, 0) as n2, cast(coalesce(ions, 0) as bigint) as ions, coalesce(base, 0) as base,
+           case when ms2exp = 'other' then 'unknown experiment' when coalesce(n2, 0) = 0 then 'no MS2 scans' end as problem
+    from method_peaks p left join g on g.peak = p.peak and ms2exp <> 'other' and n2 > 0"""
+
+
+@query("peak_objects", _GATHERED.strip())
+def _peak_objects(t: Frames) -> DataFrame:
+    """Objects of all peaks as JSON, read back with the import's own reader; peaks without MS2 scans are errors."""
+    ions = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct((F.lit(100.0) + (F.col("user") + k * 7) % 90).alias("mz"), (F.lit(1.0) + (F.col("user") + k) % 11).alias("intensity")))
+    scans = t["scans_of_files"].withColumn("ions", F.array_sort(ions)).drop("user", "scan")
+    peaks = t["method_peaks"].withColumns({"isowidth": F.lit(9.0), "msaccuracy": F.lit(100.0)}).withColumnsRenamed({"a": "start", "b": "end"})
+    found, errors = gather.gathered(peaks, scans)
+    texts = gather.as_json(found, {"massspectrometry": ["polarity", "ms2exp", "isowidth", "msaccuracy"], "peak": ["mz", "start", "end"]} | {})
+    read = objects.import_objects(texts.select(F.col("peak").alias("object"), "text"))
+    of = lambda x, name: F.try_element_at(x, F.lit(name))
+    level = lambda n: F.size(F.filter("msdata", lambda x: of(x, "ms_n") == n)).cast("long")
+    total = lambda value: F.aggregate("msdata", F.lit(0.0), lambda a, x: a + value(x))
+    out = read.select(F.col("object").cast("long").alias("peak"), level("1").alias("n1"), level("2").alias("n2"), total(lambda x: F.size(F.split(of(x, "measured_mz"), " ")).cast("double")).cast("long").alias("ions"), total(lambda x: F.coalesce(of(x, "base_int").cast("double"), F.lit(0.0))).alias("base"), F.lit(None).cast("string").alias("problem"))
+    none = F.lit(0).cast("long")
+    return out.unionByName(errors.select("peak", none.alias("n1"), none.alias("n2"), none.alias("ions"), F.lit(0.0).alias("base"), "problem"))
