@@ -19,7 +19,7 @@ def mass_error(df: DataFrame, measured: str, calculated: str, limit: Column) ->
 
 def fragment_accuracy(df: DataFrame, measured: str, calculated: str, ppm: float | Column, min_error: float) -> DataFrame:
     """fragment_error in ppm of the measured mass; passes within ppm, or within min_error Da."""
-    error = 1e6 * (F.col(measured) - F.col(calculated)) / F.col(measured)
+    error = F.try_divide(1e6 * (F.col(measured) - F.col(calculated)), F.col(measured))
     close = F.abs(F.col(measured) - F.col(calculated)) <= min_error
     return df.withColumn("fragment_error", error).withColumn("fragment_ok", (F.abs("fragment_error") <= ppm) | close)
 
@@ -46,14 +46,17 @@ def _all(checks: list[str]) -> Column:
     return out
 
 
-def gathered(peaks: DataFrame, fragments: DataFrame, ms1: DataFrame, ms2: DataFrame, min_error: float = 0.002) -> DataFrame:
+def gathered(peaks: DataFrame, fragments: DataFrame, ms1: DataFrame, ms2: DataFrame, min_error: float = 0.002, patterns: bool = False, optimal: DataFrame | None = None) -> DataFrame:
     """peak_id, parameter, value and result of the checks of peaks and of their annotated fragments, one row each.
 
     peaks: peak_id, mz, calculated, formula, msaccuracy; fragments: peak_id,
     fragment_mz, fragment_calculated, fragment_formula; ms1, ms2: (peak_id, mz)
     of the mean spectra.  Checks: the mass error, whether the precursor is among
     the MS1 ions, whether each fragment is among the MS2 ions, its accuracy, and
-    whether its formula is part of the peak's.
+    whether its formula is part of the peak's.  With ``patterns`` the MS1 ions,
+    with their intensities, are held against the formula's isotope pattern, too;
+    ``optimal`` (peak_id, mslevel, correl, height, freq) are the parameters found
+    for the peaks' spectra, and each level without them fails.
     """
     limits = peaks.select("peak_id", "msaccuracy", "formula")
     own = fragments.join(limits, "peak_id")
@@ -75,6 +78,13 @@ def gathered(peaks: DataFrame, fragments: DataFrame, ms1: DataFrame, ms2: DataFr
         ("annfragments_accuracy", accuracy, F.col("fragment_error"), F.col("fragment_ok")),
         ("annfragments_subset", part, none, F.col("part_ok")),
     ]
+    if patterns:
+        rows.append(("ms1_isotopepattern", isotope_match(peaks.select("peak_id", "formula"), ms1), F.col("rdp"), F.col("pattern_ok")))
+    if optimal is not None:
+        levels = peaks.select("peak_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("mslevel"))
+        own_levels = optimal.groupBy("peak_id", "mslevel").agg(F.max(F.lit(True)).alias("_found"))
+        checked = levels.join(own_levels, ["peak_id", "mslevel"], "left")
+        rows.append(("optimized_ums_parameters", checked, F.col("mslevel").cast("double"), F.coalesce("_found", F.lit(False))))
     found = [df.select("peak_id", F.lit(name).alias("parameter"), value.alias("value"), result.alias("result")) for name, df, value, result in rows]
     out = found[0]
     for more in found[1:]:

@@ -299,9 +299,9 @@ def _group_sizes(t: Frames) -> DataFrame:
     return relational.counted(t["compound_fragments"].select("compound_id"), ["compound_id"]).distinct()
 
 
-@query("nested_groups", "select compound_id, string_agg(distinct cast(peak_id as varchar), ' ' order by cast(peak_id as varchar)) as peaks, count(distinct peak_id) as n from compound_fragments where peak_id < 300 group by compound_id")
+@query("nested_groups", "select compound_id, string_agg(distinct cast(peak_id as varchar), ' ' order by cast(peak_id as varchar)) as peaks, count(distinct peak_id) as n from compound_fragments group by compound_id")
 def _nested(t: Frames) -> DataFrame:
-    rows = relational.nested(t["compound_fragments"].where("peak_id < 300"), ["compound_id"], "peak_id", "peaks")
+    rows = relational.nested(t["compound_fragments"], ["compound_id"], "peak_id", "peaks")
     return rows.select("compound_id", F.array_join(F.array_sort(F.transform("peaks", lambda x: x.cast("string"))), " ").alias("peaks"), F.size("peaks").cast("long").alias("n"))
 
 
@@ -412,9 +412,9 @@ def _zoomed(t: Frames) -> DataFrame:
     return views.peak_data(t).select("id", z.alias("z")).select("id", F.size("z.ions").cast("long").alias("n"), "z.base_ion", "z.base_int")
 
 
-@query("msp_export", "select 'Name:  ' || name || chr(10) || 'PrecursorMZ:  ' || cast(fixedmass as varchar) || chr(10) || 'Num Peaks:  ' || cast(count(*) as varchar) || chr(10) || string_agg(cast(m as varchar) || ' ' || cast(i as varchar), chr(10) order by m, i) || chr(10) as text from (select distinct compound_id, cast(peak_id as double) as m, cast(annotated_fragment_id % 97 as double) as i from compound_fragments where peak_id < 1000) join compounds on id = compound_id group by compound_id, name, fixedmass")
+@query("msp_export", "select 'Name:  ' || name || chr(10) || 'PrecursorMZ:  ' || cast(fixedmass as varchar) || chr(10) || 'Num Peaks:  ' || cast(count(*) as varchar) || chr(10) || string_agg(cast(m as varchar) || ' ' || cast(i as varchar), chr(10) order by m, i) || chr(10) as text from (select distinct compound_id, cast(peak_id as double) as m, cast(annotated_fragment_id % 97 as double) as i from compound_fragments) join compounds on id = compound_id group by compound_id, name, fixedmass")
 def _msp(t: Frames) -> DataFrame:
-    rows = t["compound_fragments"].where("peak_id < 1000").select("compound_id", F.col("peak_id").cast("double").alias("mz"), (F.col("annotated_fragment_id") % 97).cast("double").alias("intensity")).distinct()
+    rows = t["compound_fragments"].select("compound_id", F.col("peak_id").cast("double").alias("mz"), (F.col("annotated_fragment_id") % 97).cast("double").alias("intensity")).distinct()
     rows = rows.join(t["compounds"].select(F.col("id").alias("compound_id"), "name", "fixedmass"), "compound_id")
     return files.msp(rows, "compound_id", "name", "fixedmass").select("text")
 
@@ -490,24 +490,28 @@ def _acronyms(t: Frames) -> DataFrame:
     return t["norm_fragments"].select("id", text.acronym(F.concat_ws(" ", "formula", F.coalesce("smiles", F.lit("x y")))).alias("acronym"))
 
 
-_QC = """with p as (select id as peak_id, fixedmass + radical * 0.003 as mz, fixedmass as calculated, id % 30 + 2 as c from norm_fragments),
-    i as (select fragment_id as peak_id, mz from annotated_fragments),
-    f as (select k.id as peak_id, k.id % 40 as n, k.id % 35 + 12.0 as measured from norm_fragments k where k.id % 4 > 0)
+_QC = """with p as (select id as peak_id, fixedmass + radical * 0.003e0 as mz, fixedmass as calculated, id % 30 + 2 as c from norm_fragments),
+    f as (select id as peak_id, id % 40 as n, id % 40 * 12e0 + (id % 5 - 2) * 0.0015e0 as measured from norm_fragments where id % 4 > 0),
+    i as (
+        select fragment_id as peak_id, fixedmass + (a.id % 5) * 0.002e0 - 0.004e0 as mz from annotated_fragments a join norm_fragments n on n.id = a.fragment_id
+        union all select peak_id, measured + (peak_id % 3) * 0.0015e0 from f)
     select peak_id, 'measurederror' as parameter, round(1e6 * (mz - calculated) / calculated, 4) as value, abs(1e6 * (mz - calculated) / calculated) <= 3 as result from p
-    union all select peak_id, 'ms1precursor_detected', null, exists (select 1 from i where i.peak_id = p.peak_id and abs(i.mz - p.mz) <= greatest(p.mz * 3e-6, 5000)) from p
-    union all select f.peak_id, 'annfragments_detected', measured, exists (select 1 from i where i.peak_id = f.peak_id and i.mz between measured - 5000 and measured + 5000) from f
-    union all select f.peak_id, 'annfragments_accuracy', round(1e6 * (measured - (12.0 * n)) / measured, 4), abs(1e6 * (measured - 12.0 * n) / measured) <= 3 or abs(measured - 12.0 * n) <= 5000 from f
+    union all select peak_id, 'ms1precursor_detected', null, exists (select 1 from i where i.peak_id = p.peak_id and abs(i.mz - p.mz) <= greatest(p.mz * 3e-6, 0.002)) from p
+    union all select f.peak_id, 'annfragments_detected', round(measured, 4), exists (select 1 from i where i.peak_id = f.peak_id and abs(i.mz - measured) <= greatest(measured * 3e-6, 0.002)) from f
+    union all select f.peak_id, 'annfragments_accuracy', round(1e6 * (measured - (12e0 * n)) / nullif(measured, 0), 4), abs(1e6 * (measured - 12e0 * n) / nullif(measured, 0)) <= 3 or abs(measured - 12e0 * n) <= 0.002 from f
     union all select f.peak_id, 'annfragments_subset', null, n <= c from f join p on p.peak_id = f.peak_id"""
 
 
 @query("gather_qc", _QC)
 def _gather_qc(t: Frames) -> DataFrame:
+    """Masses with planted near misses: errors of 0 to 7 mDa about limits of 2 to 3."""
     x = t["norm_fragments"]
     peaks = x.select(F.col("id").alias("peak_id"), (F.col("fixedmass") + F.col("radical") * 0.003).alias("mz"), F.col("fixedmass").alias("calculated"), F.concat(F.lit("C"), (F.col("id") % 30 + 2).cast("string")).alias("formula"), F.lit(3.0).alias("msaccuracy"))
-    ions = t["annotated_fragments"].select(F.col("fragment_id").alias("peak_id"), "mz")
     n = F.col("id") % 40
-    fragments = x.where("id % 4 > 0").select(F.col("id").alias("peak_id"), (F.col("id") % 35 + 12.0).alias("fragment_mz"), (n * 12.0).alias("fragment_calculated"), F.concat(F.lit("C"), n.cast("string")).alias("fragment_formula"))
-    return qc.gathered(peaks, fragments, ions, ions, min_error=5000.0).select("peak_id", "parameter", F.round("value", 4).alias("value"), "result")
+    fragments = x.where("id % 4 > 0").select(F.col("id").alias("peak_id"), (n * 12.0 + (F.col("id") % 5 - 2) * 0.0015).alias("fragment_mz"), (n * 12.0).alias("fragment_calculated"), F.concat(F.lit("C"), n.cast("string")).alias("fragment_formula"))
+    near = t["annotated_fragments"].select(F.col("id").alias("ion"), F.col("fragment_id").alias("peak_id")).join(x.select(F.col("id").alias("peak_id"), "fixedmass"), "peak_id")
+    ions = near.select("peak_id", (F.col("fixedmass") + (F.col("ion") % 5) * 0.002 - 0.004).alias("mz")).unionByName(fragments.select("peak_id", (F.col("fragment_mz") + (F.col("peak_id") % 3) * 0.0015).alias("mz")))
+    return qc.gathered(peaks, fragments, ions, ions, min_error=0.002).select("peak_id", "parameter", F.round("value", 4).alias("value"), "result")
 
 
 @query("qc_rollup", f"with q as ({_QC}) select parameter, count(*) as n, count(*) filter (where result) as n_result, coalesce(bool_and(result), false) as passes from q group by parameter")
@@ -515,11 +519,11 @@ def _qc_rollup(t: Frames) -> DataFrame:
     return qc.rollup(_gather_qc(t), ["parameter"], ["result"])
 
 
-@query("formula_match", "select id, id % 40 = 7 as same, case when id % 40 < 2 then null else 'C' || case when id % 40 = 3 then '' else cast(id % 40 - 2 as varchar) end end as less from norm_fragments where id % 40 > 2")
+@query("formula_match", "select id, id % 40 = 7 as same, case when id % 40 < 2 then null when id % 40 = 2 then '' when id % 40 = 3 then 'C' else 'C' || cast(id % 40 - 2 as varchar) end as less from norm_fragments")
 def _formula_match(t: Frames) -> DataFrame:
     counts = chem.elements(F.concat(F.lit("C"), (F.col("id") % 40).cast("string")))
     less = chem.hill(chem.with_adduct(counts, "-C2"))
-    return t["norm_fragments"].where("id % 40 > 2").select("id", chem.is_match(counts, chem.elements(F.lit("HC7O2"))).alias("same"), less.alias("less"))
+    return t["norm_fragments"].select("id", chem.is_match(counts, chem.elements(F.lit("HC7O2"))).alias("same"), less.alias("less"))
 
 
 @query("score_summary", "select round(min(fixedmass), 6) as min, round(quantile_cont(fixedmass, 0.5), 6) as median, round(max(fixedmass), 6) as max, round(quantile_cont(fixedmass, 0.75) - quantile_cont(fixedmass, 0.25), 6) as iqr from compounds")

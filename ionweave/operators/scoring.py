@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,20 +83,31 @@ def check_fragments(fragments: DataFrame, ions: DataFrame, key: str | None, mass
     return out.withColumn("matched", F.coalesce("_met", F.lit(False))).drop("_mass", "_met", *[n for _, n in keys])
 
 
-def bootstrap(query: DataFrame, library: DataFrame, runs: int, seed: int = 1, **settings) -> DataFrame:
-    """dp and rdp of ``runs`` redraws of two spectra (mz, mz_u, int, int_u), as (run, dp, rdp).
+def _normal(seed: int, *parts: str) -> Column:
+    """A standard normal number that the seed and the columns decide, wherever and however often it is drawn."""
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *parts), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
 
-    Each run draws every ion anew from its normal distribution, not below 0; a
-    missing spread counts as 0.  Draws are seeded; runs are spread over tasks.
-    """
 
-    def drawn(df: DataFrame, key: str, shift: int) -> DataFrame:
-        rows = df.sparkSession.range(runs).withColumnRenamed("id", key).join(F.broadcast(df.select("mz", "mz_u", "int", "int_u")))
-        normal = lambda mean, sd, s: F.greatest(F.lit(0.0), F.col(mean) + F.coalesce(sd, F.lit(0.0)) * F.randn(s))
-        return rows.select(key, normal("mz", "mz_u", seed + shift).alias("mz"), normal("int", "int_u", seed + shift + 1).alias("intensity"))
+def bootstrap(query: DataFrame, library: DataFrame, runs: int, seed: int = 1, key: list[str] | None = None, **settings) -> DataFrame:
+    """dp and rdp of ``runs`` redraws of pairs of spectra (key, mz, mz_u, int, int_u), as (key, run, dp, rdp).
 
-    pairs = query.sparkSession.range(runs).select(F.col("id").alias("run"), F.col("id").alias("_run"))
-    return compare(drawn(query, "run", 0), drawn(library, "_run", 2), ["run"], ["_run"], pairs, **settings).drop("_run")
+    Each run draws every ion anew from its normal distribution, not below 0; a
+    missing spread counts as 0.  A draw follows from the seed, the key, the run
+    and the ion, so it is the same in any task.  Without a key the spectra are one pair.
+    """
+    key = key or []
+
+    def drawn(df: DataFrame, side: int) -> DataFrame:
+        rows = df.select(*key, "mz", "mz_u", "int", "int_u", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("run"))
+        value = lambda mean, spread, k: F.greatest(F.lit(0.0), F.col(mean) + F.coalesce(spread, F.lit(0.0)) * _normal(seed * 4 + side * 2 + k, *key, "run", "mz", "int"))
+        return rows.select(*key, "run", value("mz", "mz_u", 0).alias("mz"), value("int", "int_u", 1).alias("intensity"))
+
+    own = [*key, "run"]
+    other = [f"_{c}" for c in own]
+    a, b = drawn(query, 0), drawn(library, 1).withColumnsRenamed(dict(zip(own, other, strict=True)))
+    pairs = a.select(*own, *[F.col(c).alias(f"_{c}") for c in own]).distinct()
+    return compare(a, b, own, other, pairs, **settings).drop(*other)
 
 
 def summary(scores: DataFrame, column: str) -> DataFrame:
