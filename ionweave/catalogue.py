@@ -650,3 +650,8 @@ def _qc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _url(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.col("p_type").ilike("%casrn%"), F.concat(F.lit("cas/"), "p_name")).when(F.col("p_size") % 3 == 0, F.concat(F.lit("dtx/"), F.replace("p_brand", F.lit("#"), F.lit("%23"))))
     return _t(spark, sf_dir, "part").select("p_partkey", url.when(F.col("p_size") % 3 == 1, F.concat(F.lit("cid/"), F.col("p_partkey").cast("string"))).alias("url"))
+
+
+# these give the rows of the queries that they are named after
+for _name in ("dotprod", "compare_ms", "search_fragments"):
+    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]
