@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Texts of a dimension that a fuzzy lookup may broadcast.
+LOOKUP_TEXTS = 100_000
+
+
 def check_contract(found: dict[str, Any], contract: dict[str, dict[str, Any]]) -> dict[str, list[str]]:
     """What an import lacks or has besides a contract {element: {names, required}}; lists of objects are checked one by one.
 
@@ -51,7 +55,9 @@ def resolve(df: DataFrame, column: str, dimension: DataFrame, key: str = "id", f
     found = values.join(long, F.col("_value") == F.col("_text"), "left")
     if fuzzy:
         lost = found.where("_key is null").select("_value")
-        # the dimension is a lookup table, a few rows that are compared with the distinct values left
+        # texts within texts have no key to join on: each value left is compared with all of a lookup table of checked size
+        if long.limit(LOOKUP_TEXTS + 1).count() > LOOKUP_TEXTS:
+            raise ValueError(f"a fuzzy lookup takes a dimension of {LOOKUP_TEXTS} texts at most")
         near = lost.join(F.broadcast(long), F.contains("_text", F.col("_value")), "left")
         found = found.where("_key is not null").unionByName(near)
     hits = found.groupBy("_value").agg(F.countDistinct("_key").alias("matches"), F.min("_key").alias("_id"))

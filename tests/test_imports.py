@@ -1,3 +1,5 @@
+import pytest
+
 from ionweave.plans import imports
 
 
@@ -35,3 +37,15 @@ def test_fields_qc_and_removal(spark):
     frames = {"samples": spark.createDataFrame([(1, 7), (2, 8), (3, 8)], "id long, ms_methods_id long"), "ms_methods": spark.createDataFrame([(7,), (8,)], "id long")}
     assert {r.id for r in imports.without_sample(frames, 1)["ms_methods"].collect()} == {8}
     assert imports.without_sample(frames, 2)["ms_methods"].count() == 2
+
+
+def test_fuzzy_lookup(spark, monkeypatch):
+    dim = spark.createDataFrame([(1, "Agilent Technologies", "AT"), (2, "Waters", None), (3, "Waters East", None)], "id long, name string, short string")
+    rows = spark.createDataFrame([("agilent",), ("at",), ("WATERS ",), ("east",), ("nobody",), ("ter",), (None,), ("",)], "vendor string")
+    out, lost = imports.resolve(rows, "vendor", dim, fuzzy=True)
+    # an equal text comes before texts that contain the value
+    assert {r.vendor: r.vendor_id for r in out.collect()} == {"agilent": 1, "at": 1, "WATERS ": 2, "east": 3, "nobody": None, "ter": None, None: None, "": None}
+    assert {r.value: r.matches for r in lost.collect()} == {"nobody": 0, "ter": 2}
+    monkeypatch.setattr(imports, "LOOKUP_TEXTS", 3)
+    with pytest.raises(ValueError, match="fuzzy"):
+        imports.resolve(rows, "vendor", dim, fuzzy=True)
