@@ -53,7 +53,7 @@ def import_objects(texts: DataFrame, name: str = "object", text: str = "text") -
                     rows.append({"object": key, **parse_object(value or "")})
                 except (ValueError, AttributeError):
                     rows.append({"object": key})
-            yield pd.DataFrame(rows, columns=["object", *MAPS, *LISTS, "msconvertsettings"])
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("object", *MAPS, *LISTS, "msconvertsettings")})
 
     return texts.select(F.col(name).cast("string").alias("object"), F.col(text).alias("text")).mapInPandas(parse, OBJECT)
 
