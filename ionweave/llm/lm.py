@@ -9,7 +9,9 @@ task.  All n-grams that end in the same two words thus meet, and a shard derives
 the continuation counts of every lower order by itself: only n-grams of the
 highest order are shuffled, and the shorter ones at the begin of a text, which
 keep their plain counts as nothing precedes them.  The model is a set of sorted
-hash arrays with counts in the shared folder.  To spare disk, n-grams are
+hash arrays with counts in the shared folder, two files a shard: one of its
+n-grams, one of its words and of contexts that end in a very frequent word.  To
+spare disk, n-grams are
 shuffled as places in a table of the commonest words, and a shard of the model
 keeps 32 bits of a hash besides those that its place says, and two bits of most
 counts.
@@ -22,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_array, save_arrays, shared_dir, written
+from .shared import Arrays, map_array, map_together, save_arrays, save_together, shared_dir, written
 from .textblocks import Words, blocks, mix, strings
 
 SHARD_BYTES = 16 << 20
@@ -76,27 +79,29 @@ def _contexts(history: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _save_counts(folder: str, name: str, **counts: np.ndarray) -> None:
-    """Counts in two bits each; those above 2 as 3, with their places and values besides."""
+def _kept_counts(name: str, **counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as arrays to save, in two bits each; those above 2 as 3, with their places and values besides."""
+    out = {}
     for key, x in counts.items():
         large = np.flatnonzero(x > 2)
         small = np.zeros(-(-len(x) // 4) * 4, np.uint8)
         small[: len(x)] = np.minimum(x, 3)
         bits = np.bitwise_or.reduce(small.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1, dtype=np.uint8)
-        save_arrays(folder, name, **{key: bits, f"{key}.at": large.astype(np.uint32), f"{key}.large": np.frombuffer(_packed(x[large]), np.uint8)})
+        out |= {f"{name}.{key}": bits, f"{name}.{key}.at": large.astype(np.uint32), f"{name}.{key}.large": np.frombuffer(_packed(x[large]), np.uint8)}
+    return out
 
 
-def _counts_at(folder: str, name: str, at: np.ndarray) -> np.ndarray:
-    out = (map_array(folder, name, np.uint8)[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3).astype(np.int64)
+def _counts_at(saved: Arrays, name: str, at: np.ndarray) -> np.ndarray:
+    out = (saved.get(name, np.uint8)[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3).astype(np.int64)
     large = np.flatnonzero(out == 3)
     if len(large):
-        values = map_array(folder, f"{name}.large", np.uint8)
-        out[large] = values[1:].view(f"<u{values[0]}")[np.searchsorted(map_array(folder, f"{name}.at", np.uint32), at[large].astype(np.uint32))]
+        values = saved.get(f"{name}.large", np.uint8)
+        out[large] = values[1:].view(f"<u{values[0]}")[np.searchsorted(saved.get(f"{name}.at", np.uint32), at[large].astype(np.uint32))]
     return out
 
 
-def _save_hashes(folder: str, name: str, h: np.ndarray) -> None:
-    """Sorted distinct hashes, as the begin of each bucket by their first bits and the 32 bits that follow.
+def _kept_hashes(name: str, h: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted distinct hashes as arrays to save: the begin of each bucket by their first bits and the 32 bits that follow.
 
     A bucket has 16 of n hashes at most on average, so hashes are told apart by
     32 + log2(n) - 4 bits or more: one of n in a shard is taken for another with
@@ -104,12 +109,12 @@ def _save_hashes(folder: str, name: str, h: np.ndarray) -> None:
     """
     bits = max(len(h).bit_length() - 4, 1)
     begins = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    save_arrays(folder, name, hash=(h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), begin=begins.astype(np.uint32))
+    return {f"{name}.hash": (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), f"{name}.begin": begins.astype(np.uint32)}
 
 
-def _hashes_at(folder: str, name: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes_at(saved: Arrays, name: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of hashes among the saved ones, and whether they are there."""
-    known, begins = map_array(folder, f"{name}.hash", np.uint32), map_array(folder, f"{name}.begin", np.uint32)
+    known, begins = saved.get(f"{name}.hash", np.uint32), saved.get(f"{name}.begin", np.uint32)
     if not len(known):
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     bits = (len(begins) - 1).bit_length() - 1
@@ -260,40 +265,41 @@ class Model:
         """The counts of words by their sorted distinct hashes; 0 where the word is unknown."""
         out = {name: np.zeros(len(h), np.int64) for name in _WORD}
         for s, part in _sliced(_shard(h, self.bits), 1 << self.bits):
-            known = map_array(self.folder, f"w{s}.hash", np.uint64)
+            saved = map_together(self.folder, f"w{s}")
+            known = saved.get("w.hash", np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h[part]), len(known) - 1)
                 same = known[at] == h[part]
                 for name in out:
-                    out[name][part] = np.where(same, _counts_at(self.folder, f"w{s}.{name}", at), 0)
+                    out[name][part] = np.where(same, _counts_at(saved, f"w.{name}", at), 0)
         return out
 
     def grams(self, k: int, h: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Counts of distinct k-grams by their hashes and last two words."""
-        return self._found(f"g{k}_", ("count",), h, self.bigram_shard(v, w))[0]
+        return self._found("n", f"g{k}", ("count",), h, self.bigram_shard(v, w))[0]
 
     def contexts(self, k: int, h: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
         """total, n1, n2 and n3 of distinct contexts of k-grams, k above 2, by their hashes and last word."""
         hot = np.isin(v, self.hot_words())
         out = [np.zeros(len(h), np.int64) for _ in _CONTEXT]
-        for name, own in ((f"h{k}_", hot), (f"c{k}_", ~hot)):
-            shard = _shard(h[own] if name[0] == "h" else v[own], self.bits)
-            # the first bits of a very frequent context's hash are its shard's
-            kept = h[own] << np.uint64(self.bits) if name[0] == "h" else h[own]
-            for x, y in zip(out, self._found(name, _CONTEXT, kept, shard), strict=True):
-                x[own] = y
+        # the first bits of a very frequent context's hash are its shard's
+        often = self._found("w", f"h{k}", _CONTEXT, h[hot] << np.uint64(self.bits), _shard(h[hot], self.bits))
+        others = self._found("n", f"c{k}", _CONTEXT, h[~hot], _shard(v[~hot], self.bits))
+        for x, y, z in zip(out, often, others, strict=True):
+            x[hot], x[~hot] = y, z
         return out
 
-    def _found(self, name: str, values: tuple[str, ...], h: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+    def _found(self, file: str, name: str, values: tuple[str, ...], h: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((h, shard))
         out = [np.zeros(len(h), np.int64) for _ in values]
         for s, part in _sliced(shard[order], 1 << self.bits):
             mine = order[part]
-            at, same = _hashes_at(self.folder, f"{name}{s}", h[mine])
+            saved = map_together(self.folder, f"{file}{s}")
+            at, same = _hashes_at(saved, name, h[mine])
             mine, at = mine[same], at[same]
             if len(mine):
                 for x, value in zip(out, values, strict=True):
-                    x[mine] = _counts_at(self.folder, f"{name}{s}.{value}", at)
+                    x[mine] = _counts_at(saved, f"{name}.{value}", at)
         return out
 
 
@@ -352,8 +358,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     def sum_words(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
         h, c = _summed(_joined(table, "hash", np.uint64), _counts_of(table, "count"))
-        save_arrays(folder, f"u{s}", hash=h)
-        _save_counts(folder, f"u{s}", count=c)
+        save_together(folder, f"u{s}", {"u.hash": h, **_kept_counts("u", count=c)})
         often = np.flatnonzero(c > c.sum() / 1000)
         sizes = np.bincount(np.searchsorted(_POWERS, c, "right") - 1, minlength=len(_POWERS))
         row = {"shard": s, "types": len(h), "tokens": int(c.sum()), "sizes": sizes.tolist(), "often": [{"hash": int(a), "n": int(b)} for a, b in zip(h[often].view(np.int64), c[often], strict=True)]}
@@ -371,8 +376,9 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column("shard").to_pylist():
-                h = map_array(folder, f"u{s}.hash", np.uint64)
-                c = _counts_at(folder, f"u{s}.count", np.arange(len(h)))
+                saved = map_together(folder, f"u{s}")
+                h = saved.get("u.hash", np.uint64)
+                c = _counts_at(saved, "u.count", np.arange(len(h)))
                 yield pa.RecordBatch.from_pydict({"hash": pa.array([_array(h[c >= least])], pa.binary())})
 
     def save_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +445,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         begun = [*(x[~whole] for x in grams), count[~whole]]
         grams, count = [x[whole] for x in grams], count[whole]
         rows: dict[tuple[int, int], list[bytes]] = {}
-        of_counts = []
+        of_counts, saved = [], {}
 
         def hand_on(k: int, column: int, arrays: tuple[np.ndarray, ...]) -> None:
             for t, p in _sliced(_shard(arrays[0], bits), n_shards):
@@ -459,8 +465,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             count = np.add.reduceat(count[rank], first) if len(h) else count
             grams = [x[rank[first]] for x in grams]
-            _save_hashes(folder, f"g{k}_{s}", h[first])
-            _save_counts(folder, f"g{k}_{s}", count=count)
+            saved |= _kept_hashes(f"g{k}", h[first]) | _kept_counts(f"g{k}", count=count)
             of_counts += _of_counts(count)[:4]
             begun = begun[1:]
             tally = (count, *((count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)))
@@ -471,9 +476,9 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
                 # a context that ends in a very frequent word has parts in other shards as well
                 hot = np.isin(grams[-2], hot_words)
                 own = _summed(grams[0][~hot], *(x[~hot] for x in tally))
-                _save_hashes(folder, f"c{k}_{s}", own[0])
-                _save_counts(folder, f"c{k}_{s}", **dict(zip(_CONTEXT, own[1:], strict=True)))
+                saved |= _kept_hashes(f"c{k}", own[0]) | _kept_counts(f"c{k}", **dict(zip(_CONTEXT, own[1:], strict=True)))
                 hand_on(k, 0, _summed(grams[0][hot], *(x[hot] for x in tally)))
+        save_together(folder, f"n{s}", saved)
         out = [(t, k, *row, None) for (t, k), row in rows.items()] + [(-1, 0, *[b""] * 7, of_counts)]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _partial, strict=True)], _partial)
 
@@ -483,21 +488,16 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     partial = written(counted.groupBy("shard").applyInArrow(sum_grams, spark_partial), f"{folder}/grams")
     of_grams = partial.select(*[F.sum(F.col("of_counts")[k]) for k in range(4 * (order - 1))]).first()
 
-    def sum_longer_contexts(table: pa.Table) -> pa.Table:
-        s, k = table.column("shard")[0].as_py(), table.column("k")[0].as_py()
-        h, *sums = _summed(_joined(table, "v", np.uint64), *(_counts_of(table, x) for x in _CONTEXT))
-        _save_hashes(folder, f"h{k}_{s}", h << np.uint64(bits))
-        _save_counts(folder, f"h{k}_{s}", **dict(zip(_CONTEXT, sums, strict=True)))
-        return pa.table({"n": pa.array([len(h)], pa.int64())})
-
-    if order > 2:
-        longer = partial.where("k > 2").select("shard", "k", "v", *_CONTEXT)
-        written(longer.groupBy("shard", "k").applyInArrow(sum_longer_contexts, "n long"), f"{folder}/longer")
-
     def sum_contexts(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        known, common = map_array(folder, f"u{s}.hash", np.uint64), map_array(folder, "common.hash", np.uint64)
-        count = _counts_at(folder, f"u{s}.count", np.arange(len(known)))
+        own, common, saved = map_together(folder, f"u{s}"), map_array(folder, "common.hash", np.uint64), {}
+        known = own.get("u.hash", np.uint64)
+        count = _counts_at(own, "u.count", np.arange(len(known)))
+        for k in range(3, order + 1):
+            longer = table.filter(pc.field("k") == k)
+            h, *sums = _summed(_joined(longer, "v", np.uint64), *(_counts_of(longer, x) for x in _CONTEXT))
+            saved |= _kept_hashes(f"h{k}", h << np.uint64(bits)) | _kept_counts(f"h{k}", **dict(zip(_CONTEXT, sums, strict=True)))
+        table = table.filter(pc.field("k") == 2)
         v, w = (np.concatenate([np.zeros(0, np.uint64), *(_words_named(x, common) for x in table.column(side).to_pylist() if x)]) for side in "vw")
         v, *context = _summed(v, *(_counts_of(table, x) for x in ("total", "n1", "n2", "n3")))
         w, cont = _summed(w, _counts_of(table, "cont"))
@@ -507,11 +507,10 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         out["cont"][np.searchsorted(h, w)] = cont
         for name, x in zip(("total", "n1", "n2", "n3"), context, strict=True):
             out[name][np.searchsorted(h, v)] = x
-        save_arrays(folder, f"w{s}", hash=h)
-        _save_counts(folder, f"w{s}", **out)
+        save_together(folder, f"w{s}", saved | {"w.hash": h, **_kept_counts("w", **out)})
         return pa.table({"cont": pa.array([int(cont.sum())], pa.int64()), "of_counts": pa.array([_of_counts(cont)], pa.list_(pa.int64()))})
 
-    contexts = written(partial.where("k = 2").drop("k", "of_counts").groupBy("shard").applyInArrow(sum_contexts, "cont long, of_counts array<long>"), f"{folder}/contexts")
+    contexts = written(partial.where("k >= 2").drop("of_counts").groupBy("shard").applyInArrow(sum_contexts, "cont long, of_counts array<long>"), f"{folder}/contexts")
     of_words = contexts.select(F.sum("cont"), *[F.sum(F.col("of_counts")[k]) for k in range(5)]).first()
     bigram_types, *n = (x or 0 for x in of_words)
     d = _discounts(n[:4])

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_mapped: dict[str, np.ndarray] = {}
+#: What this worker has mapped, those asked for last at the end.
+_mapped: dict[str, object] = {}
+#: Files that a worker keeps mapped; beyond them, those that were not asked for the longest are let go.
+MAPPED = 4096
 
 #: Rows that a task hands to Python at once: texts can be long, and tasks share an executor's memory.
 BATCH_ROWS = 500
@@ -52,44 +57,93 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Each array as ``folder/name.key``; a rerun task replaces its files by equal ones."""
+def _put(folder: str, name: str, pieces: Iterable[bytes | memoryview]) -> None:
+    """A file of the pieces; a rerun task replaces it by an equal one."""
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
+    part = f"{root}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        for x in pieces:
+            f.write(x)
+    fs.move(part, f"{root}/{name}")
+
+
+def _raw(x: np.ndarray) -> memoryview:
+    return np.ascontiguousarray(x).view(np.uint8).data
+
+
+def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Each array as a file ``folder/name.key``."""
     for key, x in arrays.items():
-        part = f"{root}/.{name}.{key}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part) as f:
-            f.write(np.ascontiguousarray(x).view(np.uint8).data)
-        fs.move(part, f"{root}/{name}.{key}")
+        _put(folder, f"{name}.{key}", [_raw(x)])
 
 
-def map_array(folder: str, name: str, dtype) -> np.ndarray:
-    """The saved array, memory-mapped; empty where none was saved.
+def save_together(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """All arrays in one file, behind a table of their places."""
+    places, at = {}, 0
+    for key, x in arrays.items():
+        places[key] = (at, x.nbytes)
+        at += -(-x.nbytes // 8) * 8
+    table = json.dumps(places).encode()
+    table += b" " * (-len(table) % 8)
+    padded = (piece for x in arrays.values() for piece in (_raw(x), bytes(-x.nbytes % 8)))
+    _put(folder, name, [len(table).to_bytes(8, "little"), table, *padded])
+
+
+def _cached(where: str, made: Callable[[], object]) -> object:
+    x = _mapped.pop(where, None)
+    if x is None:
+        while len(_mapped) >= MAPPED:
+            del _mapped[next(iter(_mapped))]
+        x = made()
+    _mapped[where] = x
+    return x
+
+
+def _mapped_file(where: str) -> np.ndarray:
+    """The bytes of a file, memory-mapped; none if there is no such file.
 
     From a store that is not mounted, the file is copied to a temporary file
     that is unlinked once mapped, so nothing stays behind.
     """
+    fs, path = _filesystem(where)
+    if not fs.get_file_info(path).size:  # None, if there is no such file
+        return np.zeros(0, np.uint8)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.asarray(np.memmap(path, np.uint8, "r"))
+    fd, local = tempfile.mkstemp()
+    try:
+        with fs.open_input_stream(path) as f, os.fdopen(fd, "wb") as out:
+            while block := f.read(8 << 20):
+                out.write(block)
+        return np.asarray(np.memmap(local, np.uint8, "r"))
+    finally:
+        os.unlink(local)
+
+
+def map_array(folder: str, name: str, dtype) -> np.ndarray:
+    """The array of ``folder/name``, memory-mapped; empty where none was saved."""
+    where = f"{folder}/{name}"
+    return _cached(where, lambda: _mapped_file(where)).view(dtype)
+
+
+class Arrays:
+    """The arrays that were saved together in a file, memory-mapped."""
+
+    def __init__(self, data: np.ndarray):
+        self._begin = 8 + int.from_bytes(data[:8].tobytes(), "little")
+        self._data = data
+        self._places = json.loads(data[8 : self._begin].tobytes() or b"{}")
+
+    def get(self, key: str, dtype) -> np.ndarray:
+        """The array of that name; empty where none was saved."""
+        at, size = self._places.get(key, (0, 0))
+        return self._data[self._begin + at : self._begin + at + size].view(dtype)
+
+
+def map_together(folder: str, name: str) -> Arrays:
     where = f"{folder}/{name}"
-    if where not in _mapped:
-        if len(_mapped) > 4096:
-            _mapped.clear()
-        fs, path = _filesystem(where)
-        size = fs.get_file_info(path).size
-        if not size:  # None, if there is no such file
-            x = np.zeros(0, dtype)
-        elif isinstance(fs, pafs.LocalFileSystem):
-            x = np.memmap(path, dtype, "r")
-        else:
-            fd, local = tempfile.mkstemp()
-            try:
-                with fs.open_input_stream(path) as f, os.fdopen(fd, "wb") as out:
-                    while block := f.read(8 << 20):
-                        out.write(block)
-                x = np.memmap(local, dtype, "r")
-            finally:
-                os.unlink(local)
-        _mapped[where] = x
-    return _mapped[where].view(dtype)
+    return _cached(where, lambda: Arrays(_mapped_file(where)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

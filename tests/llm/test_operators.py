@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import string
@@ -11,7 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from ionweave.llm import components, decontaminate, exactdedup, linededup, lm, mixing, ngramjoin, personal, quality, tokenfiles, urlfilter
+from ionweave.llm import components, decontaminate, exactdedup, linededup, lm, mixing, ngramjoin, personal, quality, shared, tokenfiles, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -342,12 +343,12 @@ def test_arrays_of_the_model_return_what_was_saved(tmp_path):
     for n in (0, 1, 15, 5000):
         h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         c = np.where(rng.random(len(h)) < 0.9, rng.integers(0, 4, len(h)), rng.integers(0, 2**40, len(h)))
-        lm._save_hashes(str(tmp_path), f"x{n}", h)
-        lm._save_counts(str(tmp_path), f"x{n}", count=c)
-        at, there = lm._hashes_at(str(tmp_path), f"x{n}", h)
+        shared.save_together(str(tmp_path), f"x{n}", lm._kept_hashes("x", h) | lm._kept_counts("x", count=c))
+        saved = shared.map_together(str(tmp_path), f"x{n}")
+        at, there = lm._hashes_at(saved, "x", h)
         assert there.all() and (at == np.arange(len(h))).all()
-        assert (lm._counts_at(str(tmp_path), f"x{n}.count", at) == c).all()
-        assert not lm._hashes_at(str(tmp_path), f"x{n}", h ^ np.uint64(1 << 40))[1].any()
+        assert (lm._counts_at(saved, "x.count", at) == c).all()
+        assert not lm._hashes_at(saved, "x", h ^ np.uint64(1 << 40))[1].any()
         words = np.unique(np.append(h, np.array([0, lm.BEGIN], np.uint64)))
         for common in (h[::3], h[:0], h):
             assert (lm._words_named(lm._named(words, common), common) == words).all()
@@ -369,6 +370,9 @@ def test_kneser_ney_query_is_a_trigram_model(spark, docs, tmp_path):
     model = lm.train(docs.where(lm.is_training(F.col("doc_id"))), order=3)
     want = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
     assert {r.doc_id: r.score for r in queries.op3_kneser_ney(spark, str(tmp_path)).collect()} == pytest.approx(want, rel=1e-9)
+    # two files a shard, and one of its counted words
+    arrays = [f.name for f in pathlib.Path(model.folder.removeprefix("file:")).iterdir() if f.is_file()]
+    assert {re.sub("[0-9]", "", f) for f in arrays} == {"n", "u", "w", "common.hash", "hot.hash"} and len(arrays) <= 3 * (1 << model.bits) + 2
 
 
 def test_token_files(spark, docs, empty):
