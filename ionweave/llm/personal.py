@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
 from .textblocks import blocks, buffers, strings
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +35,8 @@ ALL_KINDS = (*KINDS, "secret")
 LABELS = ("other", *ALL_KINDS)
 #: Certainty from which a label adds a span.
 CERTAIN = 0.9
+#: Distinct lessons, the most frequent, from which the field is fitted; each is some twenty bytes.
+LESSONS = 50_000
 #: Rounds of message passing end when no message changes by more than this, or at the latest after so many.
 SETTLED, ROUNDS = 1e-3, 100
 
@@ -115,6 +118,10 @@ def _assigned(text: str, start: int) -> bool:
 BUCKETS = (2, 8, 5, 4, 2, 2, 3, 2, 6, 2, 2)
 
 
+#: Features of a word whose shape is hidden.
+HIDDEN = (-1,) * len(BUCKETS)
+
+
 def features(text: str, start: int, end: int) -> tuple[int, ...]:
     """Buckets of what a word's shape and the sign before it say, without asking whether a base pattern matches it."""
     word = text[start:end]
@@ -142,7 +149,7 @@ def _taught(text: str, start: int, end: int, observed: int) -> int:
     if observed:
         return observed
     word = text[start:end]
-    mixed = len(word) <= 512 and _KEYLIKE.fullmatch(word) and sum(map(word.count, "0123456789")) >= 4 and sum(map(str.isalpha, word)) >= 4
+    mixed = _KEYLIKE.fullmatch(word) and sum(map(word.count, "0123456789")) >= 4 and sum(map(str.isalpha, word)) >= 4
     return LABELS.index("secret") if mixed and _assigned(text, start) else 0
 
 
@@ -180,11 +187,11 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _one_hot(rows: np.ndarray) -> np.ndarray:
-    """One column for each bucket of each feature, and a constant."""
+    """One column for each bucket of each feature (a hidden one, -1, has none), and a constant."""
     offsets = np.cumsum([0, *BUCKETS[:-1]])
     out = np.zeros((len(rows), sum(BUCKETS) + 1))
     out[:, -1] = 1
-    np.put_along_axis(out, rows.astype(np.int64) + offsets, 1, axis=1)
+    np.put_along_axis(out, np.where(rows < 0, len(out.T) - 1, rows + offsets).astype(np.int64), 1, axis=1)
     return out
 
 
@@ -296,7 +303,9 @@ def _lessons(text: str) -> list[tuple[int, ...]]:
     """A row of Field.learned for each candidate word of a text; three or more skip neighbours with a label count as three.
 
     A word without a label that a skip edge ties to one with a label teaches
-    nothing: it is for the field to decide.
+    nothing: it is for the field to decide.  Every other word teaches twice, once
+    with its shape and its neighbours hidden: a base pattern is a matter of shape
+    alone, so what skip edges say is learned where nothing else is known.
     """
     nodes, observed = candidates(text, base_spans(text))
     labels = [_taught(text, a, b, o) for (a, b), o in zip(nodes, observed, strict=True)]
@@ -305,15 +314,24 @@ def _lessons(text: str) -> list[tuple[int, ...]]:
         met[a, labels[b]] += 1
         met[b, labels[a]] += 1
     padded = [-1, *labels, -1]
-    return [(*features(text, *nodes[i]), labels[i], padded[i], padded[i + 2], *np.minimum(met[i], 3).tolist()) for i in range(len(nodes)) if labels[i] or not met[i, 1:].any()]
+    out = []
+    for i in range(len(nodes)):
+        if labels[i] or not met[i, 1:].any():
+            ties = np.minimum(met[i], 3).tolist()
+            out += [(*features(text, *nodes[i]), labels[i], padded[i], padded[i + 2], *ties), (*HIDDEN, labels[i], -1, -1, *ties)]
+    return out
 
 
-def learn(docs: DataFrame) -> Field:
+def learn(docs: DataFrame, lessons: int = LESSONS) -> Field:
     """The field learned from the words of all whole texts.
 
-    Tasks count equal rows of buckets and labels, so what reaches the driver is
-    bounded by the number of their combinations, at any size of the corpus.
+    Tasks count equal rows of buckets and labels over all documents; the field is
+    fitted to the given number of distinct ones, those that occur most often
+    (ties by the row), so what reaches the driver is bounded at any size of the
+    corpus.  Null text counts as empty; an empty table gives a field that adds
+    nothing.
     """
+    bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -324,7 +342,8 @@ def learn(docs: DataFrame) -> Field:
                     found.update(_lessons(texts[i].as_py()))
         yield pa.RecordBatch.from_arrays([pa.array([bytes(x + 1 for x in row) for row in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["row", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "row binary, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").collect()
+    rows = docs.select("text").mapInArrow(count, "row binary, n long").groupBy("row").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "row").limit(lessons).collect()
+    rows.sort(key=lambda r: r.row)
     width = len(BUCKETS) + 3 + len(LABELS)
     return Field.learned(np.array([list(r.row) for r in rows], np.int64).reshape(-1, width) - 1, np.array([r.n for r in rows], float))
 
@@ -336,6 +355,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     their own; an empty table gives an empty result; a text may be of any
     length; other columns, whatever their names, are not read.
     """
+    bound_batches(docs.sparkSession)
     shape, chain, skip = field.shape.tobytes(), field.chain.tobytes(), float(field.skip)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -439,6 +439,54 @@ def test_skip_edges_carry_labels(spark):
     assert personal.find(docs.where("false"), personal.learn(docs.where("false"))).count() == 0
 
 
+def planted_repeats():
+    """Texts with a span of a base kind and, far behind, its repeat in a form that no base pattern has; others with look-alikes alone."""
+    rng = random.Random(17)
+    digits = lambda n: str(rng.randint(10 ** (n - 1), 10**n - 1))
+    name = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(6))
+    far = "and then nothing of note came to pass " * 12
+    rows, planted = [], {}
+    for i in range(400):
+        one, person = digits(11), f"{name()}.{name()}"
+        phone, mail = f"+{one}", f"{person}@{name()}.example.org"
+        number, place = (lambda: f"order {digits(11)}"), (lambda: f"ask {name()}@{name()}")
+        if i % 4 == 0:
+            text = f"call {phone} or {number()} {far} or {phone} or {place()} {far} {mail} or {number()} {far} that is {mail} or {place()}"
+        elif i % 4 == 1:
+            text = f"{number()} from {name()}@{name()} {far} of {digits(11)} pieces in box {digits(4)} {far} {place()}"
+        elif i % 4 == 2:
+            text = f"call {phone} or {number()} {far} {phone} or {number()} {far} {one} or {number()}"
+            planted[i] = [("phone", text.rindex(one), text.rindex(one) + 11)]
+        else:
+            last = f"{person}@{name()}"
+            text = f"write to {mail} or {place()} {far} {mail} or {place()} {far} once {last} or {place()}"
+            planted[i] = [("email", text.rindex(last), text.rindex(last) + len(last))]
+        rows.append((i, text, "en", "web", len(text)))
+    return rows, planted
+
+
+def test_skip_edges_decide_planted_repeats(spark):
+    rows, planted = planted_repeats()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    field = personal.learn(docs)
+
+    def added(f):
+        return {(r.doc_id, *s) for r in personal.find(docs, f).collect() for s in r.added}
+
+    want = {(i, *s) for i, spans in planted.items() for s in spans}
+    with_skips, without = added(field), added(personal.Field(field.shape, field.chain, 0.0))
+    print(field.skip, len(want), len(with_skips & want), len(with_skips - want), len(without & want), len(without - want))
+    assert len(with_skips & want) >= 0.95 * len(want) and len(with_skips - want) <= 0.02 * len(want)
+    assert len(without & want) <= 0.05 * len(want)
+
+
+def test_lessons_are_bounded(spark):
+    docs = spark.createDataFrame(planted_repeats()[0], SCHEMA)
+    few = personal.learn(docs, lessons=3)
+    assert few.shape.shape == (sum(personal.BUCKETS) + 1, len(personal.LABELS)) and personal.find(docs, few).count() == 400
+    assert personal._taught("key=" + "ab12" * 500, 4, 2004, 0) == personal.LABELS.index("secret")
+
+
 def test_beliefs_equal_enumeration():
     """Message passing is exact where edges make a tree: against the sum over all labellings."""
     import itertools
