@@ -152,11 +152,27 @@ def _before(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return v
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place of each, and the index of each place's hash among them."""
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
+def _by_shard(shards: np.ndarray, bits: int) -> np.ndarray:
+    """The order of shards, by a radix sort where their numbers have 16 bits or fewer."""
+    return np.argsort(shards.astype(np.uint16) if bits <= 16 else shards, kind="stable")
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and the sums of the values for each."""
     if not len(keys):
         return keys, *values
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], *(np.add.reduceat(v[order], first) for v in values)
@@ -290,7 +306,8 @@ class Model:
         return out
 
     def _found(self, file: str, name: str, values: tuple[str, ...], h: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
-        order = np.lexsort((h, shard))
+        # sorted hashes stay sorted within their shards
+        order = _by_shard(shard, self.bits)
         out = [np.zeros(len(h), np.int64) for _ in values]
         for s, part in _sliced(shard[order], 1 << self.bits):
             mine = order[part]
@@ -406,8 +423,9 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
             *grams, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             h = bigram_hash(_longest(_contexts(grams[:-1])), grams[-1])
-            rank = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], h[rank][1:] != h[rank][:-1]]))
+            rank = np.argsort(h)
+            ranked = h[rank]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             c = np.add.reduceat(c[rank], first)
             grams = [x[rank[first]] for x in grams]
             shard = _bigram_shard(grams[-2], grams[-1], bits, hot_words)
@@ -423,8 +441,8 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         for words in words_of(batches):
             tokens, ends = _tokens(words)
             grams = [*_history(tokens, ends, order), tokens]
-            _, first, n = np.unique(bigram_hash(_longest(_contexts(grams[:-1])), tokens), return_index=True, return_counts=True)
-            held.append((*(x[first] for x in grams), n))
+            _, first, back = _distinct(bigram_hash(_longest(_contexts(grams[:-1])), tokens))
+            held.append((*(x[first] for x in grams), np.bincount(back, minlength=len(first))))
             if sum(len(x[0]) for x in held) > HELD:
                 yield emit()
         if held:
@@ -533,7 +551,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in blocks(batch) if batch.num_rows else ():
                 tokens, ends = _tokens(Words(strings(part.column("text"))))
-                h, word = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+                h, _, word = _distinct(np.append(tokens, BEGIN))
                 w = word[:-1]
                 known = model.words(h)
                 # words by their continuations, the longest n-grams by their counts
@@ -548,14 +566,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 v = contexts[0]
                 for k, (context, d) in enumerate(zip(contexts, longer, strict=True), 2):
                     at = np.flatnonzero(context)
-                    _, one, back = np.unique(context[at], return_index=True, return_inverse=True)
+                    _, one, back = _distinct(context[at])
                     if k == 2:
                         place = np.searchsorted(h, context[at[one]])
                         tally = [known[x][place] for x in _CONTEXT]
                     else:
                         tally = model.contexts(k, context[at[one]], v[at[one]])
                     total, n1, n2, n3 = (x[back] for x in tally)
-                    g, one, back = np.unique(bigram_hash(context[at], tokens[at]), return_index=True, return_inverse=True)
+                    g, one, back = _distinct(bigram_hash(context[at], tokens[at]))
                     c = model.grams(k, g, v[at[one]], tokens[at[one]])[back]
                     some = np.maximum(total, 1)
                     gamma = (d[0] * n1 + d[1] * n2 + d[2] * n3) / some
