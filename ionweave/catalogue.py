@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionweave.functions import chem, qc, text
+from ionweave.functions import chem, qc, stats, text
 from ionweave.operators import align, predicates, relational, scoring, spectra
 from ionweave.operators.tolerance import absolute_join, in_isolation_window, nearest_scan, overlap, tolerance, tolerance_join
 from ionweave.plans import search
@@ -435,8 +435,8 @@ def _group_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(q).select("event_type", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("min", "q1", "median", "q3", "max"))])
+    q = stats.quantiles(_t(spark, sf_dir, "events"), ["event_type"], "value")
+    return q.select("event_type", *[F.round(F.col("quantiles")[k], 6).alias(n) for k, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
 @query(

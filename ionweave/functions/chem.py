@@ -141,17 +141,52 @@ def isotope_pattern(formula: str, max_shift: float = 3.0, min_intensity: float =
     return sorted((m + shift, p / top) for m, p in out if p / top >= min_intensity and abs(m - lightest) <= max_shift + 0.5)
 
 
-def isotope_patterns(df: DataFrame, formula: str, **settings) -> DataFrame:
-    """df with a row (mz, intensity) for each isotopologue of its formula; bad or unknown formulas give none."""
+def mass_chart(isotopes: DataFrame) -> DataFrame:
+    """(symbol, isotopes) of a table (symbol, exact_mass, abundance), commonest first, then lightest; isotopes without mass or abundance are left out."""
+    known = isotopes.where("symbol is not null and exact_mass is not null and abundance > 0")
+    rows = F.array_sort(F.collect_set(F.struct((-F.col("abundance")).alias("order"), F.col("exact_mass").alias("mass"))))
+    return known.groupBy("symbol").agg(F.transform(rows, lambda x: F.struct(x["mass"].alias("mass"), (-x["order"]).alias("abundance"))).alias("isotopes"))
+
+
+def _parts(df: DataFrame, formula: str, chart: DataFrame) -> DataFrame:
+    """(_formula, symbol, _count, isotopes) of the distinct formulas; isotopes are null for an element that the chart lacks."""
+    plain = df.select(F.col(formula).alias("_formula")).distinct().where(F.col("_formula").rlike(f"^(?:{_PART})+$"))
+    return plain.select("_formula", F.explode(elements(F.col("_formula"))).alias("symbol", "_count")).join(chart, "symbol", "left")
+
+
+def chart_masses(df: DataFrame, formula: str, chart: DataFrame, name: str = "mass") -> DataFrame:
+    """df with the mass of its formula's commonest isotopes by a chart; null if it is no formula or has an element that the chart lacks."""
+    main = F.col("isotopes")[0]["mass"]
+    sums = _parts(df, formula, chart).groupBy("_formula").agg(F.when(F.bool_and(main.isNotNull()), F.sum(main * F.col("_count"))).alias(name))
+    return df.join(sums, F.col(formula) == F.col("_formula"), "left").drop("_formula")
+
+
+def isotope_patterns(df: DataFrame, formula: str, chart: DataFrame | None = None, **settings) -> DataFrame:
+    """df with a row (mz, intensity) for each isotopologue of its formula; bad or unknown formulas give none.
+
+    chart: the isotopes of elements (see mass_chart), joined to each distinct
+    formula, in place of the common elements' own.
+    """
     schema = T.StructType([*df.schema, T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])
+    charted = chart is not None
+    if charted:
+        of = F.collect_list(F.struct("symbol", "isotopes"))
+        known = _parts(df, formula, chart).groupBy("_formula").agg(F.bool_and(F.col("isotopes").isNotNull()).alias("_all"), of.alias("_of")).where("_all")
+        lists = {"_symbols": F.transform("_of", lambda x: x["symbol"]), "_mass": F.transform("_of", lambda x: x["isotopes"]["mass"]), "_abundance": F.transform("_of", lambda x: x["isotopes"]["abundance"])}
+        df = df.join(known.select("_formula", *[v.alias(k) for k, v in lists.items()]), F.col(formula) == F.col("_formula")).drop("_formula")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row in pdf.itertuples(index=False):
-                text = getattr(row, formula)
-                if isinstance(text, str) and re.fullmatch(f"(?:{_PART})+", text) and all(e in settings.get("isotopes", ISOTOPES) for e, _ in re.findall(_PART, text)):
-                    rows += [(*row, m, p) for m, p in isotope_pattern(text, **settings)]
+            for row in pdf.itertuples(index=False, name=None):
+                named = dict(zip(pdf.columns, row, strict=True))
+                own, table = row, settings.get("isotopes", ISOTOPES)
+                if charted:
+                    own = row[: len(schema) - 2]
+                    table = {e: list(zip(m, a, strict=True)) for e, m, a in zip(named["_symbols"], named["_mass"], named["_abundance"], strict=True)}
+                text = named[formula]
+                if isinstance(text, str) and re.fullmatch(f"(?:{_PART})+", text) and all(e in table for e, _ in re.findall(_PART, text)):
+                    rows += [(*own, m, p) for m, p in isotope_pattern(text, **{**settings, "isotopes": table})]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return df.mapInPandas(expand, schema)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ionweave.operators.keys import accumulated, same
+
 
 def _beta_share(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by Lentz's continued fraction."""
@@ -133,3 +135,28 @@ def peak_bounds(trace: DataFrame, key: list[str], order: str, value: str, slope:
     right = F.min(F.when((F.col("_k") >= F.col("_apex")) & F.col("_flat_right"), F.col("_k")))
     left = F.max(F.when((F.col("_k") <= F.col("_apex")) & F.col("_flat_left"), F.col("_k")))
     return rows.groupBy(*key).agg(F.coalesce(left, F.lit(1)).alias("left"), F.coalesce(right, F.max("_last")).alias("right"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """by and quantiles (an array, one for each share) of a number, between the two nearest ranks; nulls are left out.
+
+    Exact, and no group meets in one task: distinct values are counted, their
+    counts accumulated range by range, and only values at wanted ranks kept.  A
+    group without values has no row; a null group counts as a group.
+    """
+    given = [F.col(c) for c in by] or [F.lit(0)]
+    groups = [f"_g{k}" for k in range(len(given))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[c.alias(g) for c, g in zip(given, groups, strict=True)], F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    ends = accumulated(counts, [*groups, "_value"], "_n", "_end")
+    sizes = ends.groupBy(*[F.col(g).alias(f"_of{g}") for g in groups]).agg(F.sum("_n").alias("_size"), F.min(F.col("_end") - F.col("_n")).alias("_base"))
+    rows = ends.join(sizes, same("", "_of", groups))
+    first, last = F.col("_end") - F.col("_n") - F.col("_base"), F.col("_end") - F.col("_base") - 1
+    at = [F.lit(float(p)) * (F.col("_size") - 1) for p in shares]
+    ranks = [(F.floor(h), F.ceil(h)) for h in at]
+    hit = F.lit(False)
+    for pair in ranks:
+        for r in pair:
+            hit |= r.between(first, last)
+    found = rows.where(hit).groupBy(*groups, "_size").agg(*[F.max(F.when(r.between(first, last), F.col("_value"))).alias(f"_{side}{k}") for k, pair in enumerate(ranks) for side, r in zip(("lo", "hi"), pair, strict=True)])
+    between = [F.col(f"_lo{k}") + (at[k] - F.floor(at[k])) * (F.col(f"_hi{k}") - F.col(f"_lo{k}")) for k in range(len(shares))]
+    return found.select(*[F.col(g).alias(c) for c, g in zip(by, groups, strict=False)], F.array(*between).alias("quantiles"))

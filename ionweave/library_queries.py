@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ionweave.functions import chem, qc, stats, text
 from ionweave.operators import keys, predicates, relational, scoring, spectra
-from ionweave.plans import imports, methods, schema, search, views
+from ionweave.plans import imports, methods, peak_tables, schema, search, views
 from ionweave.sources import files
 
 Frames = dict[str, DataFrame]
@@ -379,6 +379,36 @@ def _search_compound(t: Frames) -> DataFrame:
     return out.select("peak_id", *[F.round(c, 8).alias(c) for c in ("ms1_dp", "ms1_rdp", "ms2_dp", "ms2_rdp")], "fragments_matched", "fragments", F.round("sum_match", 7).alias("sum_match"))
 
 
+_PEAK_TABLE = """with s as (
+        select l_orderkey as peak_id, l_linenumber as scan, l_linenumber % 3 = 1 as first_level, l_quantity + 3e0 as trace, l_quantity + 10e0 * l_linenumber + l_quantity + 3 as tic,
+               [100e0 + l_suppkey % 20, 200e0 + l_partkey % 10, 300e0 + l_orderkey % 5] as mz, [cast(l_quantity as double), 10e0 * l_linenumber, l_quantity + 3e0] as v from lines
+    ),
+    m as (select *, row_number() over (partition by peak_id order by scan) as place from s where not first_level),
+    near as (select m.peak_id, place, m.scan, m.mz, m.v, m.tic, arg_min(s.trace, abs(s.scan - m.scan)) as eic, max(s.trace) filter (where s.scan = m.scan - 1) as before from m join s on s.peak_id = m.peak_id and s.first_level group by all),
+    apex as (select peak_id, place as apex from (select peak_id, place, row_number() over (partition by peak_id order by {seed} desc nulls last, place) as r from near) where r = 1),
+    i as (select n.peak_id, place, eic, unnest(mz) as mz, unnest(v) as v, abs(place - apex) * 100 + place as visit from near n join apex using (peak_id)),
+    g as (select peak_id, mz, row_number() over (partition by peak_id order by min(visit), mz) - 1 as ion_group from i group by peak_id, mz)
+    select i.peak_id, place as scan, ion_group, i.mz, v as intensity, eic from i join g on g.peak_id = i.peak_id and g.mz = i.mz"""
+
+
+def _cycles(t: Frames) -> DataFrame:
+    """Scans of cycles of one MS1 and two MS2 scans, for each order a peak."""
+    ion = lambda mz, v: F.struct(mz.cast("double").alias("mz"), v.cast("double").alias("intensity"))
+    ions = F.array(ion(F.lit(100) + F.col("l_suppkey") % 20, F.col("l_quantity")), ion(F.lit(200) + F.col("l_partkey") % 10, F.lit(10.0) * F.col("l_linenumber")), ion(F.lit(300) + F.col("l_orderkey") % 5, F.col("l_quantity") + 3))
+    level = F.when(F.col("l_linenumber") % 3 == 1, 1).otherwise(2)
+    return t["lines"].select(F.col("l_orderkey").alias("peak_id"), level.alias("ms_n"), F.col("l_linenumber").cast("double").alias("scantime"), (F.lit(300.0) + F.col("l_orderkey") % 5).alias("precursor_mz"), ions.alias("ions"))
+
+
+@query("peak_table_ms2", _PEAK_TABLE.replace("{seed}", "before"))
+def _peak_table_ms2(t: Frames) -> DataFrame:
+    return peak_tables.peak_table(_cycles(t), 2)
+
+
+@query("peak_table_tic", _PEAK_TABLE.replace("{seed}", "tic"))
+def _peak_table_tic(t: Frames) -> DataFrame:
+    return peak_tables.peak_table(_cycles(t), 2, start="tic")
+
+
 @query(
     "scans_of_peaks",
     """with p as (select id, fixedmass as wanted, radical * 50 + id % 50 as a from norm_fragments), s as (select id, mz, fragment_id, mz / 50 as t, id % 10 as n, fragment_id + 880.0 as pre from annotated_fragments)
@@ -526,6 +556,33 @@ def _formula_match(t: Frames) -> DataFrame:
     return t["norm_fragments"].select("id", chem.is_match(counts, chem.elements(F.lit("HC7O2"))).alias("same"), less.alias("less"))
 
 
+_CHART = "c as (select 'X' || chr(cast(97 + atomic_number as integer)) as symbol, exact_mass as mass, abundance from isotopes group by all)"
+
+
+def _chart(t: Frames) -> DataFrame:
+    symbol = F.concat(F.lit("X"), F.char(F.lit(97) + F.col("atomic_number")))
+    return chem.mass_chart(t["isotopes"].select(symbol.alias("symbol"), "exact_mass", "abundance"))
+
+
+@query("exact_mass_chart", f"with {_CHART} select symbol, count(*) as n, string_agg(cast(cast(round(mass * 100) as bigint) as varchar), ' ' order by abundance desc, mass) as masses from c group by symbol")
+def _exact_mass_chart(t: Frames) -> DataFrame:
+    masses = F.transform("isotopes", lambda x: F.round(x["mass"] * 100).cast("long").cast("string"))
+    return _chart(t).select("symbol", F.size("isotopes").cast("long").alias("n"), F.array_join(masses, " ").alias("masses"))
+
+
+@query(
+    "chart_masses",
+    f"""with {_CHART}, m as (select symbol, arg_min(mass, [-abundance, mass]) as main from c group by symbol)
+    select f.id, f.formula, round(a.main * f.n + b.main, 6) as mass from (select id, 'X' || chr(cast(97 + id % 26 as integer)) || cast(id % 7 + 2 as varchar) || 'X' || chr(cast(97 + id // 26 % 25 as integer)) as formula,
+        id % 7 + 2 as n, 'X' || chr(cast(97 + id % 26 as integer)) as x, 'X' || chr(cast(97 + id // 26 % 25 as integer)) as y from norm_fragments) f left join m a on a.symbol = x left join m b on b.symbol = y""",
+)
+def _chart_masses(t: Frames) -> DataFrame:
+    """Formulas of two elements (or one twice) over a chart of 25; a 26th is unknown, and its formulas have no mass."""
+    letter = lambda n: F.char(F.lit(97) + n)
+    rows = t["norm_fragments"].select("id", F.concat(F.lit("X"), letter(F.col("id") % 26), (F.col("id") % 7 + 2).cast("string"), F.lit("X"), letter(F.floor(F.col("id") / 26) % 25)).alias("formula"))
+    return chem.chart_masses(rows, "formula", _chart(t)).select("id", "formula", F.round("mass", 6).alias("mass"))
+
+
 @query("score_summary", "select round(min(fixedmass), 6) as min, round(quantile_cont(fixedmass, 0.5), 6) as median, round(max(fixedmass), 6) as max, round(quantile_cont(fixedmass, 0.75) - quantile_cont(fixedmass, 0.25), 6) as iqr from compounds")
 def _summary(t: Frames) -> DataFrame:
     return scoring.summary(t["compounds"], "fixedmass").select(*[F.round(c, 6).alias(c) for c in ("min", "median", "max", "iqr")])

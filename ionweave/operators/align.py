@@ -1,12 +1,14 @@
 """Order-dependent steps on one peak: aligning ions across scans, pooling and pairing spectra, choosing parameters.
 
-Each is a numpy step on the rows of one key, applied with applyInPandas; a key
-is one peak at one MS level, a few thousand ions.
+Each is a numpy step on the rows of one key, applied with applyInPandas (to
+sorted batches of keys for the alignment); a key is one peak at one MS level, a
+few thousand ions.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,21 +29,31 @@ def _key_type(df: DataFrame, key: list[str]) -> list[T.StructField]:
 def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR, mode: str = "collapse") -> pd.DataFrame:
     """Adds ion_group to the ions (scan, mz, intensity, eic) of one peak.
 
-    Groups start from the ions of the scan with the largest eic; scans follow by
-    their distance from it, the earlier of two first.  A group takes the ions
+    Groups start from the ions of the scan with the largest eic, or the largest
+    value of a column seed, if there is one with values; scans follow by their
+    distance from it, the earlier of two first.  A group takes the ions
     between its smallest m/z and its largest, widened by their tolerances, and
     so grows; ions left over start groups.  Several ions of a scan in one group
     become one: mean m/z and summed intensity (collapse), or the last (last).
     """
-    scan, all_mz, all_int = pdf["scan"].to_numpy(), pdf["mz"].to_numpy(), pdf["intensity"].to_numpy()
+    seed = pdf["seed"].to_numpy() if "seed" in pdf else None
+    rows = _align(pdf["scan"].to_numpy(), pdf["mz"].to_numpy(), pdf["intensity"].to_numpy(), pdf["eic"].to_numpy(), seed, ppm, min_error, mode)
+    return pd.DataFrame(rows, columns=["scan", "ion_group", "mz", "intensity", "eic"])
+
+
+def _align(scan: np.ndarray, all_mz: np.ndarray, all_int: np.ndarray, eic: np.ndarray, seed: np.ndarray | None, ppm: float, min_error: float, mode: str) -> list[tuple]:
+    """The rows of align_ions, from the columns of one peak."""
     by = np.lexsort((all_int, all_mz, scan))
     starts = np.flatnonzero(np.concatenate([[True], scan[by][1:] != scan[by][:-1]])) if len(by) else np.zeros(0, int)
     parts = np.split(by, starts[1:])
     order = [scan[x[0]] for x in parts] if len(by) else []
     scans = dict(zip(order, parts, strict=False))
-    trace = {s: pdf["eic"].to_numpy()[x[0]] for s, x in scans.items()}
+    trace = {s: eic[x[0]] for s, x in scans.items()}
     place = {s: k for k, s in enumerate(order)}
-    apex = max(order, key=lambda s: (trace[s], -place[s]))
+    wanted = trace
+    if seed is not None and not np.isnan(seed).all():
+        wanted = {s: -np.inf if np.isnan(seed[x[0]]) else seed[x[0]] for s, x in scans.items()}
+    apex = max(order, key=lambda s: (wanted[s], -place[s]))
     order.sort(key=lambda s: (abs(place[s] - place[apex]), place[s]))
     low, high, rows = np.zeros(0), np.zeros(0), []
     for s in order:
@@ -58,22 +70,59 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
         new = np.flatnonzero(left)
         rows += [(s, len(low) + k, mz[i], intensity[i], trace[s]) for k, i in enumerate(new)]
         low, high = np.append(low, mz[new]), np.append(high, mz[new])
-    return pd.DataFrame(rows, columns=["scan", "ion_group", "mz", "intensity", "eic"])
+    return rows
+
+
+def _key_starts(pdf: pd.DataFrame, key: list[str]) -> np.ndarray:
+    """Places of rows whose key differs from that of the row before; nulls are equal."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for c in key:
+        x, before = pdf[c], pdf[c].shift()
+        new |= ((x != before) & ~(x.isna() & before.isna())).to_numpy(bool)
+    return np.flatnonzero(new)
 
 
 def aligned(ions: DataFrame, key: list[str], ppm: float = PPM, min_error: float = MIN_ERROR, mode: str = "collapse") -> DataFrame:
-    """key, scan, ion_group, mz, intensity, eic from ions (key, scan, mz, intensity, eic); columns ppm and min_error, if there, give a key's own tolerance."""
+    """key, scan, ion_group, mz, intensity, eic from ions (key, scan, mz, intensity, eic); columns ppm and min_error, if there, give a key's own tolerance, and seed its first scan.
+
+    Keys are hashed to tasks and sorted there; a task holds a batch and what came
+    of the key that it ended in, so that many small keys share a batch.
+    """
     fields = [("scan", T.LongType()), ("ion_group", T.LongType()), ("mz", T.DoubleType()), ("intensity", T.DoubleType()), ("eic", T.DoubleType())]
     schema = T.StructType([*_key_type(ions, key), *(T.StructField(n, t) for n, t in fields)])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [x if c not in pdf or pd.isna(pdf[c].iloc[0]) else float(pdf[c].iloc[0]) for c, x in (("ppm", ppm), ("min_error", min_error))]
-        out = align_ions(pdf, *own, mode)
-        for k, c in enumerate(key):
-            out.insert(k, c, pdf[c].iloc[0])
-        return out
-
-    return ions.groupBy(*key).applyInPandas(one, schema)
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        bounds = [*_key_starts(pdf, key), len(pdf)]
+        firsts, rows = [], []
+        for a, b in itertools.pairwise(bounds):
+            own = [x if c not in cols or pd.isna(cols[c][a]) else float(cols[c][a]) for c, x in (("ppm", ppm), ("min_error", min_error))]
+            seed = cols["seed"][a:b].astype(float) if "seed" in cols else None
+            found = _align(cols["scan"][a:b], cols["mz"][a:b], cols["intensity"][a:b], cols["eic"][a:b].astype(float), seed, *own, mode)
+            rows += found
+            firsts += [a] * len(found)
+        out = pd.DataFrame(rows, columns=[n for n, _ in fields])
+        keys = pdf[key].iloc[firsts].reset_index(drop=True)
+        return pd.concat([keys, out], axis=1)
+
+    def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[pd.DataFrame] = []  # rows of the key that is still open
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if parts and len(_key_starts(pd.concat([parts[-1][-1:], pdf]), key)) == 1:
+                parts.append(pdf)
+                continue
+            pdf = pd.concat([*parts, pdf], ignore_index=True)
+            last = _key_starts(pdf, key)[-1]
+            if last:
+                yield whole(pdf[:last])
+            parts = [pdf[last:]]
+        if parts:
+            yield whole(pd.concat(parts, ignore_index=True))
+
+    return ions.repartition(*key).sortWithinPartitions(*key).mapInPandas(many, schema)
 
 
 def spectrum_of(pt: pd.DataFrame, correl: float | None, height: float | None, freq: float | None, norm: str = "sum", method: str = "pearson") -> pd.DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,24 @@ def numbered(rows: DataFrame, order: list[str], after: int = 0, key: str = "id")
     return out.select(*[c for c in rows.columns if c != key], key)
 
 
+def accumulated(rows: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """rows with the sum of weight over each row and all that come before it in the order of the columns, which no two rows share.
+
+    Sums run within ranges of rows, each in its task; only the sums of whole
+    ranges, one number for each task, reach the driver.
+    """
+    spark = rows.sparkSession
+    placed = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "sums")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    before, offsets = 0, []
+    for r in placed.groupBy("_part").agg(F.sum(weight).alias("n")).orderBy("_part").collect():  # a row for each range
+        offsets.append((r["_part"], before))
+        before += r.n
+    ranges = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    running = F.sum(weight).over(Window.partitionBy("_part").orderBy("_place"))
+    return placed.withColumn("_running", running).join(ranges, "_part").select(*rows.columns, (F.col("_before") + F.col("_running")).alias(name))
+
+
 def same(left: str, right: str, columns: list[str]) -> Column:
     """Whether columns with one prefix equal those with another, nulls included."""
     return reduce(Column.__and__, [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in columns])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.operators.align import aligned, optimal_parameters
+from ionweave.operators.align import optimal_parameters
 from ionweave.operators.keys import staged
 from ionweave.operators.scoring import check_fragments, compare
-from ionweave.operators.spectra import extracted, uncertainty_spectrum
+from ionweave.operators.spectra import uncertainty_spectrum
 from ionweave.operators.tolerance import interval_join, tolerance, tolerance_join
+from ionweave.plans.peak_tables import peak_table
 
 
 def candidates(peaks: DataFrame, precursor: float, ppm: float = 5.0, min_error: float = 0.002) -> DataFrame:
@@ -27,12 +28,11 @@ def library_spectra(scans: DataFrame, peaks: DataFrame, level: int, parameters:
     """Uncertainty spectra (peak_id, mz, mz_u, int, int_u, n, numscans) of the peaks' scans (peak_id, ms_n, scantime, ions) at a level.
 
     The chromatogram is that of the precursor in MS1 scans; an MS2 scan takes
-    the value of the nearest MS1 scan.  parameters: opt_ums_params, by peak and
+    the value of the nearest MS1 scan; alignment starts as peak_table says.
+    parameters: opt_ums_params, by peak and
     level; a peak's tolerances are those of its MS2 row, at both levels; where
     -1 or no row is given, a step is skipped and ppm and min_error hold.
     """
-    from ionweave.operators.tolerance import nearest_scan
-
     rows = scans.join(peaks.select("peak_id", "precursor_mz"), "peak_id")
     own = {"ppm": F.lit(ppm), "min_error": F.lit(min_error)}
     if parameters is not None:
@@ -41,13 +41,7 @@ def library_spectra(scans: DataFrame, peaks: DataFrame, level: int, parameters:
         rows = rows.join(errors, "peak_id", "left")
         own = {"ppm": F.coalesce("_ppm", F.lit(ppm)), "min_error": F.coalesce("_min", F.lit(min_error))}
     rows = rows.withColumns(own)
-    rows = nearest_scan(rows, ["peak_id"], "scantime", F.col("ms_n") == 1)
-    trace = extracted(F.col("ions"), F.col("precursor_mz"), F.col("ppm"), F.col("min_error"))
-    ms1 = rows.where("ms_n = 1").select("peak_id", F.col("scantime").alias("nearest"), trace.alias("eic"))
-    ions = rows.where(F.col("ms_n") == level).join(ms1, ["peak_id", "nearest"])
-    place = F.row_number().over(Window.partitionBy("peak_id").orderBy("scantime")).cast("long")
-    ions = ions.withColumn("scan", place).select("peak_id", "scan", "eic", "ppm", "min_error", F.inline("ions"))
-    groups = staged(aligned(ions, ["peak_id"], ppm, min_error), "aligned")  # alignment is the costly step, and is read several times
+    groups = staged(peak_table(rows, level, ppm, min_error), "aligned")  # alignment is the costly step, and is read several times
     eic = groups.select("peak_id", "scan", "eic").distinct()
     limits = None
     if parameters is not None and optimized:
