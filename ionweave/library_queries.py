@@ -12,11 +12,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionweave.functions import chem, qc, stats, text
 from ionweave.operators import keys, predicates, relational, scoring, spectra
 from ionweave.plans import imports, methods, peak_tables, schema, search, views
+from ionweave.plans.api import Library
 from ionweave.sources import files
+from ionweave.streaming import ingest
 
 Frames = dict[str, DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +165,11 @@ def _peak_spectra(t: Frames) -> DataFrame:
     return views.peak_spectra(t).select("id", "peak_id", "mz", "intensity")
 
 
+@query("compound_data", f"{_PEAK_SPECTRA} where base_ion is not null and peak_id in (select peak_id from compound_fragments where compound_id = 7)")
+def _compound_data(t: Frames) -> DataFrame:
+    return Library(t).compound_data(7).select("id", "peak_id", "mz", "intensity")
+
+
 @query("view_masserror", "select p.id as peak_id, precursor_mz, min(try_cast(value as double)) as msaccuracy from peaks p join qc_data q on q.peak_id = p.id where q.name = 'msaccuracy' group by p.id, precursor_mz")
 def _mass_errors(t: Frames) -> DataFrame:
     return views.mass_errors(t)
@@ -637,3 +645,36 @@ def _msp_files(t: Frames) -> DataFrame:
     ordered = keys.numbered(found.withColumn("size", F.size("ions")), ["file", "place"], key="rank")
     total = F.aggregate("ions", F.lit(0.0), lambda a, x: a + x["intensity"]).cast("long")
     return ordered.select(F.col("name").cast("long").alias("name"), F.col("rank").alias("place"), F.col("n_peaks").cast("long").alias("n_peaks"), F.array_min(F.col("ions.mz")).alias("least"), total.alias("intensity"))
+
+
+TABLES["clients"] = "select c_custkey as id, case when c_custkey % 7 = 0 then 'NA' when c_custkey % 7 = 1 then 'null' when c_custkey % 7 = 2 then '' when c_custkey % 7 = 3 then c_name || ', the \"first\"' else c_name end as name, c_acctbal as mass, c_nationkey as place from customer"
+
+
+@query("csv_import", "select id, case when name not in ('NA', 'null', '') then name end as label, case when id % 3 > 0 then mass end as mass, case when id % 2 = 0 then cast(place as bigint) end as place from clients")
+def _csv_import(t: Frames) -> DataFrame:
+    """A table written as CSV files with null words and numbers that are none, read by position under other names."""
+    wrong = lambda c, fits, word: F.when(fits, F.col(c).cast("string")).otherwise(word).alias(c)
+    rows = t["clients"].select(F.col("id").cast("string").alias("id"), "name", wrong("mass", F.col("id") % 3 > 0, "n/a"), wrong("place", F.col("id") % 2 == 0, "NULL"))
+    folder = keys.shared_folder(rows.sparkSession, "csv")
+    rows.write.option("header", True).csv(folder)
+    fields = (("id", T.LongType()), ("label", T.StringType()), ("mass", T.DoubleType()), ("place", T.LongType()))
+    return files.read_table(rows.sparkSession, folder, T.StructType([T.StructField(*f) for f in fields]))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+def _scan_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of scans: the windows that its watermark has closed, written as files."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    scans = spark.readStream.schema(kind).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = keys.shared_folder(spark, "rates")
+    rates = ingest.scan_rates(scans, "ts", "event_type")
+    rates.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(rates.schema).parquet(f"{folder}/rows")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("intensity", 4).alias("intensity"))
+
+
+QUERIES["scan_rates"] = _scan_rates
+ORACLE_SQL["scan_rates"] = """select strftime(w, '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 4) as intensity from (select *, date_trunc('minute', cast(ts as timestamp)) as w from events)
+    where w + interval 1 minute <= (select max(cast(ts as timestamp)) from events) - interval 5 minutes group by w, event_type"""
