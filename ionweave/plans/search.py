@@ -112,11 +112,16 @@ def search_fragments(ions: DataFrame, fragments: DataFrame, links: DataFrame, pp
     """For each ion (mz), the annotated fragments within tolerance, their compounds and peaks, and whether structures are known.
 
     fragments: fragment_id, fixedmass, formula, smiles; links: fragment_id, peak_id, compound_id.
+    Links are gathered once for each fragment, however many ions find it.
     """
-    found = tolerance_join(ions, fragments, "mz", "fixedmass", ppm, min_error).join(links, "fragment_id", "left")
-    out = found.groupBy("mz", "fragment_id", "fixedmass", "formula", "smiles").agg(
+    found = tolerance_join(ions.select("mz"), fragments.select("fragment_id", "fixedmass", "formula", "smiles"), "mz", "fixedmass", ppm, min_error).distinct()
+    sides = links.groupBy("fragment_id").agg(
         F.countDistinct("compound_id").alias("n_compounds"), F.countDistinct("peak_id").alias("n_peaks"), F.array_sort(F.collect_set("compound_id")).alias("compounds"), F.array_sort(F.collect_set("peak_id")).alias("peaks")
     )
+    none = {c: F.array().cast(links.schema[x].dataType.simpleString().join(("array<", ">"))) for c, x in (("compounds", "compound_id"), ("peaks", "peak_id"))}
+    none |= dict.fromkeys(("n_compounds", "n_peaks"), F.lit(0).cast("long"))
+    out = found.join(sides, "fragment_id", "left").withColumns({c: F.coalesce(c, x) for c, x in none.items()})
+    out = out.select("mz", "fragment_id", "fixedmass", "formula", "smiles", "n_compounds", "n_peaks", "compounds", "peaks")
     known = F.bool_or(F.col("smiles").isNotNull()).over(Window.partitionBy("mz"))
     label = F.when(F.col("smiles").isNotNull(), "structure").when(F.col("formula").isNotNull(), "formula").otherwise("unknown")
     out = out.withColumn("mass_error", 1e6 * (F.col("mz") - F.col("fixedmass")) / F.col("fixedmass")).withColumn("label", label)
