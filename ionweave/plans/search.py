@@ -9,7 +9,7 @@ from ionweave.operators.align import optimal_parameters
 from ionweave.operators.keys import staged
 from ionweave.operators.scoring import check_fragments, compare
 from ionweave.operators.spectra import uncertainty_spectrum
-from ionweave.operators.tolerance import interval_join, tolerance, tolerance_join
+from ionweave.operators.tolerance import in_isolation_window, interval_join, tolerance, tolerance_join
 from ionweave.plans.peak_tables import peak_table
 
 
@@ -128,13 +128,29 @@ def search_fragments(ions: DataFrame, fragments: DataFrame, links: DataFrame, pp
     return out.withColumn("has_smiles", known)
 
 
-def scans_of_peaks(peaks: DataFrame, scans: DataFrame, experiment: str, width: float, span: float = 1.0) -> DataFrame:
-    """Scans (file, ms_n, scantime, precursor_mz) in the time window of each peak (rt_start, rt_end); MS2 scans by isolation window."""
-    from ionweave.operators.tolerance import in_isolation_window
+def scans_of_peaks(peaks: DataFrame, scans: DataFrame, experiment: str, width: float, span: float | None = None) -> DataFrame:
+    """Scans (file, ms_n, scantime, precursor_mz) in the time window of each peak (rt_start, rt_end); MS2 scans by isolation window.
 
+    span is the width of bins of time; without it the mean length of the windows.
+    MS2 scans of an experiment that isolates ions meet peaks in bins of the precursor's m/z, too.
+    """
     wanted = peaks.withColumnRenamed("precursor_mz", "wanted_mz")
-    rows = interval_join(wanted, scans, F.col("rt_start"), F.col("rt_end"), F.col("scantime"), span)
-    return rows.where((F.col("ms_n") == 1) | in_isolation_window(F.lit(experiment), F.col("precursor_mz"), F.col("wanted_mz"), F.lit(width)))
+    if span is None:
+        span = wanted.where("rt_start <= rt_end").agg(F.avg(F.col("rt_end") - F.col("rt_start"))).first()[0] or 1.0  # one number
+    low, high, time = F.col("rt_start"), F.col("rt_end"), F.col("scantime")
+    whole = F.coalesce(F.col("ms_n") == 1, F.lit(False))
+    half = {"DDA": width, "SWATH": width / 2}.get(experiment)
+    if half is None:
+        rows = interval_join(wanted, scans, low, high, time, span)
+        return rows.where(whole | in_isolation_window(F.lit(experiment), F.col("precursor_mz"), F.col("wanted_mz"), F.lit(width)))
+    first = interval_join(wanted, scans.where(whole), low, high, time, span)
+    # the bins reach a little beyond the window, which is asked of each pair as it is
+    step = max(2 * half, 0.001)
+    reach = F.lit(half) + (F.abs("wanted_mz") + 1) * 1e-9
+    near = wanted.where("wanted_mz is not null").withColumn("_mass", F.explode(F.sequence(F.floor((F.col("wanted_mz") - reach) / step), F.floor((F.col("wanted_mz") + reach) / step))))
+    chosen = interval_join(near, scans.where(~whole).withColumn("_scan_mass", F.floor(F.col("precursor_mz") / step)), low, high, time, span, keys=[("_mass", "_scan_mass")])
+    chosen = chosen.where(in_isolation_window(F.lit(experiment), F.col("precursor_mz"), F.col("wanted_mz"), F.lit(width)))
+    return first.unionByName(chosen.drop("_mass", "_scan_mass"))
 
 
 __all__ = ["candidates", "library_spectra", "scans_of_peaks", "search_compound", "search_fragments", "search_spectra", "tolerance"]

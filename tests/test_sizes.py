@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from ionweave.plans import search
 
 
@@ -19,3 +23,20 @@ def test_links_are_gathered_before_ions_meet_them(spark):
     assert found.count() == 5 and got == {(100.0, 1): one, (100.001, 1): one, (100.0, 2): two, (100.001, 2): two, (300.0, 3): (0, 0, [], [], "unknown", False)}
     plan = optimized(found)
     assert plan.index("Join LeftOuter") < plan.index("collect_set(compound_id")
+
+
+@pytest.mark.parametrize("experiment", ["DDA", "SWATH", "DIA", "?"])
+def test_scans_meet_peaks_in_bins_of_time_and_mass(spark, experiment):
+    rnd = random.Random(3)
+    peaks = [(k, rnd.choice([100.0, 100.1, 140.3, None]), t, t + rnd.choice([0.02, 0.1])) for k in range(60) for t in [rnd.choice([0.0, 1.0, 1.02])]]
+    scans = [(k, rnd.choice([1, 2, 2, None]), rnd.choice([0.0, 0.01, 0.02, 0.1, 1.0, 1.02, 1.03, None]), rnd.choice([60.1, 80.1, 100.0, 120.3, 140.0, 140.1, 140.2, None])) for k in range(300)]
+    half = {"DDA": 40.0, "SWATH": 20.0}.get(experiment)
+    want = sorted(
+        (p, s)
+        for p, mass, a, b in peaks
+        for s, n, t, pre in scans
+        if t is not None and a <= t <= b and (n == 1 or experiment == "DIA" or (half is not None and mass is not None and pre is not None and abs(pre - mass) <= half))
+    )
+    found = search.scans_of_peaks(spark.createDataFrame(peaks, "peak_id long, precursor_mz double, rt_start double, rt_end double"), spark.createDataFrame(scans, "scan long, ms_n int, scantime double, precursor_mz double"), experiment, 40.0)
+    assert sorted((r.peak_id, r.scan) for r in found.select("peak_id", "scan").collect()) == want and want
+    assert ("_scan_mass" in optimized(found)) == (half is not None)
