@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.operators import spectra
+from ionweave.operators.keys import same
 from ionweave.operators.tolerance import in_isolation_window, interval_join, tolerance
 
 #: Names of experiments, as far as they choose MS2 scans.
@@ -51,6 +52,18 @@ def gathered(peaks: DataFrame, scans: DataFrame, zoom: tuple[float, float] = (1.
     return out.where("problem is null").select(*peaks.columns, "msdata"), out.where("problem is not null").select("file", "peak", "problem")
 
 
+def distinct_peaks(peaks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(peaks of which no two are alike but for ``peak``, members (file, peak, of)).
+
+    Peaks of a file that agree in all other columns take the same scans and have
+    the same object, so it is gathered once, for the smallest ``peak`` (``of``) of them.
+    """
+    like = [c for c in peaks.columns if c != "peak"]
+    one = peaks.groupBy(*like).agg(F.min("peak").alias("peak")).select(*peaks.columns)
+    own = one.select(*[F.col(c).alias(f"_{c}") for c in like], F.col("peak").alias("of"))
+    return one, peaks.join(own, same("", "_", like)).select("file", "peak", "of")
+
+
 def as_json(objects: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
     """(file, peak, text): each object as JSON; sections name the columns that go into a nested object, the others stay beside them."""
     inside = [c for columns in sections.values() for c in columns]

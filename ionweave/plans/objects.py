@@ -18,6 +18,10 @@ LISTS = ("qcmethod", "annotation", "msdata", "qc", "opt_ums_params", "inspection
 OBJECT = ", ".join(["object string", *(f"{m} map<string,string>" for m in MAPS), *(f"{x} array<map<string,string>>" for x in LISTS), "msconvertsettings array<string>"])
 
 
+#: Characters of JSON that a task holds parsed at once.
+PARSED = 8 << 20
+
+
 def _text(x) -> str | None:
     if x is None:
         return None
@@ -45,15 +49,23 @@ def parse_object(text: str) -> dict:
 def import_objects(texts: DataFrame, name: str = "object", text: str = "text") -> DataFrame:
     """A row (OBJECT) for each JSON text; texts that aren't JSON objects have null sections."""
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("object", *MAPS, *LISTS, "msconvertsettings")})
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, size = [], 0
             for key, value in zip(pdf["object"], pdf["text"], strict=True):
                 try:
                     rows.append({"object": key, **parse_object(value or "")})
                 except (ValueError, AttributeError):
                     rows.append({"object": key})
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("object", *MAPS, *LISTS, "msconvertsettings")})
+                size += len(value or "")
+                if size >= PARSED:
+                    yield frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield frame(rows)
 
     return texts.select(F.col(name).cast("string").alias("object"), F.col(text).alias("text")).mapInPandas(parse, OBJECT)
 

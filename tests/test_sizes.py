@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from ionweave.plans import search
+from ionweave.plans import gather, objects, search
 
 
 def optimized(df) -> str:
@@ -40,3 +40,13 @@ def test_scans_meet_peaks_in_bins_of_time_and_mass(spark, experiment):
     found = search.scans_of_peaks(spark.createDataFrame(peaks, "peak_id long, precursor_mz double, rt_start double, rt_end double"), spark.createDataFrame(scans, "scan long, ms_n int, scantime double, precursor_mz double"), experiment, 40.0)
     assert sorted((r.peak_id, r.scan) for r in found.select("peak_id", "scan").collect()) == want and want
     assert ("_scan_mass" in optimized(found)) == (half is not None)
+
+
+def test_peaks_that_are_alike_are_gathered_once(spark, monkeypatch):
+    rows = [("a", 9, 100.0, "DDA"), ("a", 4, 100.0, "DDA"), ("a", 5, None, "DDA"), ("a", 6, None, "DDA"), ("b", 1, 100.0, "DDA"), ("a", 2, 100.0, None)]
+    one, members = gather.distinct_peaks(spark.createDataFrame(rows, "file string, peak long, mz double, ms2exp string"))
+    assert sorted(r.peak for r in one.collect()) == [1, 2, 4, 5] and one.columns == ["file", "peak", "mz", "ms2exp"]
+    assert {(r.file, r.peak): r.of for r in members.collect()} == {("a", 9): 4, ("a", 4): 4, ("a", 5): 5, ("a", 6): 5, ("b", 1): 1, ("a", 2): 2}
+    texts = spark.createDataFrame([(str(k), '{"peak": {"mz": %d}}' % k) for k in range(20)], "object string, text string")
+    monkeypatch.setattr(objects, "PARSED", 30)
+    assert {(r.object, r.peak["mz"]) for r in objects.import_objects(texts).collect()} == {(str(k), str(k)) for k in range(20)}
