@@ -81,14 +81,14 @@ def keyed(target: DataFrame, values: DataFrame, on: list[str], key: str = "id",
     which are not added).  A column ``key`` of values is not read.
     """
     values = values.drop(key)
-    known = target.groupBy(*[F.col(c).alias(f"_k_{c}") for c in on]).agg(F.max(key).alias("_known"))
-    found = values.join(known, same("", "_k_", on), "left").drop(*[f"_k_{c}" for c in on])
+    known = target.groupBy(*[F.col(c).alias(f"_k_{c}") for c in on]).agg(F.max(key).alias("_found"))
     rank = [F.min(c).alias(f"_o_{c}") for c in order or []]
-    fresh = found.where("_known is null").groupBy(*on).agg(F.count("*").alias("_n"), *rank).drop("_n")
+    fresh = values.groupBy(*on).agg(F.count("*").alias("_n"), *rank).drop("_n").join(known, same("", "_k_", on), "left_anti")
     top = target.agg(F.max(key)).first()[0] or 0
     fresh = numbered(fresh, [f"_o_{c}" for c in order] if order else on, top, "_new").drop(*[f"_o_{c}" for c in order or []])
-    renamed = fresh.select(*[F.col(c).alias(f"_f_{c}") for c in on], "_new")
-    out = found.join(renamed, same("", "_f_", on), "left").withColumn(key, F.coalesce("_known", "_new"))
+    # one join for the keys that are there and the new ones
+    ids = known.unionByName(fresh.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("_new").alias("_found")))
+    out = values.join(ids, same("", "_k_", on), "left").withColumn(key, F.col("_found"))
     rows = fresh.withColumnRenamed("_new", key)
     rows = rows.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) if c in target.columns else F.col(c) for c in rows.columns])
-    return out.drop("_known", "_new", *[f"_f_{c}" for c in on]), target.unionByName(rows, allowMissingColumns=True)
+    return out.drop("_found", *[f"_k_{c}" for c in on]), target.unionByName(rows, allowMissingColumns=True)

@@ -131,7 +131,7 @@ def _methods(run: _Run, rows: DataFrame) -> DataFrame:
     own = own.join(ids, own["_key"].eqNullSafe(ids["_key"]) & own["has_qc_method"].eqNullSafe(ids["_qc"])).select("object", "ms_methods_id", "chromatography")
     columns = own.where("chromatography is not null").groupBy("ms_methods_id", objects.canonical(F.col("chromatography")).alias("_key")).agg(F.min("object").alias("object"), F.first("chromatography").alias("s"))
     _columns(run, staged(columns))
-    return rows.join(own.select("object", "ms_methods_id"), "object", "left")
+    return rows.join(staged(own.select("object", "ms_methods_id"), "methods"), "object", "left")
 
 
 def _analyzers(run: _Run, rows: DataFrame) -> None:

@@ -51,19 +51,21 @@ def resolve(df: DataFrame, column: str, dimension: DataFrame, key: str = "id", f
     """
     names = [c for c in dimension.columns if c != key]
     long = dimension.select(F.col(key).alias("_key"), F.explode(F.array(*[F.lower(F.col(c).cast("string")) for c in names])).alias("_text")).where("_text is not null").distinct()
-    values = df.select(F.lower(F.trim(F.col(column).cast("string"))).alias("_value")).where("_value <> ''").distinct()
-    found = values.join(long, F.col("_value") == F.col("_text"), "left")
+    value = F.lower(F.trim(F.col(column).cast("string")))
+    hits = long.groupBy("_text").agg(F.countDistinct("_key").alias("matches"), F.min("_key").alias("_id"))
     if fuzzy:
-        lost = found.where("_key is null").select("_value")
+        lost = df.select(value.alias("_value")).where("_value <> ''").distinct().join(hits, F.col("_value") == F.col("_text"), "left_anti")
         # texts within texts have no key to join on: each value left is compared with all of a lookup table of checked size
         if long.limit(LOOKUP_TEXTS + 1).count() > LOOKUP_TEXTS:
             raise ValueError(f"a fuzzy lookup takes a dimension of {LOOKUP_TEXTS} texts at most")
-        near = lost.join(F.broadcast(long), F.contains("_text", F.col("_value")), "left")
-        found = found.where("_key is not null").unionByName(near)
-    hits = found.groupBy("_value").agg(F.countDistinct("_key").alias("matches"), F.min("_key").alias("_id"))
-    out = df.withColumn("_value", F.lower(F.trim(F.col(column).cast("string")))).join(hits, "_value", "left")
-    out = out.withColumn(f"{column}_id", F.when(F.col("matches") == 1, F.col("_id"))).drop("_value", "_id", "matches")
-    return out, hits.where("matches <> 1").select(F.col("_value").alias("value"), "matches")
+        near = lost.join(F.broadcast(long.withColumnRenamed("_text", "_longer")), F.contains("_longer", F.col("_value")))
+        hits = hits.unionByName(near.groupBy(F.col("_value").alias("_text")).agg(F.countDistinct("_key").alias("matches"), F.min("_key").alias("_id")))
+    # texts of the lookup table, and not those of df, are counted: df is read once, and a small table is broadcast whatever value is frequent
+    hits = hits.where("_text <> ''")
+    out = df.withColumn("_value", value).join(hits, F.col("_value") == F.col("_text"), "left")
+    out = out.withColumn(f"{column}_id", F.when(F.col("matches") == 1, F.col("_id"))).drop("_value", "_text", "_id", "matches")
+    values = df.select(value.alias("_value")).where("_value <> ''").distinct().join(hits, F.col("_value") == F.col("_text"), "left")
+    return out, values.select(F.col("_value").alias("value"), F.coalesce("matches", F.lit(0).cast("long")).alias("matches")).where("matches <> 1")
 
 
 def split_aliases(df: DataFrame, key: str, column: str, separator: str = ";") -> DataFrame:

@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from ionweave.plans import gather, objects, search
+from ionweave.operators import keys
+from ionweave.plans import gather, imports, objects, search
 
 
 def optimized(df) -> str:
@@ -50,3 +51,17 @@ def test_peaks_that_are_alike_are_gathered_once(spark, monkeypatch):
     texts = spark.createDataFrame([(str(k), '{"peak": {"mz": %d}}' % k) for k in range(20)], "object string, text string")
     monkeypatch.setattr(objects, "PARSED", 30)
     assert {(r.object, r.peak["mz"]) for r in objects.import_objects(texts).collect()} == {(str(k), str(k)) for k in range(20)}
+
+
+def test_lookups_and_keys_read_their_rows_once(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["Asia", " asia", "b", "x", "", None, "sia"])], "k long, t string").repartition(2)
+    names = spark.createDataFrame([(1, "ASIA", None), (2, "B", "y"), (3, "b", ""), (4, "Z", "z")], "id long, name string, other string")
+    out, lost = imports.resolve(rows, "t", names)
+    assert {r.k: r.t_id for r in out.collect()} == {0: 1, 1: 1, 2: None, 3: None, 4: None, 5: None, 6: None}
+    assert {(r.value, r.matches) for r in lost.collect()} == {("b", 2), ("x", 0), ("sia", 0)}
+    assert optimized(out).count("Repartition") == 1
+    out, lost = imports.resolve(rows, "t", names, fuzzy=True)
+    assert {r.k: r.t_id for r in out.collect()} == {0: 1, 1: 1, 2: None, 3: None, 4: None, 5: None, 6: 1}
+    assert {(r.value, r.matches) for r in lost.collect()} == {("b", 2), ("x", 0)}
+    found, grown = keys.keyed(names.select("id", "name"), rows.select(rows.t.alias("name")), ["name"])
+    assert optimized(found).count("Repartition") == 1 and optimized(found).count("Join LeftOuter") == 1 and grown.count() == 4 + 6
