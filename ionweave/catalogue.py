@@ -54,11 +54,14 @@ def _tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ions = _t(spark, sf_dir, "lineitem").where("l_quantity > 0")
     ions = ions.select("l_orderkey", "l_linenumber", _mz().alias("mz"))
     frags = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("fixedmass"))
-    found = tolerance_join(frags, ions, "fixedmass", "mz")
+    # parts of one mass find the same ions, which are counted once
+    found = tolerance_join(frags.select("fixedmass").distinct(), ions, "fixedmass", "mz")
     ppm = 1e6 * (F.col("mz") - F.col("fixedmass")) / F.col("fixedmass")
-    return found.groupBy("p_partkey", "fixedmass").agg(
+    counts = found.groupBy("fixedmass").agg(
         F.count("*").alias("n_ions"), F.countDistinct("l_orderkey").alias("n_peaks"), F.round(F.avg(ppm), 6).alias("avg_ppm")
     )
+    parts = frags.groupBy("p_partkey", "fixedmass").agg(F.count("*").alias("_n"))
+    return parts.join(counts, "fixedmass").select("p_partkey", "fixedmass", (F.col("n_ions") * F.col("_n")).alias("n_ions"), "n_peaks", "avg_ppm")
 
 
 # --- range joins -----------------------------------------------------------------------------------------------------

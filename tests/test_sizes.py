@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from ionweave import catalogue
 from ionweave.operators import keys
 from ionweave.plans import gather, imports, objects, search
 
@@ -65,3 +66,13 @@ def test_lookups_and_keys_read_their_rows_once(spark):
     assert {(r.value, r.matches) for r in lost.collect()} == {("b", 2), ("x", 0)}
     found, grown = keys.keyed(names.select("id", "name"), rows.select(rows.t.alias("name")), ["name"])
     assert optimized(found).count("Repartition") == 1 and optimized(found).count("Join LeftOuter") == 1 and grown.count() == 4 + 6
+
+
+def test_parts_of_one_mass_meet_their_ions_once(spark, tmp_path):
+    spark.createDataFrame([(1, 100.0), (2, 100.0), (2, 100.0), (3, 200.0), (4, None)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 1, 100.0, 1.0), (1, 2, 200.002, 2.0), (2, 1, 100.0, 1.0), (3, 1, 300.0, 1.0), (4, 1, 100.0, 0.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.QUERIES["tolerance_join"](spark, str(tmp_path))
+    assert {(r.p_partkey, r.fixedmass, r.n_ions, r.n_peaks) for r in found.collect()} == {(1, 100.0, 3, 2), (2, 100.0, 6, 2)} and found.count() == 2
+    plan = optimized(found)
+    assert plan.index("Join") < plan.index("avg(")
