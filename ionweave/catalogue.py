@@ -200,12 +200,11 @@ def _dotprod_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dot_products(spark: SparkSession, sf_dir: str, wanted: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "i"))
-    e = e.select("vec_id", (F.col("k") + 1).alias("k"), F.abs(F.col("i").cast("double")).alias("i"))
-    share = F.col("i") / F.sum("i").over(Window.partitionBy("vec_id"))
-    w = e.select("vec_id", "k", scoring.weight(F.col("k").cast("double"), share).alias("w"))
-    q = w.where(wanted).select(F.col("vec_id").alias("query"), "k", F.col("w").alias("q"))
-    return w.join(q, "k").groupBy("vec_id", "query").agg(F.round(scoring.squared_cosine(F.col("w"), F.col("q")), 9).alias("dp"))
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("i"))
+    whole = F.aggregate(F.filter("i", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    e = e.select("vec_id", "i", whole.alias("whole"))
+    w = e.select("vec_id", F.transform("i", lambda x, k: scoring.weight((k + 1).cast("double"), F.try_divide(x, F.col("whole")))).alias("w"))
+    return scoring.vector_cosines(w, w.where(wanted).withColumnRenamed("vec_id", "query"), "vec_id", "query", digits=9)
 
 
 @query(

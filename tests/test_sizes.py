@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
 from ionweave import catalogue
-from ionweave.operators import keys
+from ionweave.operators import keys, scoring
 from ionweave.plans import gather, imports, objects, search
 
 
@@ -76,3 +77,24 @@ def test_parts_of_one_mass_meet_their_ions_once(spark, tmp_path):
     assert {(r.p_partkey, r.fixedmass, r.n_ions, r.n_peaks) for r in found.collect()} == {(1, 100.0, 3, 2), (2, 100.0, 6, 2)} and found.count() == 2
     plan = optimized(found)
     assert plan.index("Join") < plan.index("avg(")
+
+
+def test_vectors_meet_queries_in_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scoring, "BLOCK", 7)
+    monkeypatch.setattr(scoring, "QUERIES", 2)
+    rnd = random.Random(5)
+    vectors = [(k, [rnd.choice([None, 0.0, rnd.random()]) for _ in range(rnd.choice([1, 3, 5]))]) for k in range(40)] + [(40, []), (41, None), (42, [0.0, 0.0]), (43, [None])]
+    df = spark.createDataFrame(vectors, "k long, w array<double>")
+    found = scoring.vector_cosines(df, df.where("k % 4 = 0").withColumnRenamed("k", "q"), "k", "q")
+    want = {}
+    for (a, x), (b, y) in [(v, w) for v in vectors if v[1] for w in vectors if w[1] and w[0] % 4 == 0]:
+        both = list(zip(x, y, strict=False))
+        parts = [[p * q for p, q in rows if p is not None and q is not None] for rows in (both, [(p, p) for p, _ in both], [(q, q) for _, q in both])]
+        norm = sum(parts[1]) * sum(parts[2])
+        want[a, b] = math.fsum(parts[0]) ** 2 / norm if parts[0] and norm else None
+    got = {(r.k, r.q): r.dp for r in found.collect()}
+    assert got.keys() == want.keys() and found.count() == len(want) and None in want.values()
+    assert all((got[p] is None) == (s is None) and (s is None or got[p] == pytest.approx(s, abs=1e-12)) for p, s in want.items())
+    spark.createDataFrame([(k, [0.5, float(k)], 0) for k in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = optimized(catalogue.QUERIES["dotprod"](spark, str(tmp_path)))
+    assert "posexplode" not in plan and "Join" not in plan
