@@ -1,14 +1,14 @@
 """Order-dependent steps on one peak: aligning ions across scans, pooling and pairing spectra, choosing parameters.
 
-Each is a numpy step on the rows of one key, applied with applyInPandas (to
-sorted batches of keys for the alignment); a key is one peak at one MS level, a
+Each is a numpy step on the rows of one key, or of sorted batches of many keys
+at once (alignment, pooling, parameters); a key is one peak at one MS level, a
 few thousand ions.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,41 +36,109 @@ def align_ions(pdf: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR
     so grows; ions left over start groups.  Several ions of a scan in one group
     become one: mean m/z and summed intensity (collapse), or the last (last).
     """
-    seed = pdf["seed"].to_numpy() if "seed" in pdf else None
-    rows = _align(pdf["scan"].to_numpy(), pdf["mz"].to_numpy(), pdf["intensity"].to_numpy(), pdf["eic"].to_numpy(), seed, ppm, min_error, mode)
-    return pd.DataFrame(rows, columns=["scan", "ion_group", "mz", "intensity", "eic"])
-
-
-def _align(scan: np.ndarray, all_mz: np.ndarray, all_int: np.ndarray, eic: np.ndarray, seed: np.ndarray | None, ppm: float, min_error: float, mode: str) -> list[tuple]:
-    """The rows of align_ions, from the columns of one peak."""
-    by = np.lexsort((all_int, all_mz, scan))
-    starts = np.flatnonzero(np.concatenate([[True], scan[by][1:] != scan[by][:-1]])) if len(by) else np.zeros(0, int)
-    parts = np.split(by, starts[1:])
-    order = [scan[x[0]] for x in parts] if len(by) else []
-    scans = dict(zip(order, parts, strict=False))
-    trace = {s: eic[x[0]] for s, x in scans.items()}
-    place = {s: k for k, s in enumerate(order)}
-    wanted = trace
-    if seed is not None and not np.isnan(seed).all():
-        wanted = {s: -np.inf if np.isnan(seed[x[0]]) else seed[x[0]] for s, x in scans.items()}
-    apex = max(order, key=lambda s: (wanted[s], -place[s]))
-    order.sort(key=lambda s: (abs(place[s] - place[apex]), place[s]))
-    low, high, rows = np.zeros(0), np.zeros(0), []
-    for s in order:
-        mz, intensity = all_mz[scans[s]], all_int[scans[s]]
-        left = np.ones(len(mz), bool)
+    seed = pdf["seed"].to_numpy(float) if "seed" in pdf else None
+    one = np.zeros(len(pdf), int)
+    _, rows = _align(one, pdf["scan"].to_numpy(), pdf["mz"].to_numpy(float), pdf["intensity"].to_numpy(float), pdf["eic"].to_numpy(float), seed, one + ppm, one + min_error, mode)
+    return pd.DataFrame(rows)
+
+
+def _leaders(key: np.ndarray, visit: np.ndarray, mz: np.ndarray, ppm: np.ndarray, min_error: np.ndarray, grow: Callable) -> np.ndarray:
+    """For each ion the place of the ion that starts its group; ions are sorted by key, visited scan and m/z.
+
+    Ions of a key that no tolerance bridges can't meet, so they fall into
+    clusters.  Where a cluster is no wider than its tolerances, all ions of its
+    later scans belong to the first group; other clusters are grown one by one.
+    """
+    tol = np.maximum(mz * ppm * 1e-6, min_error)
+    by = np.lexsort((mz, key))
+    x, t = mz[by], tol[by]
+    apart = (key[by][1:] != key[by][:-1]) | ~((x[1:] <= x[:-1] + t[:-1]) | (x[:-1] >= x[1:] - t[1:]))
+    starts = np.flatnonzero(np.concatenate([[True], apart]))
+    ends = np.concatenate([starts[1:], [len(by)]]) - 1
+    wide = ~(x[ends] - x[starts] <= np.minimum(t[starts], t[ends]) * (1 - 1e-6)) & (ends > starts)
+    cluster = np.empty(len(by), int)
+    cluster[by] = np.repeat(np.arange(len(starts)), ends - starts + 1)
+    # an ion that comes first in its cluster leads it; others of that scan lead groups of their own
+    first = np.full(len(starts), len(by))
+    np.minimum.at(first, cluster, np.arange(len(by)))
+    leader = first[cluster]
+    leader = np.where(visit == visit[leader], np.arange(len(by)), leader)
+    for c in np.flatnonzero(wide):
+        own = np.sort(by[starts[c] : ends[c] + 1])
+        leader[own] = own[grow(visit[own], mz[own], ppm[own[0]], min_error[own[0]])]
+    return leader
+
+
+def _grow(visit: np.ndarray, all_mz: np.ndarray, ppm: float, min_error: float) -> np.ndarray:
+    """The place of the starting ion for each ion of one cluster, scan by scan."""
+    low, high, started, leader = np.zeros(0), np.zeros(0), np.zeros(0, int), np.arange(len(all_mz))
+    bounds = np.flatnonzero(np.concatenate([[True], visit[1:] != visit[:-1], [True]]))
+    for a, b in itertools.pairwise(bounds):
+        mz, left = all_mz[a:b], np.ones(b - a, bool)
         near = (mz[:, None] >= low - _tol(low, ppm, min_error)) & (mz[:, None] <= high + _tol(high, ppm, min_error))
         for g in np.flatnonzero(near.any(0)):
             hit = left & (mz >= low[g] - _tol(low[g], ppm, min_error)) & (mz <= high[g] + _tol(high[g], ppm, min_error))
             if hit.any():
                 left &= ~hit
                 low[g], high[g] = min(low[g], mz[hit].min()), max(high[g], mz[hit].max())
-                one = (mz[hit].mean(), intensity[hit].sum()) if mode == "collapse" else (mz[hit][-1], intensity[hit][-1])
-                rows.append((s, g, *one, trace[s]))
-        new = np.flatnonzero(left)
-        rows += [(s, len(low) + k, mz[i], intensity[i], trace[s]) for k, i in enumerate(new)]
-        low, high = np.append(low, mz[new]), np.append(high, mz[new])
-    return rows
+                leader[a:b][hit] = started[g]
+        low, high, started = np.append(low, mz[left]), np.append(high, mz[left]), np.append(started, a + np.flatnonzero(left))
+    return leader
+
+
+def _in_order(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Whether a row of these sorted columns differs from the one before."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    for y in more:
+        new[1:] |= y[1:] != y[:-1]
+    return new
+
+
+def _numbers_within(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """0, 1, ... of the marked rows of each key (rows sorted by key); others have the number of the row before."""
+    seen = np.cumsum(first)
+    starts = np.flatnonzero(_in_order(key))
+    return seen - np.repeat((seen - first)[starts], np.diff([*starts, len(key)])) - 1
+
+
+def _align(key: np.ndarray, scan: np.ndarray, mz: np.ndarray, intensity: np.ndarray, eic: np.ndarray, seed: np.ndarray | None, ppm: np.ndarray, min_error: np.ndarray, mode: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Keys (numbers that ascend) and the columns of align_ions, of the ions of many peaks at once."""
+    by = np.lexsort((intensity, mz, scan, key))
+    key, scan, mz, intensity, eic, ppm, min_error = (x[by] for x in (key, scan, mz, intensity, eic, ppm, min_error))
+    # the scans of each key by time, and the order in which they are visited
+    new = _in_order(key, scan)
+    at, scans = np.flatnonzero(new), np.cumsum(new) - 1
+    own, trace = key[at], eic[at]
+    place = _numbers_within(own, np.ones(len(own), bool))
+    wanted = trace
+    if seed is not None:
+        seeds = seed[by][at]
+        seeded = np.zeros(own.max(initial=0) + 1, bool)
+        seeded[own[~np.isnan(seeds)]] = True
+        wanted = np.where(seeded[own], np.where(np.isnan(seeds), -np.inf, seeds), trace)
+    wanted = np.where(np.isnan(wanted), np.where(place == 0, np.inf, -np.inf), wanted)
+    best = np.lexsort((place, -wanted, own))
+    apex = np.empty(own.max(initial=0) + 1, int)
+    tops = best[_in_order(own[best])]
+    apex[own[tops]] = place[tops]
+    order = np.lexsort((place, np.abs(place - apex[own]), own))
+    visit = np.empty(len(own), int)
+    visit[order] = np.arange(len(own))
+    by = np.argsort(visit[scans], kind="stable")
+    key, scan, mz, intensity, ppm, min_error, visit, eic = (x[by] for x in (key, scan, mz, intensity, ppm, min_error, visit[scans], trace[scans]))
+    leader = _leaders(key, visit, mz, ppm, min_error, _grow)
+    group = _numbers_within(key, leader == np.arange(len(leader)))[leader]
+    by = np.lexsort((np.arange(len(leader)), leader, visit))
+    rows = np.flatnonzero(_in_order(visit[by], leader[by]))
+    ends = np.append(rows[1:], len(by)) - 1
+    first = by[rows]
+    if mode == "collapse":
+        one, summed = (np.add.reduceat(x[by], rows) if len(rows) else x for x in (mz, intensity))
+        one = one / (ends - rows + 1)
+    else:
+        one, summed = mz[by[ends]], intensity[by[ends]]
+    return key[first], {"scan": scan[first], "ion_group": group[first], "mz": one, "intensity": summed, "eic": eic[first]}
 
 
 def _key_starts(pdf: pd.DataFrame, key: list[str]) -> np.ndarray:
@@ -84,27 +152,31 @@ def _key_starts(pdf: pd.DataFrame, key: list[str]) -> np.ndarray:
 
 
 def aligned(ions: DataFrame, key: list[str], ppm: float = PPM, min_error: float = MIN_ERROR, mode: str = "collapse") -> DataFrame:
-    """key, scan, ion_group, mz, intensity, eic from ions (key, scan, mz, intensity, eic); columns ppm and min_error, if there, give a key's own tolerance, and seed its first scan.
+    """key, scan, ion_group, mz, intensity, eic from ions (key, scan, mz, intensity, eic); columns ppm and min_error, if there, give a key's own tolerance, and seed its first scan."""
+    fields = [("scan", T.LongType()), ("ion_group", T.LongType()), ("mz", T.DoubleType()), ("intensity", T.DoubleType()), ("eic", T.DoubleType())]
+    schema = T.StructType([*_key_type(ions, key), *(T.StructField(n, t) for n, t in fields)])
+
+    def whole(pdf: pd.DataFrame, number: np.ndarray) -> pd.DataFrame:
+        starts = np.flatnonzero(_in_order(number))
+        # a key's own tolerances are those of its first row
+        own = [pdf[c].iloc[starts].astype(float).fillna(x).to_numpy()[number] if c in pdf else np.full(len(pdf), x) for c, x in (("ppm", ppm), ("min_error", min_error))]
+        seed = pdf["seed"].to_numpy(float) if "seed" in pdf else None
+        found, rows = _align(number, pdf["scan"].to_numpy(), *(pdf[c].to_numpy(float) for c in ("mz", "intensity", "eic")), seed, *own, mode)
+        return pd.concat([pdf[key].iloc[starts[found]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+
+    return _by_keys(ions, key, whole, schema)
+
+
+def _by_keys(df: DataFrame, key: list[str], whole: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: T.StructType) -> DataFrame:
+    """``whole`` of batches of whole keys, with the number of each row's key in its batch.
 
     Keys are hashed to tasks and sorted there; a task holds a batch and what came
     of the key that it ended in, so that many small keys share a batch.
     """
-    fields = [("scan", T.LongType()), ("ion_group", T.LongType()), ("mz", T.DoubleType()), ("intensity", T.DoubleType()), ("eic", T.DoubleType())]
-    schema = T.StructType([*_key_type(ions, key), *(T.StructField(n, t) for n, t in fields)])
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-        bounds = [*_key_starts(pdf, key), len(pdf)]
-        firsts, rows = [], []
-        for a, b in itertools.pairwise(bounds):
-            own = [x if c not in cols or pd.isna(cols[c][a]) else float(cols[c][a]) for c, x in (("ppm", ppm), ("min_error", min_error))]
-            seed = cols["seed"][a:b].astype(float) if "seed" in cols else None
-            found = _align(cols["scan"][a:b], cols["mz"][a:b], cols["intensity"][a:b], cols["eic"][a:b].astype(float), seed, *own, mode)
-            rows += found
-            firsts += [a] * len(found)
-        out = pd.DataFrame(rows, columns=[n for n, _ in fields])
-        keys = pdf[key].iloc[firsts].reset_index(drop=True)
-        return pd.concat([keys, out], axis=1)
+    def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = _key_starts(pdf, key)
+        return whole(pdf, np.repeat(np.arange(len(starts)), np.diff([*starts, len(pdf)])))
 
     def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[pd.DataFrame] = []  # rows of the key that is still open
@@ -117,12 +189,12 @@ def aligned(ions: DataFrame, key: list[str], ppm: float = PPM, min_error: float
             pdf = pd.concat([*parts, pdf], ignore_index=True)
             last = _key_starts(pdf, key)[-1]
             if last:
-                yield whole(pdf[:last])
+                yield numbered(pdf[:last].reset_index(drop=True))
             parts = [pdf[last:]]
         if parts:
-            yield whole(pd.concat(parts, ignore_index=True))
+            yield numbered(pd.concat(parts, ignore_index=True))
 
-    return ions.repartition(*key).sortWithinPartitions(*key).mapInPandas(many, schema)
+    return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(many, schema)
 
 
 def spectrum_of(pt: pd.DataFrame, correl: float | None, height: float | None, freq: float | None, norm: str = "sum", method: str = "pearson") -> pd.DataFrame:
@@ -143,17 +215,42 @@ def spectrum_of(pt: pd.DataFrame, correl: float | None, height: float | None, fr
     return out.assign(numscans=len(eic))
 
 
-def _grid_counts(pt: pd.DataFrame, grids: list[list[float | None]]) -> tuple[np.ndarray, np.ndarray]:
+def _of_peak(number: np.ndarray, pt: pd.DataFrame) -> dict[str, np.ndarray]:
+    """What the grids ask of aligned peak tables, of many peaks at once: scans and groups, with their peaks; correlations; which scans have which groups."""
+    scan, group = pt["scan"].to_numpy(), pt["ion_group"].to_numpy()
+    by = np.lexsort((np.arange(len(pt)), scan, number))
+    new = _in_order(number[by], scan[by])
+    scans = np.empty(len(pt), int)
+    scans[by] = np.cumsum(new) - 1
+    firsts = by[new]  # a scan's trace is that of its first row
+    by = np.lexsort((group, number))
+    new = _in_order(number[by], group[by])
+    groups = np.empty(len(pt), int)
+    groups[by] = np.cumsum(new) - 1
+    x, y = pt["eic"].to_numpy(float), pt["intensity"].to_numpy(float)
+    n_groups = int(new.sum())
+    both = ~(np.isnan(x) | np.isnan(y))
+    g = groups[both]
+    n = np.bincount(g, minlength=n_groups)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dx, dy = (v[both] - (np.bincount(g, v[both], n_groups) / n)[g] for v in (x, y))
+        xx, yy, xy = (np.bincount(g, v, n_groups) / (n - 1) for v in (dx * dx, dy * dy, dx * dy))
+        r = np.clip(xy / np.sqrt(xx) / np.sqrt(yy), -1, 1)
+    present = np.unique(scans * n_groups + groups)
+    return {"scan_peak": number[firsts], "eic": x[firsts], "group_peak": number[by[new]], "r": np.where(n > 1, r, np.nan), "in_scan": present // max(n_groups, 1), "in_group": present % max(n_groups, 1)}
+
+
+def _grid_counts(eic: np.ndarray, r: np.ndarray, in_scan: np.ndarray, in_group: np.ndarray, grids: list[list[float | None]]) -> tuple[np.ndarray, np.ndarray]:
     """The ion number of spectrum_of at each (correl, height, freq) of the grids, and the scan number at each height."""
-    eic = pt.drop_duplicates("scan").set_index("scan")["eic"]
-    r = pt.groupby("ion_group")[["eic", "intensity"]].apply(lambda g: g["eic"].corr(g["intensity"]) if len(g) > 1 else np.nan)
-    strong = np.array([np.ones(len(r), bool) if c is None else r.to_numpy() >= c for c in grids[0]])
-    high = np.array([np.ones(len(eic), bool) if h is None else (eic >= h / 100 * (eic.max() - eic.min()) + eic.min()).to_numpy() for h in grids[1]])
-    present = np.zeros((len(eic), len(r)), int)
-    present[eic.index.get_indexer(pt["scan"]), r.index.get_indexer(pt["ion_group"])] = 1
-    seen, scans = high.astype(int) @ present, high.sum(1)
+    strong = np.array([np.ones(len(r), bool) if c is None else r >= c for c in grids[0]])
+    low, high = (f(eic) if (~np.isnan(eic)).any() else np.nan for f in (np.nanmin, np.nanmax))
+    tall = np.array([np.ones(len(eic), bool) if h is None else eic >= h / 100 * (high - low) + low for h in grids[1]])
+    present = np.zeros((len(eic), len(r)))
+    present[in_scan, in_group] = 1
+    seen, scans = tall.astype(float) @ present, tall.sum(1)
     often = np.array([seen >= (1 if f is None else np.maximum(f / 100 * scans, 1)[:, None]) for f in grids[2]])
-    return np.einsum("cg,fhg->chf", strong.astype(int), often.astype(int)), scans
+    counts = np.tensordot(strong.astype(float), often.astype(float), (1, 2))
+    return counts.transpose(0, 2, 1).astype(int), scans
 
 
 def best_parameters(pt: pd.DataFrame, top: tuple[float, float, float] = (0.75, 10.0, 10.0), bins: tuple[float, float, float] = (0.05, 1.0, 1.0), min_scans: int = 3) -> tuple:
@@ -164,31 +261,56 @@ def best_parameters(pt: pd.DataFrame, top: tuple[float, float, float] = (0.75, 1
     equals the strictest, correlation changing fastest and none coming last.  A
     peak with fewer scans than ``min_scans`` needs one.
     """
-    every = pt["scan"].nunique()
-    enough = min_scans if every >= min_scans else 1
-    counts, scans = _grid_counts(pt, [[t] for t in top])
-    if counts[0, 0, 0] and scans[0] >= enough:
-        return (*top, int(scans[0]), 3.0 + scans[0] / every)
+    return _best(np.zeros(len(pt), int), pt, top, bins, min_scans)[0] if len(pt) else (None, None, None, 0, 0.0)
+
+
+def _best(number: np.ndarray, pt: pd.DataFrame, top: tuple[float, float, float] = (0.75, 10.0, 10.0), bins: tuple[float, float, float] = (0.05, 1.0, 1.0), min_scans: int = 3) -> list[tuple]:
+    """best_parameters of the peaks 0, 1, ... of the rows: the largest ones are tried on all peaks at once, grids on those that they leave without."""
+    p = _of_peak(number, pt)
+    scan_peak, eic, group_peak, r, in_scan, in_group = p.values()
+    n = int(number.max()) + 1
+    every = np.bincount(scan_peak, minlength=n)
+    enough = np.where(every >= min_scans, min_scans, 1)
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
+    np.fmin.at(low, scan_peak, eic)
+    np.fmax.at(high, scan_peak, eic)
+    with np.errstate(invalid="ignore"):
+        tall = eic >= (top[1] / 100 * (high - low) + low)[scan_peak]
+    scans = np.bincount(scan_peak[tall], minlength=n)
+    seen = np.bincount(in_group[tall[in_scan]], minlength=len(r))
+    fits = (r >= top[0]) & (seen >= np.maximum(top[2] / 100 * scans, 1)[group_peak])
+    done = (np.bincount(group_peak[fits], minlength=n) > 0) & (scans >= enough)
     grids = [[*np.round(np.arange(t, -b / 2, -b), 6), None] for t, b in zip(top, bins, strict=True)]
-    counts, scans = _grid_counts(pt, grids)
     shares = [np.array([(v or 0) / t for v in g]) for g, t in zip(grids, top, strict=True)]
-    score = shares[0][:, None, None] + (shares[1] + scans / max(every, 1))[None, :, None] + shares[2][None, None, :]
-    score = np.where((counts > 0) & (scans >= enough)[None, :, None], np.round(score, 9), -1)
-    # frequency is the slowest to change
-    f, h, c = np.unravel_index(int(score.transpose(2, 1, 0).argmax()), score.transpose(2, 1, 0).shape)
-    if score[c, h, f] < 0:
-        return (None, None, None, 0, 0.0)
-    return (*(None if g[k] is None else float(g[k]) for g, k in zip(grids, (c, h, f), strict=True)), int(scans[h]), float(score[c, h, f]))
+    scan_starts, group_starts = (np.searchsorted(x, np.arange(n + 1)) for x in (scan_peak, group_peak))
+    pairs = np.searchsorted(in_scan, scan_starts)
+    out = []
+    for k in range(n):
+        if done[k]:
+            out.append((*top, int(scans[k]), 3.0 + scans[k] / every[k]))
+            continue
+        (a, b), (c, d), (i, j) = ((x[k], x[k + 1]) for x in (scan_starts, group_starts, pairs))
+        counts, of_height = _grid_counts(eic[a:b], r[c:d], in_scan[i:j] - a, in_group[i:j] - c, grids)
+        score = shares[0][:, None, None] + (shares[1] + of_height / max(every[k], 1))[None, :, None] + shares[2][None, None, :]
+        score = np.where((counts > 0) & (of_height >= enough[k])[None, :, None], np.round(score, 9), -1)
+        # frequency is the slowest to change
+        f, h, e = np.unravel_index(int(score.transpose(2, 1, 0).argmax()), score.transpose(2, 1, 0).shape)
+        if score[e, h, f] < 0:
+            out.append((None, None, None, 0, 0.0))
+        else:
+            out.append((*(None if g[x] is None else float(g[x]) for g, x in zip(grids, (e, h, f), strict=True)), int(of_height[h]), float(score[e, h, f])))
+    return out
 
 
 def optimal_parameters(peaks: DataFrame, key: list[str], **settings) -> DataFrame:
     """key, correl, height, freq, n and score for each aligned peak table."""
     schema = T.StructType([*_key_type(peaks, key), *(T.StructField(c, T.DoubleType()) for c in ("correl", "height", "freq")), T.StructField("n", T.LongType()), T.StructField("score", T.DoubleType())])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*(pdf[c].iloc[0] for c in key), *best_parameters(pdf, **settings))], columns=schema.names)
+    def whole(pdf: pd.DataFrame, number: np.ndarray) -> pd.DataFrame:
+        best = pd.DataFrame(_best(number, pdf, **settings), columns=schema.names[len(key) :])
+        return pd.concat([pdf[key].iloc[np.flatnonzero(_in_order(number))].reset_index(drop=True), best.astype(dict.fromkeys(("correl", "height", "freq"), float))], axis=1)
 
-    return peaks.groupBy(*key).applyInPandas(one, schema)
+    return _by_keys(peaks, key, whole, schema)
 
 
 def pooled(spectra: DataFrame, key: list[str], order: str, ppm: float = PPM, min_error: float = MIN_ERROR) -> DataFrame:
@@ -196,28 +318,37 @@ def pooled(spectra: DataFrame, key: list[str], order: str, ppm: float = PPM, min
     names = ["mz", "mz_u", "int", "int_u"]
     schema = T.StructType([*_key_type(spectra, key), *(T.StructField(c, T.DoubleType()) for c in names), T.StructField("n", T.LongType())])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[order]).sort_values([order, "mz"])
-        mz, scans = pdf["mz"].to_numpy(), pdf[order].to_numpy()
-        low, high, group = np.zeros(0), np.zeros(0), np.zeros(len(mz), int)
-        bounds = np.flatnonzero(np.concatenate([[True], scans[1:] != scans[:-1], [True]])) if len(mz) else []
-        for start, end in itertools.pairwise(bounds):
-            x = mz[start:end]
-            met = (x[:, None] >= low - _tol(low, ppm, min_error)) & (x[:, None] <= high + _tol(high, ppm, min_error))
-            old = met.any(1)
-            group[start:end][old] = met[old].argmax(1) if old.any() else 0
-            group[start:end][~old] = len(low) + np.arange((~old).sum())
-            np.minimum.at(low, group[start:end][old], x[old])
-            np.maximum.at(high, group[start:end][old], x[old])
-            low, high = np.append(low, x[~old]), np.append(high, x[~old])
+    def whole(pdf: pd.DataFrame, number: np.ndarray) -> pd.DataFrame:
+        kept = pdf[order].notna().to_numpy()
+        by = np.flatnonzero(kept)[np.lexsort((pdf["mz"].to_numpy(float)[kept], pdf[order].to_numpy()[kept], number[kept]))]
+        pdf, number = pdf.iloc[by].reset_index(drop=True), number[by]
+        if not len(pdf):
+            return pd.DataFrame(columns=schema.names)
+        visit = np.cumsum(_in_order(number, pdf[order].to_numpy()))
+        leader = _leaders(number, visit, pdf["mz"].to_numpy(float), np.full(len(pdf), ppm), np.full(len(pdf), min_error), _pool)
         free = pdf["n"] - 1
-        f = pdf.assign(free=free, mz_u=free * pdf["mz_u"].fillna(0) ** 2, int_u=free * pdf["int_u"].fillna(0) ** 2).groupby(group)
+        f = pdf.assign(free=free, mz_u=free * pdf["mz_u"].fillna(0) ** 2, int_u=free * pdf["int_u"].fillna(0) ** 2).groupby(leader)
         out, total = f[["mz", "int"]].mean(), f[["n", "free", "mz_u", "int_u"]].sum()
         for c in ("mz_u", "int_u"):
             out[c] = np.sqrt(total[c] / total["free"].where(total["free"] != 0))
-        return out.assign(n=total["n"], **{c: pdf[c].iloc[0] for c in key})[schema.names]
-
-    return spectra.groupBy(*key).applyInPandas(one, schema)
+        return out.assign(n=total["n"], **{c: pdf[c].iloc[out.index].array for c in key})[schema.names]
+
+    return _by_keys(spectra, key, whole, schema)
+
+
+def _pool(visit: np.ndarray, mz: np.ndarray, ppm: float, min_error: float) -> np.ndarray:
+    """The place of the starting ion for each ion of one cluster: each takes the first group that it met before its scan."""
+    low, high, group, leaders = np.zeros(0), np.zeros(0), np.zeros(len(mz), int), np.zeros(0, int)
+    for start, end in itertools.pairwise(np.flatnonzero(np.concatenate([[True], visit[1:] != visit[:-1], [True]]))):
+        x = mz[start:end]
+        met = (x[:, None] >= low - _tol(low, ppm, min_error)) & (x[:, None] <= high + _tol(high, ppm, min_error))
+        old = met.any(1)
+        group[start:end][old] = met[old].argmax(1) if old.any() else 0
+        group[start:end][~old] = len(low) + np.arange((~old).sum())
+        np.minimum.at(low, group[start:end][old], x[old])
+        np.maximum.at(high, group[start:end][old], x[old])
+        low, high, leaders = np.append(low, x[~old]), np.append(high, x[~old]), np.append(leaders, start + np.flatnonzero(~old))
+    return leaders[group]
 
 
 def paired(left: pd.DataFrame, right: pd.DataFrame, ppm: float = PPM, min_error: float = MIN_ERROR) -> pd.DataFrame:

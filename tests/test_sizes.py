@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from ionweave import catalogue
-from ionweave.operators import keys, scoring
+from ionweave.operators import align, keys, scoring
 from ionweave.plans import gather, imports, objects, search
 
 
@@ -98,3 +100,48 @@ def test_vectors_meet_queries_in_blocks(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(k, [0.5, float(k)], 0) for k in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     plan = optimized(catalogue.QUERIES["dotprod"](spark, str(tmp_path)))
     assert "posexplode" not in plan and "Join" not in plan
+
+
+def slow_groups(rows, collapse):
+    """(scan, group, ion) of the ions (scan, mz) of a peak, ion by ion; the first scan is visited first."""
+    groups, out = [], []
+    for s in sorted({r[0] for r in rows}):
+        left = sorted(r[1] for r in rows if r[0] == s)
+        before, taken = [tuple(g) for g in groups], {}
+        for g, (a, b) in enumerate(before):
+            if collapse:
+                a, b = groups[g]
+            for x in left:
+                if x not in taken and a - max(a * 5e-6, 0.002) <= x <= b + max(b * 5e-6, 0.002):
+                    taken[x] = g
+        for x, g in taken.items():
+            groups[g] = [min(groups[g][0], x), max(groups[g][1], x)]
+        for x in left:
+            if x not in taken:
+                taken[x] = len(groups)
+                groups.append([x, x])
+        out += [(s, taken[x], x) for x in left]
+    return out
+
+
+@pytest.mark.parametrize("collapse", [True, False])
+def test_many_peaks_in_a_batch_equal_each_alone(collapse):
+    """Ions closer and farther than the tolerance, in clusters narrower and wider than it."""
+    rnd = random.Random(8)
+    peaks = [sorted({(rnd.randrange(4), round(rnd.choice([100, 100, 300]) + rnd.randrange(16) * 0.0009, 4)) for _ in range(rnd.randrange(1, 14))}) for _ in range(300)]
+    number, visit, mz = (np.array([x for k, rows in enumerate(peaks) for x in [(k, k * 10 + s, m)[c] for s, m in rows]]) for c in range(3))
+    leader = align._leaders(number.astype(int), visit.astype(int), mz, np.full(len(mz), 5.0), np.full(len(mz), 0.002), align._grow if collapse else align._pool)
+    got = align._numbers_within(number.astype(int), leader == np.arange(len(leader)))[leader]
+    assert list(got) == [g for rows in peaks for _, g, _ in slow_groups(rows, collapse)]
+
+
+def test_parameters_of_many_peaks_in_a_batch_equal_each_alone(monkeypatch):
+    rnd = random.Random(4)
+    rows = [(k, s, g, 100.0, rnd.choice([0.0, 1.0, 5.0, float(s)]), float(s * s % 7) if k % 9 else np.nan) for k in range(60) for g in range(4) for s in range(rnd.randrange(1, 6))]
+    pt = pd.DataFrame(rows, columns=["k", "scan", "ion_group", "mz", "intensity", "eic"])
+    want = [align.best_parameters(one.drop(columns="k")) for _, one in pt.groupby("k")]
+    tried = []
+    counts = align._grid_counts
+    monkeypatch.setattr(align, "_grid_counts", lambda *x: tried.append(1) or counts(*x))
+    assert align._best(pt["k"].to_numpy(), pt) == want
+    assert len(tried) < len(want) and {w[0] for w in want} >= {0.75, None}
