@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,14 +36,22 @@ def monoisotopic_masses(isotopes: dict[str, list[tuple[float, float]]] = ISOTOPE
     return {e: max(x, key=lambda m: m[1])[0] for e, x in isotopes.items()}
 
 
+def bound(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used there, within other lambdas as well."""
+    return F.transform(F.array(x), then)[0]
+
+
 def elements(formula: Column) -> Column:
     """map<string,int> of a formula without brackets; an element that repeats is summed; null for no formula."""
     names = F.regexp_extract_all(formula, F.lit(_PART), 1)
     counts = F.transform(F.regexp_extract_all(formula, F.lit(_PART), 2), lambda x: F.when(x == "", 1).otherwise(x.cast("int")))
     pairs = F.zip_with(names, counts, lambda e, n: F.struct(e.alias("e"), n.alias("n")))
-    distinct = F.array_distinct(names)
-    total = F.transform(distinct, lambda e: F.aggregate(F.filter(pairs, lambda p: p["e"] == e), F.lit(0), lambda a, p: a + p["n"]))
-    return F.map_from_arrays(distinct, total)
+
+    def summed(pairs: Column) -> Column:
+        total = lambda e: F.aggregate(F.filter(pairs, lambda p: p["e"] == e), F.lit(0), lambda a, p: a + p["n"])
+        return bound(F.array_distinct(pairs["e"]), lambda distinct: F.map_from_arrays(distinct, F.transform(distinct, total)))
+
+    return bound(pairs, summed)
 
 
 def mass(counts: Column, masses: dict[str, float] | None = None) -> Column:
@@ -70,26 +78,32 @@ def with_adduct(counts: Column, adduct: str) -> Column:
     sign = 1 if found[1] == "+" else -1
     change = F.create_map(*[x for e, n in re.findall(_PART, found[2]) for x in (F.lit(e), F.lit(sign * int(n or 1)))])
     merged = F.map_zip_with(counts, change, lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    return F.when(F.forall(F.map_values(merged), lambda n: n >= 0), F.map_filter(merged, lambda k, n: n > 0))
+    return bound(merged, lambda m: F.when(F.forall(F.map_values(m), lambda n: n >= 0), F.map_filter(m, lambda k, n: n > 0)))
 
 
 def hill(counts: Column) -> Column:
     """A formula in Hill order: C and then H first if there is C, the others by name."""
-    keys = F.array_sort(F.map_keys(counts))
-    has_c = F.map_contains_key(counts, F.lit("C"))
-    lead = F.when(has_c, F.filter(F.array(F.lit("C"), F.lit("H")), lambda e: F.array_contains(keys, e))).otherwise(F.array().cast("array<string>"))
-    order = F.concat(lead, F.array_except(keys, lead))
-    return F.array_join(F.transform(order, lambda e: F.concat(e, F.when(counts[e] > 1, counts[e].cast("string")).otherwise(""))), "")
+
+    def joined(counts: Column, keys: Column, lead: Column) -> Column:
+        order = F.concat(lead, F.array_except(keys, lead))
+        return F.array_join(F.transform(order, lambda e: bound(counts[e], lambda n: F.concat(e, F.when(n > 1, n.cast("string")).otherwise("")))), "")
+
+    def ordered(counts: Column, keys: Column) -> Column:
+        first = F.filter(F.array(F.lit("C"), F.lit("H")), lambda e: F.array_contains(keys, e))
+        lead = F.when(F.array_contains(keys, "C"), first).otherwise(F.array().cast("array<string>"))
+        return bound(lead, lambda lead: joined(counts, keys, lead))
+
+    return bound(counts, lambda counts: bound(F.array_sort(F.map_keys(counts)), lambda keys: ordered(counts, keys)))
 
 
 def is_subset(part: Column, whole: Column) -> Column:
     """Whether whole has each element of part at least as often."""
-    return F.forall(F.map_entries(part), lambda kv: F.coalesce(F.try_element_at(whole, kv["key"]), F.lit(0)) >= kv["value"])
+    return bound(whole, lambda w: F.forall(F.map_entries(part), lambda kv: F.coalesce(F.try_element_at(w, kv["key"]), F.lit(0)) >= kv["value"]))
 
 
 def is_match(test: Column, true: Column) -> Column:
     """Whether true has each element of test equally often; it may have others."""
-    return F.forall(F.map_entries(test), lambda kv: F.coalesce(F.try_element_at(true, kv["key"]), F.lit(-1)) == kv["value"])
+    return bound(true, lambda t: F.forall(F.map_entries(test), lambda kv: F.coalesce(F.try_element_at(t, kv["key"]), F.lit(-1)) == kv["value"]))
 
 
 def ppm_error(measured: Column, calculated: Column) -> Column:
@@ -98,12 +112,12 @@ def ppm_error(measured: Column, calculated: Column) -> Column:
 
 def casrn(text: Column) -> Column:
     """A registry number with a right check digit, without leading zeros; else null."""
-    parts = F.split(F.trim(text), "-")
     plain = F.trim(text).rlike(r"^0*[0-9]{2,7}-[0-9]{2}-[0-9]$")
-    body = F.lpad(F.concat(F.get(parts, 0), F.get(parts, 1)), 20, "0")
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0), lambda a, i: a + F.substr(body, i, F.lit(1)).cast("int") * (21 - i))
-    fits = total % 10 == F.get(parts, 2).cast("int")
-    return F.when(plain & fits, F.concat_ws("-", F.regexp_replace(F.get(parts, 0), "^0+(?=.)", ""), F.get(parts, 1), F.get(parts, 2)))
+    # all digits as one number, of which the last one is the check digit; leading zeros add nothing
+    number = F.translate(F.trim(text), "-", "").try_cast("long")
+    total = sum((F.floor(number / F.lit(10**i).cast("long")) % 10 * i for i in range(1, 10)), F.lit(0))
+    fits = total % 10 == number % 10
+    return F.when(plain & fits, F.regexp_replace(F.trim(text), "^0+(?=[0-9])", ""))
 
 
 def casrn_from_date(text: Column, origin: str = "1899-12-30") -> Column:

@@ -21,9 +21,13 @@ def unpack(mz: Column, intensity: Column) -> Column:
 
 def unpack_zipped(text: Column) -> Column:
     """Alternating "mz intensity mz intensity" as an array of ions."""
-    x = _numbers(text)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size(x) / 2).cast("int") - 1, F.lit(0))), lambda k: k * 2 + 1 < F.size(x))
-    return F.transform(places, lambda k: F.struct(F.get(x, k * 2).alias("mz"), F.get(x, k * 2 + 1).alias("intensity")))
+
+    def pairs(x: Column) -> Column:
+        even = F.slice(x, 1, F.size(x) - F.size(x) % 2)
+        of = lambda k: F.filter(even, lambda _, i: i % 2 == k)
+        return F.zip_with(of(0), of(1), lambda m, i: F.struct(m.alias("mz"), i.alias("intensity")))
+
+    return F.transform(F.array(_numbers(text)), pairs)[0]
 
 
 def pack(ions: Column, field: str) -> Column:

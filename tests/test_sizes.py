@@ -8,9 +8,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ionweave import catalogue
-from ionweave.operators import align, keys, scoring
+from ionweave.functions import chem
+from ionweave.operators import align, keys, scoring, spectra
 from ionweave.plans import gather, imports, objects, search
 
 
@@ -145,3 +147,20 @@ def test_parameters_of_many_peaks_in_a_batch_equal_each_alone(monkeypatch):
     monkeypatch.setattr(align, "_grid_counts", lambda *x: tried.append(1) or counts(*x))
     assert align._best(pt["k"].to_numpy(), pt) == want
     assert len(tried) < len(want) and {w[0] for w in want} >= {0.75, None}
+
+
+def test_texts_are_read_once_for_each_row(spark):
+    """A value that a lambda uses is computed outside of it, so its work doesn't grow with the number of parts."""
+    rows = spark.createDataFrame([("1 2 3 4", "C12H3C", "0067-64-1"), (" 1 x 3", "", "67-64-1"), ("", None, "67-64-2"), ("5", "NaCl2", " 00000000000000000000050-00-0 "), (None, "H2O", "0-1"), ("1  2 ", "C2", None)], "t string, f string, c string")
+    counts = chem.elements(F.col("f"))
+    less = chem.hill(chem.with_adduct(counts, "-C2"))
+    out = rows.select(spectra.unpack_zipped(F.col("t")).alias("ions"), counts.alias("counts"), less.alias("less"), chem.hill(counts).alias("hill"), chem.is_match(chem.elements(F.lit("C2")), counts).alias("same"), chem.is_subset(counts, chem.elements(F.lit("C13H3"))).alias("part"), chem.casrn(F.col("c")).alias("c"))
+    got = out.collect()
+    assert [r.ions and [tuple(x) for x in r.ions] for r in got] == [[(1.0, 2.0), (3.0, 4.0)], [(1.0, None)], [], [], None, [(1.0, 2.0)]]
+    assert [r.counts for r in got] == [{"C": 13, "H": 3}, {}, None, {"Na": 1, "Cl": 2}, {"H": 2, "O": 1}, {"C": 2}]
+    assert [r.less for r in got] == ["C11H3", None, None, None, None, ""] and [r.hill for r in got] == ["C13H3", "", None, "Cl2Na", "H2O", "C2"]
+    assert [r.same for r in got] == [False, False, False, False, False, True] and [r.part for r in got] == [True, True, None, False, False, True]
+    assert [r.c for r in got] == ["67-64-1", "67-64-1", None, "50-00-0", None, None]
+    plan = optimized(out)
+    # five columns, each of which takes names and counts out of the formula
+    assert plan.count("regexp_extract_all(f") == 10 and plan.count("split(trim(t") == 1 and "substr" not in plan
