@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions import chem, qc, stats, text
-from ionweave.operators import align, predicates, relational, scoring, spectra
+from ionweave.operators import align, keys, predicates, relational, scoring, spectra
 from ionweave.operators.tolerance import absolute_join, in_isolation_window, nearest_scan, overlap, tolerance, tolerance_join
 from ionweave.plans import search
 
@@ -238,11 +238,14 @@ def _compare_ms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores_with_first(spark: SparkSession, sf_dir: str, wanted: str) -> DataFrame:
     mz = F.lit(100.0) + F.col("l_suppkey") % 40 + F.col("l_discount") / 100
-    ions = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("peak"), mz.alias("mz"), "l_quantity").groupBy("peak", "mz").agg(F.sum("l_quantity").alias("intensity"))
-    q = ions.where("peak = 1").select(F.lit(1).alias("query"), "mz", "intensity")
-    library = ions.where(wanted)
-    pairs = library.select(F.lit(1).alias("query"), "peak").distinct()
-    out = scoring.compare(q, library, ["query"], ["peak"], pairs)
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("peak"), mz.alias("mz"), "l_quantity")
+    summed = F.sum("l_quantity").alias("intensity")
+    q = rows.where("peak = 1").groupBy("mz").agg(summed).select(F.lit(1).alias("query"), "mz", "intensity")
+    rows = rows.where(wanted)
+    # dealt out by peak once, for the sums, the spectra and their scores
+    library = keys.dealt(rows, keys.tasks_for(rows), "peak").groupBy("peak", "mz").agg(summed)
+    pairs = rows.select(F.lit(1).alias("query"), "peak").distinct()
+    out = scoring.compare(q, library, ["query"], ["peak"], pairs, few=True)  # one spectrum
     return out.select("peak", F.round("dp", 8).alias("dp"), F.round("rdp", 8).alias("rdp"))
 
 

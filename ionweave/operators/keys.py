@@ -29,6 +29,23 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task sorts or gathers at a time.
+TASK_ROWS = 500_000
+
+
+def tasks_for(df: DataFrame, rows: int | None = None) -> int:
+    """Tasks that a shuffle of df asks for with so many rows each; takes a count of df."""
+    return -(-df.count() // (rows or TASK_ROWS))
+
+
+def dealt(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """df dealt out by the columns to so many tasks, where the session's setting has fewer; the other side of a join follows.
+
+    So what a task sorts or holds doesn't grow with the table.
+    """
+    return df.repartition(tasks, *columns) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def numbered(rows: DataFrame, order: list[str], after: int = 0, key: str = "id") -> DataFrame:
     """rows with consecutive keys from after + 1 on, in the order of the columns (nulls first); equal rows in any order.
 

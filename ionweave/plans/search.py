@@ -68,7 +68,7 @@ def search_spectra(query: DataFrame, library: DataFrame, peaks: DataFrame, **set
     q = query.select(F.lit(0).alias("query"), "mz", F.col("int").alias("intensity"))
     lib = library.select("peak_id", "mz", F.col("int").alias("intensity"))
     pairs = peaks.select(F.lit(0).alias("query"), "peak_id").distinct()
-    return compare(q, lib, ["query"], ["peak_id"], pairs, **settings).drop("query").orderBy((F.col("dp") + F.col("rdp")).desc_nulls_last(), "peak_id")
+    return compare(q, lib, ["query"], ["peak_id"], pairs, few=True, **settings).drop("query").orderBy((F.col("dp") + F.col("rdp")).desc_nulls_last(), "peak_id")
 
 
 def search_compound(
