@@ -69,17 +69,20 @@ def zoomed(ions: Column, mass: Column, below: float, above: float, ppm: float =
 
 
 def uncertainty_spectrum(
-    ions: DataFrame, eic: DataFrame, key: list[str], correl: float | None = None, height: float | None = None, freq: float | None = None, norm: str = "sum", limits: DataFrame | None = None,
+    ions: DataFrame, eic: DataFrame | None, key: list[str], correl: float | None = None, height: float | None = None, freq: float | None = None, norm: str = "sum", limits: DataFrame | None = None,
 ) -> DataFrame:
     """Mean and spread of aligned ions over the scans of a peak.
 
-    ions: key, ion_group, scan, mz, intensity; eic: key, scan, eic.  In order:
+    ions: key, ion_group, scan, mz, intensity; eic: key, scan, eic, or None where the ions have their scan's eic.  In order:
     ions must correlate with the chromatogram, scans reach ``height`` percent of
     its range, ions occur in ``freq`` percent of the scans left, and each scan is
     divided by the sum or mean of what is left in it.  A null parameter skips
     its step; ``limits`` (key, correl, height, freq) has each key's own.  Returns key, ion_group, mz, mz_u, int, int_u, n, numscans.
     """
-    rows = ions.join(eic, [*key, "scan"])
+    if eic is None:
+        rows, eic = ions, ions.select(*key, "scan", "eic").distinct()
+    else:
+        rows = ions.join(eic, [*key, "scan"])
     group = [*key, "ion_group"]
     if limits is not None:
         return _limited_spectrum(rows, eic, key, norm, limits)

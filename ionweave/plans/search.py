@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.operators.align import optimal_parameters
-from ionweave.operators.keys import staged
+from ionweave.operators.keys import dealt, staged, tasks_for
 from ionweave.operators.scoring import check_fragments, compare
 from ionweave.operators.spectra import uncertainty_spectrum
 from ionweave.operators.tolerance import in_isolation_window, interval_join, tolerance, tolerance_join
@@ -42,11 +42,12 @@ def library_spectra(scans: DataFrame, peaks: DataFrame, level: int, parameters:
         own = {"ppm": F.coalesce("_ppm", F.lit(ppm)), "min_error": F.coalesce("_min", F.lit(min_error))}
     rows = rows.withColumns(own)
     groups = staged(peak_table(rows, level, ppm, min_error), "aligned")  # alignment is the costly step, and is read several times
-    eic = groups.select("peak_id", "scan", "eic").distinct()
+    # dealt out by peak, so that its sums and what follows need no other shuffle
+    groups = dealt(groups.repartition("peak_id"), tasks_for(groups), "peak_id")
     limits = None
     if parameters is not None and optimized:
         limits = p.where(F.col("mslevel") == level).groupBy("peak_id").agg(F.min("correl").alias("correl"), F.min("ph").alias("height"), F.min("freq").alias("freq"))
-    return uncertainty_spectrum(groups.drop("eic"), eic, ["peak_id"], limits=limits)
+    return uncertainty_spectrum(groups, None, ["peak_id"], limits=limits)
 
 
 def query_spectrum(table: DataFrame, key: list[str], correl: float | None = 0.75, height: float | None = 10.0, freq: float | None = 10.0) -> DataFrame:
@@ -83,10 +84,12 @@ def search_compound(
     if ``optimized``.
     """
     near = peaks if precursor is None else candidates(peaks, precursor, ppm, min_error)
-    scans = scans.join(near.select("peak_id"), "peak_id", "left_semi")
+    # the peaks and their scans are found once, for both levels, all scores and the fragments
+    near = staged(near.select("peak_id", "precursor_mz"), "near")
+    scans = staged(scans.join(near.select("peak_id"), "peak_id", "left_semi"), "scans")
     out = near.select("peak_id")
     for level, query in ((1, query1), (2, query2)):
-        spectra = staged(library_spectra(scans, near, level, parameters, optimized=optimized), "spectra")  # the scores read it from both sides
+        spectra = library_spectra(scans, near, level, parameters, optimized=optimized)
         found = search_spectra(query, spectra, near).withColumnsRenamed({"dp": f"ms{level}_dp", "rdp": f"ms{level}_rdp"})
         out = out.join(found, "peak_id", "left")
         if level == 2 and fragments is not None:

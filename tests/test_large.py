@@ -6,9 +6,9 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from ionweave.operators import scoring
+from ionweave.operators import keys, scoring, spectra
+from ionweave.plans import search
 
 
 def _plan(df) -> str:
@@ -51,3 +51,27 @@ def test_compare_gathers_each_spectrum_once(spark, few):
         wanted = (None, None) if not a or not b else (_brute(a, b, 5.0, 20.0), _brute(b, a, 20.0, 5.0))
         assert [s is None for s in scores] == [w is None for w in wanted], (q, p)
         assert [s for s in scores if s is not None] == pytest.approx([w for w in wanted if w is not None])
+
+
+def test_search_compound_finds_the_scans_once_and_deals_out_by_peak(spark, monkeypatch):
+    draw = random.Random(3)
+    scans = spark.createDataFrame(
+        [(p, s % 2 + 1, float(s), [(m + draw.choice([0.0, 0.001]), float(draw.randrange(1, 9))) for m in (100.0, 200.0 + p % 3, 300.0)]) for p in range(30) for s in range(6)],
+        "peak_id long, ms_n int, scantime double, ions array<struct<mz:double,intensity:double>>",
+    )
+    peaks = spark.createDataFrame([(p, 300.0 + p % 2) for p in range(30)], "peak_id long, precursor_mz double")
+    names, kept = [], search.staged
+    monkeypatch.setattr(search, "staged", lambda df, name="stage": names.append(name) or kept(df, name))
+    query = [spark.createDataFrame([(100.0, 0.5), (201.0, 0.5)], "mz double, int double")] * 2
+    small = search.search_compound(*query, peaks, scans, precursor=300.0).collect()
+    assert names == ["near", "scans", "aligned", "aligned"]  # scans were found for each level anew, and spectra written
+    monkeypatch.setattr(keys, "TASK_ROWS", 5)
+    assert search.search_compound(*query, peaks, scans, precursor=300.0).collect() == small and len(small) == 15
+    found = search.library_spectra(scans, peaks, 2)
+    assert "REPARTITION_BY_NUM" in _plan(found) and "Exchange hashpartitioning(peak_id" in _plan(found) and _plan(found).count("Join") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, spectra.uncertainty_spectrum(*_apart(search, scans, peaks), ["peak_id"]).select(found.columns).collect()))
+
+
+def _apart(search, scans, peaks):
+    groups = search.peak_table(scans.join(peaks, "peak_id"), 2)
+    return groups.drop("eic"), groups.select("peak_id", "scan", "eic").distinct()
