@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionweave.operators import keys
+
 SCAN = "file string, scan int, ms_n int, scantime double, polarity int, base_ion double, base_int double, precursor_mz double, ions array<struct<mz:double,intensity:double>>"
 
 
@@ -105,10 +107,16 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
 NUMERIC_NAMES, TEXT_NAMES = ("m/z", "intensity", "time", "energy", "current", "level", "mobility"), ("filter string", "spectrum title", "preset scan configuration")
 
 
+#: Texts whose tags a task sorts.
+TASK_TEXTS = 50_000
+
+
 def cv_parameters(texts: DataFrame, file: str, scan: str, text: str) -> DataFrame:
     """(file, scan, place, element, name, value, unit): the cvParam entries of a column of XML texts, as often as they occur, in order."""
     tag = r"<(?:[A-Za-z]+:)?cvParam\b[^>]*>|<[A-Za-z]+\b[^>]*>"
-    rows = texts.select(F.col(file).alias("file"), F.col(scan).alias("scan"), F.posexplode(F.regexp_extract_all(text, F.lit(tag), 0)).alias("place", "tag"))
+    texts = texts.select(F.col(file).alias("file"), F.col(scan).alias("scan"), F.col(text).alias("text"))
+    # texts are dealt out before they are cut into many tags
+    rows = keys.dealt(texts, keys.tasks_for(texts, TASK_TEXTS), "file", "scan").select("file", "scan", F.posexplode(F.regexp_extract_all("text", F.lit(tag), 0)).alias("place", "tag"))
 
     def attribute(name: str) -> Column:
         raw = F.regexp_extract("tag", rf'\s{name}="([^"]*)"', 1)

@@ -8,7 +8,8 @@ import random
 import pytest
 
 from ionweave.operators import keys, scoring, spectra
-from ionweave.plans import search
+from ionweave.plans import imports, search, views
+from ionweave.sources import files
 
 
 def _plan(df) -> str:
@@ -75,3 +76,12 @@ def test_search_compound_finds_the_scans_once_and_deals_out_by_peak(spark, monke
 def _apart(search, scans, peaks):
     groups = search.peak_table(scans.join(peaks, "peak_id"), 2)
     return groups.drop("eic"), groups.select("peak_id", "scan", "eic").distinct()
+
+
+def test_parameters_of_many_texts_are_dealt_out_by_their_number(spark, monkeypatch):
+    texts = spark.range(100).selectExpr("id % 3 as file", "id as scan", """concat('<spectrum id="', id, '"><cvParam name="ms level" value="', id % 2, '"/><scan><cvParam name="scan start time" value="', id, '"/></scan></spectrum>') as text""")
+    small = files.parameter_table(files.cv_parameters(texts, "file", "scan", "text"))
+    monkeypatch.setattr(files, "TASK_TEXTS", 10)
+    large = files.parameter_table(files.cv_parameters(texts, "file", "scan", "text"))
+    assert "10), REPARTITION_BY_NUM" in _plan(large) and _plan(large).count("Exchange") == 1  # numbers, columns and gaps follow in the same tasks
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and large.count() == 200
