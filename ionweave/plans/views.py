@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions import chem, text
-from ionweave.operators import relational, spectra
+from ionweave.operators import keys, relational, spectra
 
 Frames = dict[str, DataFrame]
 
@@ -29,9 +29,19 @@ def annotated_fragments(t: Frames) -> DataFrame:
 
 def compound_fragments(t: Frames) -> DataFrame:
     """Links of peaks, compounds and annotated fragments, by m/z."""
-    a = annotated_fragments(t).withColumnRenamed("id", "annotated_fragment_id")
-    c = t["compounds"].select(F.col("id").alias("compound_id"), F.col("name").alias("compound"), F.col("formula").alias("compound_formula"))
-    return t["compound_fragments"].join(a, "annotated_fragment_id").join(c, "compound_id").orderBy("mz")
+    return _linked(t).orderBy("mz")
+
+
+def _linked(t: Frames) -> DataFrame:
+    """compound_fragments in any order; links meet their annotations before the texts of fragments and compounds."""
+    tasks = keys.tasks_for(t["compound_fragments"])
+    ids = t["annotated_fragments"].select(F.col("id").alias("annotated_fragment_id"), "mz", "fragment_id")
+    rows = keys.dealt(t["compound_fragments"], tasks, "annotated_fragment_id").join(ids, "annotated_fragment_id").alias("a")
+    f = keys.dealt(t["norm_fragments"], tasks, "id").alias("f")
+    c = keys.dealt(t["compounds"].select(F.col("id").alias("compound_id"), F.col("name").alias("compound"), F.col("formula").alias("compound_formula")), tasks, "compound_id")
+    rows = rows.join(f, F.col("a.fragment_id") == F.col("f.id"))
+    rows = rows.select("a.*", "f.formula", "f.fixedmass", "f.netcharge", "f.radical", "f.smiles", chem.ppm_error(F.col("a.mz"), F.col("f.fixedmass")).alias("ppm_error"))
+    return rows.join(c, "compound_id")
 
 
 def fragment_mz_stats(t: Frames) -> DataFrame:
@@ -44,14 +54,14 @@ def fragment_mz_stats(t: Frames) -> DataFrame:
 def compound_fragment_stats(t: Frames) -> DataFrame:
     """For each compound and fragment: measured m/z, and their spread about the fragment's mean over all compounds."""
     means = fragment_mz_stats(t).select("fragment_id", F.col("mz_mean").alias("_mean"))
-    rows = compound_fragments(t).join(means, "fragment_id")
+    rows = _linked(t).join(means, "fragment_id")
     off = F.sum(F.pow(F.col("mz") - F.col("_mean"), F.lit(2.0)))
     return rows.groupBy("compound_id", "compound", "fragment_id", "formula").agg(F.count("mz").alias("n"), F.min("mz").alias("mz_min"), F.avg("mz").alias("mz_mean"), F.max("mz").alias("mz_max"), F.sqrt(F.try_divide(off, F.count("mz") - 1)).alias("mz_sd"))
 
 
 def fragment_count(t: Frames) -> DataFrame:
     """Distinct fragment formulas of each compound formula, most first."""
-    return compound_fragments(t).groupBy("compound_formula").agg(F.min("compound").alias("name"), F.countDistinct("formula").alias("n")).orderBy(F.desc("n"), "compound_formula")
+    return _linked(t).groupBy("compound_formula").agg(F.min("compound").alias("name"), F.countDistinct("formula").alias("n")).orderBy(F.desc("n"), "compound_formula")
 
 
 def contributors(t: Frames) -> DataFrame:

@@ -78,6 +78,28 @@ def _apart(search, scans, peaks):
     return groups.drop("eic"), groups.select("peak_id", "scan", "eic").distinct()
 
 
+def _library(spark, n):
+    """Links of n annotations, of which every fifth has a fragment that is missing."""
+    rows = spark.range(n)
+    return {
+        "annotated_fragments": rows.selectExpr("id", "100.0 + id % 7 as mz", "id % 10 as fragment_id"),
+        "norm_fragments": spark.range(8).selectExpr("id", "100.0D as fixedmass", "-1 as netcharge", "concat('C', id % 3) as formula", "0 as radical", "'x' as smiles"),
+        "compounds": spark.range(6).selectExpr("id", "concat('name', id) as name", "concat('F', id % 2) as formula"),
+        "compound_fragments": rows.selectExpr("id % 4 as peak_id", "id div 3 % 7 as compound_id", "id as annotated_fragment_id"),
+    }
+
+
+@pytest.mark.parametrize("view", [views.fragment_count, views.compound_fragments, views.compound_fragment_stats])
+def test_links_are_dealt_out_by_their_number(spark, monkeypatch, view):
+    t = _library(spark, 420)
+    small = view(t)
+    monkeypatch.setattr(keys, "TASK_ROWS", 20)
+    large = view(t)
+    # a task sorted a share of the links that only the session's setting fixed
+    assert "21), REPARTITION_BY_NUM" in _plan(large) and "REPARTITION_BY_NUM" not in _plan(small)
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) != []
+
+
 def test_parameters_of_many_texts_are_dealt_out_by_their_number(spark, monkeypatch):
     texts = spark.range(100).selectExpr("id % 3 as file", "id as scan", """concat('<spectrum id="', id, '"><cvParam name="ms level" value="', id % 2, '"/><scan><cvParam name="scan start time" value="', id, '"/></scan></spectrum>') as text""")
     small = files.parameter_table(files.cv_parameters(texts, "file", "scan", "text"))
