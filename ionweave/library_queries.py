@@ -475,8 +475,10 @@ def _split_aliases(t: Frames) -> DataFrame:
 
 @query("majority_vote", "select fragment_id, compound_id from (select *, row_number() over (partition by fragment_id order by n desc, compound_id) as r from (select fragment_id, compound_id, count(*) as n from annotated_fragments a join compound_fragments k on k.annotated_fragment_id = a.id group by fragment_id, compound_id)) where r = 1")
 def _vote(t: Frames) -> DataFrame:
-    rows = t["annotated_fragments"].select(F.col("id").alias("annotated_fragment_id"), "fragment_id").join(t["compound_fragments"], "annotated_fragment_id")
-    return imports.vote(rows, ["fragment_id"], "compound_id")
+    tasks = keys.tasks_for(t["annotated_fragments"])
+    links = keys.dealt(t["compound_fragments"].select("annotated_fragment_id", "compound_id"), tasks, "annotated_fragment_id")
+    rows = t["annotated_fragments"].select(F.col("id").alias("annotated_fragment_id"), "fragment_id").join(links, "annotated_fragment_id")
+    return imports.vote(rows, ["fragment_id"], "compound_id", tasks)
 
 
 _HOLES = "select case when peak_id % 3 > 0 then peak_id end as peak_id, case when compound_id % 2 > 0 then compound_id end as compound_id, case when annotated_fragment_id % 5 > 0 then annotated_fragment_id end as annotated_fragment_id from compound_fragments"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ionweave.operators.keys import dealt
 
 #: Texts of a dimension that a fuzzy lookup may broadcast.
 LOOKUP_TEXTS = 100_000
@@ -77,9 +81,25 @@ def split_aliases(df: DataFrame, key: str, column: str, separator: str = ";") ->
     return rows.select(key, F.when(typed, F.upper(F.get(pair, 0))).alias("type"), F.when(typed, F.trim(F.get(pair, 1))).otherwise(F.col("_part")).alias("alias")).distinct()
 
 
-def vote(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The most frequent non-null value of each group; the smallest of equals."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("votes"))
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch once, with how often they occur in it."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield from table.group_by(table.column_names).aggregate([([], "count_all")]).combine_chunks().to_batches()
+
+
+def vote(df: DataFrame, group: list[str], value: str, tasks: int = 0) -> DataFrame:
+    """The most frequent non-null value of each group; the smallest of equals.
+
+    tasks: how many tasks count the values, where the session's setting has
+    fewer; equal rows of a batch are then one before they are dealt out.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, value)
+    tallies = T.StructType([*rows.schema, T.StructField("_n", T.LongType())])
+    if dealt(rows, tasks, *group, value) is not rows:
+        counts = dealt(rows.mapInArrow(_tallied, tallies), tasks, *group, value).groupBy(*group, value).agg(F.sum("_n").alias("votes"))
+    else:
+        counts = rows.groupBy(*group, value).agg(F.count("*").alias("votes"))
     return counts.groupBy(*group).agg(F.min(F.struct((-F.col("votes")).alias("_order"), F.col(value).alias("value"))).alias("x")).select(*group, F.col("x.value").alias(value))
 
 

@@ -100,6 +100,16 @@ def test_links_are_dealt_out_by_their_number(spark, monkeypatch, view):
     assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) != []
 
 
+def test_vote_counts_in_as_many_tasks_as_asked_for(spark):
+    rows = [(g, v) for g in range(9) for v in (1, 2, 2, 3, 3, None)] + [(None, 4), (20, None)] + [(30, 7)] * 50
+    df = spark.createDataFrame(rows, "g long, v long")
+    wanted = {(g, 2) for g in range(9)} | {(None, 4), (30, 7)}
+    for tasks in (0, 17):
+        votes = imports.vote(df, ["g"], "v", tasks)
+        assert ("17), REPARTITION_BY_NUM" in _plan(votes)) == (tasks > 0)
+        assert {(r.g, r.v) for r in votes.collect()} == wanted
+
+
 def test_parameters_of_many_texts_are_dealt_out_by_their_number(spark, monkeypatch):
     texts = spark.range(100).selectExpr("id % 3 as file", "id as scan", """concat('<spectrum id="', id, '"><cvParam name="ms level" value="', id % 2, '"/><scan><cvParam name="scan start time" value="', id, '"/></scan></spectrum>') as text""")
     small = files.parameter_table(files.cv_parameters(texts, "file", "scan", "text"))
