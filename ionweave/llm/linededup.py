@@ -30,14 +30,19 @@ EDITS = ((24, 2), (8, 1))
 HOT = 64
 #: As many, beyond which pairs are joined with their sketches at hand, which takes the lines' texts.
 WARM = 16
+#: Bits, at most, of the bitmap that lets through the lines whose texts are asked for.
+PLACES = 1 << 24
 
 Edits = tuple[tuple[int, int], ...]
 
 
 def normalised(text: Column) -> Column:
     """Lower case, and single spaces inside the lines; spaces around a line are left for trim."""
-    # a single space is left alone, so that few places are replaced
-    return F.regexp_replace(F.lower(text), r"[^\S \n][^\S\n]*| [^\S\n]+", " ")
+    # the pattern is slow, so it is kept for texts that hold such a place; a single space is left alone
+    odd = F.contains(text, F.lit("  "))
+    for space in "\t\v\f\r":
+        odd = odd | F.contains(text, F.lit(space))
+    return F.when(odd, F.regexp_replace(F.lower(text), r"[^\S \n][^\S\n]*| [^\S\n]+", " ")).otherwise(F.lower(text))
 
 
 def _edits(length: Column, edits: Edits) -> Column:
@@ -79,16 +84,48 @@ def line_ways(edits: Edits) -> list[tuple[int, int, int, int]]:
     return [w for _, k in sorted(edits, reverse=True) for d in range(k + 1) for w in _ways(k, d)]
 
 
-def line_keys(line: Column, edits: Edits) -> list[Column]:
-    """A line's key for each way; null where the line that it probes for has other edits by its length."""
+def _wide(line: Column) -> Column:
+    """The line at four bytes a character, which is cut anywhere without a walk over what lies before."""
+    return F.encode(line, "UTF-32")
+
+
+def _places(length: Column, edits: Edits) -> dict[tuple[int, int, int], Column]:
+    """Where segment i > 0 of a line d shorter with k edits starts (from 0), by (k, d, i); later segments are the longer ones."""
+    return {(k, d, i): F.floor((length - d) * i / (k + 1)).cast("int") for _, k in edits for d in range(k + 1) for i in range(1, k + 1)}
+
+
+def _keys(wide: Column, length: Column, places: dict[tuple[int, int, int], Column], edits: Edits) -> list[Column]:
     out, longest = [], 1 << 30
     for least, k in sorted(edits, reverse=True):
         for d in range(k + 1):
-            out += [F.when((F.length(line) - d).between(least, longest), _key(line, *w)) for w in _ways(k, d)]
+            other = length - d
+            ends = [F.lit(0), *[places[k, d, i] for i in range(1, k + 1)], other]
+            for b, _, j, off in _ways(k, d):
+                segment = F.substr(wide, (ends[j] + off) * 4 + 1, (ends[j + 1] - ends[j]) * 4)
+                out.append(F.when(other.between(least, longest), F.xxhash64(F.lit(4 * b + j), other, segment)))
         longest = least - 1
     return out
 
 
+def line_keys(line: Column, edits: Edits) -> list[Column]:
+    """A line's key for each way; null where the line that it probes for has other edits by its length."""
+    return _keys(_wide(line), F.length(line), _places(F.length(line), edits), edits)
+
+
+def _keyed(rows: DataFrame, edits: Edits) -> DataFrame:
+    """rows with their line replaced by its line_keys, as key0, key1, ...
+
+    The length and the segments' places are columns first, so they are found once for all
+    keys, and the code of a key stays short enough for the JVM to compile.
+    """
+    others = [c for c in rows.columns if c != "line"]
+    rows = rows.select(*others, _wide(F.col("line")).alias("_wide"), F.length("line").alias("_n"))
+    places = _places(F.col("_n"), edits)
+    rows = rows.select("*", *[c.alias("_p{}_{}_{}".format(*at)) for at, c in places.items()])
+    keys = _keys(F.col("_wide"), F.col("_n"), {at: F.col("_p{}_{}_{}".format(*at)) for at in places}, edits)
+    return rows.select(*others, *[c.alias(f"key{s}") for s, c in enumerate(keys)])
+
+
 #: The ways of the pieces of a line.
 PIECE_WAYS = [w for b in (1, 2) for d in range(-b, b + 1) for w in _ways(b, d)]
 
@@ -277,8 +314,7 @@ def _links(named: DataFrame, text_of: Callable[[DataFrame], DataFrame], edits: E
 def edit_links(lines: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> DataFrame:
     """Pairs (a, b), a < b, of ids of distinct lines (id, line), id a long, within the edit threshold, each once."""
     folder = shared_dir(lines.sparkSession, "edits")
-    keys = line_keys(F.col("line"), edits)
-    named = lines.select("id", *[c.alias(f"key{s}") for s, c in enumerate(keys)])
+    named = _keyed(lines.select("id", "line"), edits)
     return _links(named, lambda ids: lines.join(ids, "id", "left_semi").select("id", "line"), edits, folder, hot)
 
 
@@ -294,30 +330,60 @@ def duplicate_lines(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) -> Da
     table gives an empty result; other columns, whatever their names, are not
     read.  A line may be of any length: memory follows the longest one.
     """
-    gone = _gone(docs, edits, hot)
+    base = shared_dir(docs.sparkSession, "lines")
+    rows = _rows(docs, base)
+    gone = _gone(rows, edits, hot, base)
     gone = gone.groupBy("doc_id").agg(
         F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_set("number")).alias("dropped")
     )
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    lines = docs.select("doc_id", n_lines.alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
+    lines = rows.where("n_lines is not null").groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
     out = lines.join(gone, "doc_id", "left")
     return out.select("doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near")], F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def _gone(docs: DataFrame, edits: Edits, hot: int) -> DataFrame:
+def _rows(docs: DataFrame, base: str) -> DataFrame:
+    """(doc_id, number, n_lines, h, g, line): two hashes and the normal form of each line that isn't empty.
+
+    The first row of a document has its number of lines; where its first line is
+    empty, or its id or text null, that row has no hashes.
+    """
+    parts = docs.select("doc_id", F.split(normalised(F.col("text")), "\n").alias("parts")).select("doc_id", F.coalesce(F.size("parts"), F.lit(0)).alias("size"), "parts")
+    # the outer form gives null text a row, and isn't preceded by a filter that splits all texts once more
+    rows = parts.select("doc_id", "size", F.posexplode_outer("parts").alias("number", "line")).withColumns({"line": F.trim("line"), "number": F.coalesce("number", F.lit(0))})
+    rows = rows.withColumn("line", F.when((F.col("line") != "") & F.col("doc_id").isNotNull(), F.col("line"))).where("line is not null or number = 0")
+    hashed = lambda *c: F.when(F.col("line").isNotNull(), F.xxhash64(*c))
+    rows = rows.select("doc_id", "number", F.when(F.col("number") == 0, F.col("size").cast("long")).alias("n_lines"), hashed("line").alias("h"), hashed(F.lit(17), "line", F.lit(29)).alias("g"), "line")
+    return written(rows, f"{base}/rows", compression="zstd")
+
+
+def _among(rows: DataFrame, asked: DataFrame, by: str) -> DataFrame:
+    """The rows whose long ``by`` is one of asked's, and a share of the others: those that a bitmap of asked's lets through.
+
+    It has sixteen bits for each of asked's rows, but PLACES at most, so what is broadcast is
+    bounded; rows are left out only where their bit says that they aren't asked for.
+    """
+    places = 1 << min(max(6, (16 * asked.count()).bit_length()), PLACES.bit_length() - 1)
+    place = F.xxhash64(by).bitwiseAND(F.lit(places - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = asked.select(F.shiftright(place, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
+def _gone(rows: DataFrame, edits: Edits, hot: int, base: str) -> DataFrame:
     """(doc_id, number, h, exact) of the lines that go; h is a hash of the line."""
-    base = shared_dir(docs.sparkSession, "lines")
-    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("number", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    rows = written(rows.select("doc_id", "number", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(17), "line", F.lit(29)).alias("g"), "line"), f"{base}/rows", compression="zstd")
+    rows = rows.where("line is not null")
     # a distinct line is known by its keys, which are all long, so they are aggregated by hashing
-    keys = line_keys(F.col("line"), edits)
-    named = rows.select("h", "g", *[c.alias(f"key{s}") for s, c in enumerate(keys)])
-    named = named.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.first(f"key{s}").alias(f"key{s}") for s in range(len(keys))])
+    named = _keyed(rows.select("h", "g", "line"), edits)
+    named = named.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in named.columns[2:]])
     named = written(named.withColumn("id", F.monotonically_increasing_id()), f"{base}/named")
 
     def text_of(ids: DataFrame) -> DataFrame:
-        asked = named.select("id", "h", "g").join(ids, "id", "left_semi")
-        return rows.select("h", "g", "line").join(asked, ["h", "g"]).groupBy("id").agg(F.first("line").alias("line"))
+        # few lines are asked for, and the others' texts aren't shuffled
+        ids = ids.select("id")
+        asked = _among(named.select("id", "h", "g"), ids, "id").join(ids, "id", "left_semi")
+        asked = written(asked, shared_dir(named.sparkSession, "asked"))
+        return _among(rows.select("h", "g", "line"), asked, "h").join(asked, ["h", "g"]).groupBy("id").agg(F.first("line").alias("line"))
 
     labels = written(components(_links(named, text_of, edits, base, hot)), f"{base}/labels")
     keep = named.select("h", "g", "n", "id").join(labels, F.col("id") == F.col("node"), "left").where("n > 1 or label is not null")
@@ -336,7 +402,8 @@ def without_duplicates(docs: DataFrame, edits: Edits = EDITS, hot: int = HOT) ->
     A line goes where its number and its own text are listed, so rows that share
     an id keep lines that only another of them repeats.
     """
-    gone = _gone(docs, edits, hot).select(F.col("doc_id").alias("_id"), F.struct("number", "h").alias("_line")).groupBy("_id").agg(F.collect_set("_line").alias("_dropped"))
+    base = shared_dir(docs.sparkSession, "lines")
+    gone = _gone(_rows(docs, base), edits, hot, base).select(F.col("doc_id").alias("_id"), F.struct("number", "h").alias("_line")).groupBy("_id").agg(F.collect_set("_line").alias("_dropped"))
     rows = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
     listed = lambda x, i: F.array_contains("_dropped", F.struct(i.cast("int").alias("number"), F.xxhash64(F.trim(normalised(x))).alias("h")))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~listed(x, i)), "\n")
