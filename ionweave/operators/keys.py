@@ -46,24 +46,25 @@ def dealt(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
     return df.repartition(tasks, *columns) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def numbered(rows: DataFrame, order: list[str], after: int = 0, key: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], after: int = 0, key: str = "id", kept: str | None = None) -> DataFrame:
     """rows with consecutive keys from after + 1 on, in the order of the columns (nulls first); equal rows in any order.
 
-    Ranges of rows are sorted by as many tasks and written with their places;
-    only the sizes of the ranges, one number for each task, reach the driver.
+    Rows in which the column ``kept`` is filled have that as their key and take no
+    number.  Ranges of rows are sorted by as many tasks and written with their
+    places; only the sizes of the ranges, one number for each task, reach the driver.
     """
-    spark = rows.sparkSession
-    placed = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "keys")
+    old = F.col(kept).isNotNull() if kept else F.lit(False)
+    ranges = rows.repartitionByRange(*order)
+    placed = staged((ranges.sortWithinPartitions(old, *order) if kept else ranges.sortWithinPartitions(*order)).withColumn("_place", F.monotonically_increasing_id()), "keys")
     part = F.shiftright("_place", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()  # a row for each range
-    before, offsets = after, []
-    for r in sizes:
-        offsets.append((r["_part"], before))
-        before += r.n
-    ranges = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
-    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    out = placed.withColumn("_part", part).join(ranges, "_part").withColumn(key, F.col("_before") + within + 1)
-    return out.select(*[c for c in rows.columns if c != key], key)
+    sizes = placed.where(~old).groupBy(part.cast("int").alias("_part")).agg(F.count("*").alias("n")).collect()  # a row for each range
+    counts, before, top = {r["_part"]: r.n for r in sizes}, [], after
+    for k in range(max(counts, default=0) + 1):
+        before.append(top)
+        top += counts.get(k, 0)
+    start = F.get(F.array(*[F.lit(n).cast("long") for n in before]), part.cast("int"))
+    number = start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.select(*[c for c in rows.columns if c != key], (F.when(old, F.col(kept)).otherwise(number) if kept else number).alias(key))
 
 
 def accumulated(rows: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
@@ -98,14 +99,13 @@ def keyed(target: DataFrame, values: DataFrame, on: list[str], key: str = "id",
     which are not added).  A column ``key`` of values is not read.
     """
     values = values.drop(key)
-    known = target.groupBy(*[F.col(c).alias(f"_k_{c}") for c in on]).agg(F.max(key).alias("_found"))
-    rank = [F.min(c).alias(f"_o_{c}") for c in order or []]
-    fresh = values.groupBy(*on).agg(F.count("*").alias("_n"), *rank).drop("_n").join(known, same("", "_k_", on), "left_anti")
+    wanted = values.select(*on, F.lit(None).cast(target.schema[key].dataType).alias("_found"), F.lit(1).alias("_n"), *[F.col(c).alias(f"_o_{c}") for c in order or []])
+    known = target.select(*on, F.col(key).alias("_found"), F.lit(0).alias("_n"))
+    # one shuffle tells which values are asked for and which of them are there
+    groups = wanted.unionByName(known, allowMissingColumns=True).groupBy(*on).agg(F.max("_found").alias("_found"), F.max("_n").alias("_n"), *[F.min(f"_o_{c}").alias(f"_o_{c}") for c in order or []])
     top = target.agg(F.max(key)).first()[0] or 0
-    fresh = numbered(fresh, [f"_o_{c}" for c in order] if order else on, top, "_new").drop(*[f"_o_{c}" for c in order or []])
-    # one join for the keys that are there and the new ones
-    ids = known.unionByName(fresh.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("_new").alias("_found")))
-    out = values.join(ids, same("", "_k_", on), "left").withColumn(key, F.col("_found"))
-    rows = fresh.withColumnRenamed("_new", key)
+    ids = numbered(groups.where("_n = 1").drop("_n"), [f"_o_{c}" for c in order] if order else on, top, "_new", "_found")
+    out = values.join(ids.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("_new").alias(key)), same("", "_k_", on), "left")
+    rows = ids.where("_found is null").select(*on, F.col("_new").alias(key))
     rows = rows.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) if c in target.columns else F.col(c) for c in rows.columns])
-    return out.drop("_found", *[f"_k_{c}" for c in on]), target.unionByName(rows, allowMissingColumns=True)
+    return out.drop(*[f"_k_{c}" for c in on]), target.unionByName(rows, allowMissingColumns=True)

@@ -19,15 +19,13 @@ def _text(name: str) -> Column:
     return F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
 
 
-def identified(rows: DataFrame) -> DataFrame:
-    """rows with typed identities: blanks are null, radical is 0 or 1, and a mass that is missing or 0 is that of the formula."""
+def typed_parts(rows: DataFrame) -> DataFrame:
+    """rows with typed identities: blanks are null, radical is 0 or 1."""
     flag = F.lower(_text("radical"))
-    given = _text("fixedmass").try_cast("double")
-    calculated = F.round(chem.mass(chem.elements(_text("formula"))), 6)
     return rows.withColumns(
         {
             "mz": _text("mz").try_cast("double"),
-            "fixedmass": F.when(F.coalesce(given, F.lit(0.0)) == 0, calculated).otherwise(given),
+            "fixedmass": _text("fixedmass").try_cast("double"),
             "netcharge": _text("netcharge").try_cast("long"),
             "radical": F.when(flag.isin("true", "t", "1"), 1).when(flag.isin("false", "f", "0"), 0).cast("long"),
             "formula": _text("formula"),
@@ -37,7 +35,15 @@ def identified(rows: DataFrame) -> DataFrame:
     )
 
 
-def resolve_fragments(rows: DataFrame, tables: dict[str, DataFrame], inspections: DataFrame | None = None, aliases: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+def identified(rows: DataFrame) -> DataFrame:
+    """Typed rows in which a mass that is missing or 0 is that of the formula, calculated once for each formula."""
+    lacking = F.coalesce("fixedmass", F.lit(0.0)) == 0
+    masses = rows.where(lacking & F.col("formula").isNotNull()).select(F.col("formula").alias("_formula")).distinct()
+    masses = staged(masses.withColumn("_mass", F.round(chem.mass(chem.elements(F.col("_formula"))), 6)), "masses")
+    return rows.join(masses, F.col("formula") == F.col("_formula"), "left").withColumn("fixedmass", F.when(lacking, F.col("_mass")).otherwise(F.col("fixedmass"))).drop("_formula", "_mass")
+
+
+def resolve_fragments(rows: DataFrame, tables: dict[str, DataFrame], inspections: DataFrame | None = None, aliases: DataFrame | None = None, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
     """(rows with fragment_id and annotated_fragment_id, grown tables, rejects) of an import's fragments.
 
     rows: object, number, mz, formula, smiles, radical, netcharge, fixedmass,
@@ -46,15 +52,19 @@ def resolve_fragments(rows: DataFrame, tables: dict[str, DataFrame], inspections
     Identities and annotations that the tables have keep their ids, nulls
     compared as equal; the others get new ones in order.  Sources, inspections
     (object, smiles and further columns) and aliases (object, smiles, alias_type,
-    alias) are added once, so a second run adds nothing.
+    alias) are added once, so a second run adds nothing.  keep: the columns that
+    the rows come back with (all of them, if not given); object, smiles, citation
+    and generation_type have to be among them.
     """
     filled = reduce(Column.__add__, [_text(c).isNotNull().cast("int") for c in _PARTS])
-    typed = staged(identified(rows.where(filled > 1)))
+    # counted in a column: as a filter, it would be pushed below rows and take each text out of its section many times
+    typed = staged(typed_parts(rows.withColumn("_filled", filled))).where("_filled > 1").drop("_filled")
     bad = typed.where("mz is null or formula is null")
     rejected = bad.select("object", "number", F.when(F.col("mz").isNull(), "no m/z").otherwise("no formula").alias("problem"))
-    good = typed.where("mz is not null and formula is not null")
+    good = identified(typed.where("mz is not null and formula is not null"))
     found, norm = keyed(tables["norm_fragments"], good, IDENTITY)
     found = found.withColumnRenamed("id", "fragment_id")
+    found = found.select(*keep, "fragment_id", "mz") if keep else found
     found, annotated = keyed(tables["annotated_fragments"], found, ["fragment_id", "mz"])
     found = staged(found.withColumnRenamed("id", "annotated_fragment_id"))
     sources = found.where("citation is not null and generation_type is not null").select(F.col("annotated_fragment_id").alias("annotated_fragments_id"), "generation_type", "citation")

@@ -115,7 +115,7 @@ def rejects(objects: DataFrame, required: dict[str, list[str]] | None = None, li
 
 def canonical(section: Column) -> Column:
     """A map's text with its keys sorted: equal for equal maps, however they are ordered."""
-    return F.to_json(F.array_sort(F.map_entries(section)))
+    return F.to_json(F.sort_array(F.map_entries(section)))
 
 
 def uniques(rows: DataFrame, section: str, member: str) -> DataFrame:
